@@ -28,5 +28,73 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op7_sentencepiece)}
-ORACLES: dict[str, str] = {}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = fit(docs, where=~held_out)
+    return identify(docs, model, keep=[F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")])
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.toxicity import fit, toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    learn = labels.where(~held_out).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
+    lexicon = fit(learn)
+    got = toxicity(docs, lexicon, keep=[F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")])
+    return got.select("doc_id", "held_out", "score", "predicted", "n_terms")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.quality import BASE, STANDARD, apply_policy, ledger
+
+    got = ledger(table(spark, sf_dir, "documents"), keep=[F.col("doc_id")])
+    base = apply_policy(got, BASE).withColumn("base_failed", ~F.col("kept"))
+    return apply_policy(base, STANDARD).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits"
+    )
+
+
+OP10_SQL = r"""
+WITH parts AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT row_number() OVER () AS r, * FROM parts),
+tri AS (
+  SELECT r, i, (w[i], w[i + 1], w[i + 2]) AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM windows WHERE len(w) >= 3)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM tri) WHERE n > 1),
+covered AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_distinct(w)) AS n_distinct_words,
+    length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_upper
+  FROM windows LEFT JOIN covered USING (r)),
+f AS (
+  SELECT *,
+    (CASE WHEN n_words < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 100 * n_symbols > 5 * word_chars THEN 4 ELSE 0 END
+    + CASE WHEN 100 * n_upper > 40 * word_chars THEN 8 ELSE 0 END
+    + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END
+    + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN n_words >= 100 AND 100 * n_distinct_words < 10 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed_bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits,
+  failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept
+FROM f
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_toxicity, op7_sentencepiece, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op10_quality_rules": OP10_SQL}
