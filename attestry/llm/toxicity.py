@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon (operator 4).
 
-Texts are folded first: lower case, accents dropped, look-alike letters of other scripts and digits or signs
-used as letters replaced, everything else one space. An Aho-Corasick automaton over the lexicon's terms
+Texts are folded first: lower case, look-alike letters of other scripts and digits or signs
+used as letters replaced, everything else one space; words with accents are read without them as well. An Aho-Corasick automaton over the lexicon's terms
 and the exception phrases reads each whole text once; a term inside an exception phrase does not count.
 The sum of the weights found, divided by the square root of the number of words, is turned into a
 score by a table fitted on the labelled rows.
@@ -9,6 +9,7 @@ score by a table fitted on the labelled rows.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
@@ -44,31 +45,44 @@ class _Fold(dict):
         c = chr(code)
         out = ""
         if c not in HIDDEN:
-            for part in unicodedata.normalize("NFKD", c).lower():
+            for part in unicodedata.normalize("NFKC", c).lower():
                 part = LOOKALIKES.get(part, part)
-                if not unicodedata.combining(part):
-                    out += SAME.get(part, part) if part.isalpha() else " "
+                out += SAME.get(part, part) if part.isalpha() or unicodedata.combining(part) else " "
         self[code] = out
         return out
 
 
 FOLD = _Fold()
+#: Between the folded text and the accent-free forms of its accented words.
+BREAK = "¶"
+_ACCENTED = re.compile(r"[^ ]*[^\x00-\x7f ][^ ]*")
+
+
+def plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
-#: Signs that end a sentence more often than they stand for a letter: only read as letters inside a word.
 def fold(text: str | None) -> str:
-    """Folded words with one space around each; a sign at a word's end is punctuation."""
+    """Folded words with one space around each; a sign at a word's end is punctuation, not a letter."""
     if not text:
         return " "
-    words = [w.rstrip("!|$.,;:?") for w in text.split()]
-    out = " ".join(words).translate(FOLD)
+    out = " ".join([w.rstrip("!|$.,;:?") for w in text.split()]).translate(FOLD)
     return f" {' '.join(out.split())} "
 
 
+def readings(text: str | None) -> str:
+    """The folded text, then the accent-free forms of its accented words, each apart: an accent may be a disguise."""
+    folded = fold(text)
+    if folded.isascii():
+        return folded
+    return f"{folded}{BREAK} {f' {BREAK} '.join(plain(w) for w in _ACCENTED.findall(folded))} "
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    weights: dict[str, float]
-    exceptions: list[str] = field(default_factory=list)
+    weights: dict[str, float]  # of whole words
+    stems: dict[str, float] = field(default_factory=dict)  # of beginnings of words that are no term themselves
+    exceptions: list[str] = field(default_factory=list)  # phrases inside which nothing counts
     edges: list[float] = field(default_factory=list)  # lower ends of the bins of the normalised sum
     rates: list[float] = field(default_factory=list)  # score of each bin
 
@@ -77,28 +91,36 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.automaton = ahocorasick.Automaton()
-        entries = {f" {t} ": (w, len(t) + 2) for t, w in lexicon.weights.items()}
-        for phrase in lexicon.exceptions:
-            entries.setdefault(f" {phrase} ", (None, len(phrase) + 2))
-        for k, v in entries.items():
-            self.automaton.add_word(k, v)
+        entries = {f" {t}": (w, None) for t, w in lexicon.stems.items()}
+        entries |= {f" {t} ": (w, w) for t, w in lexicon.weights.items()}
+        entries |= {f" {t} ": (None, None) for t in lexicon.exceptions}
+        for k, (w, whole) in entries.items():
+            self.automaton.add_word(k, (len(k), w, whole is not None))
         if entries:
             self.automaton.make_automaton()
         self.empty = not entries
 
     def density(self, text: str | None) -> tuple[float, int]:
-        """Sum of weights over the root of the number of words, and the number of terms that count."""
-        folded = fold(text)
-        if self.empty or len(folded) < 3:
+        """Sum of weights over the root of the number of words, and the number of words that count.
+
+        A whole term decides for its word; otherwise the longest stem does.
+        """
+        read = readings(text)
+        if self.empty or len(read) < 3:
             return 0.0, 0
-        found, spared = [], []
-        for end, (weight, size) in self.automaton.iter(folded):
-            (found if weight is not None else spared).append((end - size + 1, end, weight))
+        words: dict[int, tuple[bool, int, float]] = {}
+        spared = []
+        for end, (size, weight, whole) in self.automaton.iter(read):
+            start = end - size + 1
+            if weight is None:
+                spared.append((start, end))
+            else:
+                words[start] = max(words.get(start, (False, 0, 0.0)), (whole, size, weight))
         if spared:
-            found = [f for f in found if not any(s <= f[0] and f[1] <= e for s, e, _ in spared)]
-        if not found:
-            return 0.0, 0
-        return max(0.0, sum(f[2] for f in found)) / (folded.count(" ") - 1) ** 0.5, len(found)
+            words = {s: w for s, w in words.items() if not any(a <= s < b for a, b in spared)}
+        total = sum(w for _, _, w in words.values())
+        n = read.partition(BREAK)[0].count(" ") - 1
+        return max(0.0, total) / max(1, n) ** 0.5, sum(w > 0 for _, _, w in words.values())
 
     def score(self, density: float) -> float:
         if not self.lexicon.rates:
@@ -108,61 +130,71 @@ class Matcher:
 
 def fit(
     rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most_rows: int = 40_000, most_terms: int = 2000,
-    least_texts: int = 5, least_rate: float = 0.8, phrases: list[str] = (),
+    least_texts: int = 5, least_rate: float = 0.8, stem_rate: float = 0.3, phrases: list[str] = (),
 ) -> Lexicon:
     """Learn terms, exceptions and the score table from at most about most_rows labelled rows (drawn by key; whole texts).
 
     A term is a folded word in at least least_texts distinct texts, least_rate or more of them toxic; its
-    weight is the smoothed log odds. An exception is a pair of words that holds a term and occurs in at
+    weight is the smoothed log odds. A stem is a beginning of words, four to eight letters, in three times as
+    many toxic texts and with stem_rate or more toxic; words under a stem are terms with their own weight,
+    negative too, where they are common enough. An exception is a pair of words that holds a term and occurs in at
     least least_texts distinct texts of which fewer than half are toxic; given phrases are added. Rows with
     a null text, label or key teach nothing; without rows the lexicon is empty and every score 0.
     """
     rows = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label"), F.col(f"`{key}`").alias("key")).dropna()
     n = rows.select("label").count()
     if not n:
-        return Lexicon({}, list(phrases))
+        return Lexicon({}, {}, [fold(p).strip() for p in phrases])
     draw = (F.xxhash64("key", F.lit(11)) % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
     sample = rows.where(draw < most_rows / n).select("text", "label")
     # copies of a text count once; only its hash is shuffled
     texts = written(sample.select("text", "label", F.xxhash64("text").alias("h")).dropDuplicates(["h"]), "toxicity-sample")
 
-    def terms(batches):
-        counts: Counter = Counter()
-        totals = [0, 0]
-        for batch in batches:
-            for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                totals[y > 0] += 1
-                counts.update((w, y > 0) for w in set(fold(t).split()))
-        counts[("", True)], counts[("", False)] = totals[1], totals[0]
-        words = list({w for w, _ in counts})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array([counts[(w, True)] for w in words], pa.int64()), pa.array([counts[(w, False)] for w in words], pa.int64())],
-            names=["term", "bad", "good"],
-        )
-
-    found = texts.mapInArrow(terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    def table(each):
+        """Rows (term, bad, good): in how many toxic and other texts of a task each term is; '' counts the texts."""
+
+        def run(batches):
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for batch in batches:
+                for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                    counts[y > 0].update(each(fold(t).split()))
+                    counts[y > 0][""] += 1
+            names = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([counts[1][w] for w in names], pa.int64()), pa.array([counts[0][w] for w in names], pa.int64())],
+                names=["term", "bad", "good"],
+            )
+
+        return texts.mapInArrow(run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+    def beginnings(words):
+        found = set(words)
+        return {*found, *(f"{w[:k]}*" for w in found for k in range(4, min(len(w), 9)))}
+
+    found = written(table(beginnings).where(f"term = '' or bad + good >= {least_texts}"), "toxicity-terms")
     total = found.where("term = ''").first()
     bad, good = (total.bad, total.good) if total else (0, 0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    chosen = found.where((F.col("term") != "") & (F.col("bad") >= least_texts) & (F.col("bad") >= least_rate * (F.col("bad") + F.col("good"))))
-    weights = {r.term: r.w for r in chosen.select("term", odds.alias("w"), "bad").orderBy(F.desc("bad"), "term").limit(most_terms).collect()}
-
-    def pairs(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                w = fold(t).split()
-                counts.update((f"{a} {b}", y > 0) for a, b in {(a, b) for a, b in zip(w, w[1:]) if a in weights or b in weights})
-        words = list({w for w, _ in counts})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array([counts[(w, True)] for w in words], pa.int64()), pa.array([counts[(w, False)] for w in words], pa.int64())],
-            names=["phrase", "bad", "good"],
-        )
-
-    spared = texts.mapInArrow(pairs, "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    spared = spared.where((F.col("bad") + F.col("good") >= least_texts) & (F.col("bad") < F.col("good")))
-    exceptions = [r.phrase for r in spared.orderBy(F.desc("good"), "phrase").limit(most_terms).collect()]
-    lexicon = Lexicon(weights, sorted({*exceptions, *(fold(p).strip() for p in phrases)}))
+    found = found.where("term <> ''").withColumn("w", odds)
+    stem = F.col("term").endswith("*")
+    often = (F.col("bad") >= 3 * least_texts) & (F.col("bad") >= stem_rate * (F.col("bad") + F.col("good")))
+    stems: dict[str, tuple[float, int]] = {}
+    for r in found.where(stem & often).orderBy(F.length("term").desc(), F.desc("bad"), "term").limit(most_terms).collect():
+        if not any(q.startswith(r.term[:-1]) and n >= 0.8 * r.bad for q, (_, n) in stems.items()):
+            stems[r.term[:-1]] = (r.w, r.bad)
+    under = F.lit(False)
+    for size in sorted({len(x) for x in stems}):
+        under = under | F.substring("term", 1, size).isin([x for x in stems if len(x) == size])
+    sure = (F.col("bad") >= least_texts) & (F.col("bad") >= least_rate * (F.col("bad") + F.col("good")))
+    chosen = found.where(~stem & (sure | under)).orderBy(F.abs("w").desc(), "term").limit(most_terms)
+    weights = {r.term: r.w for r in chosen.collect()}
+
+    def pairs(words):
+        return {f"{a} {b}" for a, b in zip(words, words[1:]) if weights.get(a, 0) > 0 or weights.get(b, 0) > 0}
+
+    spared = table(pairs).where((F.col("term") != "") & (F.col("bad") + F.col("good") >= least_texts) & (F.col("bad") < F.col("good")))
+    exceptions = [r.term for r in spared.orderBy(F.desc("good"), "term").limit(most_terms).collect()]
+    lexicon = Lexicon(weights, {k: w for k, (w, _) in stems.items()}, sorted({*exceptions, *(fold(p).strip() for p in phrases)}))
 
     # the share of toxic texts by bins of the density, made monotonic
     edges = [-1.0, 1e-9, *[0.05 * 1.35**i for i in range(24)]]
@@ -187,7 +219,7 @@ def fit(
         else:
             rate = (y + 2 * prior) / (y + n_ + 2)
         rates.append(max(rate, rates[-1]) if rates else rate)
-    return Lexicon(weights, lexicon.exceptions, edges, [min(1.0, max(0.0, r)) for r in rates])
+    return Lexicon(weights, lexicon.stems, lexicon.exceptions, edges, [min(1.0, max(0.0, r)) for r in rates])
 
 
 def toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.3, keep: list[Column] | None = None) -> DataFrame:
