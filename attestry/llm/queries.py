@@ -16,6 +16,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.common import scratch
+    from attestry.llm.warc import page_records, read_archives, write_archives
+
+    path = scratch(spark, "warc")
+    write_archives(page_records(table(spark, sf_dir, "pages")), path)
+    got = read_archives(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    key = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    # a response is measured by the payload read back, a revisit by what its header says of the full payload
+    return got.select(
+        key(F.col("record_id")).alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        "record_type",
+        F.when(F.col("record_type") == "revisit", key(F.col("refers_to"))).alias("refers_to"),
+    )
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+g AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.spm import encode_decode
 
@@ -96,5 +125,5 @@ FROM f
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_toxicity, op7_sentencepiece, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op10_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_toxicity, op6_warc, op7_sentencepiece, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op10_quality_rules": OP10_SQL}
