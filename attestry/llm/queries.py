@@ -87,6 +87,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -125,5 +131,5 @@ FROM f
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_toxicity, op6_warc, op7_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_toxicity, op6_warc, op7_sentencepiece, op8_decontamination, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op10_quality_rules": OP10_SQL}
