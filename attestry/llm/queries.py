@@ -57,6 +57,32 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+texts AS (SELECT t, min(doc_id) AS k, count(*)::BIGINT AS n_copies FROM d GROUP BY t),
+w AS (SELECT k, regexp_extract_all(t, '[^ 	-]+') AS w FROM texts),
+s AS (
+  SELECT DISTINCT k, g FROM (
+    SELECT k, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+pairs AS (
+  SELECT a.k AS u, b.k AS v, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM pairs JOIN n nu ON nu.k = u JOIN n nv ON nv.k = v WHERE 5 * common >= 4 * (nu.n + nv.n - common)),
+reach(u, v) AS (SELECT k, k FROM texts UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+root AS (SELECT u, min(v) AS class_id FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT d.doc_id, root.class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies
+FROM d JOIN texts USING (t) JOIN root ON root.u = texts.k LEFT JOIN degree ON degree.u = texts.k
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.langid import fit, identify
 
@@ -131,5 +157,5 @@ FROM f
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_toxicity, op6_warc, op7_sentencepiece, op8_decontamination, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op10_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op6_warc, op7_sentencepiece, op8_decontamination, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op6_warc": OP6_SQL, "op10_quality_rules": OP10_SQL}
