@@ -66,7 +66,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 texts AS (SELECT t, min(doc_id) AS k, count(*)::BIGINT AS n_copies FROM d GROUP BY t),
-w AS (SELECT k, regexp_extract_all(t, '[^ 	-]+') AS w FROM texts),
+w AS (SELECT k, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM texts),
 s AS (
   SELECT DISTINCT k, g FROM (
     SELECT k, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0))),
@@ -97,12 +98,35 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    learn = labels.where(~held_out).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
-    lexicon = fit(learn)
+    lexicon = fit(docs.select("doc_id", "text"), labels.where(~held_out).select("doc_id", "toxic"))
     got = toxicity(docs, lexicon, keep=[F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")])
     return got.select("doc_id", "held_out", "score", "predicted", "n_terms")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.substring import remove_repeats
+
+    got = remove_repeats(table(spark, sf_dir, "documents"), joined=True, columns=["doc_id"])
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM p WHERE len(w) >= 20)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM again),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM p),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT p.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM p LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.quality import BASE, STANDARD, apply_policy, ledger
 
@@ -157,5 +181,5 @@ FROM f
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op6_warc, op7_sentencepiece, op8_decontamination, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op6_warc": OP6_SQL, "op10_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op6_warc, op7_sentencepiece, op8_decontamination, op9_substring_dedup, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}

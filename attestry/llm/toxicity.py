@@ -129,24 +129,28 @@ class Matcher:
 
 
 def fit(
-    rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most_rows: int = 40_000, most_terms: int = 2000,
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most_rows: int = 12_000, most_terms: int = 2000,
     least_texts: int = 5, least_rate: float = 0.8, stem_rate: float = 0.3, phrases: list[str] = (),
 ) -> Lexicon:
-    """Learn terms, exceptions and the score table from at most about most_rows labelled rows (drawn by key; whole texts).
-
-    A term is a folded word in at least least_texts distinct texts, least_rate or more of them toxic; its
-    weight is the smoothed log odds. A stem is a beginning of words, four to eight letters, in three times as
-    many toxic texts and with stem_rate or more toxic; words under a stem are terms with their own weight,
-    negative too, where they are common enough. An exception is a pair of words that holds a term and occurs in at
-    least least_texts distinct texts of which fewer than half are toxic; given phrases are added. Rows with
-    a null text, label or key teach nothing; without rows the lexicon is empty and every score 0.
+    """Learn terms, exceptions and the score table from about most_rows labelled documents (whole texts).
+
+    The labels (key, label) are drawn by a hash of their key down to that bound and sent to the documents,
+    which are read once and not shuffled. A term is a folded word in at least least_texts distinct texts,
+    least_rate or more of them toxic; its weight is the smoothed log odds. A stem is a beginning of words, four
+    to eight letters, in three times as many toxic texts and with stem_rate or more toxic; words under a stem
+    are terms with their own weight, negative too, where they are common enough. An exception is a pair of words
+    that holds a term and occurs in at least least_texts distinct texts of which fewer than half are toxic;
+    given phrases are added. Rows with a null text, label or key teach nothing; without rows the lexicon is
+    empty and every score 0.
     """
-    rows = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label"), F.col(f"`{key}`").alias("key")).dropna()
-    n = rows.select("label").count()
+    marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).dropna()
+    n = marks.count()
     if not n:
         return Lexicon({}, {}, [fold(p).strip() for p in phrases])
     draw = (F.xxhash64("key", F.lit(11)) % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
-    sample = rows.where(draw < most_rows / n).select("text", "label")
+    # at most about most_rows * 12 bytes: small enough to send to every executor at any size of the corpus
+    drawn = F.broadcast(marks.where(draw < most_rows / n).groupBy("key").agg(F.max("label").alias("label")))
+    sample = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key")).dropna().join(drawn, "key").select("text", "label")
     # copies of a text count once; only its hash is shuffled
     texts = written(sample.select("text", "label", F.xxhash64("text").alias("h")).dropDuplicates(["h"]), "toxicity-sample")
 
