@@ -16,6 +16,34 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.suffix import remove_repeats
+
+    got = remove_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS g
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+early AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+late AS (SELECT doc_id, i FROM win JOIN early USING (g) WHERE doc_id > m),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM late),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked),
+span AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM run GROUP BY doc_id, r),
+piece AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM span),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS z,
+    string_agg(substr(x, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS y
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(y, '') || substr(x, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.common import scratch
     from attestry.llm.warc import page_records, read_archives, write_archives
@@ -181,5 +209,5 @@ FROM f
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op6_warc, op7_sentencepiece, op8_decontamination, op9_substring_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op5_suffix_dedup, op6_warc, op7_sentencepiece, op8_decontamination, op9_substring_dedup, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
