@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows worked on at once in Python.
+ROWS = 256
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8; bytes.split() parts exactly at the six ASCII white-space bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -72,8 +76,9 @@ def map_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):  # what a batch becomes in Python stays small
+                batch = whole.slice(start, ROWS)
                 cols = batch.columns
                 out = f(pa.RecordBatch.from_arrays(cols[n:], names=[str(i) for i in range(len(cols) - n)]))
                 yield pa.RecordBatch.from_arrays(cols[:n] + out, names=labels)

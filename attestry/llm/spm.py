@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from attestry.llm import pieces
 from attestry.llm.common import map_arrow
 
-SEGMENT = re.compile(f"{pieces.SPACE}+[^{pieces.SPACE}]*|[^{pieces.SPACE}]+")
-CACHED = 600_000
+CACHED = 500_000
+#: Cost of a pair that is no piece.
+NEVER = float("inf")
 
 
 class Codec:
@@ -37,6 +38,12 @@ class Codec:
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.rank = {p: (-v.scores[i], i) for p, i in v.ids.items()}
+        self.cost = {p: -v.scores[i] for p, i in v.ids.items()}
+        self.joins = {p[i : i + 2] for p in v.ids for i in range(len(p) - 1)}
+        # words start at a space symbol; a line end is a word of its own if no piece joins it to anything
+        end = "" if any("\n" in p for p in v.ids) else "\n"
+        self.segment = re.compile(f"{pieces.SPACE}+[^{pieces.SPACE}{end}]*|[^{pieces.SPACE}{end}]+" + (f"|{end}+" if end else ""))
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.unused = {i for i, t in enumerate(v.types) if t == pieces.UNUSED}
         self.controls = {i for i, t in enumerate(v.types) if t == pieces.CONTROL}
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -61,7 +68,48 @@ class Codec:
         return piece.replace(pieces.SPACE, " ").encode()
 
     def merge(self, text: str) -> tuple[int, ...]:
-        """Ids of an escaped text."""
+        """Ids of an escaped text: it is cut where no piece joins two characters, the parts are merged and kept."""
+        joins, cuts, low = self.joins, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in joins:
+                cuts.append(text[low:i])
+                low = i
+        if not cuts:
+            return self._merge(text)
+        cuts.append(text[low:])
+        out: list[int] = []
+        for part in cuts:
+            got = self.cache.get(part) or self.parts.get(part)
+            if got is None:
+                got = self.parts[part] = self._merge(part)
+            out += got
+        return tuple(out)
+
+    def _merge(self, text: str) -> tuple[int, ...]:
+        n = len(text)
+        if self.unused or n > 64:
+            return self._merge_long(text)
+        # a short agenda: the costs of adjacent pairs in a list, of which the first least one is merged
+        symbols, cost = list(text), self.cost
+        agenda = [cost.get(text[i : i + 2], NEVER) for i in range(n - 1)]
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            joint = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = cost.get(symbols[i - 1] + joint, NEVER)
+            if i < len(agenda):
+                agenda[i] = cost.get(joint + symbols[i + 1], NEVER)
+        ids = self.vocabulary.ids
+        try:
+            return tuple([ids[x] for x in symbols])
+        except KeyError:
+            out: list[int] = []
+            for x in symbols:
+                self._emit(x, {}, out)
+            return tuple(out)
+
+    def _merge_long(self, text: str) -> tuple[int, ...]:
         symbols = list(text)
         n = len(symbols)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -110,20 +158,23 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text: new words are merged, checked against the library and kept."""
-        words = [SEGMENT.findall(pieces.escaped(t)) if t else [] for t in texts]
+        words = [self.segment.findall(pieces.escaped(t)) if t else [] for t in texts]
         cache = self.cache
         new = list(set(chain.from_iterable(words)).difference(cache))
         for w in new:
             cache[w] = self.merge(w)
         if self.library is not None and new:
-            # the library adds the first symbol itself; a word without one begins a text that has it
-            there = [w for w in new if w[0] == pieces.SPACE]
-            for w, ids in zip(there, self.library.encode([w[1:].replace(pieces.SPACE, " ") or "" for w in there], num_threads=1)):
-                if w != pieces.SPACE and tuple(ids) != cache[w]:
+            # the library adds the first symbol itself, so the words that have it can be compared
+            there = [w for w in new if w[0] == pieces.SPACE and w != pieces.SPACE]
+            for w, ids in zip(there, self.library.encode([w[1:].replace(pieces.SPACE, " ") for w in there], num_threads=1)):
+                if tuple(ids) != cache[w]:
                     raise ValueError(f"the library encodes {w!r} as {ids}, the agenda as {cache[w]}")
+        if len(self.parts) > CACHED // 2:
+            self.parts = {}
         out = [list(chain.from_iterable(map(cache.__getitem__, ws))) for ws in words]
-        if len(cache) > CACHED:
-            self.cache = dict(islice(((w, ids) for w, ids in cache.items() if len(w) <= 48), CACHED // 2))  # frequent words came first
+        if len(cache) > CACHED:  # the words that came first are the frequent ones: they stay
+            for w in new:
+                del cache[w]
         return out
 
     def decode(self, ids: list[int]) -> str:
