@@ -75,18 +75,20 @@ def metric_value(text: Column) -> Column:
     return F.when(F.size(values) == 1, F.element_at(values, 1))
 
 
-def period_key(text: Column) -> Column:
-    """year|fiscal or year|calendar of a sentence with exactly one year and one basis and no part of a year."""
-    t = conflict_text(text)
+def period_key(text: Column, normal: bool = False) -> Column:
+    """year|fiscal or year|calendar of a sentence with exactly one year and one basis and no part of a year.
+
+    normal: the text is in conflict form already."""
+    t = text if normal else conflict_text(text)
     years = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0)))
     fiscal, calendar = t.rlike(FISCAL), t.rlike(CALENDAR)
     ok = ~t.rlike(SUB_ANNUAL) & (F.size(years) == 1) & (fiscal != calendar)
     return F.when(ok, F.concat(F.element_at(years, 1), F.lit("|"), F.when(fiscal, "fiscal").otherwise("calendar")))
 
 
-def value_nature(text: Column) -> Column:
+def value_nature(text: Column, normal: bool = False) -> Column:
     """published, estimated or unknown; denied, disputed, both and neither are unknown."""
-    t = conflict_text(text)
+    t = text if normal else conflict_text(text)
     denied = F.lit(False)
     for pattern in DENIED:
         denied = denied | t.rlike(pattern)

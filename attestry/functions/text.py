@@ -33,7 +33,24 @@ def _form(name: str, strip_marks: bool):
     return normal
 
 
-_NFKC, _NFKD_BARE, _NFD_BARE = _form("NFKC", False), _form("NFKD", True), _form("NFD", True)
+_NFKC = _form("NFKC", False)
+
+
+def _bare_letters(form: str) -> tuple[str, str]:
+    """Characters that decompose to one character and marks, and what is left of them: a rule, for translate()."""
+    source, target = [], []
+    for code in [*range(0x80, 0x2100), *range(0xFF01, 0xFF5F)]:
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.category(x).startswith("M"))
+        if len(bare) == 1 and bare != c:
+            source.append(c)
+            target.append(bare)
+    return "".join(source), "".join(target)
+
+
+_BARE = {form: _bare_letters(form) for form in ("NFKD", "NFD")}
+#: Compatibility characters that stand for several letters.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "...", "™": "TM"}
 
 
 def _unless_ascii(c: Column, f) -> Column:
@@ -44,9 +61,13 @@ def nfkc(c: Column) -> Column:
     return _unless_ascii(c, _NFKC)
 
 
-def without_marks(c: Column) -> Column:
-    """NFKD without combining marks."""
-    return _unless_ascii(c, _NFKD_BARE)
+def without_marks(c: Column, form: str = "NFKD") -> Column:
+    """Decomposed text without combining marks, in JVM functions only."""
+    x = F.translate(c, *_BARE[form])
+    if form == "NFKD":
+        for k, v in LIGATURES.items():
+            x = F.replace(x, F.lit(k), F.lit(v))
+    return F.regexp_replace(x, r"\p{M}+", "")
 
 
 def visible_text(c: Column) -> Column:
@@ -73,9 +94,14 @@ def conflict_text(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(without_marks(F.coalesce(c, F.lit(""))), f"{SPACE}+", " ")))
 
 
+def plain_key(c: Column) -> Column:
+    """Lower case, one space for any run, trimmed; empty for null."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", " ")))
+
+
 def context_tokens(c: Column) -> Column:
     """Words of letters and digits, lower case, marks dropped."""
-    return F.regexp_extract_all(F.lower(_unless_ascii(visible_text(c), _NFD_BARE)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(without_marks(visible_text(c), "NFD")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def sequence_starts(hay: Column, needle: Column) -> Column:
