@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the mechanical form: characters read as the one they are set against.
 QUOTES = {"«»“”„‟": '"', "ʼ‘’‚‛‹›": "'", "‐‑‒–—―": "-"}
@@ -20,7 +21,7 @@ NAVIGATION = r"(?i)\b(accueil|about|contact|home|menu|navigation|privacy|mention
 
 
 def _form(name: str, strip_marks: bool):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normal(s: pd.Series) -> pd.Series:
         def one(x):
             if x is None:
@@ -106,9 +107,14 @@ def context_tokens(c: Column) -> Column:
 
 def sequence_starts(hay: Column, needle: Column) -> Column:
     """0-based starts of one token list inside another; none for an empty one."""
-    last = F.size(hay) - F.size(needle)
-    all_ = F.when((last >= 0) & (F.size(needle) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(all_, lambda i: F.slice(hay, i + 1, F.size(needle)) == needle)
+    # bound once as lambda variables: what stands inside a lambda is computed for each element
+
+    def starts(h: Column) -> Column:
+        last = F.size(h) - F.size(needle)
+        all_ = F.when((last >= 0) & (F.size(needle) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.filter(all_, lambda i: F.slice(h, i + 1, F.size(needle)) == needle)
+
+    return F.element_at(F.transform(F.array(hay), starts), 1)
 
 
 def masked(c: Column) -> Column:

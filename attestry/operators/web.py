@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions import urls as u
 
@@ -68,7 +69,7 @@ def resolve_redirects(start: DataFrame, edges: DataFrame) -> DataFrame:
     return d.withColumn("final_url", F.when(done, F.col("__at"))).withColumn("hops", F.when(done, F.col("hops"))).drop("__at", "__seen")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _packed(address: pd.Series) -> pd.Series:
     """An address as sortable text: family and fixed-width hex; null if it is none."""
 
