@@ -9,6 +9,7 @@ to documents and positions. Chunks are numbered by task and order, so a task tha
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,10 +17,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from attestry.llm.common import written
 
 PACKED = "bucket long, chunk long, kind int, body binary, extra binary"
 ANSWERS = "chunk long, kind int, body binary"
-ENTRIES, DIRECTORY, FOUND = 0, 1, 2
+ENTRIES, DIRECTORY, FOUND, NARROW = 0, 1, 2, 3
 
 
 class Chunk:
@@ -67,8 +71,10 @@ def packed(docs: DataFrame, each: Callable, close: Callable, bits: int, per_chun
                 bucket, at, arrays = bucket[order], at[order], [a[order] for a in arrays]
                 edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
                 for a, b in zip(edges[:-1], edges[1:]):
-                    gaps = np.diff(at[a:b], prepend=0).astype(np.int32)
-                    out.append((int(bucket[a]), name, ENTRIES, gaps.tobytes(), b"".join(x[a:b].tobytes() for x in arrays)))
+                    gaps = np.diff(at[a:b], prepend=0)
+                    narrow = gaps.max() < 1 << 16
+                    body = gaps.astype(np.uint16 if narrow else np.uint32).tobytes()
+                    out.append((int(bucket[a]), name, NARROW if narrow else ENTRIES, body, b"".join(x[a:b].tobytes() for x in arrays)))
             if len(at) or len(decided):
                 head, done = chunk.directory(decided)
                 out.append((-1 - name, name, DIRECTORY, head, done))
@@ -106,7 +112,7 @@ def answered(rows: DataFrame, decide: Callable, kinds: list[type]) -> DataFrame:
         if pdf["kind"].iloc[0] == DIRECTORY:
             body = [len(a).to_bytes(8, "little") + a + b for a, b in zip(pdf["body"], pdf["extra"])]
             return pd.DataFrame({"chunk": pdf["chunk"], "kind": DIRECTORY, "body": body})
-        gaps = [np.frombuffer(b, np.int32) for b in pdf["body"]]
+        gaps = [np.frombuffer(b, np.uint16 if kind == NARROW else np.uint32) for b, kind in zip(pdf["body"], pdf["kind"])]
         sizes = [len(g) for g in gaps]
         arrays: list[list] = [[] for _ in kinds]
         for extra, n in zip(pdf["extra"], sizes):
@@ -143,6 +149,23 @@ def answered(rows: DataFrame, decide: Callable, kinds: list[type]) -> DataFrame:
     return got.groupBy("chunk").applyInPandas(back, "k long, th long, at binary")
 
 
+def tidy(spark) -> None:
+    """Let Spark drop the shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def copies(docs: DataFrame, name: str) -> DataFrame:
+    """(k, th): documents (k, th, t) whose text a smaller key has too; written, as several joins read it."""
+    d = docs.select("k", "th", F.xxhash64(F.lit(1), F.coalesce("t", F.lit(""))).alias("th2"))
+    groups = d.groupBy("th", "th2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("th", "th2", "first")
+    return written(d.join(groups, ["th", "th2"]).where("k > first").select("k", "th").distinct(), name)
+
+
+#: Runs that reach past any text: all of it.
+ALL = np.array([[0, 2**31 - 1]], np.uint32).tobytes()
+
+
 def runs(at: np.ndarray) -> bytes:
     """Sorted positions as runs [start, end), in bytes."""
     if not len(at):

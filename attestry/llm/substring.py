@@ -20,8 +20,8 @@ from attestry.llm.common import bits_for, map_arrow, text_bytes, written
 from attestry.llm.wordhash import spans, windows, word_hashes
 
 
-def repeated_windows(docs: DataFrame, window: int, block: int, per_chunk: int, per_bucket: int) -> DataFrame:
-    """(k, th, at): runs of starts of windows that also start earlier. docs: k (not null), th, t."""
+def repeated_windows(docs: DataFrame, whole: DataFrame, window: int, block: int, per_chunk: int, per_bucket: int) -> DataFrame:
+    """(k, th, at): runs of starts of windows that also start earlier. docs: k (not null), th, t; whole: copies of smaller keys."""
     n_words = max(1, text_bytes(docs, "t") // 6)
 
     def probes(t: str | None):
@@ -50,9 +50,11 @@ def repeated_windows(docs: DataFrame, window: int, block: int, per_chunk: int, p
         indexed = np.bincount(group, arrays[0] & np.uint32(1)) > 0
         return (n > 1)[group] & indexed[group]
 
-    rows = blocks.packed(docs.select("k", "th", "t"), probes, shared, bits_for(n_words, per_bucket, 5, 20), per_chunk)
-    hits = written(blocks.answered(rows, hit, [np.uint32]), "substring-hits")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of what nothing refers to
+    packed = blocks.packed(docs.select("k", "th", "t"), probes, shared, bits_for(n_words, per_bucket, 5, 20), per_chunk)
+    hits = written(blocks.answered(packed, hit, [np.uint32]), "substring-hits")
+    del packed
+    blocks.tidy(docs.sparkSession)
+    hits = hits.join(whole, ["k", "th"], "left_anti")  # copies are settled
 
     near = window - block
 
@@ -76,7 +78,8 @@ def repeated_windows(docs: DataFrame, window: int, block: int, per_chunk: int, p
         # of equal windows with the same key and place (a row given twice) one entry is enough, but both need the answer
         keep = np.flatnonzero(~later)
         keep = keep[np.argsort(at[keep], kind="stable")]
-        return at[keep], two[keep], [one[keep], two[keep], key[keep], place[keep].astype(np.uint32)], at[later]
+        rest = (two[keep] << np.uint64(20) >> np.uint64(32)).astype(np.uint32)  # beside the bucket's bits: over 100 bits in all
+        return at[keep], two[keep], [one[keep], rest, key[keep], place[keep].astype(np.uint32)], at[later]
 
     def after(arrays, own):
         one, two, key, place = arrays
@@ -85,7 +88,7 @@ def repeated_windows(docs: DataFrame, window: int, block: int, per_chunk: int, p
     found = docs.select("k", "th", "t").join(hits, ["k", "th"]).select("k", "th", "t", "at")
     bits = bits_for(n_words // 4, per_bucket, 5, 20)
     again = blocks.packed(found, candidates, earliest, bits, per_chunk)
-    return blocks.answered(again, after, [np.uint64, np.uint64, np.int64, np.uint32])
+    return blocks.answered(again, after, [np.uint64, np.uint32, np.int64, np.uint32])
 
 
 def _later(values: list[np.ndarray], key: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -123,7 +126,9 @@ def remove_repeats(
     extra = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(others)]
     d = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"), F.col(f"`{text}`").alias("t"), *extra)
     known = d.where("k is not null")
-    starts = repeated_windows(known.select("k", "th", "t"), window, block, per_chunk, per_bucket)
+    whole = blocks.copies(known.select("k", "th", "t"), "substring-copies")
+    starts = repeated_windows(known.select("k", "th", "t"), whole, window, block, per_chunk, per_bucket)
+    starts = starts.unionAll(whole.select("k", "th", F.lit(blocks.ALL).alias("at")))
     have = known.join(starts, ["k", "th"], "left").unionByName(d.where("k is null").withColumn("at", F.lit(None).cast("binary")))
     names = {key: F.col("k").cast(docs.schema[key].dataType), text: F.col("t")} | {c: F.col(f"x{i}") for i, c in enumerate(others)}
 
@@ -132,7 +137,7 @@ def remove_repeats(
             n_words, n_removed, ranges, kept = [], [], [], []
             for t, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                if not at:
+                if not at or len(raw) < 2 * window - 1 or len(spans(raw)[0]) < window:
                     words = raw.split()
                     n_words.append(len(words))
                     n_removed.append(0)
@@ -140,7 +145,7 @@ def remove_repeats(
                     kept.append(b" ".join(words).decode("utf-8", "replace") if joined else t or "")
                     continue
                 s, e = spans(raw)
-                gone = blocks.mask(blocks.spread(at), len(s), after=window - 1)
+                gone = blocks.mask(np.minimum(blocks.spread(at), len(s) - window + 1), len(s), after=window - 1)
                 cut = blocks.spread(blocks.runs(np.flatnonzero(gone)))
                 n_words.append(len(s))
                 n_removed.append(int(gone.sum()))
