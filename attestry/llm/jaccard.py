@@ -96,10 +96,11 @@ def _linked(sets: list[np.ndarray], share: Fraction) -> np.ndarray:
         shared = n[at] > 1
         own, at = own[shared], (np.cumsum(n > 1) - 1)[at[shared]]
         inter = np.zeros((m, m), np.float32)
-        step = max(256, (16 << 20) // m)  # a slice of the n-grams at a time
+        n_shared = int((n > 1).sum())
+        step = max(1, min(n_shared, max(256, (16 << 20) // m)))  # a slice of the n-grams at a time
         order = np.argsort(at, kind="stable")
         own, at = own[order], at[order]
-        for low in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+        for low in range(0, n_shared, step):
             a, b = np.searchsorted(at, [low, low + step])
             x = np.zeros((m, step), np.float32)
             x[own[a:b], at[a:b] - low] = 1
