@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import numbers as num
 from attestry.operators import metrics as m
 from attestry.plans.fixtures import METRIC_FACTS, plain, sql
+from attestry.sources.tables import settled
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,8 @@ N5 = PAIRS + " SELECT left_id, right_id, relationship FROM pairs"
 
 
 def _independent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    f = _facts(spark, sf_dir)
+    # the signatures are read by the pairs and by the groups: they are parsed once
+    f = settled(m.metric_signature(_facts(spark, sf_dir)), "metric-facts")
     return f, m.independent_pairs(m.compare_metrics(f), f.select("fact_id", "url", "digest"))
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _name in ("urls_plan", "metrics_plan", "text_plan", "facts_plan"):
+for _name in ("urls_plan", "metrics_plan", "text_plan", "facts_plan", "ledger_plan"):
     _module = importlib.import_module(f"attestry.plans.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["u1_admit_urls"](spark, sf_dir)
+    return QUERIES["j2_search_excerpts"](spark, sf_dir)

@@ -1 +1 @@
-
+"""Tables of the engine on shared storage."""
