@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows worked on at once in Python.
-ROWS = 256
+#: Rows worked on at once in Python, and sent to it at once.
+ROWS, ARROW_ROWS = 256, 1024
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,8 +68,14 @@ def map_arrow(
     """
     keep = [F.col(f"`{c}`") for c in df.columns] if keep is None else keep
     names = [f.name for f in df.select(*keep).schema]
-    kept = df.select(*[c.alias(f"__k{i}") for i, c in enumerate(keep)], *[c.alias(f"__i{i}") for i, c in enumerate(inputs)])
-    n = len(keep)
+    # an input that is carried anyway is sent to Python once
+    carried = {str(c): i for i, c in enumerate(keep)}
+    own = [c for c in inputs if str(c) not in carried]
+    kept = df.select(*[c.alias(f"__k{i}") for i, c in enumerate(keep)], *[c.alias(f"__i{i}") for i, c in enumerate(own)])
+    n, spark = len(keep), df.sparkSession
+    places = [carried[str(c)] if str(c) in carried else n + [str(x) for x in own].index(str(c)) for c in inputs]
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     fields = [T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(kept.schema.fields[:n])]
     schema = T.StructType(fields + [T.StructField(f"__o{i}", f.dataType) for i, f in enumerate(outputs)])
     labels = schema.names
@@ -80,7 +86,7 @@ def map_arrow(
             for start in range(0, whole.num_rows, ROWS):  # what a batch becomes in Python stays small
                 batch = whole.slice(start, ROWS)
                 cols = batch.columns
-                out = f(pa.RecordBatch.from_arrays(cols[n:], names=[str(i) for i in range(len(cols) - n)]))
+                out = f(pa.RecordBatch.from_arrays([cols[p] for p in places], names=[str(i) for i in range(len(places))]))
                 yield pa.RecordBatch.from_arrays(cols[:n] + out, names=labels)
 
     out = kept.mapInArrow(run, schema)

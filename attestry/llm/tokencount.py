@@ -25,7 +25,7 @@ from attestry.llm.common import map_arrow
 SEGMENT = re.compile(f"{pieces.SPACE}+[^{pieces.SPACE}]*|[^{pieces.SPACE}]+")
 #: Fixed value of the unigram tokenizer: how far an unknown character lies below the lowest score.
 UNKNOWN_PENALTY = 10.0
-CACHED = 600_000
+CACHED = 400_000
 
 
 class Counter:
