@@ -184,7 +184,7 @@ def near_duplicates(
     """
     spark, share = docs.sparkSession, Fraction(threshold)
     runs = runs or runs_for(float(share), recall, depth)
-    d = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    d = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     named = d.where("k is not null")
     equal = [F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2")]
 

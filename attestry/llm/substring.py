@@ -162,4 +162,4 @@ def remove_repeats(
 
     pair = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     out = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(pair)), T.StructField("kept", T.StringType())])
-    return map_arrow(have, [F.col("t"), F.col("at")], make, out, [names[c].alias(c) for c in columns])
+    return map_arrow(have, [F.col("t"), F.col("at")], make, out, [names[c] for c in columns]).toDF(*columns, *out.names)
