@@ -90,8 +90,29 @@ def sort_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def repeated_strings(docs: DataFrame, length: int, per_chunk: int, per_bucket: int, per_partition: int) -> DataFrame:
-    """(k, th, at): runs of starts of strings that also start in a smaller key. docs: k (not null), th, t; equal texts once."""
+def splitters(docs: DataFrame, half: int, parts: int, texts: int = 2000) -> list[bytes]:
+    """parts - 1 leads that cut the leads of about `texts` hash-drawn documents (at most one in 32 of theirs) evenly; results do not depend on them."""
+    n = docs.select("k").count()
+    drawn = docs.where((F.xxhash64("k", F.lit(5)) % 1_000_000 + 1_000_000) % 1_000_000 < F.lit(1_000_000 * texts / max(1, n))).select("t")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes] = []
+            for t in batch.column(0).to_pylist():
+                raw = (t or "").encode("utf-8", "surrogatepass")
+                if len(raw) > half:
+                    p = anchors(raw, half)[0]
+                    p = p[p + half <= len(raw)]
+                    p = p[leading(raw, p, half) % np.uint64(32) == 0]
+                    out.extend(raw[x : x + half] for x in p[: 10_000].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["lead"])
+
+    leads = sorted({bytes(r.lead) for r in drawn.mapInArrow(some, "lead binary").collect()})
+    return sorted({leads[len(leads) * i // parts] for i in range(1, parts)}) if len(leads) >= parts else leads
+
+
+def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk: int, per_bucket: int, per_partition: int) -> DataFrame:
+    """(k, th, at): runs of starts of strings that also start in a smaller key. docs: k (not null), th, t; whole: copies of smaller keys."""
     half = length // 2
     n_bytes = max(1, text_bytes(docs, "t"))
 
@@ -132,37 +153,54 @@ def repeated_strings(docs: DataFrame, length: int, per_chunk: int, per_bucket: i
         out[order] = mixed[np.cumsum(new) - 1]
         return out
 
-    rows = blocks.packed(docs.select("k", "th", "t"), prints, shared, bits_for(n_bytes // 6, per_bucket, 5, 20), per_chunk)
-    hits = written(blocks.answered(rows, hit, [np.uint32]), "suffix-hits")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of what nothing refers to
+    packed = blocks.packed(docs.select("k", "th", "t"), prints, shared, bits_for(n_bytes // 6, per_bucket, 5, 20), per_chunk)
+    hits = written(blocks.answered(packed, hit, [np.uint32]), "suffix-hits")
+    del packed
+    blocks.tidy(docs.sparkSession)
+    hits = hits.join(whole, ["k", "th"], "left_anti")  # copies are settled
 
-    schema = "lead binary, body binary, low int, high int, k long, th long, place int"
+    cuts = splitters(docs, half, max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // per_partition)))
+    cut_bytes = np.array(cuts, dtype=f"S{half}")
+    schema = "part int, body binary, low short, high short, k long, tag short, place int"
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One record for each anchor found: length bytes before and after it, as far as the text goes."""
-        for whole in batches:
-            for a in range(0, whole.num_rows, 128):
-                batch = whole.slice(a, 128)
-                cols: list[list] = [[] for _ in range(7)]
+        """One record for each anchor found: the bytes of all its strings, as far as the text goes."""
+        for whole_ in batches:
+            for a in range(0, whole_.num_rows, 128):
+                batch = whole_.slice(a, 128)
+                parts: list[tuple] = []
+                data: list[np.ndarray] = []
                 for k, th, t, at in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                     raw = (t or "").encode("utf-8", "surrogatepass")
                     places, reach = anchors(raw, half)
-                    found = blocks.mask(blocks.spread(at), len(raw))
-                    for p, r in zip(places[found[places]].tolist(), reach[found[places]].tolist()):
-                        # strings that begin p - high .. p - low and end inside the text
-                        high, low = (half, half) if r < 0 else (r, 1)
-                        low = max(low, p + length - len(raw))
-                        if low <= high:
-                            body = raw[p - high : p + length - low]
-                            for col, x in zip(cols, (raw[p : p + half], body, low, high, k, th, p)):
-                                col.append(x)
-                if cols[0]:
-                    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["lead", "body", "low", "high", "k", "th", "place"])
+                    use = blocks.mask(blocks.spread(at), len(raw))[places]
+                    # a string can repeat only if all anchors in its first half do: the next one that does not bounds it
+                    bar = np.minimum.accumulate(np.where(use, len(raw) + length, places)[::-1])[::-1]
+                    p, r, bar = places[use], reach[use], bar[use]
+                    # strings that begin p - high .. p - low and end inside the text
+                    high, low = np.where(r < 0, half, r), np.where(r < 0, half, 1)
+                    low = np.maximum(np.maximum(low, p + length - len(raw)), p + half - bar + 1)
+                    p, low, high = p[low <= high], low[low <= high], high[low <= high]
+                    if len(p):
+                        size = high + length - low
+                        ends = np.cumsum(size)
+                        data.append(np.frombuffer(raw, np.uint8)[np.repeat(p - high - ends + size, size) + np.arange(ends[-1])])
+                        lead = np.frombuffer(raw, np.uint8)[p[:, None] + np.arange(half)]
+                        part = np.searchsorted(cut_bytes, lead.view(f"S{half}").ravel(), side="right")
+                        parts.append((size, low, high, np.full(len(p), k), np.full(len(p), th), p, part))
+                if parts:
+                    size, low, high, k, th, p, part = (np.concatenate(x) for x in zip(*parts))
+                    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                    body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(data))])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part.astype(np.int32)), body, pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), pa.array(k.astype(np.int64)),
+                         pa.array((th & 0x7FFF).astype(np.int16)), pa.array(p.astype(np.int32))],
+                        names=["part", "body", "low", "high", "k", "tag", "place"])
 
     found = docs.select("k", "th", "t").join(hits, ["k", "th"]).select("k", "th", "t", "at").mapInArrow(records, schema)
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // per_partition))
-    placed = found.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    # the part number in front: a task that gets two parts sorts one after the other
+    lead = F.expr(f"substring(body, high + 1, {half})")
+    placed = found.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", lead)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches of whole groups of one lead; a group goes on while its lead does."""
@@ -175,11 +213,8 @@ def repeated_strings(docs: DataFrame, length: int, per_chunk: int, per_bucket: i
             rows_ += batch.num_rows
             if rows_ >= 60_000:
                 table = pa.Table.from_batches(held).combine_chunks()
-                lead = table.column("lead")
-                last = lead[-1].as_py()
-                keep = rows_
-                while keep and lead[keep - 1].as_py() == last:
-                    keep -= 1
+                codes = leads(table)
+                keep = int(np.searchsorted(codes, codes[-1]))
                 if keep:
                     yield from compare(table.slice(0, keep))
                     held = table.slice(keep).to_batches()
@@ -189,17 +224,26 @@ def repeated_strings(docs: DataFrame, length: int, per_chunk: int, per_bucket: i
 
     width = -(-length // 8)
 
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def content(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes of the bodies, and where each body starts."""
         body = table.column("body").combine_chunks()
         body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
         offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
-        data = np.frombuffer(body.buffers()[2], np.uint8)
-        low, high, k, th, place = (np.asarray(table.column(c)) for c in ("low", "high", "k", "th", "place"))
-        count = (high - low + 1).astype(np.int64)
-        # windows of records with a lead of their own have no equal: only those that share a lead in two documents
-        lead = table.column("lead").combine_chunks()
-        lead = lead.chunk(0) if isinstance(lead, pa.ChunkedArray) else lead
-        codes = np.asarray(lead.dictionary_encode().indices)
+        return np.frombuffer(body.buffers()[2], np.uint8), offsets
+
+    def leads(table: pa.Table) -> np.ndarray:
+        """Number of each record's lead along the sorted table."""
+        data, offsets = content(table)
+        at = offsets[:-1] + np.asarray(table.column("high"))
+        lead = data[at[:, None] + np.arange(half)]
+        return np.concatenate(([0], np.cumsum((lead[1:] != lead[:-1]).any(axis=1))))
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        data, offsets = content(table)
+        low, high, k, th, place = (np.asarray(table.column(c)).astype(np.int64) for c in ("low", "high", "k", "tag", "place"))
+        count = high - low + 1
+        # strings of records with a lead of their own have no equal: only those that share a lead in two documents
+        codes = leads(table)
         lowest, highest = np.full(codes.max() + 1, np.iinfo(np.int64).max), np.full(codes.max() + 1, np.iinfo(np.int64).min)
         np.minimum.at(lowest, codes, k)
         np.maximum.at(highest, codes, k)
@@ -236,10 +280,12 @@ def repeated_strings(docs: DataFrame, length: int, per_chunk: int, per_bucket: i
             ks, ts, ps = ks[order], ts[order], ps[order]
             cut = np.concatenate(([0], np.flatnonzero((np.diff(ks) != 0) | (np.diff(ts) != 0)) + 1, [len(ks)]))
             out = [(ks[x], ts[x], blocks.runs(ps[x:y])) for x, y in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k", "th", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k", "tag", "at"])
 
-    late = placed.mapInArrow(sweep, "k long, th long, at binary")
-    return late.groupBy("k", "th").agg(F.array_join(F.collect_list(F.hex("at")), "").alias("at")).select("k", "th", F.unhex("at").alias("at"))
+    late = placed.mapInArrow(sweep, "k long, tag long, at binary")
+    runs = late.groupBy("k", "tag").agg(F.array_join(F.collect_list(F.hex("at")), "").alias("at")).select("k", "tag", F.unhex("at").alias("at"))
+    # the tag is the low bits of the text hash; the hash itself comes from the small table of documents with hits
+    return runs.join(hits.select("k", "th", F.col("th").bitwiseAND(F.lit(0x7FFF).cast("long")).alias("tag")), ["k", "tag"]).select("k", "th", "at")
 
 
 def remove_repeats(
@@ -260,14 +306,9 @@ def remove_repeats(
     d = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(plain).alias("th"), F.col(f"`{text}`").alias("t"), *extra)
     known = d.where("k is not null")
     # exact copies: all of a copy is a repeat of the smallest key; only that one is compared with other texts
-    other_hash = F.xxhash64(F.lit(1), F.coalesce("t", F.lit("")))
-    copies = known.select("k", "th", other_hash.alias("th2")).groupBy("th", "th2").agg(F.min("k").alias("first"), F.max("k").alias("k2")).where("first <> k2").select("th", "th2", "first")
-    copies = written(copies, "suffix-copies")
-    whole = known.select("k", "th", other_hash.alias("th2")).join(copies, ["th", "th2"]).where("k > first").select("k", "th").distinct()
-    whole = written(whole, "suffix-whole")
-    once = known.select("k", "th", "t").join(whole, ["k", "th"], "left_anti")
-    starts = repeated_strings(once, length, per_chunk, per_bucket, per_partition)
-    marks = starts.unionAll(whole.select("k", "th", F.lit(b"\x00\x00\x00\x00\xff\xff\xff\x7f").alias("at")))
+    whole = blocks.copies(known.select("k", "th", "t"), "suffix-copies")
+    starts = repeated_strings(known.select("k", "th", "t"), whole, length, per_chunk, per_bucket, per_partition)
+    marks = starts.unionAll(whole.select("k", "th", F.lit(blocks.ALL).alias("at")))
     have = known.join(marks, ["k", "th"], "left").unionByName(d.where("k is null").withColumn("at", F.lit(None).cast("binary")))
     names = {key: F.col("k").cast(docs.schema[key].dataType), text: F.col("t")} | {c: F.col(f"x{i}") for i, c in enumerate(others)}
 
@@ -297,4 +338,4 @@ def remove_repeats(
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
         T.StructField("spans", T.ArrayType(pair)), T.StructField("kept", T.BinaryType()),
     ])
-    return map_arrow(have, [F.col("t"), F.col("at")], make, out, [names[c].alias(c) for c in columns])
+    return map_arrow(have, [F.col("t"), F.col("at")], make, out, [names[c] for c in columns]).toDF(*columns, *out.names)
