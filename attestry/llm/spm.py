@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from attestry.llm import pieces
 from attestry.llm.common import map_arrow
 
-CACHED = 250_000
+CACHED = 350_000
 #: Cost of a pair that is no piece.
 NEVER = float("inf")
 
