@@ -10,6 +10,10 @@ the anchor (see blocks); exact copies of documents are settled before, by their
 Sampled splitters range-partition the records by their leading half bytes, so what begins alike is in one
 partition and no group spans a boundary; a partition then sorts its strings by a multikey quicksort (eight
 bytes are one key character) and compares neighbours byte for byte.
+
+A hot lead (one that drawn documents show in more than `hot` records) does not go there. Its strings are combined
+by map task, in which all but the smallest key of a string are decided, and dealt by the hash of the whole string, so
+a hot string has one entry a chunk; they are compared in a pass that carries one string and its least key.
 """
 
 from __future__ import annotations
@@ -111,7 +115,46 @@ def splitters(docs: DataFrame, half: int, parts: int, texts: int = 2000) -> list
     return sorted({leads[len(leads) * i // parts] for i in range(1, parts)}) if len(leads) >= parts else leads
 
 
-def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk: int, per_bucket: int, per_partition: int) -> DataFrame:
+def hot_leads(docs: DataFrame, half: int, hot: int, texts: int = 8000) -> np.ndarray:
+    """Sorted hashes of the leads of about `hot` records or more, by `texts` hash-drawn documents (one in 1,000 if that is more)."""
+    n = docs.select("k").count()
+    share = min(1.0, max(texts / max(1, n), 0.001))
+    drawn = docs.where((F.xxhash64("k", F.lit(6)) % 1_000_000 + 1_000_000) % 1_000_000 < F.lit(1_000_000 * share)).select("t")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def total(parts: list[np.ndarray]) -> pa.RecordBatch:
+            value, count = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["h", "n"])
+
+        parts, size = [], 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                raw = (t or "").encode("utf-8", "surrogatepass")
+                if len(raw) < 2 * half:
+                    continue
+                p = anchors(raw, half)[0]
+                parts.append(leading(raw, p[p + half <= len(raw)], half))
+                size += len(parts[-1])
+                if size >= 2_000_000:
+                    yield total(parts)
+                    parts, size = [], 0
+        if parts:
+            yield total(parts)
+
+    least = max(2, round(hot * share))
+    rows = drawn.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").collect()
+    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+
+
+def listed(k: np.ndarray, tag: np.ndarray, place: np.ndarray) -> list[tuple]:
+    """(key, tag, runs of places) of each document."""
+    order = np.lexsort((place, tag, k))
+    k, tag, place = k[order], tag[order], place[order]
+    cut = np.concatenate(([0], np.flatnonzero((np.diff(k) != 0) | (np.diff(tag) != 0)) + 1, [len(k)]))
+    return [(k[x], tag[x], blocks.runs(place[x:y])) for x, y in zip(cut[:-1], cut[1:])] if len(k) else []
+
+
+def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk: int, per_bucket: int, per_partition: int, hot: int) -> DataFrame:
     """(k, th, at): runs of starts of strings that also start in a smaller key. docs: k (not null), th, t; whole: copies of smaller keys."""
     half = length // 2
     n_bytes = max(1, text_bytes(docs, "t"))
@@ -161,10 +204,50 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
 
     cuts = splitters(docs, half, max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // per_partition)))
     cut_bytes = np.array(cuts, dtype=f"S{half}")
+    width = -(-length // 8)
+    often = hot_leads(docs, half, hot)
+    # parts by number: ranges of leads, then strings of hot leads by hash, then places decided by map tasks
+    base = len(cuts) + 1
     schema = "part int, body binary, low short, high short, k long, tag short, place int"
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One record for each anchor found: the bytes of all its strings, as far as the text goes."""
+        """One record for each anchor found: the bytes of all its strings, as far as the text goes; strings one by one for hot leads."""
+        held: list[tuple] = []
+        n_held = 0
+
+        def rows(part, bodies, edge: int, k, tag, place) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), bodies, pa.array(np.full(len(k), edge, np.int16)), pa.array(np.full(len(k), edge, np.int16)), pa.array(k, pa.int64()),
+                 pa.array(tag.astype(np.int16)), pa.array(place.astype(np.int32))],
+                names=["part", "body", "low", "high", "k", "tag", "place"])
+
+        def combined(strings, k, tag, place) -> Iterator[pa.RecordBatch]:
+            """Strings of hot leads: the smallest key's go on, the others' places are decided."""
+            keys = np.zeros((len(k), width * 8), np.uint8)
+            keys[:, :length] = strings
+            keys = keys.view(">u8").astype(np.uint64)
+            order, group = sort_groups(keys)
+            start = np.flatnonzero(np.concatenate(([True], np.diff(group) != 0)))
+            late = k[order] > np.minimum.reduceat(k[order], start)[group]
+            done = listed(k[order[late]], tag[order[late]], place[order[late]])
+            for a in range(0, len(done), 10_000):
+                ks, ts, runs = zip(*done[a : a + 10_000])
+                ks = np.array(ks, np.int64)
+                yield rows((2 * base + ks % base).astype(np.int32), pa.array(runs, pa.binary()), -2, ks, np.array(ts), np.zeros(len(ks)))
+            order, group = order[~late], group[~late]
+            again = np.lexsort((place[order], tag[order], group))
+            order, group = order[again], group[again]
+            new = np.concatenate(([True], (np.diff(group) != 0) | (np.diff(tag[order]) != 0) | (np.diff(place[order]) != 0)))  # a row may be repeated
+            order = order[new]
+            value = np.zeros(len(order), np.uint64)
+            for c in range(width):
+                value = mix(value * np.uint64(_BASE) + keys[order, c])
+            for a in range(0, len(order), 10_000):
+                o = order[a : a + 10_000]
+                offsets = np.arange(len(o) + 1, dtype=np.int32) * np.int32(length)
+                bodies = pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(offsets), pa.py_buffer(strings[o].tobytes())])
+                yield rows((base + (value[a : a + 10_000] % np.uint64(base)).astype(np.int64)).astype(np.int32), bodies, -1, k[o], tag[o], place[o])
+
         for whole_ in batches:
             for a in range(0, whole_.num_rows, 128):
                 batch = whole_.slice(a, 128)
@@ -181,6 +264,19 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
                     high, low = np.where(r < 0, half, r), np.where(r < 0, half, 1)
                     low = np.maximum(np.maximum(low, p + length - len(raw)), p + half - bar + 1)
                     p, low, high = p[low <= high], low[low <= high], high[low <= high]
+                    if len(often) and len(p):
+                        h = leading(raw, p, half)
+                        is_hot = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
+                        firsts, counts = (p - high)[is_hot], (high - low + 1)[is_hot]
+                        firsts = np.repeat(firsts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                        for a_ in range(0, len(firsts), 200_000):
+                            some = firsts[a_ : a_ + 200_000]
+                            held.append((np.frombuffer(raw, np.uint8)[some[:, None] + np.arange(length)], np.full(len(some), k), np.full(len(some), th & 0x7FFF), some))
+                            n_held += len(some)
+                            if n_held >= 400_000:
+                                yield from combined(*(np.concatenate(x) for x in zip(*held)))
+                                held, n_held = [], 0
+                        p, low, high = p[~is_hot], low[~is_hot], high[~is_hot]
                     if len(p):
                         size = high + length - low
                         ends = np.cumsum(size)
@@ -196,22 +292,43 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
                         [pa.array(part.astype(np.int32)), body, pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), pa.array(k.astype(np.int64)),
                          pa.array((th & 0x7FFF).astype(np.int16)), pa.array(p.astype(np.int32))],
                         names=["part", "body", "low", "high", "k", "tag", "place"])
+        if held:
+            yield from combined(*(np.concatenate(x) for x in zip(*held)))
 
     found = docs.select("k", "th", "t").join(hits, ["k", "th"]).select("k", "th", "t", "at").mapInArrow(records, schema)
     # the part number in front: a task that gets two parts sorts one after the other
-    lead = F.expr(f"substring(body, high + 1, {half})")
-    placed = found.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", lead)
+    lead = F.expr(f"case when high < 0 then body else substring(body, high + 1, {half}) end")
+    order_by = ["part", lead, "k"] if len(often) else ["part", lead]
+    placed = found.repartition(base * 2 if len(often) else base, "part").sortWithinPartitions(*order_by)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of whole groups of one lead; a group goes on while its lead does."""
+        """Batches of whole groups of one lead, which hold about `hot` rows at most; strings of hot leads as they come."""
         held: list[pa.RecordBatch] = []
-        rows_ = 0
-        for batch in batches:
-            if not batch.num_rows:
+        rows_, enough = 0, 60_000
+        string, least = None, 0
+        for whole_ in batches:
+            if not whole_.num_rows:
                 continue
-            held.append(batch)
-            rows_ += batch.num_rows
-            if rows_ >= 60_000:
+            first, second = np.searchsorted(np.asarray(whole_.column("part")), [base, 2 * base]).tolist()
+            if second < whole_.num_rows:
+                done = whole_.slice(second)
+                yield pa.RecordBatch.from_arrays([done.column("k"), done.column("tag").cast(pa.int64()), done.column("body")], names=["k", "tag", "at"])
+            if first < second:
+                batch = pa.Table.from_batches([whole_.slice(first, second - first)])
+                data, offsets = content(batch)
+                strings = data[offsets[:-1, None] + np.arange(length)]
+                k, tag, place = (np.asarray(batch.column(c)).astype(np.int64) for c in ("k", "tag", "place"))
+                new = np.concatenate(([string is None or bool((strings[0] != string).any())], (strings[1:] != strings[:-1]).any(axis=1)))
+                group = np.cumsum(new)  # 0 goes on with the string before
+                lows = np.concatenate(([least], k[new]))  # keys ascend in a string
+                late = k > lows[group]
+                string, least = strings[-1].copy(), int(lows[-1])
+                yield from found_runs(listed(k[late], tag[late], place[late]))
+            if not first:
+                continue
+            held.append(whole_.slice(0, first))
+            rows_ += first
+            if rows_ >= enough:
                 table = pa.Table.from_batches(held).combine_chunks()
                 codes = leads(table)
                 keep = int(np.searchsorted(codes, codes[-1]))
@@ -219,10 +336,15 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
                     yield from compare(table.slice(0, keep))
                     held = table.slice(keep).to_batches()
                     rows_ -= keep
+                else:
+                    held = table.to_batches()
+                enough = max(60_000, 2 * rows_)
         if rows_:
             yield from compare(pa.Table.from_batches(held).combine_chunks())
 
-    width = -(-length // 8)
+    def found_runs(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k", "tag", "at"])
 
     def content(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """All bytes of the bodies, and where each body starts."""
@@ -275,12 +397,7 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
                 lists.append((k[own[late]], th[own[late]], (place[own[late]] - high[own[late]] + shift[late]).astype(np.int64)))
             a = b
         if lists:
-            ks, ts, ps = (np.concatenate(x) for x in zip(*lists))
-            order = np.lexsort((ps, ts, ks))
-            ks, ts, ps = ks[order], ts[order], ps[order]
-            cut = np.concatenate(([0], np.flatnonzero((np.diff(ks) != 0) | (np.diff(ts) != 0)) + 1, [len(ks)]))
-            out = [(ks[x], ts[x], blocks.runs(ps[x:y])) for x, y in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["k", "tag", "at"])
+            yield from found_runs(listed(*(np.concatenate(x) for x in zip(*lists))))
 
     late = placed.mapInArrow(sweep, "k long, tag long, at binary")
     runs = late.groupBy("k", "tag").agg(F.array_join(F.collect_list(F.hex("at")), "").alias("at")).select("k", "tag", F.unhex("at").alias("at"))
@@ -290,14 +407,15 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
 
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, columns: list[str] | None = None,
-    per_chunk: int = 8_000_000, per_bucket: int = 1_000_000, per_partition: int = 24 << 20,
+    per_chunk: int = 8_000_000, per_bucket: int = 1_000_000, per_partition: int = 24 << 20, hot: int = 5_000,
 ) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (long), spans (array of byte ranges removed) and kept (binary).
 
     A byte is removed if a string of `length` bytes around it also starts in a document with a smaller key;
     strings are judged on the input and never cross documents. Null texts are empty; texts under `length`
     bytes lose nothing. Rows with a null key neither lose bytes nor count as earlier; rows that share their key
-    are the same document, so neither is earlier. Keys are integers; columns (all by default) are kept.
+    are the same document, so neither is earlier. Keys are integers; columns (all by default) are kept. Leads of
+    more than about `hot` records are worked string by string; results do not depend on it.
     """
     columns = docs.columns if columns is None else columns
     others = [c for c in columns if c not in (key, text)]
@@ -307,7 +425,7 @@ def remove_repeats(
     known = d.where("k is not null")
     # exact copies: all of a copy is a repeat of the smallest key; only that one is compared with other texts
     whole = blocks.copies(known.select("k", "th", "t"), "suffix-copies")
-    starts = repeated_strings(known.select("k", "th", "t"), whole, length, per_chunk, per_bucket, per_partition)
+    starts = repeated_strings(known.select("k", "th", "t"), whole, length, per_chunk, per_bucket, per_partition, hot)
     marks = starts.unionAll(whole.select("k", "th", F.lit(blocks.ALL).alias("at")))
     have = known.join(marks, ["k", "th"], "left").unionByName(d.where("k is null").withColumn("at", F.lit(None).cast("binary")))
     names = {key: F.col("k").cast(docs.schema[key].dataType), text: F.col("t")} | {c: F.col(f"x{i}") for i, c in enumerate(others)}

@@ -116,6 +116,25 @@ def test_byte_repeats_by_brute_force(docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_byte_repeats_of_hot_leads_by_brute_force(spark, docs, monkeypatch):
+    """A passage in every text, whose contexts differ: no task gets the group of one lead, and results are the same."""
+    from attestry.llm import suffix
+
+    common = "The quick report of the committee says that nothing was found here"
+    more = [(2000 + i, f"{R.random()} {R.choice(['', 'a b '])}{common}{R.choice(['', ' at all'])} {R.random()}" * R.randint(1, 2)) for i in range(400)]
+    d = docs.where("doc_id is null or doc_id <> 907").select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string")).repartition(3).cache()
+    want = brute_bytes([(r.doc_id, r.text) for r in d.collect()])
+    sizes = []
+    leads = suffix.hot_leads
+    monkeypatch.setattr(suffix, "hot_leads", lambda *a: sizes.append(len(found := leads(*a))) or found)
+    for hot in (2, 100):
+        got = suffix.remove_repeats(d, columns=["doc_id", "text"], hot=hot).collect()
+        assert len(got) == d.count()
+        for r in got:
+            assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id, r.text]
+    assert sizes[0] > sizes[1] > 0
+
+
 def test_word_repeats_by_brute_force(docs, empty):
     from attestry.llm.substring import remove_repeats
 
