@@ -62,3 +62,18 @@ def test_workforce_observation(spark):
     rows = [("Acme Ltd reported average headcount of 157 894 employees in fiscal year 2024", "Acme Ltd"), ("Acme Ltd reported headcount of 5 employees in fiscal year 2024", "Acme Ltd"), (None, "x"), ("", None)]
     got = [r.obs for r in observe_metrics(spark.createDataFrame(rows, "excerpt string, scope_label string")).collect()]
     assert got[0].metric == "workforce" and got[0].definition == "headcount_average" and got[0].value == 157894 and got[1:] == [None] * 3
+
+
+def test_proofs_of_facts_are_rows(spark):
+    """Proofs are counted and listed one a row: no array of texts grows with a hot fact."""
+    from attestry.operators.facts import dedupe_facts, fact_proofs
+
+    rows = [("r", i, f"f{i}", "Same  text." if i % 2 else "same text", f"u{i % 40}") for i in range(200)] + [("r", 900, "g", None, "u"), (None, 901, "h", "same text", None)]
+    d = spark.createDataFrame(rows, "request_id string, ord long, fact_id string, excerpt string, url string")
+    d = d.withColumns({"category": F.lit("activity"), "scope_type": F.lit("company"), **{c: F.lit(None).cast("string") for c in ("scope_label", "fact_period_label", "fact_date", "normalized_value")}})
+    out = dedupe_facts(d)
+    assert not [f.name for f in out.schema if f.dataType.typeName() == "array"]
+    got = {(r.request_id, r.fact_id): (r.excerpt, r.n_duplicates, r.n_proofs) for r in out.collect()}
+    assert got == {("r", "f0"): ("same text", 199, 40), ("r", "g"): (None, 0, 1), (None, "h"): ("same text", 0, 1)}
+    proofs = sorted(map(tuple, fact_proofs(d).collect()), key=repr)
+    assert proofs == sorted({(r[0], "f0" if r[2][0] == "f" else r[2], r[4], r[3]) for r in rows}, key=repr)
