@@ -5,7 +5,10 @@ Every function takes and returns a DataFrame, streaming or not: on a static tabl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,11 +49,26 @@ def decide(times: list[float], at: float, window_s: float, most: int) -> tuple[b
     return True, 0, [*kept, at]
 
 
+def in_order(batches: Iterator[pa.RecordBatch], window_s: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Decisions of rows (client, event_id, ts) sorted by client and time."""
+    client, times = object(), []  # no client yet
+    for batch in batches:
+        ok, retry = [], []
+        for who, at in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.int64()).to_pylist()):
+            if who != client:
+                client, times = who, []
+            admitted, wait, times = decide(times, float("nan") if at is None else at / 1e6, window_s, most)
+            ok.append(admitted)
+            retry.append(wait)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_()), pa.array(retry, pa.int64())], names=["client", "event_id", "ts", "admitted", "retry_after_s"])
+
+
 def admit(requests: DataFrame, window_s: float = 600, most: int = MAX_ADMISSIONS) -> DataFrame:
     """(client, event_id, ts, admitted, retry_after_s) of requests (client, event_id, ts).
 
     The state of a client is its admitted times inside the window, at most `most` of them. Streaming keeps it with
-    applyInPandasWithState; a static table is worked client by client in order of time.
+    applyInPandasWithState; a static table is sorted by client and time and read row by row, and only the state is
+    carried from one batch to the next.
     """
     d = requests.select(F.col("client").cast("string").alias("client"), "event_id", "ts")
 
@@ -62,7 +80,9 @@ def admit(requests: DataFrame, window_s: float = 600, most: int = MAX_ADMISSIONS
         return pd.DataFrame(out, columns=["client", "event_id", "ts", "admitted", "retry_after_s"]), times
 
     if not d.isStreaming:
-        return d.groupBy("client").applyInPandas(lambda key, pdf: rows(key, pdf, [])[0], ADMITTED)
+        d = d.select("client", F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+        placed = d.repartition("client").sortWithinPartitions("client", F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+        return placed.mapInArrow(lambda batches: in_order(batches, window_s, most), ADMITTED)
 
     def stateful(key, batches, state: GroupState):
         if state.hasTimedOut:

@@ -46,3 +46,26 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
         key = lambda r: tuple(str(round(x, 6) if isinstance(x, float) else x) for x in r)
         assert sorted(map(key, spark.table(f.__name__).collect())) == sorted(map(key, f(batch).collect()))
+
+
+def test_admission_of_a_hot_client(spark):
+    """A client's events come in many small batches; no operator of the static plan takes a client's events as one frame."""
+    from datetime import datetime, timedelta
+
+    from attestry.streaming.monitor import admit, decide
+
+    t0, n = datetime(2026, 1, 1), 5_000
+    rows = [("hot" if i % 3 else f"c{i % 7}", i, t0 + timedelta(seconds=i * 7919 % n)) for i in range(n)] + [(None, n, t0), (None, n + 1, None)]
+    want, times = {}, {}
+    for c, i, ts in sorted(rows[:-1], key=lambda r: (str(r[0]), r[2], r[1])):
+        ok, retry, times[c] = decide(times.get(c, []), (ts - t0).total_seconds(), 600, 8)
+        want[i] = (c, ts, ok, retry)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        out = admit(spark.createDataFrame(rows, "client string, event_id long, ts timestamp"))
+        assert "FlatMapGroupsIn" not in out._jdf.queryExecution().toString()
+        got = {r.event_id: (r.client, r.ts, r.admitted, r.retry_after_s) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.pop(n + 1)[:3] == (None, None, True)
+    assert got == want
