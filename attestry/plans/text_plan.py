@@ -71,6 +71,18 @@ FROM (SELECT doc_id, string_split(lower(text), ' ') AS t FROM documents WHERE la
 """
 
 
+def x6_sequence_starts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As x6_sequence_starts, over the documents of every language and of none."""
+    t = F.split(F.lower("text"), " ")
+    return _docs(spark, sf_dir).select("doc_id", F.size(x.sequence_starts(t, F.array(F.lit("of"), F.lit("the")))).cast("long").alias("n"))
+
+
+X6_ALL = """
+SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))::BIGINT AS n
+FROM (SELECT doc_id, string_split(lower(text), ' ') AS t FROM documents)
+"""
+
+
 def x7_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.mirrors(_docs(spark, sf_dir), "doc_id", "text", "source")
 
@@ -134,6 +146,21 @@ FROM c
 """
 
 
+def j1_locate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head sentences, each in its whole document, and benchmark items in the documents that hold them. No SQL: see tests/test_rules.py."""
+    return locate_in_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def locate_in_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    page = docs.select(F.col("doc_id").alias("page_id"), x.visible_text(F.col("text")).alias("text"))
+    heads = page.select(F.lit("head").alias("kind"), F.lit(None).cast("long").alias("claim_id"), "page_id", F.regexp_extract("text", r"^[^\n]*?(?:[.!?](?= )|(?=\n)|$)", 0).alias("excerpt"))
+    found = ev.search_excerpts(items, docs).select("doc_id", "item_id").join(items.select("item_id", "text"), "item_id")
+    held = found.select(F.lit("item").alias("kind"), F.col("item_id").cast("long").alias("claim_id"), F.col("doc_id").alias("page_id"), F.col("text").alias("excerpt"))
+    claims = heads.unionByName(held).withColumns({"prefix": none, "suffix": none})
+    return ev.locate(claims, page).select("kind", "claim_id", "page_id", "code", "match_mode", "start", "end", "occurrence", "verified", "before", "after")
+
+
 def j2_search_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.search_excerpts(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _docs(spark, sf_dir))
 
@@ -199,9 +226,9 @@ UNION ALL SELECT page_id, NULL, NULL, 'not_https' FROM p WHERE url NOT LIKE 'htt
 """
 
 QUERIES = {f.__name__: f for f in (
-    x1_visible_text, x2_mechanical_key, x3_conflict_text, x4_context_tokens, x5_blocks, x6_sequence_starts, x7_mirrors, x8_profile, x9_masked, j1_locate, j2_search_excerpts,
+    x1_visible_text, x2_mechanical_key, x3_conflict_text, x4_context_tokens, x5_blocks, x6_sequence_starts, x6_sequence_starts_all, x7_mirrors, x8_profile, x9_masked, j1_locate, j1_locate_documents, j2_search_excerpts,
     j5_bind_spans, j6_bind_urls, s4_extract_pages)}
 ORACLES = {
-    "x1_visible_text": X1, "x2_mechanical_key": X2, "x3_conflict_text": X3, "x4_context_tokens": X4, "x5_blocks": X5, "x6_sequence_starts": X6, "x7_mirrors": X7, "x8_profile": X8,
+    "x1_visible_text": X1, "x2_mechanical_key": X2, "x3_conflict_text": X3, "x4_context_tokens": X4, "x5_blocks": X5, "x6_sequence_starts": X6, "x6_sequence_starts_all": X6_ALL, "x7_mirrors": X7, "x8_profile": X8,
     "x9_masked": X9, "j1_locate": J1, "j2_search_excerpts": J2, "j5_bind_spans": J5, "j6_bind_urls": J6, "s4_extract_pages": S4,
 }

@@ -77,3 +77,24 @@ def test_proofs_of_facts_are_rows(spark):
     assert got == {("r", "f0"): ("same text", 199, 40), ("r", "g"): (None, 0, 1), (None, "h"): ("same text", 0, 1)}
     proofs = sorted(map(tuple, fact_proofs(d).collect()), key=repr)
     assert proofs == sorted({(r[0], "f0" if r[2][0] == "f" else r[2], r[4], r[3]) for r in rows}, key=repr)
+
+
+def test_excerpts_in_whole_documents(spark):
+    """Repeated heads, borders, contexts and a very long text, against a search in Python."""
+    from attestry.plans.text_plan import locate_in_documents
+
+    head, item = "Firm A sells tools.", "one two three four five six seven eight nine"
+    texts = [
+        (1, f"{head} It is old.\n{'filler words here ' * 60_000}\nend"), (2, f"{head} Later: {head} Again."), (3, f"{head}\nx{head}"), (4, None), (5, ""), (6, "long " * 200 + "end"),
+        (7, f"Start here. And {item} then\nmore"), (8, f"Begin now. {item}, and {item}."),
+    ]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.kind, r.page_id): r for r in locate_in_documents(d, spark.createDataFrame([(70, item)], "item_id long, text string")).collect()}
+    codes = {k: r.code for k, r in got.items()}
+    missing, many = "source_excerpt_missing", "source_excerpt_ambiguous"
+    assert codes == {("head", 1): None, ("head", 2): many, ("head", 3): None, ("head", 4): missing, ("head", 5): missing, ("head", 6): missing, ("head", 7): None, ("head", 8): None, ("item", 7): None, ("item", 8): many}
+    for k, r in got.items():
+        if r.code is None:
+            t = dict(texts)[k[1]]
+            assert (r.start, r.verified) == (t.index(r.verified), t[r.start : r.end]) and r.verified in (head, item, "Start here.", "Begin now.")
+    assert (got["item", 7].before, got["item", 7].after) == ("Start here. And ", " then")
