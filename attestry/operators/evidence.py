@@ -207,10 +207,12 @@ def search_excerpts(excerpts: DataFrame, docs: DataFrame, key: str = "doc_id", t
 
 
 def seen_by_word(docs: DataFrame, short: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, item, e): documents that hold the longest word of a short excerpt, whole or inside another word's characters."""
-    longest = F.element_at(F.array_sort(F.split("e", r"\s+"), lambda a, b: F.length(b) - F.length(a)), 1)
-    s = short.withColumn("q", longest).withColumn("h", F.substring("q", F.lit(1), F.lit(3)))
-    d = docs.select(key, "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substring("t", i, F.lit(3))))).alias("h"))
+    """(key, item, e): documents that hold a short excerpt, by its first three characters, spaces included (all of it if it has fewer)."""
+    s = short.withColumn("h", F.substring("e", F.lit(1), F.lit(3)))
+    sizes = sorted(r.n for r in s.select(F.length("h").alias("n")).distinct().collect())
+    # substrings of the sizes that are asked for
+    at = lambda n: F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    d = docs.select(key, "t", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(at, sizes)))).alias("h"))
     return d.join(s, "h").where(F.col("t").contains(F.col("e"))).select(key, item, "e")
 
 

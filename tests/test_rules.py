@@ -98,3 +98,12 @@ def test_excerpts_in_whole_documents(spark):
             t = dict(texts)[k[1]]
             assert (r.start, r.verified) == (t.index(r.verified), t[r.start : r.end]) and r.verified in (head, item, "Start here.", "Begin now.")
     assert (got["item", 7].before, got["item", 7].after) == ("Start here. And ", " then")
+
+
+def test_short_excerpts_of_short_words(spark):
+    from attestry.operators.evidence import search_excerpts
+
+    docs = [(1, "now it is so and more"), (2, "it is"), (3, "也 是 的 more"), (4, "z"), (5, None), (6, "")]
+    items = [(10, "it is so"), (11, "是 的"), (12, "z"), (13, "it"), (14, "or")]
+    got = search_excerpts(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, t.index(e)) for k, t in docs for i, e in items if e in (t or ""))
