@@ -89,6 +89,8 @@ class Policy:
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
 STANDARD = Policy("standard", 1, tuple(r.name for r in RULES))
+#: Without the share of distinct words, which falls with the length of any text: clean long texts are kept.
+ANY_LENGTH = Policy("standard", 2, tuple(r.name for r in RULES if r.name != "few_distinct_words"))
 
 
 def ledger(df: DataFrame, text: str = "text", keep: list[Column] | None = None) -> DataFrame:

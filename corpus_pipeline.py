@@ -11,7 +11,7 @@ from attestry.llm.common import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the standard policy keeps."""
-    return quality.apply_policy(quality.ledger(docs)).where("kept").select(*docs.columns)
+    return quality.apply_policy(quality.ledger(docs), quality.ANY_LENGTH).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,3 +256,13 @@ def test_pipeline_stages(spark):
         assert docs.columns == cols, name
     last = p.STAGES[-1][1](spark, docs, SF).collect()
     assert last and all(r.round_trip for r in last)
+
+
+def test_pipeline_keeps_clean_long_texts(spark):
+    """The share of distinct words falls with the length of a text: a long clean one is not removed for it."""
+    from corpus_pipeline import quality_rules
+
+    r = random.Random(11)
+    long = " ".join(f"word{r.randrange(6_000)}" for _ in range(100_000))
+    d = spark.createDataFrame([(1, long), (2, "again and again " * 100)], "doc_id long, text string")
+    assert [x.doc_id for x in quality_rules(spark, d, SF).collect()] == [1]
