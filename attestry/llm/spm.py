@@ -349,7 +349,7 @@ class Codec:
         starts, surface = self.starts, self.surface.__getitem__
         out = [self._text(b"".join(map(surface, x)))[int(starts[x[0]]) :] if x else "" for x in each]
         if self.library is not None:
-            theirs = self.library.decode(each)
+            theirs = self.library.decode(each, num_threads=1)
             if theirs != out:
                 raise ValueError(f"the library decodes {next(x for x, a, b in zip(each, theirs, out) if a != b)[:50]} otherwise")
         return out
