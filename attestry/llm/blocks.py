@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from attestry.llm.common import written
 
 PACKED = "bucket long, chunk long, kind int, body binary, extra binary"
-ANSWERS = "chunk long, kind int, body binary"
-ENTRIES, DIRECTORY, FOUND, NARROW = 0, 1, 2, 3
+ANSWERS = "chunk long, kind int, body binary, extra binary"
+ENTRIES, DIRECTORY, NARROW, FOUND = 0, 1, 2, 8
 
 
 class Chunk:
@@ -48,14 +48,20 @@ class Chunk:
     def columns(self) -> list[np.ndarray]:
         return [np.concatenate(x) for x in zip(*self.parts)] if self.parts else []
 
-    def directory(self, decided: np.ndarray) -> tuple[bytes, bytes]:
+    def directory(self, decided: np.ndarray, sizes: np.ndarray | None) -> tuple[bytes, bytes]:
         head = np.array([self.keys, self.hashes, self.firsts], np.int64)
-        return head.tobytes(), decided.astype(np.uint32).tobytes()
+        return head.tobytes(), _positions(decided, sizes)
+
+
+def _positions(at: np.ndarray, sizes: np.ndarray | None) -> bytes:
+    """Positions, each of which stands for itself, or for as many as sizes says."""
+    flat = at if sizes is None else np.repeat(at, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return runs(np.unique(flat))
 
 
 def packed(docs: DataFrame, each: Callable, close: Callable, bits: int, per_chunk: int, keep_empty: bool = False) -> DataFrame:
     """Rows for the buckets. docs has k, th, t. each(t) gives (length, positions, ...) of a text;
-    close(chunk) gives (positions, bucket values uint64, bodies by entry as arrays, decided positions)."""
+    close(chunk) gives (positions, bucket values uint64, bodies by entry as arrays, decided positions, their sizes or None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -63,7 +69,7 @@ def packed(docs: DataFrame, each: Callable, close: Callable, bits: int, per_chun
 
         def rows(chunk: Chunk, number: int):
             name = (task << 24) | number
-            at, value, arrays, decided = close(chunk)
+            at, value, arrays, decided, sizes = close(chunk)
             out = []
             if len(at):
                 bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
@@ -76,7 +82,7 @@ def packed(docs: DataFrame, each: Callable, close: Callable, bits: int, per_chun
                     body = gaps.astype(np.uint16 if narrow else np.uint32).tobytes()
                     out.append((int(bucket[a]), name, NARROW if narrow else ENTRIES, body, b"".join(x[a:b].tobytes() for x in arrays)))
             if len(at) or len(decided):
-                head, done = chunk.directory(decided)
+                head, done = chunk.directory(decided, sizes)
                 out.append((-1 - name, name, DIRECTORY, head, done))
             for low in range(0, len(out), 512):
                 part = out[low : low + 512]
@@ -101,52 +107,73 @@ def packed(docs: DataFrame, each: Callable, close: Callable, bits: int, per_chun
     return docs.mapInArrow(run, PACKED)
 
 
-def answered(rows: DataFrame, decide: Callable, kinds: list[type]) -> DataFrame:
-    """(k, th, at): positions of each document that are decided by its chunk or by a bucket, as uint32 bytes.
+def answered(rows: DataFrame, decide: Callable, kinds: list[type], codes: int = 1, sizes: int | None = None) -> DataFrame:
+    """(k, th, at, ...): runs of positions of each document, a column for each code (at, at2, ...), as uint32 bytes.
 
     decide(arrays) gets the entries of a bucket, one array for each of kinds and the chunk's number of each,
-    and gives a mask of the entries found.
+    and gives the code of each entry, 0 for none. What a chunk decided has code 1. With sizes, the number
+    of one of the arrays, an entry stands for as many positions as that says. n counts the entries of the last code.
     """
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["kind"].iloc[0] == DIRECTORY:
-            body = [len(a).to_bytes(8, "little") + a + b for a, b in zip(pdf["body"], pdf["extra"])]
-            return pd.DataFrame({"chunk": pdf["chunk"], "kind": DIRECTORY, "body": body})
+            return pdf[["chunk", "kind", "body", "extra"]]
         gaps = [np.frombuffer(b, np.uint16 if kind == NARROW else np.uint32) for b, kind in zip(pdf["body"], pdf["kind"])]
-        sizes = [len(g) for g in gaps]
+        counts = [len(g) for g in gaps]
         arrays: list[list] = [[] for _ in kinds]
-        for extra, n in zip(pdf["extra"], sizes):
+        for extra, n in zip(pdf["extra"], counts):
             low = 0
             for i, kind in enumerate(kinds):
                 arrays[i].append(np.frombuffer(extra, kind, n, low))
                 low += n * np.dtype(kind).itemsize
         at = np.concatenate([np.cumsum(g, dtype=np.int64) for g in gaps])
-        own = np.repeat(np.arange(len(sizes)), sizes)
-        found = decide([np.concatenate(a) for a in arrays], own)
+        own = np.repeat(np.arange(len(counts)), counts)
+        joined = [np.concatenate(a) for a in arrays]
+        code = decide(joined, own)
+        size = None if sizes is None else joined[sizes].astype(np.int64)
         out = []
-        ends = np.cumsum(sizes)
-        for name, a, b in zip(pdf["chunk"], ends - sizes, ends):
-            hit = at[a:b][found[a:b]]
-            if len(hit):
-                out.append((name, FOUND, hit.astype(np.uint32).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "kind", "body"])
+        ends = np.cumsum(counts)
+        for name, a, b in zip(pdf["chunk"], ends - counts, ends):
+            for c in range(1, codes + 1):
+                hit = a + np.flatnonzero(code[a:b] == c)
+                if len(hit):
+                    out.append((name, FOUND + c, _positions(at[hit], None if size is None else size[hit]), len(hit).to_bytes(8, "little")))
+        return pd.DataFrame(out, columns=["chunk", "kind", "body", "extra"])
+
+    names = ["at", *(f"at{c}" for c in range(2, codes + 1))]
 
     def back(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads = pdf[pdf["kind"] == DIRECTORY]["body"]
-        if not len(heads):
-            return pd.DataFrame({"k": [], "th": [], "at": []})
-        raw = heads.iloc[0]
-        n = int.from_bytes(raw[:8], "little")
-        keys, hashes, firsts = np.frombuffer(raw, np.int64, n // 8, 8).reshape(3, -1)
-        found = [np.frombuffer(raw, np.uint32, -1, 8 + n), *(np.frombuffer(b, np.uint32) for b in pdf[pdf["kind"] == FOUND]["body"])]
-        at = np.unique(np.concatenate(found)).astype(np.int64)
-        doc = np.searchsorted(firsts, at, side="right") - 1
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)])) if len(doc) else [0]
-        out = [(keys[doc[a]], hashes[doc[a]], runs(at[a:b] - firsts[doc[a]])) for a, b in zip(edges[:-1], edges[1:])]
-        return pd.DataFrame(out, columns=["k", "th", "at"])
+        head = pdf[pdf["kind"] == DIRECTORY]
+        if not len(head):
+            return pd.DataFrame({c: [] for c in ("k", "th", *names, "n")})
+        keys, hashes, firsts = np.frombuffer(head["body"].iloc[0], np.int64).reshape(3, -1)
+        by_doc: dict[int, list] = {}
+        for c in range(1, codes + 1):
+            mine = pdf[pdf["kind"] == FOUND + c]
+            rows_ = [spread(b) for b in mine["body"]] + ([spread(head["extra"].iloc[0])] if c == 1 else [])
+            found = np.concatenate(rows_) if rows_ else np.zeros((0, 2), np.int64)
+            found = found[np.argsort(found[:, 0], kind="stable")]
+            # runs of one task may touch those of another, and end where a document does
+            doc = np.searchsorted(firsts, found[:, 0], side="right") - 1
+            last = np.searchsorted(firsts, found[:, 1] - 1, side="right") - 1
+            cut = np.flatnonzero(doc != last)
+            if len(cut):  # a run over several documents
+                more = [(max(a, firsts[d]), min(b, firsts[d + 1] if d + 1 < len(firsts) else b), d) for (a, b), x, y in zip(found[cut].tolist(), doc[cut].tolist(), last[cut].tolist()) for d in range(x, y + 1)]
+                keep = doc == last
+                found = np.concatenate((found[keep], np.array([m[:2] for m in more], np.int64)))
+                doc = np.concatenate((doc[keep], np.array([m[2] for m in more], np.int64)))
+                order = np.argsort(found[:, 0], kind="stable")
+                found, doc = found[order], doc[order]
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)])) if len(doc) else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                d = int(doc[a])
+                by_doc.setdefault(d, [b""] * codes)[c - 1] = united(found[a:b] - firsts[d])
+        n = sum(int.from_bytes(x, "little") for x in pdf[pdf["kind"] == FOUND + codes]["extra"])
+        out = [(keys[d], hashes[d], *cols, n if i == 0 else 0) for i, (d, cols) in enumerate(sorted(by_doc.items()))]
+        return pd.DataFrame(out, columns=["k", "th", *names, "n"])
 
     got = rows.groupBy("bucket").applyInPandas(bucket, ANSWERS)
-    return got.groupBy("chunk").applyInPandas(back, "k long, th long, at binary")
+    return got.groupBy("chunk").applyInPandas(back, f"k long, th long, {', '.join(f'{c} binary' for c in names)}, n long")
 
 
 def tidy(spark) -> None:
@@ -156,10 +183,15 @@ def tidy(spark) -> None:
 
 
 def copies(docs: DataFrame, name: str) -> DataFrame:
-    """(k, th): documents (k, th, t) whose text a smaller key has too; written, as several joins read it."""
-    d = docs.select("k", "th", F.xxhash64(F.lit(1), F.coalesce("t", F.lit(""))).alias("th2"))
-    groups = d.groupBy("th", "th2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("th", "th2", "first")
-    return written(d.join(groups, ["th", "th2"]).where("k > first").select("k", "th").distinct(), name)
+    """(k, th): documents (k, th, t) whose text a smaller key has too; written, as several joins read it.
+
+    Texts are equal if their lengths and SHA-256 are. The groups are a table of their own, so that a join with
+    one large group can be split."""
+    t = F.coalesce("t", F.lit(""))
+    d = docs.select("k", "th", F.unhex(F.substring(F.sha2(t, 256), 1, 32)).alias("digest"))
+    groups = d.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("digest", "first")
+    groups = written(groups, name)
+    return written(d.join(groups, "digest").where("k > first").select("k", "th").distinct(), name)
 
 
 #: Runs that reach past any text: all of it.
@@ -174,6 +206,15 @@ def runs(at: np.ndarray) -> bytes:
     return np.stack([at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))] + 1], axis=1).astype(np.uint32).tobytes()
 
 
+def united(rows: np.ndarray) -> bytes:
+    """Sorted runs [start, end), which may touch or overlap, as separate ones in bytes."""
+    if not len(rows):
+        return b""
+    end = np.maximum.accumulate(rows[:, 1])
+    cut = np.flatnonzero(rows[1:, 0] > end[:-1])
+    return np.stack([rows[np.concatenate(([0], cut + 1)), 0], end[np.concatenate((cut, [len(rows) - 1]))]], axis=1).astype(np.uint32).tobytes()
+
+
 def spread(body: bytes | None) -> np.ndarray:
     """Runs [start, end) as an array of two columns."""
     return np.frombuffer(body or b"", np.uint32).reshape(-1, 2).astype(np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows worked on at once in Python, and sent to it at once.
-ROWS, ARROW_ROWS = 256, 1024
+#: Rows worked on at once in Python; Spark bounds what is sent to it at once by bytes.
+ROWS = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -26,12 +27,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; a local one only where the session names none and runs in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = at.get() if at.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = at.get() if at.isDefined() else None
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
@@ -43,17 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and lost executors cost nothing before it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table that written() made, once nothing reads it any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.split(":", 1)[-1].lstrip("/").startswith(top.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table that written() made; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_arrow(
@@ -72,10 +76,8 @@ def map_arrow(
     carried = {str(c): i for i, c in enumerate(keep)}
     own = [c for c in inputs if str(c) not in carried]
     kept = df.select(*[c.alias(f"__k{i}") for i, c in enumerate(keep)], *[c.alias(f"__i{i}") for i, c in enumerate(own)])
-    n, spark = len(keep), df.sparkSession
+    n = len(keep)
     places = [carried[str(c)] if str(c) in carried else n + [str(x) for x in own].index(str(c)) for c in inputs]
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     fields = [T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(kept.schema.fields[:n])]
     schema = T.StructType(fields + [T.StructField(f"__o{i}", f.dataType) for i, f in enumerate(outputs)])
     labels = schema.names

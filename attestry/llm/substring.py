@@ -2,9 +2,10 @@
 
 Every block words a document has a reference block; a repeat of window words (at least 2 * block - 1) always
 holds a whole reference block of its earlier place. Every rolling block of every document probes the
-index of reference blocks, through packed fingerprints (see blocks). Around each hit, windows of the
-full length are compared by 128 bits of hash, and all but the first of equal windows are repeats; windows
-that follow one another join to maximal spans. No pair of documents is ever formed.
+index of reference blocks, through packed fingerprints (see blocks), which only find candidates. A hit is extended
+to all windows of the full length around it; windows are equal if the BLAKE2 digests of their words are (over 100
+bits), and all but the first of equal windows are repeats; windows that follow one another join to maximal
+spans. No pair of documents is ever formed.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.llm import blocks
-from attestry.llm.common import bits_for, map_arrow, text_bytes, written
-from attestry.llm.wordhash import spans, windows, word_hashes
+from attestry.llm.common import bits_for, map_arrow, remove, text_bytes, written
+from attestry.llm.wordhash import digest, spans, windows, word_hashes
 
 
 def repeated_windows(docs: DataFrame, whole: DataFrame, window: int, block: int, per_chunk: int, per_bucket: int) -> DataFrame:
@@ -35,26 +36,26 @@ def repeated_windows(docs: DataFrame, whole: DataFrame, window: int, block: int,
 
     def shared(chunk: blocks.Chunk):
         if not chunk.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int64), None
         at, h, reference, _ = chunk.columns()
         values, first, group, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         indexed = np.zeros(len(values), bool)
         np.logical_or.at(indexed, group[reference], True)
         order = np.sort(first)  # by position
         low = (h[order] << np.uint64(20) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
-        return at[order], h[order], [low | indexed[group[order]].astype(np.uint32)], at[n[group] > 1]
+        return at[order], h[order], [low | indexed[group[order]].astype(np.uint32)], at[n[group] > 1], None
 
     def hit(arrays, own):
         value = arrays[0] >> np.uint32(1)
         _, group, n = np.unique(value, return_inverse=True, return_counts=True)
         indexed = np.bincount(group, arrays[0] & np.uint32(1)) > 0
-        return (n > 1)[group] & indexed[group]
+        return ((n > 1)[group] & indexed[group]).astype(np.uint8)
 
     packed = blocks.packed(docs.select("k", "th", "t"), probes, shared, bits_for(n_words, per_bucket, 5, 20), per_chunk)
-    hits = written(blocks.answered(packed, hit, [np.uint32]), "substring-hits")
+    hits_table = written(blocks.answered(packed, hit, [np.uint32]).select("k", "th", "at"), "substring-hits")
     del packed
     blocks.tidy(docs.sparkSession)
-    hits = hits.join(whole, ["k", "th"], "left_anti")  # copies are settled
+    hits = hits_table.join(whole, ["k", "th"], "left_anti")  # copies are settled
 
     near = window - block
 
@@ -65,12 +66,16 @@ def repeated_windows(docs: DataFrame, whole: DataFrame, window: int, block: int,
         if m <= 0:
             return 0, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         starts = np.flatnonzero(blocks.mask(blocks.spread(at), m, before=near))
-        one, two = (windows(word_hashes(raw, s, e, w), window, w)[starts] for w in (0, 1))
-        return len(s), starts, one, two
+        joined = b" ".join(raw.split())
+        size = e - s + 1
+        ends = np.cumsum(size) - 1
+        first, last = (ends - size + 1)[starts].tolist(), ends[starts + window - 1].tolist()
+        both = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(first, last)]), np.uint64).reshape(-1, 2)
+        return len(s), starts, both[:, 0], both[:, 1]
 
     def earliest(chunk: blocks.Chunk):
         if not chunk.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int64), None
         at, one, two, key = chunk.columns()
         first = np.array(chunk.firsts)
         place = at - first[np.searchsorted(first, at, side="right") - 1]
@@ -79,16 +84,20 @@ def repeated_windows(docs: DataFrame, whole: DataFrame, window: int, block: int,
         keep = np.flatnonzero(~later)
         keep = keep[np.argsort(at[keep], kind="stable")]
         rest = (two[keep] << np.uint64(20) >> np.uint64(32)).astype(np.uint32)  # beside the bucket's bits: over 100 bits in all
-        return at[keep], two[keep], [one[keep], rest, key[keep], place[keep].astype(np.uint32)], at[later]
+        return at[keep], two[keep], [one[keep], rest, key[keep], place[keep].astype(np.uint32)], at[later], None
 
     def after(arrays, own):
         one, two, key, place = arrays
-        return _later([one, two], key, place)
+        return _later([one, two], key, place).astype(np.uint8)
 
     found = docs.select("k", "th", "t").join(hits, ["k", "th"]).select("k", "th", "t", "at")
     bits = bits_for(n_words // 4, per_bucket, 5, 20)
     again = blocks.packed(found, candidates, earliest, bits, per_chunk)
-    return blocks.answered(again, after, [np.uint64, np.uint32, np.int64, np.uint32])
+    out = written(blocks.answered(again, after, [np.uint64, np.uint32, np.int64, np.uint32]).select("k", "th", "at"), "substring-repeats")
+    del again, found
+    remove(hits_table)
+    blocks.tidy(docs.sparkSession)
+    return out
 
 
 def _later(values: list[np.ndarray], key: np.ndarray, place: np.ndarray) -> np.ndarray:

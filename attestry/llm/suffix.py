@@ -3,17 +3,20 @@
 Suffixes are taken at anchors: starts of words, and any byte that has no word start among itself and the
 half - 1 bytes before it, where half is half the length. Each string of `length` bytes belongs to the first anchor that
 it alone determines: a word start in its bytes 1 to half, else the byte at half. So equal strings have the
-same anchor, and one suffix record (the bytes before and after an anchor) stands for all strings of the
-anchor. Records that can have an equal elsewhere are found by packed fingerprints of the half bytes after
-the anchor (see blocks); exact copies of documents are settled before, by their smallest key.
-
-Sampled splitters range-partition the records by their leading half bytes, so what begins alike is in one
-partition and no group spans a boundary; a partition then sorts its strings by a multikey quicksort (eight
-bytes are one key character) and compares neighbours byte for byte.
-
-A hot lead (one that drawn documents show in more than `hot` records) does not go there. Its strings are combined
-by map task, in which all but the smallest key of a string are decided, and dealt by the hash of the whole string, so
-a hot string has one entry a chunk; they are compared in a pass that carries one string and its least key.
+same anchor, and one suffix record (the bytes before and after an anchor, its body) stands for all strings of the
+anchor. Exact copies of documents are settled before, by their smallest key.
+
+1. Packed fingerprints of the half bytes after each anchor, the lead (see blocks), tell which leads two documents share.
+2. Of those, bodies that repeat whole are settled by a hash of about 130 bits: all but the smallest key's are
+   repeats. What is left of a lead with a single body has no equal; the rest are edges of repeats.
+3. Only edges are sorted: sampled splitters range-partition their suffixes by their leads, a partition sorts its strings
+   by a multikey quicksort (eight bytes are one key character) and compares neighbours byte for byte. Splitters
+   are leads, so a lead lies in one partition and no group spans a boundary.
+
+A hot lead (one that drawn documents show in more than `hot` records) would fill its partition. It is settled in step 2 by
+the hash of its bodies instead of its own. Its strings are combined in step 3 by map task, in which all but the
+smallest key of a string are decided, and go to partitions of their own by the hash of the whole string, so
+a hot string has one entry a task; they are compared in a pass that carries one string and its least key.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.llm import blocks
-from attestry.llm.common import bits_for, map_arrow, text_bytes, written
-from attestry.llm.wordhash import BARE, mix
+from attestry.llm.common import bits_for, map_arrow, remove, text_bytes, written
+from attestry.llm.wordhash import BARE, mix, range_hashes
 
 _BYTE = np.random.default_rng(303).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD1342543DE82EF95
@@ -72,9 +75,10 @@ def leading(raw: bytes, places: np.ndarray, half: int) -> np.ndarray:
 
 
 def sort_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of rows of 8-byte key characters: (order, group number along it), groups being equal rows.
+    """Rows of 8-byte key characters sorted key by key: (order, group number along it), groups being equal rows.
 
-    All rows are ordered by the first character; only runs of equals go on to the next one.
+    As in a multikey quicksort, all rows are ordered by the first character and only runs of equals go on to the
+    next one; the ordering by one character is numpy's.
     """
     n, width = keys.shape
     order = np.argsort(keys[:, 0], kind="stable")
@@ -94,29 +98,53 @@ def sort_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def splitters(docs: DataFrame, half: int, parts: int, texts: int = 2000) -> list[bytes]:
-    """parts - 1 leads that cut the leads of about `texts` hash-drawn documents (at most one in 32 of theirs) evenly; results do not depend on them."""
-    n = docs.select("k").count()
-    drawn = docs.where((F.xxhash64("k", F.lit(5)) % 1_000_000 + 1_000_000) % 1_000_000 < F.lit(1_000_000 * texts / max(1, n))).select("t")
+def splitters(edges: DataFrame, half: int, parts: int, n: int) -> list[bytes]:
+    """parts - 1 leads that cut the leads of n edges (k, t, at2) evenly, from about 30 hash-drawn ones a part; results do not depend on them."""
+    if parts < 2:
+        return []
+    limit = np.uint64(min(2**64 - 1, int(2**64 * 30 * parts / max(1, n))))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
-            for t in batch.column(0).to_pylist():
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                if len(raw) > half:
-                    p = anchors(raw, half)[0]
-                    p = p[p + half <= len(raw)]
-                    p = p[leading(raw, p, half) % np.uint64(32) == 0]
-                    out.extend(raw[x : x + half] for x in p[: 10_000].tolist())
+            for t, at in zip(batch.column("t").to_pylist(), batch.column("at2").to_pylist()):
+                raw = t.encode("utf-8", "surrogatepass")
+                p, _, _ = edge_ranges(raw, blocks.spread(at), half, 2 * half)
+                p = p[leading(raw, p, half) * np.uint64(_BASE) < limit]
+                out.extend(raw[x : x + half] for x in p.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["lead"])
 
-    leads = sorted({bytes(r.lead) for r in drawn.mapInArrow(some, "lead binary").collect()})
+    leads = sorted({bytes(r.lead) for r in edges.mapInArrow(some, "lead binary").distinct().collect()})
     return sorted({leads[len(leads) * i // parts] for i in range(1, parts)}) if len(leads) >= parts else leads
 
 
+def string_ranges(raw: bytes, hits: np.ndarray, half: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors whose leads are shared, as runs in hits say, with low and high: their strings begin low to high bytes before them."""
+    places, reach = anchors(raw, half)
+    use = blocks.mask(hits, len(raw))[places]
+    # a string can repeat only if all anchors in its first half do: the next one that does not bounds it
+    bar = np.minimum.accumulate(np.where(use, len(raw) + length, places)[::-1])[::-1]
+    p, r, bar = places[use], reach[use], bar[use]
+    high, low = np.where(r < 0, half, r), np.where(r < 0, half, 1)
+    low = np.maximum(np.maximum(low, p + length - len(raw)), p + half - bar + 1)
+    good = low <= high
+    return p[good], low[good], high[good]
+
+
+def edge_ranges(raw: bytes, starts: np.ndarray, half: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the strings that begin in the runs of starts; of each anchor they are the first ones, or none."""
+    p, reach = anchors(raw, half)
+    high, low = np.where(reach < 0, half, reach), np.where(reach < 0, half, 1)
+    c = np.concatenate(([0], np.cumsum(blocks.mask(starts, len(raw)))))
+    n = c[p - low + 1] - c[p - high]
+    there = n > 0
+    return p[there], (high - n + 1)[there], high[there]
+
+
 def hot_leads(docs: DataFrame, half: int, hot: int, texts: int = 8000) -> np.ndarray:
-    """Sorted hashes of the leads of about `hot` records or more, by `texts` hash-drawn documents (one in 1,000 if that is more)."""
+    """Sorted hashes of the leads of about `hot` records or more, by `texts` hash-drawn documents (one in 1,000 if that is more).
+
+    At most 200,000, the most frequent ones; results do not depend on which they are."""
     n = docs.select("k").count()
     share = min(1.0, max(texts / max(1, n), 0.001))
     drawn = docs.where((F.xxhash64("k", F.lit(6)) % 1_000_000 + 1_000_000) % 1_000_000 < F.lit(1_000_000 * share)).select("t")
@@ -142,7 +170,7 @@ def hot_leads(docs: DataFrame, half: int, hot: int, texts: int = 8000) -> np.nda
             yield total(parts)
 
     least = max(2, round(hot * share))
-    rows = drawn.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").collect()
+    rows = drawn.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(200_000).collect()
     return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
 
@@ -169,7 +197,7 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
 
     def shared(chunk: blocks.Chunk):
         if not chunk.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int64), None
         at, h, key = chunk.columns()
         order = np.argsort(h, kind="stable")
         h, at, key = h[order], at[order], key[order]
@@ -184,7 +212,7 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
         many = ~other & (count > 1)
         send = np.concatenate((single, start[other], np.flatnonzero(many[group])))
         send = send[np.argsort(at[send], kind="stable")]
-        return at[send], h[send], [(h[send] << np.uint64(20) >> np.uint64(32)).astype(np.uint32)], decided
+        return at[send], h[send], [(h[send] << np.uint64(20) >> np.uint64(32)).astype(np.uint32)], decided, None
 
     def hit(arrays, own):
         order = np.lexsort((own, arrays[0]))
@@ -192,20 +220,82 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
         new = np.concatenate(([True], v[1:] != v[:-1]))
         start = np.flatnonzero(new)
         mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
-        out = np.zeros(len(v), bool)
+        out = np.zeros(len(v), np.uint8)
         out[order] = mixed[np.cumsum(new) - 1]
         return out
 
     packed = blocks.packed(docs.select("k", "th", "t"), prints, shared, bits_for(n_bytes // 6, per_bucket, 5, 20), per_chunk)
-    hits = written(blocks.answered(packed, hit, [np.uint32]), "suffix-hits")
+    hits_table = written(blocks.answered(packed, hit, [np.uint32]).select("k", "th", "at"), "suffix-hits")
     del packed
     blocks.tidy(docs.sparkSession)
-    hits = hits.join(whole, ["k", "th"], "left_anti")  # copies are settled
+    hits = hits_table.join(whole, ["k", "th"], "left_anti")  # copies are settled
+    often = hot_leads(docs, half, hot)
 
-    cuts = splitters(docs, half, max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // per_partition)))
+    def bodies(t: str | None, at: bytes):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        p, low, high = string_ranges(raw, blocks.spread(at), half, length)
+        if not len(p):
+            return 0, *(np.zeros(0, x) for x in (np.int64, np.uint64, np.uint64, np.uint64, np.int64))
+        shape = mix((low << 8 | high).astype(np.uint64))
+        one, two = (range_hashes(raw, p - high, p - low + length, w) ^ shape for w in (0, 1))
+        return len(raw), p - high, leading(raw, p, half), one, two, high - low + 1
+
+    def later(key: np.ndarray, *values: np.ndarray) -> np.ndarray:
+        """True for entries whose values a smaller key has too."""
+        order = np.lexsort((key, *values))
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for v in values:
+            new[1:] |= v[order][1:] != v[order][:-1]
+        out = np.zeros(len(order), bool)
+        out[order] = key[order] != key[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        return out
+
+    def settled(chunk: blocks.Chunk):
+        if not chunk.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, lead, one, two, size, key = chunk.columns()
+        late = later(key, one, two)
+        value = np.where(often[np.minimum(np.searchsorted(often, lead), len(often) - 1)] == lead, mix(one), lead) if len(often) else lead
+        keep = np.flatnonzero(~late)
+        keep = keep[np.argsort(at[keep], kind="stable")]
+        rest = (lead[keep] << np.uint64(20) >> np.uint64(32)).astype(np.uint32)
+        return at[keep], value[keep], [rest, one[keep], (two[keep] >> np.uint64(32)).astype(np.uint32), key[keep], size[keep].astype(np.uint8)], at[late], size[late]
+
+    def judge(arrays, own):
+        lead, one, two, key, _ = arrays
+        out = later(key, one, two).astype(np.uint8)
+        rest = np.flatnonzero(out == 0)
+        order = rest[np.lexsort((one[rest], lead[rest]))]
+        new = np.concatenate(([True], lead[order][1:] != lead[order][:-1]))
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        kinds = np.maximum.reduceat(one[order], start) != np.minimum.reduceat(one[order], start)
+        docs_ = np.maximum.reduceat(key[order], start) != np.minimum.reduceat(key[order], start)
+        out[order] = np.where((kinds & docs_)[group], 2, 0)
+        return out
+
+    def judge_hot(arrays, own):
+        # bodies of a hot lead do not meet in one bucket: each may have equals among the strings of the others
+        out = judge(arrays, own)
+        hot_rest = ((often << np.uint64(20)) >> np.uint64(32)).astype(np.uint32)
+        return np.where((out == 0) & np.isin(arrays[0], hot_rest), 2, out)
+
+    held_ = docs.select("k", "th", "t").join(hits, ["k", "th"]).select("k", "th", "t", "at")
+    packed = blocks.packed(held_, bodies, settled, bits_for(n_bytes // 20, per_bucket, 5, 20), per_chunk)
+    kinds = [np.uint32, np.uint64, np.uint32, np.int64, np.uint8]
+    marks = written(blocks.answered(packed, judge_hot if len(often) else judge, kinds, codes=2, sizes=4), "suffix-marks")
+    del packed, held_
+    remove(hits_table)
+    blocks.tidy(docs.sparkSession)
+
+    edges = docs.select("k", "th", "t").join(marks.where("octet_length(at2) > 0").select("k", "th", "at2"), ["k", "th"])
+    n_edges = marks.agg(F.sum("n").alias("n")).first().n or 0
+    if not n_edges:
+        return marks.where("octet_length(at) > 0").select("k", "th", "at")
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_edges * (length + half) // per_partition))
+    cuts = splitters(edges.select("t", "at2"), half, parts, n_edges)
     cut_bytes = np.array(cuts, dtype=f"S{half}")
     width = -(-length // 8)
-    often = hot_leads(docs, half, hot)
     # parts by number: ranges of leads, then strings of hot leads by hash, then places decided by map tasks
     base = len(cuts) + 1
     schema = "part int, body binary, low short, high short, k long, tag short, place int"
@@ -255,15 +345,7 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
                 data: list[np.ndarray] = []
                 for k, th, t, at in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                     raw = (t or "").encode("utf-8", "surrogatepass")
-                    places, reach = anchors(raw, half)
-                    use = blocks.mask(blocks.spread(at), len(raw))[places]
-                    # a string can repeat only if all anchors in its first half do: the next one that does not bounds it
-                    bar = np.minimum.accumulate(np.where(use, len(raw) + length, places)[::-1])[::-1]
-                    p, r, bar = places[use], reach[use], bar[use]
-                    # strings that begin p - high .. p - low and end inside the text
-                    high, low = np.where(r < 0, half, r), np.where(r < 0, half, 1)
-                    low = np.maximum(np.maximum(low, p + length - len(raw)), p + half - bar + 1)
-                    p, low, high = p[low <= high], low[low <= high], high[low <= high]
+                    p, low, high = edge_ranges(raw, blocks.spread(at), half, length)
                     if len(often) and len(p):
                         h = leading(raw, p, half)
                         is_hot = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
@@ -295,11 +377,12 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
         if held:
             yield from combined(*(np.concatenate(x) for x in zip(*held)))
 
-    found = docs.select("k", "th", "t").join(hits, ["k", "th"]).select("k", "th", "t", "at").mapInArrow(records, schema)
+    found = edges.select("k", "th", "t", "at2").mapInArrow(records, schema)
     # the part number in front: a task that gets two parts sorts one after the other
     lead = F.expr(f"case when high < 0 then body else substring(body, high + 1, {half}) end")
     order_by = ["part", lead, "k"] if len(often) else ["part", lead]
-    placed = found.repartition(base * 2 if len(often) else base, "part").sortWithinPartitions(*order_by)
+    own = F.when(F.col("part") < 2 * base, F.col("part")).otherwise(F.col("part") - base)
+    placed = found.repartitionById(base * 2 if len(often) else base, own).sortWithinPartitions(*order_by)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches of whole groups of one lead, which hold about `hot` rows at most; strings of hot leads as they come."""
@@ -401,8 +484,14 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
 
     late = placed.mapInArrow(sweep, "k long, tag long, at binary")
     runs = late.groupBy("k", "tag").agg(F.array_join(F.collect_list(F.hex("at")), "").alias("at")).select("k", "tag", F.unhex("at").alias("at"))
-    # the tag is the low bits of the text hash; the hash itself comes from the small table of documents with hits
-    return runs.join(hits.select("k", "th", F.col("th").bitwiseAND(F.lit(0x7FFF).cast("long")).alias("tag")), ["k", "tag"]).select("k", "th", "at")
+    # the tag is the low bits of the text hash; the hash itself comes from the small table of documents with marks
+    tagged = marks.select("k", "th", "at", F.col("th").bitwiseAND(F.lit(0x7FFF).cast("long")).alias("tag")).join(runs.withColumnRenamed("at", "more"), ["k", "tag"], "left")
+    empty = F.lit(b"")
+    out = written(tagged.select("k", "th", F.concat(F.coalesce("at", empty), F.coalesce("more", empty)).alias("at")).where("octet_length(at) > 0"), "suffix-repeats")
+    del tagged, runs, late, placed, found, edges
+    remove(marks)
+    blocks.tidy(docs.sparkSession)
+    return out
 
 
 def remove_repeats(
