@@ -9,7 +9,6 @@ to documents and positions. Chunks are numbered by task and order, so a task tha
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -176,12 +175,6 @@ def answered(rows: DataFrame, decide: Callable, kinds: list[type], codes: int =
     return got.groupBy("chunk").applyInPandas(back, f"k long, th long, {', '.join(f'{c} binary' for c in names)}, n long")
 
 
-def tidy(spark) -> None:
-    """Let Spark drop the shuffle files of jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def copies(docs: DataFrame, name: str) -> DataFrame:
     """(k, th): documents (k, th, t) whose text a smaller key has too; written, as several joins read it.
 

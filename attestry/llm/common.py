@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows worked on at once in Python; Spark bounds what is sent to it at once by bytes.
 ROWS = 256
 
@@ -46,9 +47,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and lost executors cost nothing before it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")  # the shuffle files of this job go with its end, not with the driver's garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 

@@ -53,8 +53,6 @@ def repeated_windows(docs: DataFrame, whole: DataFrame, window: int, block: int,
 
     packed = blocks.packed(docs.select("k", "th", "t"), probes, shared, bits_for(n_words, per_bucket, 5, 20), per_chunk)
     hits_table = written(blocks.answered(packed, hit, [np.uint32]).select("k", "th", "at"), "substring-hits")
-    del packed
-    blocks.tidy(docs.sparkSession)
     hits = hits_table.join(whole, ["k", "th"], "left_anti")  # copies are settled
 
     near = window - block
@@ -94,9 +92,7 @@ def repeated_windows(docs: DataFrame, whole: DataFrame, window: int, block: int,
     bits = bits_for(n_words // 4, per_bucket, 5, 20)
     again = blocks.packed(found, candidates, earliest, bits, per_chunk)
     out = written(blocks.answered(again, after, [np.uint64, np.uint32, np.int64, np.uint32]).select("k", "th", "at"), "substring-repeats")
-    del again, found
     remove(hits_table)
-    blocks.tidy(docs.sparkSession)
     return out
 
 

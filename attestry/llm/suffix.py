@@ -119,9 +119,9 @@ def splitters(edges: DataFrame, half: int, parts: int, n: int) -> list[bytes]:
 
 
 def string_ranges(raw: bytes, hits: np.ndarray, half: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors whose leads are shared, as runs in hits say, with low and high: their strings begin low to high bytes before them."""
+    """Anchors whose leads are shared, as runs of their numbers in hits say, with low and high: their strings begin low to high bytes before them."""
     places, reach = anchors(raw, half)
-    use = blocks.mask(hits, len(raw))[places]
+    use = blocks.mask(hits, len(places))
     # a string can repeat only if all anchors in its first half do: the next one that does not bounds it
     bar = np.minimum.accumulate(np.where(use, len(raw) + length, places)[::-1])[::-1]
     p, r, bar = places[use], reach[use], bar[use]
@@ -193,7 +193,7 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
             return 0, np.zeros(0, np.int64), np.zeros(0, np.uint64)
         places, _ = anchors(raw, half)
         places = places[places + half <= len(raw)]
-        return len(raw), places, leading(raw, places, half)
+        return len(places), np.arange(len(places)), leading(raw, places, half)  # anchors by number: shared ones make long runs
 
     def shared(chunk: blocks.Chunk):
         if not chunk.parts:
@@ -226,8 +226,6 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
 
     packed = blocks.packed(docs.select("k", "th", "t"), prints, shared, bits_for(n_bytes // 6, per_bucket, 5, 20), per_chunk)
     hits_table = written(blocks.answered(packed, hit, [np.uint32]).select("k", "th", "at"), "suffix-hits")
-    del packed
-    blocks.tidy(docs.sparkSession)
     hits = hits_table.join(whole, ["k", "th"], "left_anti")  # copies are settled
     often = hot_leads(docs, half, hot)
 
@@ -281,12 +279,10 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
         return np.where((out == 0) & np.isin(arrays[0], hot_rest), 2, out)
 
     held_ = docs.select("k", "th", "t").join(hits, ["k", "th"]).select("k", "th", "t", "at")
-    packed = blocks.packed(held_, bodies, settled, bits_for(n_bytes // 20, per_bucket, 5, 20), per_chunk)
+    packed = blocks.packed(held_, bodies, settled, bits_for(n_bytes // 20, per_bucket, 5, 20), 6 * per_chunk)
     kinds = [np.uint32, np.uint64, np.uint32, np.int64, np.uint8]
     marks = written(blocks.answered(packed, judge_hot if len(often) else judge, kinds, codes=2, sizes=4), "suffix-marks")
-    del packed, held_
     remove(hits_table)
-    blocks.tidy(docs.sparkSession)
 
     edges = docs.select("k", "th", "t").join(marks.where("octet_length(at2) > 0").select("k", "th", "at2"), ["k", "th"])
     n_edges = marks.agg(F.sum("n").alias("n")).first().n or 0
@@ -488,15 +484,13 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
     tagged = marks.select("k", "th", "at", F.col("th").bitwiseAND(F.lit(0x7FFF).cast("long")).alias("tag")).join(runs.withColumnRenamed("at", "more"), ["k", "tag"], "left")
     empty = F.lit(b"")
     out = written(tagged.select("k", "th", F.concat(F.coalesce("at", empty), F.coalesce("more", empty)).alias("at")).where("octet_length(at) > 0"), "suffix-repeats")
-    del tagged, runs, late, placed, found, edges
     remove(marks)
-    blocks.tidy(docs.sparkSession)
     return out
 
 
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, columns: list[str] | None = None,
-    per_chunk: int = 8_000_000, per_bucket: int = 1_000_000, per_partition: int = 24 << 20, hot: int = 5_000,
+    per_chunk: int = 1_500_000, per_bucket: int = 1_000_000, per_partition: int = 24 << 20, hot: int = 5_000,
 ) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (long), spans (array of byte ranges removed) and kept (binary).
 

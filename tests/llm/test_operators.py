@@ -110,7 +110,7 @@ def test_byte_repeats_by_brute_force(docs, empty):
 
     small = docs.where("doc_id is null or doc_id <> 907")
     want = brute_bytes([(r.doc_id, r.text) for r in small.collect()])
-    for chunk in (2_000, 8_000_000):
+    for chunk in (300, 1_500_000):
         for r in remove_repeats(small, per_chunk=chunk, columns=["doc_id", "text"]).collect():
             assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id, r.text]
     assert remove_repeats(empty).count() == 0
