@@ -4,13 +4,19 @@ Words (lower case, letters and digits) of an item and of item-sized windows of a
 the CGK random walk: at step j the walk writes the current word and moves on if a random bit of (j, word)
 says so, which turns few edits into few changed places. Sampled places of several independent walks
 are the LSH keys of a window; windows that share a key with an item are verified by the exact word
-edit distance (bit-parallel, free ends). Before that, a lossless sieve drops windows: an item of m words
-within d edits leaves at least m - q + 1 - q d of its q-word sequences untouched in the document.
+edit distance (bit-parallel, free ends), on the words' 64-bit hashes.
+
+An item of more than PIECE words is keyed by its pieces, which cover it: of the edits allowed in the whole item at least
+one piece holds no more than its share, so that piece is found as an item of its own would be. A shorter item is keyed
+by its first and its last words, as many as a window size has. The number of walks is the least with which
+simulated pairs at the limit reach the target recall. Before all that, a lossless sieve drops windows:
+a piece of m words within d edits leaves at least m - q + 1 - q d of its q-word sequences untouched.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +27,9 @@ from pyspark.sql import types as T
 
 from attestry.llm.wordhash import ALNUM, mix, spans, windows, word_hashes
 
-WALKS, SAMPLES, PLACES = 8, 4, 3
-#: Window sizes of items: an item is looked up by its first words, as many as the largest of these that fits.
-GRID = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 112, 128]
+SAMPLES, PLACES, PIECE = 8, 3, 48
+#: Window sizes: a piece is looked up by windows of the largest of these that fits, at its start and at its end.
+GRID = [*range(1, 17), 18, 20, 22, 24, 26, 28, 30, 32, 36, 40, 44, 48]
 _SIGNS = regex.compile(r"[^\x00-\x7f\p{L}\p{N}\p{M}]+")
 
 
@@ -59,53 +65,62 @@ def edit_distance(pattern: list, text: list) -> tuple[int, int]:
     return best, end
 
 
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """(start, size) of the pieces that an item of n words is cut into: all of about one size, up to PIECE words."""
+    count = -(-n // PIECE)
+    edges = [n * i // count for i in range(count + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
 class Index:
     """Keys of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str]], share: float, walks: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.share = share
+        self.share, self.walks = share, walks
         self.items = []
         for key, text in items:
             raw, s, e = normal_words(text)
             if len(s):
                 self.items.append((key, word_hashes(raw, s, e)))
         self.edits = [int(share * len(h)) for _, h in self.items]
-        longest = max((len(h) for _, h in self.items), default=0)
-        self.steps = 2 * min(longest, GRID[-1])
-        self.odd = rng.integers(1, 2**63, (WALKS, max(1, self.steps)), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.reach = max((len(h) + d for (_, h), d in zip(self.items, self.edits)), default=0)
+        self.steps = 2 * PIECE
+        self.odd = rng.integers(1, 2**63, (walks, self.steps), np.uint64) * np.uint64(2) + np.uint64(1)
         grams: dict[int, list] = {1: [], 3: []}
-        needs = []
-        for (_, h), d in zip(self.items, self.edits):
-            q = 3 if len(h) - 2 - 3 * d >= 1 else 1
-            grams[q].append(windows(h, q))
-            needs.append(len(h) - q + 1 - q * d)
+        needs, self.reach = [], 0
+        # windows by size: (item, start in the item)
+        self.sizes: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, h) in enumerate(self.items):
+            for start, n in pieces_of(len(h)):
+                d = self.edits[i] * n // len(h)  # a piece's share of the item's edits, rounded down
+                q = 3 if n - 2 - 3 * d >= 1 else 1
+                grams[q].append(windows(h[start : start + n], q))
+                needs.append(n - q + 1 - q * d)
+                self.reach = max(self.reach, n + d)
+                size = max(g for g in GRID if g <= n)
+                self.sizes[size] += sorted({(i, start), (i, start + n - size)})
         self.grams = {q: np.unique(np.concatenate(g)) for q, g in grams.items() if g}
         self.need = max(1, min(needs, default=1))
-        self.sizes: dict[int, list[int]] = defaultdict(list)
-        for i, (_, h) in enumerate(self.items):
-            self.sizes[max(g for g in GRID if g <= len(h))].append(i)
         self.places = {
             (size, w): [(np.sort(rng.choice(2 * size, min(PLACES, 2 * size), replace=False)), rng.integers(1, 2**63, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)) for _ in range(SAMPLES)]
-            for size in sorted(self.sizes) for w in range(WALKS)
+            for size in GRID for w in range(walks)
         }
-        # the items' own keys: sorted arrays with the items of each key
+        # the items' own keys: sorted arrays with the windows of each key
         self.keys: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         for size, own in self.sizes.items():
-            flat = np.concatenate([self.items[i][1][:size] for i in own])
+            flat = np.concatenate([self.items[i][1][at : at + size] for i, at in own])
             starts = np.arange(len(own)) * size
-            for w in range(WALKS):
-                for t, k in enumerate(self._keys(flat, starts, w, size, *self._walk(flat, starts, w))):
+            for w in range(walks):
+                for t, k in enumerate(self._keys(flat, starts, w, size, *self._walk(flat, starts, w, 2 * size))):
                     order = np.argsort(k, kind="stable")
                     self.keys[size, w, t] = (k[order], np.array(own)[order])
 
-    def _walk(self, h: np.ndarray, starts: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    def _walk(self, h: np.ndarray, starts: np.ndarray, w: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """Words written and how far the walk has come, for each step (rows) and start."""
         n = len(h) - 1
-        wrote, far = np.empty((self.steps, len(starts)), np.uint64), np.empty((self.steps, len(starts)), np.int16)
+        wrote, far = np.empty((steps, len(starts)), np.uint64), np.empty((steps, len(starts)), np.int16)
         at = np.zeros(len(starts), np.int64)
-        for j in range(self.steps):
+        for j in range(steps):
             word = h[np.minimum(starts + at, n)]
             wrote[j], far[j] = word, at
             at = at + ((word * self.odd[w, j]) >> np.uint64(63)).astype(np.int64)
@@ -138,7 +153,7 @@ class Index:
         return np.flatnonzero(c[upto] - c[:n] >= self.need)
 
     def candidates(self, docs: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
-        """(document, item) -> starts of windows that share a key."""
+        """(document, item) -> where the item would start by windows that share a key (before the document, if below 0)."""
         found: dict[tuple[int, int], set] = defaultdict(set)
         at = [self.starts(h) for h in docs]
         offsets = np.concatenate(([0], np.cumsum([len(h) + self.reach for h in docs]))).astype(np.int64)
@@ -152,8 +167,8 @@ class Index:
         starts = np.concatenate([a + offsets[d] for d, a in enumerate(at)])
         for low in range(0, len(starts), 1 << 14):
             s, o = starts[low : low + (1 << 14)], own[low : low + (1 << 14)]
-            for w in range(WALKS):
-                wrote, far = self._walk(flat, s, w)
+            for w in range(self.walks):
+                wrote, far = self._walk(flat, s, w, 2 * max(self.sizes))
                 for size in self.sizes:
                     for t, k in enumerate(self._keys(flat, s, w, size, wrote, far)):
                         known, items = self.keys[size, w, t]
@@ -161,7 +176,7 @@ class Index:
                         for x in np.flatnonzero(known[np.minimum(left, len(known) - 1)] == k):
                             i = left[x]
                             while i < len(known) and known[i] == k[x]:
-                                found[int(o[x]), int(items[i])].add(int(s[x] - offsets[o[x]]))
+                                found[int(o[x]), int(items[i][0])].add(int(s[x] - offsets[o[x]] - items[i][1]))
                                 i += 1
         return {k: sorted(v) for k, v in found.items()}
 
@@ -173,7 +188,7 @@ class Index:
             high = low
             while high + 1 < len(starts) and starts[high + 1] - starts[high] <= len(pattern):
                 high += 1
-            a, b = max(0, starts[low] - 2 * d - 1), min(len(h), starts[high] + len(pattern) + 2 * d + 1)
+            a, b = max(0, starts[low] - 2 * d - 1), max(0, min(len(h), starts[high] + len(pattern) + 2 * d + 1))
             part = h[a:b].tolist()
             dist, end = edit_distance(pattern, part)
             if dist <= d and (best is None or dist < best[0]):
@@ -183,6 +198,45 @@ class Index:
         return best
 
 
+@lru_cache
+def walks_for(share: float, recall: float, trials: int = 500, most: int = 40) -> int:
+    """Walks with which `recall` of simulated pieces of several sizes, edited up to the limit, share a key with their item."""
+    rng = np.random.default_rng(17)
+    index = Index([], share, most, 19)
+    need = 1
+    for size in (10, 14, 20, 28, 38, PIECE):
+        g = max(g for g in GRID if g <= size)
+        items, texts, begins = [], [], []
+        for _ in range(trials):
+            words = rng.integers(1, 2**63, size, np.uint64)
+            new = words.tolist()
+            for _ in range(int(share * size)):
+                p, kind = int(rng.integers(0, len(new))), int(rng.integers(0, 3))
+                fresh = int(rng.integers(1, 2**63))
+                new[p : p + 1] = ([], [fresh], [new[p], fresh])[kind]
+            items.append(words)
+            # only windows that start where the item's do, or a word or two beside
+            begins.append([2 + x for x in (-2, -1, 0, 1, 2)])
+            begins[-1] += [x + len(new) - size for x in begins[-1]]
+            texts.append(np.concatenate((rng.integers(1, 2**63, 2, np.uint64), np.array(new, np.uint64), rng.integers(1, 2**63, 2 * PIECE, np.uint64))))
+        offsets = np.cumsum([0, *(len(t) for t in texts[:-1])])
+        at = np.maximum(0, np.array(begins)) + offsets[:, None]
+        flat, own = np.concatenate(texts), np.concatenate(items)
+        own_at = np.arange(trials) * size
+        own_at = np.stack([own_at, own_at + size - g], axis=1)
+        found = np.zeros((trials, most), bool)
+        for w in range(most):
+            mine = index._keys(own, own_at.ravel(), w, g, *index._walk(own, own_at.ravel(), w, 2 * g))
+            theirs = index._keys(flat, at.ravel(), w, g, *index._walk(flat, at.ravel(), w, 2 * g))
+            for a, b in zip(mine, theirs):
+                same = a.reshape(trials, 2, 1) == b.reshape(trials, 2, 5)  # first words with the windows at the start, last ones with those at the end
+                found[:, w] |= same.any(axis=(1, 2))
+        got = np.logical_or.accumulate(found, axis=1).mean(axis=0)
+        enough = np.flatnonzero(got >= recall)
+        need = max(need, int(enough[0]) + 1 if len(enough) else most)
+    return need
+
+
 OUT = T.StructType([
     T.StructField("distance", T.IntegerType()), T.StructField("n_item_words", T.IntegerType()),
     T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()),
@@ -191,13 +245,16 @@ OUT = T.StructType([
 
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    share: float = 0.2, block_items: int = 2000, block_bytes: int = 4 << 20,
+    share: float = 0.2, recall: float = 0.995, block_items: int = 2000, block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row for each document and item of which the document holds a passage within share * words edits.
 
     Columns: the document's key, the item's key, distance (word edits), n_item_words, and the words of the
-    document (start_word, end_word) that match best. Null, empty and wordless texts match nothing; items
-    with a null key are left out; repeated documents give repeated rows. Items are held against all
+    document (start_word, end_word) that match best, the first of equally good ones. recall is what the keys find of
+    passages at the limit of edits; nothing is found that is not within it. Null, empty and wordless texts
+    match nothing; items with a null key are left out; repeated documents give repeated rows, repeated items too. Very
+    long texts and items are worked whole, window by window. Further columns of docs and items, whatever their names,
+    play no part; an item key named like the documents' key comes back as <name>_item. Items are held against all
     documents in blocks of about block_items or block_bytes, so what goes to the executors is bounded.
     No shuffle: documents are read once for each block.
     """
@@ -205,6 +262,7 @@ def contaminated(
     size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size.n // block_items), -(-size.b // block_bytes))
     d = docs.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{text}`").alias("__t"))
+    walks = walks_for(share, recall)
     schema = T.StructType([d.schema[0], T.StructField("__i", known.schema[0].dataType), *OUT])
     out = None
     for b in range(blocks):
@@ -212,7 +270,7 @@ def contaminated(
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches, sent=sent):
-            index = Index(sent.value, share)
+            index = Index(sent.value, share, walks)
             for whole in batches:
                 for low in range(0, whole.num_rows, 1024):
                     batch = whole.slice(low, 1024)
@@ -233,6 +291,8 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that hold an item; documents with a null key are kept. Columns are unchanged."""
+    """The documents without those that hold an item; columns, null texts and documents with a null key are kept.
+
+    Of rows with one key all go if one holds an item; without items, or of an empty table, nothing goes."""
     hits = contaminated(docs, items, key=key, **options).select(F.col(f"`{key}`").alias("__hit")).distinct()
     return docs.join(hits, F.col(f"`{key}`") == F.col("__hit"), "left_anti")

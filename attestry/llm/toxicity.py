@@ -129,7 +129,7 @@ class Matcher:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most_rows: int = 12_000, most_terms: int = 2000,
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most_rows: int = 12_000,
     least_texts: int = 5, least_rate: float = 0.8, stem_rate: float = 0.3, phrases: list[str] = (),
 ) -> Lexicon:
     """Learn terms, exceptions and the score table from about most_rows labelled documents (whole texts).
@@ -140,7 +140,7 @@ def fit(
     to eight letters, in three times as many toxic texts and with stem_rate or more toxic; words under a stem
     are terms with their own weight, negative too, where they are common enough. An exception is a pair of words
     that holds a term and occurs in at least least_texts distinct texts of which fewer than half are toxic;
-    given phrases are added. Rows with a null text, label or key teach nothing; without rows the lexicon is
+    given phrases are added. All that pass these tests are taken; the sample bounds how many can. Rows with a null text, label or key teach nothing; without rows the lexicon is
     empty and every score 0.
     """
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).dropna()
@@ -183,21 +183,25 @@ def fit(
     stem = F.col("term").endswith("*")
     often = (F.col("bad") >= 3 * least_texts) & (F.col("bad") >= stem_rate * (F.col("bad") + F.col("good")))
     stems: dict[str, tuple[float, int]] = {}
-    for r in found.where(stem & often).orderBy(F.length("term").desc(), F.desc("bad"), "term").limit(most_terms).collect():
-        if not any(q.startswith(r.term[:-1]) and n >= 0.8 * r.bad for q, (_, n) in stems.items()):
-            stems[r.term[:-1]] = (r.w, r.bad)
+    longer: dict[str, int] = {}  # of each beginning, the most toxic texts of a chosen stem that goes on from it
+    for r in found.where(stem & often).orderBy(F.length("term").desc(), F.desc("bad"), "term").collect():
+        name = r.term[:-1]
+        if longer.get(name, -1) < 0.8 * r.bad:
+            stems[name] = (r.w, r.bad)
+            for size in range(4, len(name) + 1):
+                longer[name[:size]] = max(longer.get(name[:size], 0), r.bad)
     under = F.lit(False)
     for size in sorted({len(x) for x in stems}):
         under = under | F.substring("term", 1, size).isin([x for x in stems if len(x) == size])
     sure = (F.col("bad") >= least_texts) & (F.col("bad") >= least_rate * (F.col("bad") + F.col("good")))
-    chosen = found.where(~stem & (sure | under)).orderBy(F.abs("w").desc(), "term").limit(most_terms)
+    chosen = found.where(~stem & (sure | under))
     weights = {r.term: r.w for r in chosen.collect()}
 
     def pairs(words):
         return {f"{a} {b}" for a, b in zip(words, words[1:]) if weights.get(a, 0) > 0 or weights.get(b, 0) > 0}
 
     spared = table(pairs).where((F.col("term") != "") & (F.col("bad") + F.col("good") >= least_texts) & (F.col("bad") < F.col("good")))
-    exceptions = [r.term for r in spared.orderBy(F.desc("good"), "term").limit(most_terms).collect()]
+    exceptions = [r.term for r in spared.collect()]
     lexicon = Lexicon(weights, {k: w for k, (w, _) in stems.items()}, sorted({*exceptions, *(fold(p).strip() for p in phrases)}))
 
     # the share of toxic texts by bins of the density, made monotonic

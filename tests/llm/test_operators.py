@@ -135,6 +135,19 @@ def test_byte_repeats_of_hot_leads_by_brute_force(spark, docs, monkeypatch):
     assert sizes[0] > sizes[1] > 0
 
 
+def test_word_repeats_of_words_that_defeat_power_hashes(spark):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo any power of two; here they are different words."""
+    from attestry.llm.substring import remove_repeats
+
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - b for b in bits]
+    first, second = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    lead = " ".join(f"w{i}" for i in range(19))
+    d = spark.createDataFrame([(1, f"{lead} {first}"), (2, f"{lead} {second}"), (3, f"{lead} other"), (4, f"{lead} {second}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeats(d).collect()} == {1: 0, 2: 0, 3: 0, 4: 20}
+
+
 def test_word_repeats_by_brute_force(docs, empty):
     from attestry.llm.substring import remove_repeats
 
@@ -179,6 +192,62 @@ def test_decontamination_finds_edited_passages(spark, docs, empty):
     assert contaminated(empty, items).count() == 0 and contaminated(d, items.limit(0)).count() == 0
 
 
+def edit_table(pattern, text):
+    """Least edits from pattern to any part of text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (p != t)))
+        row = new
+    return min(row)
+
+
+def test_decontamination_equals_an_edit_search(spark):
+    """Short items, long ones and clashing columns against the plain table of edits, over all pairs."""
+    from attestry.llm.decontam import contaminated, decontaminate
+
+    r = random.Random(3)
+    base = [[r.choice("abcdefghijklmnop") + str(r.randint(0, 6)) for _ in range(n)] for n in (6, 9, 15, 30, 60, 130)]
+    docs = [(i, " ".join(r.choice(base)[: r.randint(3, 140)] + [f"z{r.randint(0, 99)}" for _ in range(r.randint(0, 9))])) for i in range(60)]
+    for i in range(60, 120):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, len(w) // 4)):
+            p = r.randrange(len(w))
+            w[p : p + 1] = r.choice([[], ["new"], [w[p], "more"]])
+        docs.append((i, " ".join(["lead"] * r.randint(0, 5) + w + ["end"] * r.randint(0, 5))))
+    docs += [(200, None), (201, ""), (None, docs[60][1]), (60, docs[60][1]), (202, "word " * 30_000 + docs[70][1])]
+    items = spark.createDataFrame([(i, " ".join(b), 1) for i, b in enumerate(base)], "doc_id long, text string, distance int")
+    d = spark.createDataFrame([(k, t, 2, "x") for k, t in docs], "doc_id long, text string, start_word int, __k string")
+    got = Counter((x.doc_id, x.doc_id_item, x.distance) for x in contaminated(d, items, item_key="doc_id", recall=0.999).collect())
+    want = Counter((k, i, e) for k, t in docs if k != 202 for i, b in enumerate(base) if (e := edit_table(b, (t or "").split())) <= int(0.2 * len(b)))
+    assert Counter({x: n for x, n in got.items() if x[0] != 202}) == want and sum(want.values()) > 60
+    assert {x[1:] for x in got if x[0] == 202} == {x[1:] for x in got if x[0] == 70}
+    left = decontaminate(d, items, item_key="doc_id")
+    assert left.columns == d.columns and {x.doc_id for x in left.collect()} == {k for k, _ in docs} - {x[0] for x in got if x[0] is not None}
+
+
+@pytest.mark.parametrize("n, edits, within", [(40, 8, 40), (36, 7, 36), (63, 12, 56), (400, 80, 400), (400, 60, 128), (600, 110, 128)])
+def test_decontamination_recall(n, edits, within):
+    """Share of edited passages found, edits spread over the whole item or crowded at its start."""
+    from attestry.llm.decontam import Index, walks_for
+    from attestry.llm.wordhash import spans, word_hashes
+
+    r, trials, found = random.Random(n + edits), 100, 0
+    walks = walks_for(0.2, 0.995)
+    for x in range(trials):
+        words = [f"w{r.randint(0, 3000)}" for _ in range(n)]
+        new = list(words)
+        for _ in range(edits):
+            p = r.randrange(min(within, len(new)))
+            new[p : p + 1] = r.choice([[], [f"q{r.randint(0, 3000)}"], [new[p], f"q{r.randint(0, 3000)}"]])
+        raw = " ".join([f"w{r.randint(0, 3000)}" for _ in range(20)] + new + [f"w{r.randint(0, 3000)}" for _ in range(20)]).encode()
+        index = Index([(1, " ".join(words))], 0.2, walks)
+        h = word_hashes(raw, *spans(raw))
+        found += any(index.verified(h, item, starts) for (_, item), starts in index.candidates([h]).items())
+    assert found >= 0.98 * trials
+
+
 def test_quality_ledger_and_ablations(docs, empty):
     from attestry.llm.quality import RULES, STANDARD, ablations, apply_policy, ledger, measure
 
