@@ -18,9 +18,11 @@ SUB_ANNUAL = (
 FISCAL = r"\b(?:fy|fiscal(?:[ -]year)?|financial(?:[ -]year)?|exercice|annee fiscale)\b"
 CALENDAR = r"\b(?:calendar(?:[ -]year)?|annee (?:civile|calendaire))\b"
 PAST = r"(?:publi(?:e|ee|es|ees)|declar(?:e|ee|es|ees)|declared|reported|audited|estim(?:e|ee|es|ees|ated)|verifi(?:e|ee|es|ees)|verified)"
+#: The same without `declared`, as the second pattern of denial has it.
+PAST_NE = PAST.replace("|declared", "")
 DENIED = [
     r"\b(?:non(?:\s+encore)?|pas(?:\s+encore)?|jamais|not(?:\s+yet)?|never)\b(?:[\s-]+\p{L}+){0,3}[\s-]+" + PAST + r"\b",
-    r"\b(?:ne|n)\b.{0,24}\b(?:pas|jamais)\b.{0,24}\b" + PAST + r"\b",
+    r"\b(?:ne|n)\b.{0,24}\b(?:pas|jamais)\b.{0,24}\b" + PAST_NE + r"\b",
     r"\b(?:unpublished|undeclared|unaudited|unreported|unverified)\b",
     r"\b(?:contest(?:e|ee|es|ees)|disputed|incertain(?:e|es|s)?|uncertain)\b",
 ]

@@ -1,6 +1,6 @@
 """Column functions over text: normal forms, tokens, profiles.
 
-Unicode normal forms are not in Spark SQL: they are Arrow UDFs, called only for texts that are not ASCII.
+Unicode normal forms are not in Spark SQL: they are Arrow UDFs, sent only texts that are not ASCII.
 """
 
 from __future__ import annotations
@@ -55,7 +55,9 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 
 
 def _unless_ascii(c: Column, f) -> Column:
-    return F.when(c.rlike("^[\\x00-\\x7f]*$"), c).otherwise(f(c))
+    # a Python function is evaluated for every row whatever stands around it: ASCII texts go to it as null
+    plain = c.rlike("^[\\x00-\\x7f]*$")
+    return F.when(plain, c).otherwise(f(F.when(~plain, c)))
 
 
 def nfkc(c: Column) -> Column:

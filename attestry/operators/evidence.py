@@ -23,31 +23,57 @@ BLOCK_ELEMENTS = {
 }
 
 
+VOID_ELEMENTS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+HIDING_STYLES = {("display", "none"), ("visibility", "hidden"), ("content-visibility", "hidden")}
+
+
+def _hides(tag: str, attrs: list) -> bool:
+    """True for an element that no reader sees: by its kind, an attribute or its own style."""
+    given = {k.lower(): (v or "") for k, v in reversed(attrs)}
+    if tag in HIDDEN_ELEMENTS - {"head", "title"} or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    for rule in given.get("style", "").split(";"):
+        name, _, value = rule.partition(":")
+        if (name.strip().lower(), re.sub(r"\s*!important\s*$", "", value.strip().lower()).strip()) in HIDING_STYLES:
+            return True
+    return False
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.out, self.skip, self.in_title = [], [], 0, False
+        self.title, self.out, self.in_title = [], [], False
+        self.hidden, self.depth = None, 0  # the hidden element that is open, and how many of its kind are
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            if tag == self.hidden == "p":  # a paragraph ends where the next begins
+                self.hidden = None
+            else:
+                self.depth += tag == self.hidden
+                return
         if tag == "title":
             self.in_title = True
-        elif tag in HIDDEN_ELEMENTS - {"head"}:
-            self.skip += 1
+        elif _hides(tag, attrs):
+            if tag not in VOID_ELEMENTS:
+                self.hidden, self.depth = tag, 1
         elif tag in BLOCK_ELEMENTS:
             self.out.append("\n")
 
     def handle_endtag(self, tag):
-        if tag == "title":
+        if self.hidden:
+            self.depth -= tag == self.hidden
+            if not self.depth:
+                self.hidden = None
+        elif tag == "title":
             self.in_title = False
-        elif tag in HIDDEN_ELEMENTS - {"head"}:
-            self.skip = max(0, self.skip - 1)
         elif tag in BLOCK_ELEMENTS:
             self.out.append("\n")
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.skip:
+        elif not self.hidden:
             self.out.append(data)
 
 

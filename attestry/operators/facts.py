@@ -176,11 +176,15 @@ def independent(proofs: DataFrame, keys: list[str]) -> DataFrame:
 def match_names(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """(request_id, candidate_key) whose names match: equal, or all requested words among the candidate's; a requested legal suffix must be there too.
 
-    Blocked by the first requested word: one equi-join on words.
+    Blocked by the requested word that the fewest candidates have: one equi-join on words.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(x.conflict_text(F.col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    r = requests.select("request_id", words("name").alias("w")).where(F.size("w") > 0).withColumn("b", F.element_at("w", 1))
+    r = requests.select("request_id", words("name").alias("w")).where(F.size("w") > 0)
     c = candidates.select("candidate_key", words("display_name").alias("v")).withColumn("b", F.explode("v"))
+    often = c.groupBy("b").agg(F.count("*").alias("n"))
+    # words that no candidate has match nothing, as all requested words must be there
+    rarest = r.select("request_id", "w", F.explode("w").alias("b")).join(often, "b").groupBy("request_id", "w").agg(F.min(F.struct("n", "b")).alias("least"))
+    r = rarest.select("request_id", "w", F.col("least.b").alias("b"))
     return r.join(c, "b").where(F.size(F.array_except("w", "v")) == 0).select("request_id", "candidate_key").distinct()
 
 

@@ -71,15 +71,13 @@ def resolve_redirects(start: DataFrame, edges: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _packed(address: pd.Series) -> pd.Series:
-    """An address as sortable text: family and fixed-width hex; null if it is none."""
+    """An address as sortable text: family and fixed-width hex; null if it is none. A mapped IPv4 address is an IPv6 one."""
 
     def one(a):
         try:
             ip = ipaddress.ip_address(a)
         except ValueError:
             return None
-        if ip.version == 6 and ip.ipv4_mapped:
-            ip = ip.ipv4_mapped
         return f"{ip.version}:{int(ip):032x}"
 
     return address.map(one, na_action="ignore")
@@ -91,16 +89,19 @@ def blocks(spark) -> DataFrame:
 
 
 def screen_hosts(answers: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
-    """(host, n_answers, public, address): public if no answer is in a reserved block, outside 2000::/3 or unreadable; address is the smallest then.
+    """(host, n_answers, public, address): public if no answer is unreadable, of another family than declared, in a reserved
+    block or outside 2000::/3; address is the smallest by value then, IPv4 first. answers: host, address, family if declared.
 
     The blocks are a fixed table of under 40 rows, sent to every task for the range join.
     """
     reserved = blocks(answers.sparkSession) if reserved is None else reserved
-    a = answers.select("host", "address", _packed("address").alias("ip"))
-    global_v6 = F.col("ip").startswith("4:") | F.col("ip").rlike("^6:[23]")
+    family = F.col("family").cast("string") if "family" in answers.columns else F.substring("ip", 1, 1)
+    a = answers.withColumn("ip", _packed("address")).select("host", "address", "ip", family.alias("family"))
+    readable = F.coalesce(F.substring("ip", 1, 1) == F.col("family"), F.lit(False))
+    # IPv6 addresses outside the global unicast block are refused, so reserved blocks outside it need no row
+    global_ip = F.col("ip").startswith("4:") | F.col("ip").rlike("^6:[23]")
     j = a.join(F.broadcast(reserved), (F.col("ip") >= F.col("low")) & (F.col("ip") <= F.col("high")), "left")
-    ok = F.col("ip").isNotNull() & F.col("low").isNull() & global_v6
-    each = j.groupBy("host", "address").agg(F.bool_and(ok).alias("ok"), F.countDistinct("low").alias("__n"))
+    ok = readable & F.col("low").isNull() & global_ip
     n = a.groupBy("host").agg(F.count("*").alias("n_answers"))
-    hosts = each.groupBy("host").agg(F.bool_and("ok").alias("public"), F.min("address").alias("address"))
+    hosts = j.groupBy("host").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("public"), F.min_by("address", "ip").alias("address"))
     return n.join(hosts, "host").select("host", "n_answers", "public", F.when(F.col("public"), F.col("address")).alias("address"))

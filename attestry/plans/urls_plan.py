@@ -109,9 +109,9 @@ def u5_screen_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 U5 = "WITH a AS (" + ANSWERS.replace("{pages}", "pages") + """),
 n AS (
-  SELECT host, address, cast(split_part(address, '.', 1) AS int) AS b1, cast(split_part(address, '.', 2) AS int) AS b2 FROM a)
+  SELECT host, address, cast(split_part(address, '.', 1) AS int) AS b1, cast(split_part(address, '.', 2) AS int) AS b2, cast(split_part(address, '.', 3) AS int) AS b3, cast(split_part(address, '.', 4) AS int) AS b4 FROM a)
 SELECT host, count(*)::BIGINT AS n_answers, bool_and(NOT (b1 = 10 OR (b1 = 172 AND b2 BETWEEN 16 AND 31))) AS public,
-  CASE WHEN bool_and(NOT (b1 = 10 OR (b1 = 172 AND b2 BETWEEN 16 AND 31))) THEN min(address) END AS address
+  CASE WHEN bool_and(NOT (b1 = 10 OR (b1 = 172 AND b2 BETWEEN 16 AND 31))) THEN min_by(address, ((b1::BIGINT * 256 + b2) * 256 + b3) * 256 + b4) END AS address
 FROM n GROUP BY host
 """
 
