@@ -6,18 +6,21 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back; a local one only where none is set and Spark runs in one process (tests)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder in spark.checkpoint.dir; in a local one only where none is set and Spark runs in one process (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
