@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.common import map_arrow, written
+from attestry.llm.common import map_arrow, remove, written
 from attestry.llm.wordhash import mix, spans, windows, word_hashes
 
 PLACES = 64
@@ -155,7 +155,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternating large and small stars; tables are written after each round, and only counts reach the driver.
     """
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
-    before = None
+    before, old = None, e
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -165,6 +165,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        if old is not None:
+            remove(old)
+        old = e
         if now == before:
             return e.select("u", F.col("v").alias("root"))
         before = now
@@ -262,7 +265,11 @@ def near_duplicates(
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest key of their class, and those with a null key; columns unchanged."""
+    """The documents that are the smallest key of their class, and those with a null key; columns unchanged.
+
+    Null and empty texts are copies of each other; texts without words but not empty stay unless they are copies. Rows that
+    repeat a kept row stay with it, as they share its key; an empty table gives an empty table.
+    """
     found = near_duplicates(docs, key, text, **options)
-    drop = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("__drop"))
+    drop = found.where(F.col(f"`{key}`") != F.col("class_id")).select(F.col(f"`{key}`").alias("__drop"))
     return docs.join(drop, F.col(f"`{key}`") == F.col("__drop"), "left_anti")

@@ -327,6 +327,35 @@ def test_pipeline_stages(spark):
     assert last and all(r.round_trip for r in last)
 
 
+def test_pipeline_stages_on_edge_rows(spark):
+    """Null keys and texts, empty, very long, repeated rows and copies, clashing columns; each stage by brute force or by what it must keep."""
+    import corpus_pipeline as p
+    from attestry.llm.quality import measure
+
+    r = random.Random(21)
+    words = lambda n: " ".join(f"w{r.randrange(5_000)}" for _ in range(n))
+    base = words(120)
+    shared = words(40)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    texts = [(1, base), (2, base), (3, base.replace("w1", "v1", 1)), (4, f"{words(80)} {shared} {words(30)}"), (5, f"{words(60)} {shared} {words(50)}"), (6, f"{words(60)} {item} {words(60)}"),
+             (7, words(60_000)), (8, None), (9, ""), (10, "too short"), (None, words(70)), (None, None), (1, base), (11, "again " * 300)]
+    d = spark.createDataFrame([(k, t, "en", "s", len(t or ""), True, 7, "x", "y") for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n_words int, th string, at string")
+    after = {}
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, d.limit(0), SF).columns == d.columns
+        d = p.written(stage(spark, d, SF), f"test-{name}")
+        after[name] = [(x.doc_id, x.text) for x in d.collect()]
+        assert len(d.columns) == 9 and all((x.kept, x.n_words, x.th, x.at) == (True, 7, "x", "y") for x in d.collect())
+    bad = lambda t: (m := measure(t))[0] < 50 or 100 * m[5] > 50 * m[0]
+    assert Counter(after["quality_rules"]) == Counter((k, t) for k, t in texts if not bad(t))
+    assert Counter(k for k, _ in after["near_duplicates"]) == Counter([1, 1, 4, 5, 6, 7, None])
+    cut = dict(after["substring_dedup"])
+    assert shared in cut[4] and shared not in cut[5] and len(cut[5].split()) == 110 and cut[7] == dict(texts)[7]
+    assert {k for k, _ in after["decontamination"]} == {1, 4, 5, 7, None}
+    last = p.STAGES[-1][1](spark, d, SF).collect()
+    assert len(last) == 6 and all(x.round_trip and x.n_tokens == len(x.token_ids) > 0 for x in last)
+
+
 def test_pipeline_keeps_clean_long_texts(spark):
     """The share of distinct words falls with the length of a text: a long clean one is not removed for it."""
     from corpus_pipeline import quality_rules
