@@ -87,3 +87,36 @@ def first_issue(found: DataFrame, order: list[str]) -> DataFrame:
     place = reduce(lambda acc, kv: acc.when(F.col("code") == kv[1], kv[0]), enumerate(order), F.when(F.lit(False), 0)).otherwise(len(order))
     g = found.groupBy("request_id").agg(F.min(F.struct(place.alias("place"), "code", "id")).alias("m"))
     return g.select("request_id", "m.code", "m.id")
+
+
+def contradiction_rules(contradictions: DataFrame, versions: DataFrame, claims: DataFrame, presented: DataFrame) -> DataFrame:
+    """V6, the rules that need no metric sentence: (request_id, code, id) of visible contradictions and their versions.
+
+    contradictions: request_id, contradiction_id, visible, classification, nature_checked, predicate, subject_key; versions: contradiction_id, claim_id,
+    normalized_value, unit, currency; claims: claim_id, subject_key, predicate, state, reconciliation, decision, value (a number), unit; presented: contradiction_id.
+    """
+    c = contradictions.where("visible").join(presented.select("contradiction_id").distinct().withColumn("__p", F.lit(True)), "contradiction_id", "left")
+    text = lambda name: x.conflict_text(F.col(name))
+    number = F.col("normalized_value")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    j = versions.join(claims.select("claim_id", F.col("subject_key").alias("__s"), F.col("predicate").alias("__cp"), "state", "reconciliation", "decision", "value", F.col("unit").alias("__cu"), F.lit(True).alias("__c")), "claim_id", "left")
+    g = j.groupBy("contradiction_id").agg(
+        F.count("*").alias("n"), F.count_distinct("claim_id").alias("n_claims"), F.max(~finite).alias("odd"), F.count_distinct("normalized_value").alias("n_values"),
+        F.count_distinct(F.concat_ws("|", text("unit"), text("currency"))).alias("n_units"), F.collect_set("__s").alias("subjects"))
+    d = c.join(g, "contradiction_id", "left")
+    n = lambda name: F.coalesce(F.col(name), F.lit(0))
+    codes = [
+        (F.col("__p").isNull(), "not_presented"), (F.col("classification") != "contradiction", "wrong_classification"), (~F.col("nature_checked"), "requires_value_nature_check"), (n("n") < 2, "needs_two_versions"),
+        (n("n_claims") < 2, "needs_distinct_claims"), (F.coalesce("odd", F.lit(False)), "requires_finite_numeric_values"), (n("n_values") < 2, "needs_distinct_values"), (n("n_units") != 1, "requires_same_unit_currency"),
+        (~F.coalesce((F.size("subjects") == 1) & F.array_contains("subjects", F.col("subject_key")), F.lit(False)), "requires_same_resolved_subject"),
+    ]
+    whole = d.select("request_id", F.explode(F.array_compact(F.array(*[F.when(k, f"visible_contradiction_{code}") for k, code in codes]))).alias("code"), F.col("contradiction_id").alias("id"))
+    e = j.join(c.select("contradiction_id", "request_id", "predicate"), "contradiction_id")
+    there = F.col("__c").isNotNull()
+    contested = F.coalesce((F.col("state") == "contested") & (F.col("reconciliation") == "contradiction") & (F.col("decision") == "display_fact"), F.lit(False))
+    each = [
+        (~contested, "requires_contested_claim"), (there & (text("__cp") != text("predicate")), "predicate_mismatch"), (there & (text("__cu") != text("unit")), "unit_mismatch"),
+        (there & ~F.col("value").eqNullSafe(number), "value_mismatch"),
+    ]
+    of = F.concat_ws(":", "contradiction_id", "claim_id")
+    return whole.unionByName(e.select("request_id", F.explode(F.array_compact(F.array(*[F.when(k, f"visible_contradiction_{code}") for k, code in each]))).alias("code"), of.alias("id")))
