@@ -31,10 +31,15 @@ from pyspark.sql import types as T
 
 from attestry.llm import blocks
 from attestry.llm.common import bits_for, map_arrow, remove, text_bytes, written
-from attestry.llm.wordhash import BARE, mix, range_hashes
+from attestry.llm.wordhash import BARE, characters, mix
 
-_BYTE = np.random.default_rng(303).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD1342543DE82EF95
+_ODD = np.random.default_rng(303).integers(1, 2**63, (2, 64), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def lanes(raw: bytes) -> np.ndarray:
+    """The 8 bytes from every place of a text, scrambled."""
+    return mix(characters(raw) ^ np.uint64(_BASE))
 
 
 def anchors(raw: bytes, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,25 +60,27 @@ def anchors(raw: bytes, half: int) -> tuple[np.ndarray, np.ndarray]:
     return places, np.where(alone[places], -1, reach[places])
 
 
-def leading(raw: bytes, places: np.ndarray, half: int) -> np.ndarray:
-    """Hash of the half bytes from each place, which must all lie inside the text."""
-    v = _BYTE[np.frombuffer(raw, np.uint8)]
-    # doubling: hashes of 1, 2, 4, ... bytes, put together for half
-    out, have, size, done, rest = np.zeros(len(places), np.uint64), v, 1, 0, half
-    power = _BASE
-    while rest:
-        if rest & 1:
-            out = out * np.uint64(power) + have[places + done]
-            done += size
-        rest >>= 1
-        if rest:
-            m = len(have) - size
-            have = have[:m] * np.uint64(power) + have[size : size + m]
-            power = power * power % 2**64
-            size *= 2
+def leading(raw: bytes, places: np.ndarray, half: int, lane: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the half bytes (8 or more) from each place, which must all lie inside the text."""
+    lane = lanes(raw) if lane is None else lane
+    out = np.zeros(len(places), np.uint64)
+    for odd, at in zip(_ODD[0], [*range(0, half - 8, 8), half - 8]):
+        out += lane[places + at] * odd
     return mix(out)
 
 
+def body_hashes(lane: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, half: int) -> list[np.ndarray]:
+    """Two hashes of the bytes from start to end, which are length to length + half - 1: lanes from the start, then from the end."""
+    sums = [np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)]
+    n = length // 8
+    back = -(-(length + half - 8 * n) // 8)
+    for i, at in enumerate([start + 8 * j for j in range(n)] + [end - 8 * (j + 1) for j in range(back)]):
+        value = lane[at]
+        for out, odd in zip(sums, _ODD[:, 16 + i]):
+            out += value * odd
+    return [mix(x) for x in sums]
+
+
 def sort_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of 8-byte key characters sorted key by key: (order, group number along it), groups being equal rows.
 
@@ -235,8 +242,9 @@ def repeated_strings(docs: DataFrame, whole: DataFrame, length: int, per_chunk:
         if not len(p):
             return 0, *(np.zeros(0, x) for x in (np.int64, np.uint64, np.uint64, np.uint64, np.int64))
         shape = mix((low << 8 | high).astype(np.uint64))
-        one, two = (range_hashes(raw, p - high, p - low + length, w) ^ shape for w in (0, 1))
-        return len(raw), p - high, leading(raw, p, half), one, two, high - low + 1
+        lane = lanes(raw)
+        one, two = (x ^ shape for x in body_hashes(lane, p - high, p - low + length, length, half))
+        return len(raw), p - high, leading(raw, p, half, lane), one, two, high - low + 1
 
     def later(key: np.ndarray, *values: np.ndarray) -> np.ndarray:
         """True for entries whose values a smaller key has too."""
@@ -498,7 +506,7 @@ def remove_repeats(
 
     A byte is removed if a string of `length` bytes around it also starts in a document with a smaller key;
     strings are judged on the input and never cross documents. Null texts are empty; texts under `length`
-    bytes lose nothing. Rows with a null key neither lose bytes nor count as earlier; rows that share their key
+    bytes lose nothing. length is from 16 to 320. Rows with a null key neither lose bytes nor count as earlier; rows that share their key
     are the same document, so neither is earlier. Keys are integers; columns (all by default) are kept. Leads of
     more than about `hot` records are worked string by string; results do not depend on it.
     """
