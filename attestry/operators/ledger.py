@@ -34,13 +34,24 @@ def account_actions(calls: DataFrame, views: DataFrame) -> DataFrame:
     return j.select("call_id", kind.alias("action_type"), "n_views", code.alias("code"))
 
 
-def check_admission(runs: DataFrame) -> DataFrame:
-    """runs (run_id, n_calls, n_actions, n_declared, n_searches) with admitted and the first reason against it."""
-    reason = (
-        F.when(~F.col("n_calls").between(1, MAX_PROVIDER_CALLS), "provider_call_count").when(F.col("n_actions") > MAX_ACTIONS, "too_many_actions").when(F.col("n_searches") < 1, "no_search")
-        .when(F.col("n_actions") != F.col("n_declared"), "action_count_mismatch")
-    )
-    return runs.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
+def check_admission(runs: DataFrame, actions: DataFrame) -> DataFrame:
+    """runs with admitted and reason, the first of 15 conditions that fails.
+
+    runs: run_id, n_http, metadata_status, policy_status, policy_code, and the declared n_actions, n_queries, n_inspections, n_unique, n_tools;
+    actions: run_id, action_type (search, open_page, find_in_page), the observed ones. A count that is missing is not a count.
+    """
+    kind = F.col("action_type")
+    seen = actions.groupBy("run_id").agg(F.count("*").alias("__all"), F.count_if(kind == "search").alias("__searches"), F.count_if(kind.isin("open_page", "find_in_page")).alias("__pages"))
+    d = runs.join(seen, "run_id", "left").fillna(0, ["__all", "__searches", "__pages"])
+    n = F.col("n_actions")
+    wanted = [
+        (F.col("n_http") >= 1, "no_provider_call"), (F.col("n_http") <= MAX_PROVIDER_CALLS, "too_many_provider_calls"), (F.col("metadata_status") == "supported", "metadata_unsupported"),
+        (F.col("policy_status") == "supported", "policy_unsupported"), (F.col("policy_code").isNull(), "policy_code"), (F.least(*[F.coalesce(F.col(c), F.lit(-1)) for c in ("n_actions", "n_queries", "n_inspections", "n_unique", "n_tools")]) >= 0, "count_invalid"),
+        (F.col("n_queries") >= 1, "no_query"), (n >= 1, "no_action"), (n <= MAX_ACTIONS, "too_many_actions"), (F.col("n_unique") == n, "calls_not_unique"), (F.col("n_tools") == n, "tool_call_mismatch"), (F.col("__all") == n, "action_count_mismatch"),
+        (F.col("__searches") == F.col("n_queries"), "query_count_mismatch"), (F.col("__pages") == F.col("n_inspections"), "inspection_count_mismatch"), (n == F.col("n_queries") + F.col("n_inspections"), "sum_mismatch"),
+    ]
+    reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), code) for ok, code in wanted])
+    return d.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull()).drop("__all", "__searches", "__pages")
 
 
 def cost(usage: DataFrame) -> DataFrame:
@@ -102,31 +113,57 @@ def duplicate_ids(ids: DataFrame) -> DataFrame:
     return g.select("request_id", F.lit("duplicate_id").alias("code"), "record_id")
 
 
+def duplicate_references(references: DataFrame) -> DataFrame:
+    """V2 (request_id, code, record_id): lists that name an id more than once; record_id is the list. references: request_id, list, id (one row for each entry)."""
+    g = references.groupBy("request_id", "list", "id").agg(F.count("*").alias("n")).groupBy("request_id", "list").agg(F.max("n").alias("n")).where("n > 1")
+    return g.select("request_id", F.lit("duplicate_reference").alias("code"), F.col("list").alias("record_id"))
+
+
 def dangling(child: DataFrame, parent: DataFrame, link: str, target: str, code: str, record: str) -> DataFrame:
     """V4 (request_id, code, record_id): links of child rows that lead to no parent row of the same request."""
     p = parent.select("request_id", F.col(target).alias(link)).distinct()
     return child.where(F.col(link).isNotNull()).join(p, ["request_id", link], "left_anti").select("request_id", F.lit(code).alias("code"), F.col(record).alias("record_id"))
 
 
-def step_timing(steps: DataFrame, tolerance_ms: int = 2) -> DataFrame:
-    """V8 (request_id, code, record_id): steps that end before they start, start before an earlier step has ended, or whose measured time is off by more than tolerance_ms.
+def step_timing(steps: DataFrame, receipts: DataFrame, tolerance_ms: int = 2) -> DataFrame:
+    """V8 (request_id, code, record_id): retries of no known call, completed steps that end before they start, start before the completed one before them has
+    ended, were measured more than tolerance_ms off or lie outside the receipt, and receipts whose times do not give their duration (record_id is null).
 
-    steps: request_id, step_id, ord, start_ms, end_ms, measured_ms. The latest end so far is a running maximum.
+    steps: request_id, step_id, ord, status, invocation_id, retry_of, start_ms, end_ms, measured_ms; receipts: request_id, start_ms, end_ms, total_ms. A receipt without both times bounds nothing.
     """
+    done = F.col("status") == "completed"
     w = Window.partitionBy("request_id").orderBy("ord", "step_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = steps.withColumn("__before", F.max("end_ms").over(w))
-    bad = (F.col("end_ms") < F.col("start_ms")) | (F.col("start_ms") < F.coalesce("__before", "start_ms")) | (F.abs(F.col("end_ms") - F.col("start_ms") - F.col("measured_ms")) > tolerance_ms)
-    return d.where(bad).select("request_id", F.lit("execution_step_invalid_timing").alias("code"), F.col("step_id").alias("record_id"))
+    d = steps.withColumn("__before", F.last(F.when(done, F.col("end_ms")), True).over(w))
+    r = receipts.select("request_id", F.col("start_ms").alias("__from"), F.col("end_ms").alias("__to")).where("__from is not null and __to is not null")
+    known = steps.select("request_id", F.col("invocation_id").alias("retry_of"), F.lit(True).alias("__known")).distinct()
+    d = d.join(r, "request_id", "left").join(known, ["request_id", "retry_of"], "left")
+    start, end = F.col("start_ms"), F.col("end_ms")
+    timed = (end >= start) & (start >= F.coalesce("__before", "start_ms")) & (F.abs(end - start - F.col("measured_ms")) <= tolerance_ms)
+    outside = F.coalesce(start < F.col("__from"), F.lit(False)) | F.coalesce(end > F.col("__to"), F.lit(False))
+    codes = F.array_compact(F.array(
+        F.when(F.col("retry_of").isNotNull() & F.col("__known").isNull(), "execution_step_missing_retry_target"), F.when(done & ~F.coalesce(timed, F.lit(False)), "execution_step_invalid_timing"),
+        F.when(done & outside, "execution_step_outside_receipt"),
+    ))
+    off = receipts.where(F.abs(F.col("end_ms") - F.col("start_ms") - F.col("total_ms")) > tolerance_ms)
+    of = F.col("step_id").cast("string").alias("record_id")
+    return d.select("request_id", F.explode(codes).alias("code"), of).unionByName(off.select("request_id", F.lit("receipt_duration_timestamp_mismatch").alias("code"), F.lit(None).cast("string").alias("record_id")))
 
 
 def status_rules(dossiers: DataFrame) -> DataFrame:
-    """V9 (request_id, code): a complete dossier needs a resolved identity, three to six facts, two categories, pages and publishers and no contradiction; partial needs a resolved identity."""
-    complete = F.col("status") == "complete_within_scope"
+    """V9 (request_id, code): what a status promises and the dossier does not hold.
+
+    dossiers: request_id, status, mode, resolved, n_supported (factual claims), and of what is shown: n_visible (facts), n_business, n_categories, n_sources, n_pages,
+    n_publishers, n_contradictions.
+    """
+    status, some = F.col("status"), F.col("n_supported") > 0
+    complete, asks = status == "complete_within_scope", status == "needs_clarification"
     rules = {
-        "complete_requires_resolved_identity": complete & ~F.col("resolved"), "complete_requires_three_to_six_facts": complete & ~F.col("n_claims").between(3, 6),
-        "complete_requires_two_categories": complete & (F.col("n_categories") < 2), "complete_requires_two_pages": complete & (F.col("n_pages") < 2),
-        "complete_requires_two_publishers": complete & (F.col("n_publishers") < 2), "complete_forbids_contradiction": complete & (F.col("n_contradictions") > 0),
-        "partial_requires_resolved_identity": (F.col("status") == "partial") & ~F.col("resolved"),
+        "complete_requires_resolved_identity": complete & ~F.col("resolved"), "complete_requires_three_visible_facts": complete & (F.col("n_visible") < 3), "complete_requires_three_business_facts": complete & (F.col("n_business") < 3),
+        "complete_allows_at_most_six_business_facts": complete & (F.col("n_business") > 6), "complete_requires_two_business_categories": complete & (F.col("n_categories") < 2),
+        "complete_requires_two_visible_sources": complete & (F.col("n_sources") < 2), "complete_requires_two_business_source_pages": complete & (F.col("n_pages") < 2),
+        "complete_requires_two_publisher_domains": complete & (F.col("n_publishers") < 2), "complete_forbids_visible_contradiction": complete & (F.col("n_contradictions") > 0),
+        "partial_requires_resolved_identity": (status == "partial") & ~F.col("resolved"), "needs_clarification_requires_unresolved_identity": asks & F.col("resolved"),
+        "needs_clarification_forbids_supported_facts": asks & some, "insufficient_evidence_forbids_supported_facts": (status == "insufficient_evidence") & some, "silence_forbids_supported_facts": (F.col("mode") == "silence") & some,
     }
     codes = F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))
     return dossiers.select("request_id", F.explode(codes).alias("code"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators import ledger as l
+from attestry.plans.fixtures import plain, sql
 from attestry.streaming import monitor as m
 
 
@@ -32,16 +33,26 @@ FROM c FULL JOIN v USING (call_id)
 """
 
 
+ACTIONS = "SELECT event_id % 4000 AS run_id, CASE event_type WHEN 'view' THEN 'search' WHEN 'signup' THEN 'search' WHEN 'click' THEN 'open_page' ELSE 'find_in_page' END AS action_type FROM {events} WHERE event_id % 7 < 5"
+ADMISSIONS = """
+SELECT run_id, run_id % 4 AS n_http, CASE WHEN run_id % 31 = 0 THEN 'unknown' ELSE 'supported' END AS metadata_status, CASE WHEN run_id % 29 = 0 THEN NULL ELSE 'supported' END AS policy_status, CASE WHEN run_id % 37 = 0 THEN 'limit' END AS policy_code,
+  n + CASE WHEN run_id % 41 = 0 THEN 1 ELSE 0 END AS n_actions, s + CASE WHEN run_id % 43 = 0 THEN 1 ELSE 0 END AS n_queries, n - s - CASE WHEN run_id % 11 = 0 THEN 2 ELSE 0 END AS n_inspections, n + CASE WHEN run_id % 41 = 0 THEN 1 ELSE 0 END - CASE WHEN run_id % 23 = 0 THEN 1 ELSE 0 END AS n_unique,
+  CASE WHEN run_id % 19 = 0 THEN NULL ELSE n + CASE WHEN run_id % 41 = 0 THEN 1 WHEN run_id % 17 = 0 THEN 2 ELSE 0 END END AS n_tools
+FROM (SELECT event_id % 4000 AS run_id, count(CASE WHEN event_id % 7 < 5 THEN 1 END) AS n, count(CASE WHEN event_id % 7 < 5 AND event_type IN ('view', 'signup') THEN 1 END) AS s FROM {events} GROUP BY event_id % 4000) g
+"""
+
+
 def a2_check_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _events(spark, sf_dir).groupBy((F.col("event_id") % 2000).alias("run_id")).agg(
-        (F.count("*") / 2).cast("long").alias("n_calls"), F.count("*").alias("n_actions"), F.sum((F.col("event_type") != "error").cast("long")).alias("n_declared"), F.sum((F.col("event_type") == "view").cast("long")).alias("n_searches"))
-    return l.check_admission(g).select("run_id", "admitted", "reason")
+    return l.check_admission(sql(spark, sf_dir, ADMISSIONS), sql(spark, sf_dir, ACTIONS)).select("run_id", "admitted", "reason")
 
 
-A2 = """
-WITH g AS (SELECT event_id % 2000 AS run_id, count(*) // 2 AS c, count(*) AS a, count(*) FILTER (event_type <> 'error') AS d, count(*) FILTER (event_type = 'view') AS s FROM events GROUP BY 1),
+A2 = f"""
+WITH r AS ({plain(ADMISSIONS)}), a AS (SELECT run_id, count(*) AS n, count(*) FILTER (action_type = 'search') AS s, count(*) FILTER (action_type <> 'search') AS p FROM ({plain(ACTIONS)}) GROUP BY 1),
+j AS (SELECT r.*, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(p, 0) AS p FROM r LEFT JOIN a USING (run_id)),
 z AS (
-  SELECT run_id, CASE WHEN c NOT BETWEEN 1 AND 2 THEN 'provider_call_count' WHEN a > 8 THEN 'too_many_actions' WHEN s < 1 THEN 'no_search' WHEN a <> d THEN 'action_count_mismatch' END AS reason FROM g)
+  SELECT run_id, CASE WHEN n_http < 1 THEN 'no_provider_call' WHEN n_http > 2 THEN 'too_many_provider_calls' WHEN metadata_status <> 'supported' THEN 'metadata_unsupported' WHEN policy_status IS NULL THEN 'policy_unsupported' WHEN policy_code IS NOT NULL THEN 'policy_code'
+    WHEN n_tools IS NULL OR least(n_actions, n_queries, n_inspections, n_unique, n_tools) < 0 THEN 'count_invalid' WHEN n_queries < 1 THEN 'no_query' WHEN n_actions < 1 THEN 'no_action' WHEN n_actions > 8 THEN 'too_many_actions' WHEN n_unique <> n_actions THEN 'calls_not_unique'
+    WHEN n_tools <> n_actions THEN 'tool_call_mismatch' WHEN n <> n_actions THEN 'action_count_mismatch' WHEN s <> n_queries THEN 'query_count_mismatch' WHEN p <> n_inspections THEN 'inspection_count_mismatch' WHEN n_actions <> n_queries + n_inspections THEN 'sum_mismatch' END AS reason FROM j)
 SELECT run_id, reason IS NULL AS admitted, reason FROM z
 """
 
@@ -138,6 +149,16 @@ SELECT user_id AS request_id, 'duplicate_id' AS code, event_type || '-' || (even
 """
 
 
+REFERENCES = "SELECT user_id AS request_id, concat('presentation.', event_type) AS list, cast(event_id % 100 AS string) AS id FROM {events}"
+
+
+def v2_duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l.duplicate_references(sql(spark, sf_dir, REFERENCES))
+
+
+V2_REFERENCES = f"SELECT request_id, 'duplicate_reference' AS code, list AS record_id FROM ({plain(REFERENCES)}) GROUP BY request_id, list HAVING count(*) > count(DISTINCT id)"
+
+
 def v4_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("r").alias("request_id"), "o_orderkey")
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit("r").alias("request_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.when(F.col("l_partkey") % 97 == 0, F.col("l_orderkey") + 100_000_000).otherwise(F.col("l_orderkey")).alias("o"))
@@ -150,33 +171,50 @@ FROM lineitem WHERE l_partkey % 97 = 0 OR l_orderkey NOT IN (SELECT o_orderkey F
 """
 
 
+STEPS = """
+SELECT user_id AS request_id, event_id AS step_id, event_id AS ord, CASE event_type WHEN 'error' THEN 'failed' ELSE 'completed' END AS status, concat('n', cast(event_id AS string)) AS invocation_id, CASE WHEN event_id % 6 < 2 THEN concat('n', cast(event_id - event_id % 6 * 5 AS string)) END AS retry_of,
+  event_id * 100 - CASE WHEN event_id % 50 = 0 THEN 6000000 ELSE 0 END AS start_ms, event_id * 100 + CASE WHEN event_id % 33 = 0 THEN -5 WHEN event_id % 50 = 0 THEN -5999900 ELSE 80 END AS end_ms, CASE WHEN event_id % 41 = 0 THEN NULL ELSE 80 + event_id % 21 END AS measured_ms FROM {events}
+"""
+RECEIPTS = "SELECT user_id AS request_id, min(event_id) * 100 AS start_ms, CASE WHEN user_id % 9 > 0 THEN max(event_id) * 100 + user_id % 4 * 30 END AS end_ms, (max(event_id) - min(event_id)) * 100 + 60 + user_id % 5 AS total_ms FROM {events} GROUP BY user_id"
+
+
 def v8_step_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("request_id"), F.col("event_id").alias("step_id"), F.col("event_id").alias("ord"), (F.col("event_id") * 100 - F.when(F.col("event_id") % 50 == 0, 6_000_000).otherwise(0)).alias("start_ms"))
-    e = e.withColumn("end_ms", F.col("start_ms") + F.when(F.col("step_id") % 33 == 0, -5).otherwise(80)).withColumn("measured_ms", F.col("end_ms") - F.col("start_ms") + F.when(F.col("step_id") % 21 == 0, 3).otherwise(1))
-    return l.step_timing(e)
+    return l.step_timing(sql(spark, sf_dir, STEPS), sql(spark, sf_dir, RECEIPTS))
+
+
+V8 = f"""
+WITH s AS ({plain(STEPS)}), r AS ({plain(RECEIPTS)}),
+b AS (SELECT s.*, last_value(CASE WHEN status = 'completed' THEN end_ms END IGNORE NULLS) OVER (PARTITION BY request_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s),
+w AS (SELECT b.*, r.start_ms AS f, r.end_ms AS t FROM b JOIN r USING (request_id))
+SELECT request_id, 'execution_step_missing_retry_target' AS code, step_id::VARCHAR AS record_id FROM w WHERE retry_of IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.request_id = w.request_id AND s.invocation_id = w.retry_of)
+UNION ALL SELECT request_id, 'execution_step_invalid_timing', step_id::VARCHAR FROM w WHERE status = 'completed' AND (measured_ms IS NULL OR end_ms < start_ms OR start_ms < p OR abs(end_ms - start_ms - measured_ms) > 2)
+UNION ALL SELECT request_id, 'execution_step_outside_receipt', step_id::VARCHAR FROM w WHERE status = 'completed' AND t IS NOT NULL AND (start_ms < f OR end_ms > t)
+UNION ALL SELECT request_id, 'receipt_duration_timestamp_mismatch', NULL FROM r WHERE abs(end_ms - start_ms - total_ms) > 2
+"""
 
 
-V8 = """
-WITH s AS (SELECT user_id, event_id, event_id * 100 - CASE WHEN event_id % 50 = 0 THEN 6000000 ELSE 0 END AS a, CASE WHEN event_id % 33 = 0 THEN -5 ELSE 80 END AS d FROM events),
-w AS (SELECT *, max(a + d) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s)
-SELECT user_id AS request_id, 'execution_step_invalid_timing' AS code, event_id AS record_id FROM w WHERE d < 0 OR a < b OR event_id % 21 = 0
+STANDINGS = """
+SELECT c_custkey AS request_id, CASE c_custkey % 5 WHEN 0 THEN 'partial' WHEN 1 THEN 'needs_clarification' WHEN 2 THEN 'insufficient_evidence' ELSE 'complete_within_scope' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'silence' ELSE 'dossier' END AS mode,
+  c_nationkey > 5 AS resolved, count(o_orderkey) AS n_supported, count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) AS n_visible, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_business, count(DISTINCT o_orderstatus) AS n_categories,
+  count(DISTINCT o_orderpriority) AS n_sources, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS n_pages, count(DISTINCT CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END) AS n_publishers,
+  count(CASE WHEN o_orderkey % 9 = 0 THEN 1 END) AS n_contradictions
+FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey
 """
 
 
 def v9_status_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")).select(
-        F.col("user_id").alias("request_id"), F.when(F.col("user_id") % 2 == 0, "complete_within_scope").otherwise("partial").alias("status"), (F.col("user_id") % 5 != 0).alias("resolved"), (F.col("n") % 9).alias("n_claims"),
-        (F.col("n") % 4).alias("n_categories"), (F.col("n") % 3).alias("n_pages"), (F.col("n") % 5).alias("n_publishers"), (F.col("n") % 2).alias("n_contradictions"))
-    return l.status_rules(d)
-
-
-V9 = """
-WITH d AS (SELECT user_id AS u, count(*) AS n, user_id % 2 = 0 AS c FROM events GROUP BY 1)
-SELECT u AS request_id, code FROM (SELECT u, unnest(list_filter([
-  CASE WHEN c AND u % 5 = 0 THEN 'complete_requires_resolved_identity' END, CASE WHEN c AND n % 9 NOT BETWEEN 3 AND 6 THEN 'complete_requires_three_to_six_facts' END,
-  CASE WHEN c AND n % 4 < 2 THEN 'complete_requires_two_categories' END, CASE WHEN c AND n % 3 < 2 THEN 'complete_requires_two_pages' END,
-  CASE WHEN c AND n % 5 < 2 THEN 'complete_requires_two_publishers' END, CASE WHEN c AND n % 2 > 0 THEN 'complete_forbids_contradiction' END,
-  CASE WHEN NOT c AND u % 5 = 0 THEN 'partial_requires_resolved_identity' END], lambda v: v IS NOT NULL)) AS code FROM d)
+    return l.status_rules(sql(spark, sf_dir, STANDINGS))
+
+
+V9 = f"""
+WITH d AS ({plain(STANDINGS)}), k AS (SELECT *, status = 'complete_within_scope' AS c FROM d)
+SELECT request_id, 'complete_requires_resolved_identity' AS code FROM k WHERE c AND NOT resolved UNION ALL SELECT request_id, 'complete_requires_three_visible_facts' FROM k WHERE c AND n_visible < 3
+UNION ALL SELECT request_id, 'complete_requires_three_business_facts' FROM k WHERE c AND n_business < 3 UNION ALL SELECT request_id, 'complete_allows_at_most_six_business_facts' FROM k WHERE c AND n_business > 6
+UNION ALL SELECT request_id, 'complete_requires_two_business_categories' FROM k WHERE c AND n_categories < 2 UNION ALL SELECT request_id, 'complete_requires_two_visible_sources' FROM k WHERE c AND n_sources < 2
+UNION ALL SELECT request_id, 'complete_requires_two_business_source_pages' FROM k WHERE c AND n_pages < 2 UNION ALL SELECT request_id, 'complete_requires_two_publisher_domains' FROM k WHERE c AND n_publishers < 2
+UNION ALL SELECT request_id, 'complete_forbids_visible_contradiction' FROM k WHERE c AND n_contradictions > 0 UNION ALL SELECT request_id, 'partial_requires_resolved_identity' FROM k WHERE status = 'partial' AND NOT resolved
+UNION ALL SELECT request_id, 'needs_clarification_requires_unresolved_identity' FROM k WHERE status = 'needs_clarification' AND resolved UNION ALL SELECT request_id, 'needs_clarification_forbids_supported_facts' FROM k WHERE status = 'needs_clarification' AND n_supported > 0
+UNION ALL SELECT request_id, 'insufficient_evidence_forbids_supported_facts' FROM k WHERE status = 'insufficient_evidence' AND n_supported > 0 UNION ALL SELECT request_id, 'silence_forbids_supported_facts' FROM k WHERE mode = 'silence' AND n_supported > 0
 """
 
 
@@ -236,10 +274,10 @@ def st6_dedupe_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
 ST6 = RUNS + " SELECT DISTINCT execution_id FROM r WHERE fin"
 
 QUERIES = {f.__name__: f for f in (
-    a1_account_actions, a2_check_admission, a3_cost, a4_stage_durations, a5_classify_failures, a6_query_plan, a7_plan_deviation, a8_global_spans, v2_duplicate_ids, v4_dangling, v8_step_timing, v9_status_rules,
+    a1_account_actions, a2_check_admission, a3_cost, a4_stage_durations, a5_classify_failures, a6_query_plan, a7_plan_deviation, a8_global_spans, v2_duplicate_ids, v2_duplicate_references, v4_dangling, v8_step_timing, v9_status_rules,
     st1_admission_pressure, st2_admit, st3_check_protocol, st4_expire_runs, st5_receipt_rollup, st6_dedupe_terminals)}
 ORACLES = {
     "a1_account_actions": A1, "a2_check_admission": A2, "a3_cost": A3, "a4_stage_durations": A4, "a5_classify_failures": A5, "a6_query_plan": A6, "a7_plan_deviation": A7, "a8_global_spans": A8,
-    "v2_duplicate_ids": V2, "v4_dangling": V4, "v8_step_timing": V8, "v9_status_rules": V9, "st1_admission_pressure": ST1, "st3_check_protocol": ST3, "st4_expire_runs": ST4,
+    "v2_duplicate_ids": V2, "v2_duplicate_references": V2_REFERENCES, "v4_dangling": V4, "v8_step_timing": V8, "v9_status_rules": V9, "st1_admission_pressure": ST1, "st3_check_protocol": ST3, "st4_expire_runs": ST4,
     "st5_receipt_rollup": ST5, "st6_dedupe_terminals": ST6,
 }
