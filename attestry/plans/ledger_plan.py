@@ -259,6 +259,19 @@ def st4_expire_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ST4 = RUNS + " SELECT execution_id, coalesce(min(ts) FILTER (fin) > min(ts) + INTERVAL 1 HOUR, true) AS expired FROM r GROUP BY 1"
 
 
+def st4_watch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.watch_runs(_runs(spark, sf_dir))
+
+
+ST4_WATCH = RUNS + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY ts, event_id) AS i, ts > min(ts) OVER (PARTITION BY execution_id) + INTERVAL 150 SECOND AS late FROM r),
+e AS (SELECT *, min(CASE WHEN fin AND NOT late THEN i END) OVER (PARTITION BY execution_id) AS z FROM n)
+SELECT execution_id, event_id, 'first_not_accepted' AS code FROM e WHERE i = 1 AND event_type <> 'signup' UNION ALL SELECT execution_id, event_id, 'elapsed_invalid' FROM e WHERE coalesce(value < 0, true)
+UNION ALL SELECT execution_id, event_id, 'late_event' FROM e WHERE z IS NULL AND late UNION ALL SELECT execution_id, event_id, CASE WHEN fin THEN 'terminal_repeated' ELSE 'event_after_terminal' END FROM e WHERE i > z
+UNION ALL SELECT execution_id, NULL, 'timeout' FROM e WHERE z IS NULL AND i = 1
+"""
+
+
 def st5_receipt_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.receipt_rollup(_events(spark, sf_dir)).select("start", "n_runs", "n_failed")
 
@@ -275,9 +288,9 @@ ST6 = RUNS + " SELECT DISTINCT execution_id FROM r WHERE fin"
 
 QUERIES = {f.__name__: f for f in (
     a1_account_actions, a2_check_admission, a3_cost, a4_stage_durations, a5_classify_failures, a6_query_plan, a7_plan_deviation, a8_global_spans, v2_duplicate_ids, v2_duplicate_references, v4_dangling, v8_step_timing, v9_status_rules,
-    st1_admission_pressure, st2_admit, st3_check_protocol, st4_expire_runs, st5_receipt_rollup, st6_dedupe_terminals)}
+    st1_admission_pressure, st2_admit, st3_check_protocol, st4_expire_runs, st4_watch_runs, st5_receipt_rollup, st6_dedupe_terminals)}
 ORACLES = {
     "a1_account_actions": A1, "a2_check_admission": A2, "a3_cost": A3, "a4_stage_durations": A4, "a5_classify_failures": A5, "a6_query_plan": A6, "a7_plan_deviation": A7, "a8_global_spans": A8,
     "v2_duplicate_ids": V2, "v2_duplicate_references": V2_REFERENCES, "v4_dangling": V4, "v8_step_timing": V8, "v9_status_rules": V9, "st1_admission_pressure": ST1, "st3_check_protocol": ST3, "st4_expire_runs": ST4,
-    "st5_receipt_rollup": ST5, "st6_dedupe_terminals": ST6,
+    "st4_watch_runs": ST4_WATCH, "st5_receipt_rollup": ST5, "st6_dedupe_terminals": ST6,
 }

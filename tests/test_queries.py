@@ -69,3 +69,54 @@ def test_admission_of_a_hot_client(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got.pop(n + 1)[:3] == (None, None, True)
     assert got == want
+
+
+def _stream(spark, tmp_path, name, rows, schema, f, batches, mode="append"):
+    """Rows of a streaming job over files that are read one a micro-batch."""
+    src = tmp_path / f"{name}-in"
+    for i, part in enumerate(batches):
+        spark.createDataFrame([rows[j] for j in part], schema).coalesce(1).write.parquet(str(src / f"p{i:03d}"))
+    d = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(src))
+    q = f(d).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-at")).start()
+    q.processAllAvailable()
+    q.stop()
+    return sorted(map(tuple, spark.table(name).collect()), key=repr)
+
+
+def test_watched_stream_equals_batch(spark, tmp_path):
+    """Faults, timers and late events of a stream are those of the static table."""
+    from datetime import datetime, timedelta
+
+    from attestry.streaming.monitor import watch_runs
+
+    t0 = datetime(2026, 1, 1)
+    steps = {
+        "fine": [("accepted", 0), ("building", 10), ("completed", 100)], "odd": [("building", 0), ("what", 5), ("failed", 9), ("failed", 10), ("building", 11)],
+        "slow": [("accepted", 0), ("completed", 151)], "edge": [("accepted", 0), ("completed", 150)], "lost": [("accepted", 3)], "late": [("accepted", 0), ("building", 400), ("completed", 401)],
+    }
+    rows = [(k, i * 100 + j, s, float(at) if (k, j) != ("fine", 1) else None, t0 + timedelta(seconds=at)) for i, (k, v) in enumerate(steps.items()) for j, (s, at) in enumerate(v)]
+    rows.sort(key=lambda r: r[4])
+    rows += [("zend", 9_000, "accepted", 1.0, t0 + timedelta(days=1)), ("zend", 9_001, "completed", 1.0, t0 + timedelta(days=1, seconds=1))]
+    schema = "execution_id string, event_id long, state string, elapsed_ms double, ts timestamp"
+    batch = sorted(map(tuple, watch_runs(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert {r[0] for r in batch if r[2] == "timeout"} == {"slow", "lost", "late"} and ("late", 502, "late_event") in batch
+    n = len(rows)
+    parts = [range(0, 4), range(4, n - 2), range(n - 2, n - 1), range(n - 1, n)]
+    assert _stream(spark, tmp_path, "watched", rows, schema, watch_runs, parts) == batch
+
+
+def test_admission_and_terminal_streams(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from attestry.streaming.monitor import admit, dedupe_terminals
+
+    t0 = datetime(2026, 1, 1)
+    rows = [("a" if i % 4 else "b", i, t0 + timedelta(seconds=20 * i)) for i in range(40)]
+    schema = "client string, event_id long, ts timestamp"
+    batch = sorted(map(tuple, admit(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert {r[3] for r in batch} == {True, False}
+    assert _stream(spark, tmp_path, "admitted", rows, schema, admit, [range(0, 7), range(7, 30), range(30, 40)]) == batch
+    ends = [(f"r{i % 5}", "completed" if i % 3 else "building", t0 + timedelta(seconds=i)) for i in range(30)]
+    schema = "execution_id string, state string, ts timestamp"
+    got = _stream(spark, tmp_path, "ended", ends, schema, lambda d: dedupe_terminals(d).select("execution_id"), [range(0, 15), range(15, 30)])
+    assert got == sorted(map(tuple, dedupe_terminals(spark.createDataFrame(ends, schema)).select("execution_id").collect()), key=repr)
