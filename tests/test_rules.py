@@ -107,3 +107,64 @@ def test_short_excerpts_of_short_words(spark):
     items = [(10, "it is so"), (11, "是 的"), (12, "z"), (13, "it"), (14, "or")]
     got = search_excerpts(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == sorted((k, i, t.index(e)) for k, t in docs for i, e in items if e in (t or ""))
+
+
+def test_discriminators_bound_to_the_subject(spark):
+    from attestry.operators.support import DISCRIMINATORS, verify_discriminators
+
+    cases = [
+        ("Jeanne Martin travaille chez Nordix", "employer", "Nordix", True), ("Jeanne Martin est directrice générale de Nordix", "employer", "Nordix", True), ("Jeanne Martin rencontre Nordix", "employer", "Nordix", False),
+        ("Jeanne Martin, with Paul Durand, works at Nordix", "employer", "Nordix", False), ("Nordix emploie Jeanne Martin", "employer", "Nordix", False), ("Jeanne Martin travaille à Lyon", "city", "Lyon", True),
+        ("Jeanne Martin mise à jour le 3 mai 2024 à Lyon", "city", "Lyon", True), ("Jeanne Martin enseigne le piano à Lyon", "city", "Lyon", True), ("Jeanne Martin mange des pommes à Lyon", "city", "Lyon", False),
+        ("Jeanne Martin et Paul Durand vit à Lyon", "city", "Lyon", False), ("Jeanne Martin est experte en intelligence artificielle", "industry", "AI", True), ("Jeanne Martin aime les robots en IA", "industry", "ia", False),
+        ("Jeanne Martin dirige une formation professionnelle en robotique", "industry", "Robotique", True), ("Jeanne Martin immatriculée au RCS sous le numéro 123", "legal_identifier", "123", False),
+        ("Jeanne Martin immatriculée numero 123", "legal_identifier", "123", True), ("Jeanne Martin active depuis 2019", "year", "2019", True), ("Jeanne Martin et Jeanne Martin depuis 2019", "year", "2019", False), (None, "year", "2019", False),
+    ]
+    rows = [(i, "k", "Jeanne Martin", "person", *[v if k == key else None for k in DISCRIMINATORS], "https://www.site.fr") for i, (_, key, v, _) in enumerate(cases)]
+    schema = "request_id int, candidate_key string, display_name string, entity_type string, " + ", ".join(f"{k} string" for k in DISCRIMINATORS) + ", official_site string"
+    proofs = [(i, "k", i, "https://a.site.fr/x" if i == 0 else "https://other.fr/x", f"d{i}", None, c[0]) for i, c in enumerate(cases)]
+    proofs = spark.createDataFrame(proofs, "request_id int, candidate_key string, proof_id int, url string, digest string, title string, excerpt string")
+    got = {r.request_id: r.asDict() for r in verify_discriminators(spark.createDataFrame(rows, schema), proofs).collect()}
+    assert {i: got[i][key] for i, (_, key, _, _) in enumerate(cases)} == {i: v if ok else None for i, (_, _, v, ok) in enumerate(cases)}
+    assert [i for i in got if got[i]["official_site"]] == [0]
+
+
+def test_anchors_and_roles(spark):
+    from attestry.operators import support as s
+
+    rows = [
+        ("Jeanne Martin | Atelier Nordix", "https://www.atelier-nordix.fr/equipe", "Jeanne Martin est directrice de l'Atelier Nordix", ["atelier", "nordix", "atelier nordix"], ["atelier nordix"], "atelier nordix"),
+        ("Nordix - Contact", "https://getnordix.com/", "Jeanne Martin leads", ["nordix"], ["nordix"], ""), ("Équipe", "https://x.fr/equipe", "Nordix nomme Jeanne Martin", [], [], None),
+        (None, None, None, [], [], None), ("Jeanne Martin", "https://jeanne-martin.fr", "Jeanne Martin fondatrice Jeanne Martin", [], [], None), ("Prix Nordix", "https://a.fr/nordix%20x", "Jeanne Martin is the CEO at the Nordix", ["nordix"], ["nordix"], "nordix"),
+    ]
+    d = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, title string, url string, excerpt string")
+    a = s.anchors(F.col("title"), F.col("url"), F.lit("Jeanne Martin"))
+    got = d.withColumn("a", a).select("a", s.maximal(F.col("a")).alias("m"), s.role_tail(F.col("excerpt"), F.lit("Jeanne Martin")).alias("t"), "i").orderBy("i").collect()
+    assert [(sorted(r.a), r.m, r.t) for r in got] == [(sorted(r[3]), r[4], r[5]) for r in rows]
+
+
+def test_support_of_facts(spark):
+    """Corroboration by two publishers, a second term or a role anchor beside it, and a single traceable role."""
+    from attestry.operators import support as s
+
+    who = spark.createDataFrame([(i, "k", "Jeanne Martin", "person", i != 5, i != 4) for i in range(6)], "request_id int, candidate_key string, display_name string, entity_type string, exact_name boolean, has_context boolean")
+    proof = lambda i, n, host, title, text: (i, "k", n, f"https://{host}/{n}", f"d{n}", title, text)
+    cols = "request_id int, candidate_key string, proof_id int, url string, digest string, title string, excerpt string"
+    p = [proof(i, n, f"p{n}.fr/nordix", "Nordix news", f"Jeanne Martin est experte en robotique numero {n}") for i in range(6) for n in (1, 2)]
+    facts = [(*proof(i, 3, "p3.fr/nordix", "Nordix team", "Jeanne Martin est directrice de Nordix"), 7, 1, "role") for i in (1, 2, 4, 5)] + [(*proof(0, 1, "p1.fr/nordix", "x", "y"), 6, 0, "activity")]
+    bound = [(i, "k", 0, "robotique", n) for i in range(6) for n in (1, 2)] + [(0, "k", 1, "Lyon", 2), (3, "k", 1, "Lyon", 2)]
+    p, facts = spark.createDataFrame(p, cols), spark.createDataFrame(facts, cols + ", fact_id int, ord int, category string")
+    bound = spark.createDataFrame(bound, "request_id int, candidate_key string, ord int, term string, proof_id int")
+    assert {(r.request_id, r.fingerprint) for r in s.corroborate(who, bound, p).collect()} == {(i, "robotique") for i in range(5)}
+    got = {(r.request_id, r.basis, r.proof_id) for r in s.fact_support(who, bound, p, facts).collect()}
+    both = {(i, "corroborated", n) for i in (1, 2) for n in (1, 2, 3)} | {(0, "corroborated", n) for n in (1, 2)}
+    assert got == both | {(4, "single_role", 3)}
+
+
+def test_role_lines(spark):
+    from attestry.operators.support import derive_role_facts
+
+    text = "Nordix\nJeanne Martin\nDirectrice de Nordix\nAutre ligne\nJeanne Martin travaille chez Nordix depuis longtemps."
+    rows = [(1, "k", "Jeanne Martin", "https://nordix.fr/equipe", "Nordix", "Jeanne Martin", text), (2, "k", "Jeanne Martin", "https://nordix.fr", "Nordix", "Jeanne Martin", None), (3, "k", None, None, None, None, "")]
+    got = derive_role_facts(spark.createDataFrame(rows, "request_id int, candidate_key string, display_name string, url string, title string, excerpt string, text string")).collect()
+    assert {(r.request_id, r.category, r.excerpt) for r in got} == {(1, "role", "Jeanne Martin\nDirectrice de Nordix"), (1, "activity", "Jeanne Martin travaille chez Nordix depuis longtemps.")}
