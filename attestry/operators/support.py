@@ -49,7 +49,7 @@ URL_PREFIXES, URL_SUFFIXES = "get go hello join my the use weare".split(), "app
 DISCRIMINATORS = ["city", "country", "industry", "employer", "legal_identifier", "year"]
 MOST_BRIDGE = 14
 
-TOKEN = F.lit(r"[\p{L}\p{N}]+")
+TOKEN = r"[\p{L}\p{N}]+"
 
 
 def _list(words: list[str]) -> Column:
@@ -60,6 +60,11 @@ def _any(words: list[str]) -> str:
     return "|".join(words)
 
 
+def _once(d: DataFrame, **values: Column) -> DataFrame:
+    """d with columns that are computed once: what a generator gives is not written out again in the filters and columns that use it."""
+    return d.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def _within(tokens: Column, words: list[str]) -> Column:
     return F.size(F.array_except(tokens, _list(words))) == 0
 
@@ -103,43 +108,42 @@ def bind_terms(candidates: DataFrame, proofs: DataFrame, terms: DataFrame) -> Da
     excerpt and the nearest place of the term after it is reached by 1 to 14 words: none of them a blocker or another named party, and of the kind that the key
     asks for. A null excerpt, name or term binds nothing.
     """
-    raw = F.regexp_extract_all(x.visible_text(F.col("excerpt")), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-    p = proofs.select(*KEY, "proof_id", raw.alias("raw"))
-    p = p.withColumn("tok", F.transform("raw", lambda t: F.lower(x.without_marks(t, "NFD"))))
-    c = candidates.select(*KEY, "entity_type", x.context_tokens(F.col("display_name")).alias("name"), F.coalesce(x.context_tokens(F.col("employer")), F.array().cast("array<string>")).alias("emp"), F.coalesce(x.context_tokens(F.col("known")), F.array().cast("array<string>")).alias("known"))
-    p = p.join(c, KEY).withColumn("at", x.sequence_starts(F.col("tok"), F.col("name"))).where("size(at) = 1")
+    none = F.array().cast("array<string>")
+    p = _once(proofs.select(*KEY, "proof_id", "excerpt"), raw=F.regexp_extract_all(x.visible_text(F.col("excerpt")), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).drop("excerpt")
+    p = _once(p, tok=F.transform("raw", lambda t: F.lower(x.without_marks(t, "NFD"))))
+    c = _once(candidates.select(*KEY, "entity_type", "display_name", "employer", F.col("known").alias("__k")), name=x.context_tokens(F.col("display_name")), emp=F.coalesce(x.context_tokens(F.col("employer")), none), known=F.coalesce(x.context_tokens(F.col("__k")), none))
+    p = _once(p.join(c.drop("display_name", "employer", "__k"), KEY), at=x.sequence_starts(F.col("tok"), F.col("name"))).where("size(at) = 1")
     p = p.withColumn("from", F.get("at", F.lit(0)) + F.size("name")).drop("at")
-    t = terms.withColumn("w", x.context_tokens(F.col("term"))).where("size(w) > 0")
+    t = _once(terms, w=x.context_tokens(F.col("term"))).where("size(w) > 0")
     t = t.withColumn("forms", F.when(_said(F.col("w")).isin(*AI_FORMS), F.transform(_list(AI_FORMS), lambda f: F.split(f, " "))).otherwise(F.array("w"))).drop("w")
-    d = p.join(t, KEY)
     near = F.array_min(F.filter(F.flatten(F.transform("forms", lambda f: x.sequence_starts(F.col("tok"), f))), lambda i: i >= F.col("from")))
-    d = d.withColumn("n", near - F.col("from")).where(F.col("n").between(1, MOST_BRIDGE))
-    d = d.withColumns({"b": F.slice("tok", F.col("from") + 1, F.col("n")), "r": F.slice("raw", F.col("from") + 1, F.col("n"))}).drop("raw", "tok", "forms")
-    d = d.where(~F.arrays_overlap("b", _list(BLOCKERS))).withColumn("s", _said(F.col("b")))
+    d = _once(p.join(t, KEY), n=near - F.col("from")).where(F.col("n").between(1, MOST_BRIDGE))
+    d = _once(d, b=F.slice("tok", F.col("from") + 1, F.col("n")), r=F.slice("raw", F.col("from") + 1, F.col("n"))).drop("raw", "tok", "forms")
+    d = _once(d.where(~F.arrays_overlap("b", _list(BLOCKERS))), s=_said(F.col("b")))
 
     b, emp, size = F.col("b"), F.col("emp"), F.size("emp")
     named = lambda i: F.get("r", i).rlike(r"^[^\p{L}]*\p{Lu}") & ~F.get("b", i).isin(*NOT_A_PARTY) & ~((F.col("entity_type") == "company") & F.array_contains("name", F.get("b", i)))
     parties = F.filter(F.sequence(F.lit(0), F.col("n") - 1), named)
     own = F.filter(x.sequence_starts(b, emp), lambda i: named(i) & _employs(_said(F.slice(b, F.lit(1), i))))
-    d = d.withColumns({"parties": parties, "own": own})
-    d = d.where(~F.exists("parties", lambda i: ~F.exists("own", lambda e: (e <= i) & (i < e + size))))
+    d = _once(d, parties=parties, own=own)
+    d = d.where(~F.exists("parties", lambda i: ~F.exists("own", lambda e: (e <= i) & (i < e + size)))).drop("parties", "own")
 
     last = F.element_at("b", -1)
     body = _words(_undated(_said(F.slice(b, F.lit(1), F.col("n") - 1))))
     allowed = F.array_union(F.array_union(_list(ACTIONS + PLACE_ACTIONS + DESCRIPTORS + PLACE_DESCRIPTORS + INDUSTRY_CONNECTORS + INDUSTRY_MARKERS + ARTICLES + EMPLOYER_CONNECTORS + ROLE_WORDS), F.col("name")), F.col("known"))
-    d = d.withColumns({"last": last, "body": body, "allowed": allowed})
+    d = _once(d, last=last, body=body, allowed=allowed)
     odd = F.filter(F.sequence(F.lit(0), F.size("body") - 1), lambda i: ~F.array_contains("allowed", F.get("body", i)) & ~F.get("body", i).rlike(r"^\d+$"))
-    d = d.withColumn("odd", F.when(F.size("body") > 0, odd).otherwise(F.array().cast("array<int>"))).drop("allowed")
+    d = _once(d, odd=F.when(F.size("body") > 0, odd).otherwise(F.array().cast("array<int>"))).drop("allowed")
     head, before = F.get("body", F.lit(0)), F.get("body", F.get("odd", F.lit(0)) - 1)
     introduced = (before == "comme") | ((head == "enseigne") & before.isin(*ARTICLES))
     run = (F.size("odd") <= 2) & (F.element_at("odd", -1) - F.get("odd", F.lit(0)) == F.size("odd") - 1) & F.coalesce((F.get("odd", F.lit(0)) > 0) & introduced, F.lit(False))
     place = F.col("last").isin(*LOCATION_CONNECTORS) & ((F.size("body") == 0) | (head.isin(*ACTIONS, *PLACE_ACTIONS, *INDUSTRY_MARKERS, *ROLE_WORDS) & ((F.size("odd") == 0) | run)))
 
     marks = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("b", i).isin(*INDUSTRY_MARKERS))
-    d = d.withColumn("mark", F.array_max(marks))
+    d = _once(d, mark=F.array_max(marks))
     m = F.col("mark")
-    d = d.withColumns({"pre": _words(_undated(_said(F.slice(b, F.lit(1), F.coalesce(m, F.lit(0)))))), "tail": F.slice(b, F.coalesce(m, F.lit(0)) + 2, F.greatest(F.col("n") - 2 - F.coalesce(m, F.lit(0)), F.lit(0)))})
-    d = d.withColumns({"e1": x.sequence_starts(F.col("pre"), emp), "e2": x.sequence_starts(F.col("tail"), emp)})
+    d = _once(d, pre=_words(_undated(_said(F.slice(b, F.lit(1), F.coalesce(m, F.lit(0)))))), tail=F.slice(b, F.coalesce(m, F.lit(0)) + 2, F.greatest(F.col("n") - 2 - F.coalesce(m, F.lit(0)), F.lit(0))))
+    d = _once(d, e1=x.sequence_starts(F.col("pre"), emp), e2=x.sequence_starts(F.col("tail"), emp))
     one, two = F.get("e1", F.lit(0)), F.get("e2", F.lit(0))
     pre_ok = F.when(F.size("e1") == 0, _within(F.col("pre"), ACTIONS + ARTICLES + INDUSTRY_MARKERS)).when(F.size("e1") > 1, False).otherwise(_employs(_said(F.slice("pre", F.lit(1), one))) & _within(F.slice("pre", one + size + 1, F.size("pre")), ["est", "is", "was"]))
     plain = INDUSTRY_CONNECTORS + DESCRIPTORS + INDUSTRY_MARKERS + ARTICLES
@@ -171,7 +175,8 @@ def verify_discriminators(candidates: DataFrame, proofs: DataFrame) -> DataFrame
 
 def _spread(d: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Groups with independent: two publishers, digests and excerpts (by their words) or more."""
-    g = d.groupBy(*keys).agg(F.count_distinct(u.publisher_domain(F.col("url"))).alias("__p"), F.count_distinct("digest").alias("__g"), F.count_distinct(_said(x.context_tokens(F.col("excerpt")))).alias("__x"), *more)
+    d = _once(d, __d=u.publisher_domain(F.col("url")), __w=F.xxhash64(_said(x.context_tokens(F.col("excerpt")))))
+    g = d.groupBy(*keys).agg(F.count_distinct("__d").alias("__p"), F.count_distinct("digest").alias("__g"), F.count_distinct("__w").alias("__x"), *more)
     return g.withColumn("independent", (F.col("__p") >= 2) & (F.col("__g") >= 2) & (F.col("__x") >= 2)).drop("__p", "__g", "__x")
 
 
@@ -182,7 +187,7 @@ def corroborate(candidates: DataFrame, bound: DataFrame, proofs: DataFrame) -> D
     """
     ok = _spread(proofs, KEY).where("independent").select(*KEY)
     ok = candidates.where((F.col("entity_type") == "person") & F.col("exact_name")).select(*KEY).join(ok, KEY, "left_semi")
-    b = bound.withColumn("fingerprint", fingerprint(F.col("term"))).join(ok, KEY, "left_semi").join(proofs, [*KEY, "proof_id"])
+    b = _once(bound, fingerprint=fingerprint(F.col("term"))).join(ok, KEY, "left_semi").join(proofs, [*KEY, "proof_id"])
     g = _spread(b, [*KEY, "fingerprint"], F.min(F.struct("ord", "term")).alias("m")).where("independent")
     first = g.groupBy(*KEY).agg(F.min(F.struct("m.ord", "fingerprint", F.col("m.term").alias("value"))).alias("f"))
     return first.select(*KEY, "f.fingerprint", "f.value")
@@ -206,7 +211,7 @@ def anchors(title: Column, url: Column, name: Column) -> Column:
         return F.transform(F.filter(F.when(F.size(t) > 0, all_), ok), _said)
 
     def held(v: Column) -> Column:
-        labels = F.transform(F.split(v["l"], "\n"), lambda line: _said(F.regexp_extract_all(line, TOKEN, F.lit(0))))
+        labels = F.transform(F.split(v["l"], "\n"), lambda line: _said(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))))
         return _let(lambda w: F.filter(w["runs"], lambda g: F.exists(w["labels"], lambda line: _inside(line, g)) | (~g.contains(" ") & F.arrays_overlap(w["labels"], compound(g)))), runs=runs(v), labels=labels)
 
     found = _let(held, t=x.context_tokens(title), of=x.context_tokens(name), l=F.lower(x.without_marks(x.visible_text(lines), "NFD")))
@@ -238,8 +243,9 @@ def traceable_role(proofs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Proofs with traceable: the excerpt names the person and states a role, and one maximal anchor of title and URL is what the role is at. candidates: KEY, display_name, entity_type."""
     c = candidates.select(*KEY, F.col("display_name").alias("__name"), (F.col("entity_type") == "person").alias("__person"))
     d = proofs.join(c, KEY)
-    d = d.withColumns({"__anchors": anchors(F.col("title"), F.col("url"), F.col("__name")), "__tail": role_tail(F.col("excerpt"), F.col("__name"))}).withColumn("__max", maximal(F.col("__anchors")))
-    ok = F.col("__person") & holds(F.col("excerpt"), F.col("__name")) & F.col("__tail").isNotNull() & (F.size("__max") == 1) & _fits(F.col("__tail"), F.get("__max", F.lit(0)))
+    d = _once(d, __anchors=anchors(F.col("title"), F.col("url"), F.col("__name")), __tail=role_tail(F.col("excerpt"), F.col("__name")), __held=holds(F.col("excerpt"), F.col("__name")))
+    d = _once(d, __max=maximal(F.col("__anchors")))
+    ok = F.col("__person") & F.col("__held") & F.col("__tail").isNotNull() & (F.size("__max") == 1) & _fits(F.col("__tail"), F.get("__max", F.lit(0)))
     return d.withColumn("traceable", F.coalesce(ok, F.lit(False))).select(*proofs.columns, "traceable")
 
 
@@ -250,9 +256,9 @@ def role_anchor(facts: DataFrame, context: DataFrame, candidates: DataFrame) ->
     """
     c = candidates.select(*KEY, F.col("display_name").alias("__name"))
     said = _said(x.context_tokens(F.col("excerpt")))
-    wide = lambda d: d.join(c, KEY).withColumns({"__p": u.publisher_domain(F.col("url")), "__x": said, "__a": anchors(F.col("title"), F.col("url"), F.col("__name"))})
+    wide = lambda d: _once(d.join(c, KEY), __p=u.publisher_domain(F.col("url")), __x=said, __a=anchors(F.col("title"), F.col("url"), F.col("__name")))
     base = wide(context)
-    f = wide(facts.where("category = 'role'")).withColumn("__tail", role_tail(F.col("excerpt"), F.col("__name"))).where("__tail is not null and __p is not null")
+    f = _once(wide(facts.where("category = 'role'")), __tail=role_tail(F.col("excerpt"), F.col("__name"))).where("__tail is not null and __p is not null")
     for col in ("__p", "digest", "__x"):
         f = f.join(base.select(*KEY, col), [*KEY, col], "left_anti")
     shared = base.select(*KEY, F.explode("__a").alias("a")).distinct()
@@ -268,7 +274,7 @@ def fact_support(candidates: DataFrame, bound: DataFrame, proofs: DataFrame, fac
     candidates: KEY, display_name, entity_type, exact_name, has_context; bound as in corroborate; facts: KEY, fact_id, ord, category and the columns of proofs.
     """
     first = corroborate(candidates.where("has_context"), bound, proofs).select(*KEY, F.col("fingerprint").alias("__f"))
-    b = bound.withColumn("fingerprint", fingerprint(F.col("term"))).join(first, KEY)
+    b = _once(bound, fingerprint=fingerprint(F.col("term"))).join(first, KEY)
     cor = b.where("fingerprint = __f").select(*KEY, "proof_id").distinct()
     second = b.where("fingerprint <> __f").join(cor, [*KEY, "proof_id"], "left_semi").select(*KEY).distinct()
     anchor = role_anchor(facts, proofs.join(cor, [*KEY, "proof_id"], "left_semi"), candidates).join(second, KEY, "left_anti").select(*KEY, "proof_id")
@@ -289,8 +295,8 @@ def derive_role_facts(people: DataFrame, most_chars: int = 500) -> DataFrame:
     A person without page or name has the proof alone.
     """
     low = lambda c: F.lower(c)
-    p = people.withColumns({"__t": x.visible_text(F.col("text")), "__n": low(x.visible_text(F.col("display_name")))}).drop("text")
-    p = p.withColumn("__l", F.split("__t", "\n"))
+    p = _once(people, __t=x.visible_text(F.col("text")), __n=low(x.visible_text(F.col("display_name")))).drop("text")
+    p = _once(p, __l=F.split("__t", "\n"))
     named = F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: low(F.get("__l", i)).contains(F.col("__n")))
     pair = lambda i: F.when(F.get("__l", i + 1).isNotNull(), F.concat_ws("\n", F.get("__l", i), F.get("__l", i + 1)))
     lines = F.flatten(F.transform(F.when((F.size("__l") > 0) & (F.col("__n") != ""), named), lambda i: F.array(F.trim(F.get("__l", i)), F.trim(pair(i)))))
