@@ -257,13 +257,14 @@ def role_anchor(facts: DataFrame, context: DataFrame, candidates: DataFrame) ->
     c = candidates.select(*KEY, F.col("display_name").alias("__name"))
     said = _said(x.context_tokens(F.col("excerpt")))
     wide = lambda d: _once(d.join(c, KEY), __p=u.publisher_domain(F.col("url")), __x=said, __a=anchors(F.col("title"), F.col("url"), F.col("__name")))
-    base = wide(context)
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    marks = F.concat(F.array(pair("publisher", F.col("__p")), pair("digest", F.col("digest").cast("string")), pair("excerpt", F.col("__x"))), F.transform("__a", lambda g: pair("anchor", g)))
+    # one join finds both what a fact must not share with the context and the anchors that it shares
+    base = wide(context).select(*KEY, F.inline(marks)).distinct()
     f = _once(wide(facts.where("category = 'role'")), __tail=role_tail(F.col("excerpt"), F.col("__name"))).where("__tail is not null and __p is not null")
-    for col in ("__p", "digest", "__x"):
-        f = f.join(base.select(*KEY, col), [*KEY, col], "left_anti")
-    shared = base.select(*KEY, F.explode("__a").alias("a")).distinct()
-    j = f.select(*KEY, "ord", "fact_id", "proof_id", "__tail", F.explode("__a").alias("a")).join(shared, [*KEY, "a"])
-    g = j.groupBy(*KEY, "ord", "fact_id", "proof_id", "__tail").agg(maximal(F.collect_set("a")).alias("m"))
+    j = f.select(*KEY, "ord", "fact_id", "proof_id", "__tail", F.inline(marks)).join(base, [*KEY, "kind", "value"])
+    g = j.groupBy(*KEY, "ord", "fact_id", "proof_id", "__tail").agg(F.max(F.col("kind") != "anchor").alias("clash"), F.collect_set(F.when(F.col("kind") == "anchor", F.col("value"))).alias("__s"))
+    g = _once(g.where("not clash"), m=maximal(F.col("__s")))
     g = g.where((F.size("m") == 1) & _fits(F.col("__tail"), F.get("m", F.lit(0))))
     return g.groupBy(*KEY).agg(F.min(F.struct("ord", "fact_id", "proof_id")).alias("f")).select(*KEY, "f.fact_id", "f.proof_id")
 
