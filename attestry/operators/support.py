@@ -230,9 +230,12 @@ def role_tail(excerpt: Column, name: Column) -> Column:
         return F.when(F.size(at) == 1, _said(F.slice(v["tok"], F.get(at, F.lit(0)) + F.size(v["of"]) + 1, F.greatest(F.size(v["tok"]), F.lit(1)))))
 
     after = _let(behind, tok=x.context_tokens(excerpt), of=x.context_tokens(name))
-    role = F.regexp_extract(after, ROLE_PREFIX, 0)
-    tail = F.ltrim(F.substring(after, F.length(role) + 1, F.length(after)))
-    return F.when(role != "", F.regexp_replace(F.regexp_replace(tail, f"^(?:{ROLE_CONNECTORS})(?: |$)", ""), f"^(?:{ROLE_ARTICLES})(?: |$)", ""))
+    def tail(v: Column) -> Column:
+        role = F.regexp_extract(v["a"], ROLE_PREFIX, 0)
+        rest = F.ltrim(F.substring(v["a"], F.length(role) + 1, F.length(v["a"])))
+        return F.when(role != "", F.regexp_replace(F.regexp_replace(rest, f"^(?:{ROLE_CONNECTORS})(?: |$)", ""), f"^(?:{ROLE_ARTICLES})(?: |$)", ""))
+
+    return _let(tail, a=after)
 
 
 def _fits(tail: Column, anchor: Column) -> Column:
