@@ -19,7 +19,7 @@ SELECT o_custkey AS request_id, cast(o_orderkey AS string) AS claim_id, CASE WHE
   CASE o_orderkey % 8 WHEN 0 THEN 'rejected' WHEN 1 THEN 'contested' WHEN 2 THEN 'historical' WHEN 3 THEN 'ambiguous' WHEN 4 THEN NULL ELSE 'supported' END AS state,
   CASE o_orderkey % 5 WHEN 0 THEN 'reject' WHEN 1 THEN 'display_ambiguity' ELSE 'display_fact' END AS decision, CASE o_orderkey % 3 WHEN 0 THEN 'current' WHEN 1 THEN 'historical' ELSE 'unknown' END AS temporal_status,
   CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' WHEN 2 THEN 'derived' ELSE 'stated' END AS period_status, o_orderkey % 4 > 0 AS has_marker, o_orderstatus = 'F' AS is_number, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'EUR' END AS unit,
-  CASE WHEN o_orderkey % 10 = 0 THEN 'undetermined' ELSE 'company' END AS scope_type, o_totalprice AS value FROM {orders}
+  CASE WHEN o_orderkey % 11 = 0 THEN 'undetermined' ELSE 'company' END AS scope_type, o_totalprice AS value FROM {orders}
 """
 EVIDENCE = """
 SELECT o_custkey AS request_id, concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS evidence_id, cast(CASE WHEN l_linenumber = 4 THEN l_orderkey + 1 ELSE l_orderkey END AS string) AS claim_id, cast(l_suppkey AS string) AS source_id,
@@ -49,8 +49,11 @@ SELECT user_id AS request_id, concat('s', cast(event_id AS string)) AS step_id,
 """
 
 
+IDS = "SELECT c_custkey AS request_id, 'subject' AS kind, CASE c_custkey % 40 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE cast(c_custkey AS string) END AS record_id FROM {customer}"
+
+
 def v11_dossier_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.dossier_states(sql(spark, sf_dir, DOSSIERS))
+    return c.dossier_states(sql(spark, sf_dir, DOSSIERS)).unionByName(c.empty_ids(sql(spark, sf_dir, IDS)))
 
 
 V11_DOSSIER = f"""
@@ -66,6 +69,7 @@ UNION ALL SELECT request_id, 'silence_must_be_nontechnical_insufficient_evidence
 UNION ALL SELECT request_id, 'total_tokens_below_input_plus_output', NULL FROM d WHERE total_tokens < input_tokens + output_tokens
 UNION ALL SELECT request_id, 'forbidden_progress_property', NULL FROM d WHERE regexp_matches(body, '(?i)"[^"]*(percent|progress)[^"]*"\\s*:')
 UNION ALL SELECT request_id, 'negative_or_missing_measurement', id FROM m WHERE v < 0
+UNION ALL SELECT request_id, 'empty_id', kind FROM ({plain(IDS)}) WHERE trim(coalesce(record_id, '')) = ''
 """
 
 

@@ -168,3 +168,14 @@ def test_role_lines(spark):
     rows = [(1, "k", "Jeanne Martin", "https://nordix.fr/equipe", "Nordix", "Jeanne Martin", text), (2, "k", "Jeanne Martin", "https://nordix.fr", "Nordix", "Jeanne Martin", None), (3, "k", None, None, None, None, "")]
     got = derive_role_facts(spark.createDataFrame(rows, "request_id int, candidate_key string, display_name string, url string, title string, excerpt string, text string")).collect()
     assert {(r.request_id, r.category, r.excerpt) for r in got} == {(1, "role", "Jeanne Martin\nDirectrice de Nordix"), (1, "activity", "Jeanne Martin travaille chez Nordix depuis longtemps.")}
+
+
+def test_client_keys(spark):
+    import hashlib
+
+    from attestry.streaming.monitor import client_key
+
+    rows = [(0, None, " 1.2.3.4 , 9.9.9.9"), (1, "5.6.7.8", "1.2.3.4"), (2, None, None), (3, "", "1.2.3.4"), (4, None, "x" * 200)]
+    d = spark.createDataFrame(rows, "i int, a string, b string")
+    got = [r.k for r in d.select("i", client_key({"x-vercel-forwarded-for": F.col("a"), "x-forwarded-for": F.col("b")}, "salt").alias("k")).orderBy("i").collect()]
+    assert got == [hashlib.sha256(f"salt{v}".encode()).hexdigest() for v in ("1.2.3.4", "5.6.7.8", "address-unavailable", "address-unavailable", "x" * 128)]
