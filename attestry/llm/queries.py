@@ -254,5 +254,79 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op5_suffix_dedup, op6_warc, op7_sentencepiece, op8_decontamination, op9_substring_dedup, op10_quality_rules, op11_exact_dedup, op12_periodic_runs)}
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_exact_dedup": OP11_SQL}
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows of conversations with planted faults, by a hash of id and turn; nulls are one space. here is false for dropped ones."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    m = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    d = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), m.alias("m"))
+    text = F.when(F.col("m") == 1, "").when(F.col("m") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("m") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("m") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return d.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("m") != 0).alias("here"), F.explode(times)).drop("col")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.conversation import repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("here"))
+
+
+#: crc32 bit by bit; then the edits forwards, row by row: for each state the cheapest audit, the least of equals, and what it leaves.
+OP13_SQL = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations),
+marked AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT), lambda h, b:
+    list_reduce([xor(h, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS m
+  FROM named),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+    CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE m WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM marked)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending FROM hurt),
+rows_ AS (
+  SELECT *, left(role, 1) AS c,
+    CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM rows_) GROUP BY conv_id),
+nexts(st, st2, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+ins(st, st2, cost, letters, lines) AS (
+  SELECT st, st, 0, '', [] FROM nexts UNION ALL SELECT st, st2, 5, 'I', [role || ':'] FROM nexts
+  UNION ALL SELECT a.st, b.st2, 10, 'II', [a.role || ':', b.role || ':'] FROM nexts a JOIN nexts b ON a.st2 = b.st),
+keep(st, c, st2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moves AS (
+  SELECT conv_id, i, s.st, 'D' AS letter, s.st AS st2, 2 AS cost, [] AS lines FROM rows_ CROSS JOIN (VALUES (0), (1), (2), (3)) s(st)
+  UNION ALL SELECT conv_id, i, st, 'K', st2, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, [role || ':' || text]
+    FROM rows_ JOIN keep USING (c) WHERE fault IN ('fine', 'truncated')
+  UNION ALL SELECT conv_id, i, st, 'R', st2, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, [n.role || ':' || text]
+    FROM rows_ CROSS JOIN nexts n WHERE fault IN ('fine', 'truncated')),
+steps AS (
+  SELECT conv_id, i, ins.st, m.st2, ins.cost + m.cost AS cost, letters || letter AS letters, ins.lines || m.lines AS lines
+  FROM moves m JOIN ins ON ins.st2 = m.st),
+best(conv_id, i, st, b) AS (
+  SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, s.st2, min({'cost': b.b.cost + s.cost, 'audit': b.b.audit || s.letters, 'lines': b.b.lines || s.lines})
+  FROM best b JOIN steps s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i + 1 AND s.st = b.st GROUP BY ALL),
+done AS (
+  SELECT b.conv_id, min({'cost': b.b.cost + ins.cost, 'audit': b.b.audit || ins.letters, 'lines': b.b.lines || ins.lines}) AS b
+  FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id JOIN ins USING (st)
+  WHERE b.i = coalesce(c.n, 0) AND ins.st2 IN (0, 3) GROUP BY b.conv_id)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, d.b.cost::BIGINT AS cost, d.b.audit AS audit,
+  sha256(array_to_string(d.b.lines, chr(10))) AS repaired_sha256
+FROM done d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op5_suffix_dedup, op6_warc, op7_sentencepiece, op8_decontamination, op9_substring_dedup, op10_quality_rules, op11_exact_dedup, op12_periodic_runs, op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op13_conversation_repair": OP13_SQL}
