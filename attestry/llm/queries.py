@@ -271,15 +271,55 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("here"))
 
 
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII string, bit by bit."""
+    return f"""xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda h, b:
+    list_reduce([xor(h, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+#: All pairs of equal words within a quarter of the document; stretches of them at one distance are repetitions.
+OP12_SQL = (
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, doc_id::VARCHAR AS name FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, """
+    + _crc32_sql("name")
+    + r""" AS h FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 % n END AS a FROM h),
+p AS (SELECT r, doc_id, n, a, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM a),
+word AS (SELECT r, unnest(w) AS x, unnest(range(n)) AS i FROM h),
+planted AS (
+  SELECT w.r, w.i, p.n, coalesce(v.x, w.x) AS x
+  FROM word w JOIN p USING (r) LEFT JOIN word v ON v.r = w.r AND w.i >= a AND v.i = a + (w.i - a) % p),
+same AS (SELECT s.r, t.i - s.i AS q, s.i FROM planted s JOIN planted t ON s.r = t.r AND s.x = t.x AND t.i > s.i AND 4 * (t.i - s.i) <= s.n),
+island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same),
+span AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM island GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT r, s, l, min(q) AS q FROM span GROUP BY r, s, l),
+top AS (
+  SELECT r, count(*) AS n_runs, arg_max({'s': s, 'l': l, 'q': q}, (l / q, -s, -q)) AS t,
+    string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS c FROM planted ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, t.s::BIGINT AS start, t.l::BIGINT AS length, t.q::BIGINT AS period,
+  (1000 * t.l // t.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256,
+  n::BIGINT AS n_words
+FROM p LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+"""
+)
+
+
 #: crc32 bit by bit; then the edits forwards, row by row: for each state the cheapest audit, the least of equals, and what it leaves.
-OP13_SQL = r"""
+OP13_SQL = (
+    r"""
 WITH RECURSIVE named AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
     coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
   FROM conversations),
 marked AS (
-  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT), lambda h, b:
-    list_reduce([xor(h, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS m
+  SELECT *, """
+    + _crc32_sql("name")
+    + r""" % 20 AS m
   FROM named),
 hurt AS (
   SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
@@ -287,7 +327,9 @@ hurt AS (
   FROM (SELECT *, unnest(range(CASE m WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM marked)),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
-    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending FROM hurt),
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS ending FROM hurt),
 rows_ AS (
   SELECT *, left(role, 1) AS c,
     CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
@@ -326,7 +368,8 @@ SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
   sha256(array_to_string(d.b.lines, chr(10))) AS repaired_sha256
 FROM done d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
 """
+)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op5_suffix_dedup, op6_warc, op7_sentencepiece, op8_decontamination, op9_substring_dedup, op10_quality_rules, op11_exact_dedup, op12_periodic_runs, op13_conversation_repair)}
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op13_conversation_repair": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_conversation_repair": OP13_SQL}
