@@ -165,6 +165,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the standard policy rejects, and what it alone rejects."""
+    from attestry.llm.quality import STANDARD, ablations, ledger
+
+    return ablations(ledger(table(spark, sf_dir, "documents"), keep=[F.col("doc_id")]), STANDARD)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.decontam import contaminated
 
@@ -204,10 +211,17 @@ f AS (
     + CASE WHEN n_words >= 100 AND 100 * n_distinct_words < 10 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits,
-  failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept
+  failed_bits % 4 <> 0 AS base_failed, failed_bits % 64 = 0 AS kept
 FROM f
 """
 
+ABLATIONS_SQL = OP10_SQL[: OP10_SQL.rindex("SELECT doc_id")] + r"""
+SELECT r.name AS rule, (count(*) FILTER (failed_bits // r.bit % 2 = 1))::BIGINT AS n_failed,
+  (count(*) FILTER (failed_bits % 64 = r.bit))::BIGINT AS n_only, (count(*) FILTER (failed_bits % 64 <> 0))::BIGINT AS n_rejected, count(*)::BIGINT AS n_rows
+FROM f CROSS JOIN (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('upper_case', 8), ('repeated_lines', 16), ('long_words', 32)) r(name, bit)
+GROUP BY r.name
+"""
+
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the documents, dealt by a hash of the id, is the snapshot; the other half comes in as a batch."""
@@ -371,5 +385,5 @@ FROM done d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
 )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op5_suffix_dedup, op6_warc, op7_sentencepiece, op8_decontamination, op9_substring_dedup, op10_quality_rules, op11_exact_dedup, op12_periodic_runs, op13_conversation_repair)}
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_conversation_repair": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_language_id, op4_toxicity, op5_suffix_dedup, op6_warc, op7_sentencepiece, op8_decontamination, op9_substring_dedup, op10_quality_rules, op11_exact_dedup, op12_periodic_runs, op13_conversation_repair, quality_ablations)}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_conversation_repair": OP13_SQL, "quality_ablations": ABLATIONS_SQL}
