@@ -96,32 +96,6 @@ def funnel(decisions: DataFrame) -> DataFrame:
     return r.rollup("stage", "code").agg(F.count("*").alias("n"))
 
 
-def _proofs(facts: DataFrame) -> DataFrame:
-    """(request_id, fact, url, m, n): one row for each fact and distinct (url, excerpt); m is its shortest, earliest row. fact is a hash of what makes facts equal."""
-    k = [F.col("category"), F.col("scope_type"), x.plain_key(F.col("scope_label")), x.plain_key(F.coalesce("fact_period_label", "fact_date")), x.plain_key(F.col("normalized_value")), x.mechanical_key(F.col("excerpt"))]
-    fact = F.sha2(F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(k)])), 256)
-    d = facts.withColumns({"fact": fact, "__e": F.sha2(F.col("excerpt").cast("binary"), 256)})
-    return d.groupBy("request_id", "fact", "url", "__e").agg(F.min(F.struct(F.length("excerpt").alias("len"), "ord", "fact_id", "excerpt")).alias("m"), F.count("*").alias("n")).drop("__e")
-
-
-def dedupe_facts(facts: DataFrame) -> DataFrame:
-    """One row for each distinct fact of a request: the shortest excerpt (earliest on ties) stands for it, with n_duplicates and n_proofs (see fact_proofs).
-
-    Equal category, scope, label, period, value and mechanical excerpt are one fact. Proofs are counted by hash, and a
-    partial minimum and sums combine a hot fact before the shuffle: no row or task holds more than one text of a fact.
-    """
-    g = _proofs(facts).groupBy("request_id", "fact").agg(F.min("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("n_proofs"))
-    return g.select("request_id", F.col("m.fact_id").alias("fact_id"), F.col("m.ord").alias("ord"), F.col("m.excerpt").alias("excerpt"), (F.col("n") - 1).alias("n_duplicates"), "n_proofs")
-
-
-def fact_proofs(facts: DataFrame) -> DataFrame:
-    """(request_id, fact_id, url, excerpt): the distinct proofs of each fact of dedupe_facts, one a row."""
-    p = _proofs(facts)
-    first = p.groupBy(F.col("request_id").alias("__r"), F.col("fact").alias("__f")).agg(F.min(F.struct("m.len", "m.ord", "m.fact_id")).alias("first"))
-    same = F.col("request_id").eqNullSafe(F.col("__r")) & (F.col("fact") == F.col("__f"))
-    return p.join(first, same).select("request_id", F.col("first.fact_id").alias("fact_id"), "url", F.col("m.excerpt").alias("excerpt"))
-
-
 def cap_facts(facts: DataFrame, n: int = 6) -> DataFrame:
     """The first n facts of each request by ord, with n_truncated of the request."""
     w = Window.partitionBy("request_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators import facts as f
+from attestry.operators import merge
 from attestry.plans.fixtures import plain, sql
 
 PERIODS = """
@@ -99,18 +100,18 @@ SELECT stage, code, count(*)::BIGINT AS n FROM d GROUP BY ROLLUP (stage, code)
 
 MERGE = """
 SELECT source AS request_id, doc_id AS ord, cast(doc_id AS string) AS fact_id, 'activity' AS category, 'company' AS scope_type, source AS scope_label, 'x' AS fact_date, NULL AS fact_period_label,
-  NULL AS normalized_value, concat('https://', source, '.example.com/', cast(doc_id AS string)) AS url, text AS excerpt
+  NULL AS normalized_value, 'activity' AS predicate, NULL AS unit, NULL AS currency, concat('https://', source, '.example.com/', cast(doc_id AS string)) AS url, text AS excerpt
 FROM {documents}
 """
 
 
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sql(spark, sf_dir, MERGE)
-    return d.withColumns({c: F.col(c).cast("string") for c in ("fact_period_label", "normalized_value")})
+    return d.withColumns({c: F.col(c).cast("string") for c in ("fact_period_label", "normalized_value", "unit", "currency")})
 
 
 def d1_dedupe_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.dedupe_facts(_merge(spark, sf_dir)).select("request_id", "fact_id", "n_duplicates", "n_proofs")
+    return merge.dedupe_facts(_merge(spark, sf_dir)).select("request_id", "fact_id", "n_duplicates", "n_proofs")
 
 
 VISIBLE = r"array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[ \t\x0b\f]+', ' ', 'g'), chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10))"
@@ -121,6 +122,26 @@ FROM k GROUP BY source, key
 """
 
 
+#: Each document states a fact twice, under two categories and with another spelling; metrics share keys across texts.
+CATEGORIES = """
+SELECT source AS request_id, 2 * doc_id + n AS ord, concat(cast(doc_id AS string), '-', cast(n AS string)) AS fact_id,
+  element_at(array('activity', 'event', 'role', 'metric'), cast((doc_id + n * (doc_id % 3)) % 4 + 1 AS int)) AS category, concat('p', cast(doc_id % 5 AS string)) AS predicate,
+  'company' AS scope_type, lang AS scope_label, NULL AS fact_period_label, cast(2020 + doc_id % 2 AS string) AS fact_date, CASE WHEN doc_id % 7 = 0 THEN 'v' END AS normalized_value,
+  'million' AS unit, 'EUR' AS currency, concat('https://', source, '.example.com/', cast(doc_id % 40 AS string)) AS url,
+  CASE n WHEN 0 THEN text ELSE concat(upper(text), '  .') END AS excerpt
+FROM {documents} LATERAL VIEW explode(array(0, 1)) t AS n
+"""
+
+
+def merge_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sql(spark, sf_dir, CATEGORIES)
+    return d.withColumn("fact_period_label", F.col("fact_period_label").cast("string"))
+
+
+def d1_merge_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.dedupe_facts(merge_facts(spark, sf_dir)).select("request_id", "fact_id", "ord", "n_duplicates", "n_proofs")
+
+
 def d2_cap_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.cap_facts(_merge(spark, sf_dir)).select("request_id", "fact_id", "n_truncated")
 
@@ -236,7 +257,7 @@ SELECT user_id AS request_id, c AS candidate_key, p::BIGINT AS priority, r AS po
 """
 
 QUERIES = {g.__name__: g for g in (
-    t1_fact_period, t2_temporal_status, q1_claim_quality, q3_grounded_quality, q4_funnel, d1_dedupe_facts, d2_cap_facts, d4_needs_supplement, d5_build_sources, g3_completeness, g6_pick_summary,
+    t1_fact_period, t2_temporal_status, q1_claim_quality, q3_grounded_quality, q4_funnel, d1_dedupe_facts, d1_merge_categories, d2_cap_facts, d4_needs_supplement, d5_build_sources, g3_completeness, g6_pick_summary,
     i1_match_names, i6_independent, i14_rank_candidates)}
 ORACLES = {
     "t1_fact_period": T1, "t2_temporal_status": T2, "q1_claim_quality": Q1, "q3_grounded_quality": Q3, "q4_funnel": Q4, "d1_dedupe_facts": D1, "d2_cap_facts": D2, "d4_needs_supplement": D4,

@@ -66,11 +66,11 @@ def test_workforce_observation(spark):
 
 def test_proofs_of_facts_are_rows(spark):
     """Proofs are counted and listed one a row: no array of texts grows with a hot fact."""
-    from attestry.operators.facts import dedupe_facts, fact_proofs
+    from attestry.operators.merge import dedupe_facts, fact_proofs
 
     rows = [("r", i, f"f{i}", "Same  text." if i % 2 else "same text", f"u{i % 40}") for i in range(200)] + [("r", 900, "g", None, "u"), (None, 901, "h", "same text", None)]
     d = spark.createDataFrame(rows, "request_id string, ord long, fact_id string, excerpt string, url string")
-    d = d.withColumns({"category": F.lit("activity"), "scope_type": F.lit("company"), **{c: F.lit(None).cast("string") for c in ("scope_label", "fact_period_label", "fact_date", "normalized_value")}})
+    d = d.withColumns({"category": F.lit("activity"), "scope_type": F.lit("company"), **{c: F.lit(None).cast("string") for c in ("scope_label", "fact_period_label", "fact_date", "normalized_value", "predicate", "unit", "currency")}})
     out = dedupe_facts(d)
     assert not [f.name for f in out.schema if f.dataType.typeName() == "array"]
     got = {(r.request_id, r.fact_id): (r.excerpt, r.n_duplicates, r.n_proofs) for r in out.collect()}
