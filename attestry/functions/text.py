@@ -81,15 +81,19 @@ def visible_text(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def mechanical_key(c: Column) -> Column:
-    """Comparison key: lower case, one space for any run, plain quotes and dashes, no soft hyphens, no zero-width
-    characters beside space or punctuation, no final period."""
-    x = F.regexp_replace(visible_text(c), f"(?<=^|[\\s\\p{{P}}])[{ZERO_WIDTH}]+|[{ZERO_WIDTH}]+(?=$|[\\s\\p{{P}}])", "")
+def mechanical_form(visible: Column) -> Column:
+    """Mechanical form of a visible text: lower case, one space for any run, plain quotes and dashes, no soft hyphens, no
+    zero-width characters beside space or punctuation."""
+    x = F.regexp_replace(visible, f"(?<=^|[\\s\\p{{P}}])[{ZERO_WIDTH}]+|[{ZERO_WIDTH}]+(?=$|[\\s\\p{{P}}])", "")
     source = "".join(QUOTES) + "­"
     target = "".join(v * len(k) for k, v in QUOTES.items())
     x = F.translate(x, source, target)
-    x = F.lower(F.regexp_replace(F.regexp_replace(x, "…", "..."), f"{SPACE}+", " "))
-    return F.rtrim(F.regexp_replace(F.trim(x), r"\.$", ""))
+    return F.trim(F.lower(F.regexp_replace(F.regexp_replace(x, "…", "..."), f"{SPACE}+", " ")))
+
+
+def mechanical_key(c: Column) -> Column:
+    """Comparison key: the mechanical form without a final period."""
+    return F.rtrim(F.regexp_replace(mechanical_form(visible_text(c)), r"\.$", ""))
 
 
 def conflict_text(c: Column) -> Column:

@@ -9,11 +9,9 @@ from attestry.functions import text as x
 from attestry.functions import urls as u
 from attestry.operators.evidence import locate
 from attestry.operators.identity import holds
+from attestry.operators.names import name_words, parsed, ranges
 
-#: Words that may stand before or after a person's name without being part of it, and words that are no anchor.
-TITLES = ["ceo", "cfo", "coo", "cofondateur", "cofondatrice", "cto", "directeur", "directrice", "docteur", "dr", "fondateur", "fondatrice", "madame", "m", "mme", "monsieur", "mr", "mrs", "ms", "president", "presidente", "prof", "professeur"]
-PREFIXES = ["a", "about", "au", "aux", "avec", "by", "chez", "contact", "declare", "declares", "en", "et", "explains", "explique", "for", "indicates", "indique", "par", "pour", "profil", "profile", "said", "says", "selon", "states", "sur"]
-FOLLOWING = ["last", "mis", "mise", "updated"]
+#: Words that are no anchor.
 NO_ANCHOR = ["avec", "chez", "dans", "des", "elle", "est", "for", "from", "les", "pour", "that", "the", "une", "with"]
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -25,31 +23,15 @@ def _norm(c: Column) -> Column:
 def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
     """(text_id, name_id, start, end): every place of a text where a whole name stands, as character offsets of the visible text.
 
-    names: name_id, name, entity_type; texts: text_id, text. Words are compared without case and accents. A person is not mentioned
-    where a capitalised word that is neither a title nor a lead-in is joined to the name by a single space, hyphen or apostrophe; a
-    company is not where a word is joined to it without a space. Neither is a name all in small letters that the request capitalises.
-    Blocked by the longest word of the name: an equi-join on the distinct words of the texts, so texts are not carried by it.
+    names: name_id, name, entity_type; texts: text_id, text. The rule is that of operators.names. Blocked by the longest word
+    of the name: an equi-join on the distinct words of the texts, so texts are not carried by it and meet only names that may be theirs.
     """
-    n = names.withColumn("w", F.transform(F.regexp_extract_all(x.visible_text(F.col("name")), F.lit(TOKEN), F.lit(0)), _norm)).where(F.size("w") > 0)
-    n = n.select("name_id", "name", "entity_type", "w", F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("b"))
-    t = texts.select("text_id", x.visible_text(F.col("text")).alias("v"))
-    t = t.withColumns({"raw": F.regexp_extract_all("v", F.lit(TOKEN), F.lit(0)), "gaps": F.split("v", TOKEN, -1)})
-    t = t.withColumn("tok", F.transform("raw", _norm))
-    keys = t.select("text_id", F.explode(F.array_distinct("tok")).alias("b")).join(n, "b").drop("b")
-    j = keys.join(t, "text_id").withColumn("s", F.explode(x.sequence_starts(F.col("tok"), F.col("w"))))
-    s, m = F.col("s"), F.size("w")
-    before, after = F.get("raw", s - 1), F.get("raw", s + m)
-    gap_before, gap_after = F.get("gaps", s), F.get("gaps", s + m)
-    joined = lambda g: F.coalesce(g.rlike("^[ '’-]$"), F.lit(False))
-    capital = lambda w: F.coalesce(w.rlike(r"^\p{Lu}\p{Ll}"), F.lit(False))
-    part_of_name = (joined(gap_before) & (s > 0) & capital(before) & ~_norm(before).isin(*TITLES, *PREFIXES)) | (joined(gap_after) & capital(after) & ~_norm(after).isin(*TITLES, *FOLLOWING))
-    tight = ((s > 0) & gap_before.rlike(r"[&'’-]$")) | (after.isNotNull() & gap_after.rlike(r"^[&'’-]"))
-    small = F.col("name").rlike(r"\p{Lu}") & ~F.exists(F.slice("raw", s + 1, m), lambda r: r.rlike(r"\p{Lu}"))
-    ok = ~small & F.when(F.col("entity_type") == "person", ~part_of_name).otherwise(~F.coalesce(tight, F.lit(False)))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, w: acc + F.length(w))
-    start = total(F.slice("gaps", F.lit(1), s + 1)) + total(F.slice("raw", F.lit(1), s))
-    inner = total(F.slice("raw", s + 1, m)) + total(F.slice("gaps", s + 2, m - 1))
-    return j.where(ok).select("text_id", "name_id", start.cast("long").alias("start"), (start + inner).cast("long").alias("end"))
+    n = names.withColumn("w", name_words(x.visible_text(F.col("name")))).where(F.size("w") > 0)
+    n = n.select("name_id", "name", "entity_type", F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("b"))
+    t = parsed(texts.select("text_id", "text"), F.col("text")).drop("text")
+    keys = t.select("text_id", F.explode(F.array_distinct("__tok")).alias("b")).join(n, "b").drop("b")
+    found = ranges(keys.join(t, "text_id"), F.col("name"), F.col("entity_type"), "m")
+    return found.select("text_id", "name_id", F.explode("m").alias("m")).select("text_id", "name_id", "m.start", "m.end")
 
 
 def require_mention(proofs: DataFrame, allowed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

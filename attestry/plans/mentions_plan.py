@@ -9,13 +9,29 @@ from attestry.operators import checks as v
 from attestry.operators import mentions as m
 from attestry.plans.fixtures import plain, sql
 
-#: Whole documents, each behind a line that mentions an invented name, or nearly does.
-TEXTS = """
-SELECT doc_id AS text_id, concat(CASE doc_id % 8 WHEN 0 THEN 'Mr Quorra Vell said' WHEN 1 THEN 'Anna Quorra Vell said' WHEN 2 THEN 'Quorra Vell Smith said' WHEN 3 THEN 'Here is QUORRA VELL today' WHEN 4 THEN 'Here is quorra vell today'
-  WHEN 5 THEN 'By Quorra Véll, then Zorptek Ltd' WHEN 6 THEN 'From Zorptek-Ltd and Zorptek Ltd' ELSE 'At Zorptek Ltd-Nord' END, chr(10), text) AS text
-FROM {documents} WHERE text IS NOT NULL
+def _values(rows: list[tuple], alias: str, columns: str) -> str:
+    row = lambda i, w, ok: f"({i}, '" + w.replace("'", "''") + f"', {str(ok).lower()})"
+    return "(VALUES " + ", ".join(row(i, w, ok) for i, (w, ok) in enumerate(rows)) + f") AS {alias}({columns})"
+
+
+#: What stands before and after a name, and whether it leaves the name whole. By kind of name: a person, a company with a legal suffix, one without.
+PERSON_BEFORE = [("", True), ("With ", True), ("Mr ", True), ("Anna ", False), ("Jean de ", False), ("Profile de ", True), ("Our president ", True), ("Anna president ", False), ("Dr. ", True)]
+PERSON_AFTER = [(" said", True), (" Smith", False), (" Mr", True), (" Last updated", True), ("'s shop", True), (", Smith", True), (" de Villiers", False), (" de retour", True), ("-Smith", False), ("-CEO", True), (" and", True)]
+COMPANY_BEFORE = [("", True), ("At ", True), ("Mega ", False), ("The Group ", True), ("Mega The Group ", False), ("filiale de ", True), ("Mega de ", False), ("Non-", False)]
+COMPANY_AFTER = [(" announces", True), (" Group", False), (" et fils", False), (" County", False), (" county", True), (" & Co", False), ("-Nord", False), (", Paris", True), ("", True)]
+ALIAS_AFTER = [(" announces", True), (" Inc", False), (" county", False), (" works employs people", False), (" works Ltd", False), (" publishes results", True), (" et Fils", False), ("", True), (" / Nord", False)]
+#: Whole documents, each behind three lines that mention invented names, or nearly do.
+LINES = f"""
+SELECT doc_id, text, concat(pb.w, 'Quorra Vell', pa.w, '.') AS l1, concat(cb.w, 'Zorptek Ltd', ca.w, '.') AS l2, concat(ab.w, 'Zorptek', aa.w, '. Text') AS l3,
+  length(pb.w) AS s1, length(cb.w) AS s2, length(ab.w) AS s3, pb.ok AND pa.ok AS ok1, cb.ok AND ca.ok AS ok2, ab.ok AND aa.ok AS ok3
+FROM {{documents}}
+JOIN {_values(PERSON_BEFORE, "pb", "i, w, ok")} ON pb.i = doc_id % {len(PERSON_BEFORE)} JOIN {_values(PERSON_AFTER, "pa", "i, w, ok")} ON pa.i = doc_id % {len(PERSON_AFTER)}
+JOIN {_values(COMPANY_BEFORE, "cb", "i, w, ok")} ON cb.i = doc_id % {len(COMPANY_BEFORE)} JOIN {_values(COMPANY_AFTER, "ca", "i, w, ok")} ON ca.i = doc_id % {len(COMPANY_AFTER)}
+JOIN {_values(COMPANY_BEFORE[:7], "ab", "i, w, ok")} ON ab.i = doc_id % 7 JOIN {_values(ALIAS_AFTER, "aa", "i, w, ok")} ON aa.i = doc_id % {len(ALIAS_AFTER)}
+WHERE text IS NOT NULL
 """
-NAMES = "SELECT 1 AS name_id, 'Quorra Vell' AS name, 'person' AS entity_type FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 2, 'Zorptek Ltd', 'company' FROM {region} WHERE r_regionkey = 0"
+TEXTS = f"SELECT doc_id AS text_id, concat(l1, chr(10), l2, chr(10), l3, chr(10), text) AS text FROM ({LINES}) x"
+NAMES = " UNION ALL ".join(f"SELECT {i} AS name_id, '{n}' AS name, '{k}' AS entity_type FROM {{region}} WHERE r_regionkey = 0" for i, n, k in ((1, "Quorra Vell", "person"), (2, "Zorptek Ltd", "company"), (3, "Zorptek", "company")))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,18 +42,19 @@ def j3_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir)
 
 
-FOUND = """
+FOUND = f"""
+lines AS ({plain(LINES)}),
 f AS (
-  SELECT doc_id AS text_id, 1 AS name_id, CASE doc_id % 8 WHEN 0 THEN 3 WHEN 3 THEN 8 ELSE 3 END::BIGINT AS start, 11 AS n FROM documents WHERE text IS NOT NULL AND doc_id % 8 IN (0, 3, 5)
-  UNION ALL SELECT doc_id, 2, CASE doc_id % 8 WHEN 5 THEN 21 WHEN 6 THEN 5 END, 11 FROM documents WHERE text IS NOT NULL AND doc_id % 8 IN (5, 6)
-  UNION ALL SELECT doc_id, 2, 21, 11 FROM documents WHERE text IS NOT NULL AND doc_id % 8 = 6)"""
+  SELECT doc_id AS text_id, 1 AS name_id, s1::BIGINT AS start, 11 AS n FROM lines WHERE ok1
+  UNION ALL SELECT doc_id, 2, length(l1) + 1 + s2, 11 FROM lines WHERE ok2
+  UNION ALL SELECT doc_id, 3, length(l1) + 1 + length(l2) + 1 + s3, 7 FROM lines WHERE ok3)"""
 J3 = "WITH " + FOUND + ' SELECT text_id, name_id, start, start + n AS "end" FROM f'
 
 
 def _proofs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = sql(spark, sf_dir, TEXTS).select("text_id")
-    proofs = t.select(F.col("text_id").alias("claim_id"), "text_id", F.when(F.col("text_id") % 3 == 0, 4).otherwise(0).cast("long").alias("start"), F.when(F.col("text_id") % 5 == 0, 18).otherwise(40).cast("long").alias("end"))
-    return proofs, proofs.where("claim_id % 7 > 0").select("claim_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("name_id"))
+    proofs = t.select(F.col("text_id").alias("claim_id"), "text_id", F.when(F.col("text_id") % 3 == 0, 4).otherwise(0).cast("long").alias("start"), F.when(F.col("text_id") % 5 == 0, 18).otherwise(60).cast("long").alias("end"))
+    return proofs, proofs.where("claim_id % 7 > 0").select("claim_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("name_id"))
 
 
 def j4_require_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +64,7 @@ def j4_require_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 J4 = "WITH " + FOUND + """
-SELECT doc_id AS claim_id, doc_id % 7 > 0 AND EXISTS (SELECT 1 FROM f WHERE text_id = doc_id AND start >= CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END AND start + n <= CASE WHEN doc_id % 5 = 0 THEN 18 ELSE 40 END) AS accepted
+SELECT doc_id AS claim_id, doc_id % 7 > 0 AND EXISTS (SELECT 1 FROM f WHERE text_id = doc_id AND start >= CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END AND start + n <= CASE WHEN doc_id % 5 = 0 THEN 18 ELSE 60 END) AS accepted
 FROM documents WHERE text IS NOT NULL
 """
 
@@ -69,7 +86,7 @@ def j9_reconstruct_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 J9 = "WITH " + FOUND + """,
-r AS (SELECT *, text_id // 4 AS request_id, CASE name_id WHEN 1 THEN 'k0' ELSE 'k1' END AS candidate_key FROM f),
+r AS (SELECT *, text_id // 4 AS request_id, CASE name_id WHEN 1 THEN 'k0' ELSE 'k1' END AS candidate_key FROM f WHERE name_id < 3),
 o AS (SELECT *, row_number() OVER (PARTITION BY request_id, candidate_key ORDER BY CASE name_id WHEN 1 THEN text_id ELSE -text_id END, start) AS p FROM r WHERE NOT (request_id % 5 = 0 AND name_id = 1))
 SELECT request_id, candidate_key, text_id, start, start + n AS "end" FROM o WHERE p = 1
 """
