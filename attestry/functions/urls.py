@@ -106,10 +106,15 @@ def publisher_domain(url: Column) -> Column:
     return F.when(url.rlike(_URL) & (h != ""), F.when(F.size(labels) <= 2, h).when(last(2).isin(SECOND_LEVEL), last(3)).otherwise(last(2)))
 
 
+def url_text(url: Column) -> Column:
+    """Host and path, percent-decoded, with spaces for hyphens, underscores and dots; slashes part what belongs to different names."""
+    raw = F.concat(host(url), F.lit(" "), path(url))
+    return F.regexp_replace(F.coalesce(F.try_url_decode(raw), raw), "[-_.]+", " ")
+
+
 def url_words(url: Column) -> Column:
     """Host and path, percent-decoded, as words."""
-    raw = F.concat(host(url), F.lit(" "), path(url))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.try_url_decode(raw), raw), "[-_.]+", " "), r"[/\s]+", " "))
+    return F.trim(F.regexp_replace(url_text(url), r"[/\s]+", " "))
 
 
 def secret_name(name: Column) -> Column:

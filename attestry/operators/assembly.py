@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from attestry.functions import text as x
 from attestry.functions import urls as u
 from attestry.operators.facts import LEGAL, pick_summary
-from attestry.operators.identity import domain, holds, same_domain
+from attestry.operators.identity import domain, same_domain
+from attestry.operators.names import parsed, ranges
 
 #: What a dossier always says about its limits, and the categories whose facts need a scope label.
 ALWAYS = ["public_pages_only", "grounding_is_stated", "dated_event_is_no_current_state", "server_html_only"]
@@ -165,20 +166,26 @@ def attribute(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     """facts with code (first rule that refuses, null if accepted) and anchor (what ties the page to the subject).
 
     facts: request_id, subject_key, entity_type, category, scope_type, scope_label, url, title, excerpt, page_text, method; decisions:
-    request_id, selected_key, display_name, requested_name, selected_type, selected_scope, official_site. Names are sought as word sequences, with or
-    without a legal suffix. Facts of requests without a decision are left out.
+    request_id, selected_key, display_name, requested_name, selected_type, selected_scope, official_site. Names must be mentioned whole
+    (operators.names), with or without a legal suffix. Facts of requests without a decision are left out.
     """
     d = facts.join(decisions, "request_id")
     bare = F.trim(F.regexp_replace("display_name", LEGAL, ""))
     labels = [F.col("display_name"), F.col("requested_name"), F.when(F.length(bare) >= 3, bare)]
-    any_in = lambda t: reduce(Column.__or__, [holds(t, F.coalesce(n, F.lit(""))) for n in labels])
-    person = (F.col("selected_scope") == "person") & (F.col("entity_type") == "person") & (F.col("category") != "metric") & holds(F.col("excerpt"), F.col("display_name"))
+    places = {"excerpt": F.col("excerpt"), "title": F.col("title"), "page": F.col("page_text"), "url": u.url_text(F.col("url"))}
+    for place, text in places.items():
+        d = parsed(d, text)
+        for i, label in enumerate(labels):
+            d = ranges(d, label, F.col("selected_type"), "__r").withColumn(f"__{place}{i}", F.size("__r") > 0)
+        d = d.drop("__name_v", "__name_raw", "__name_tok", "__name_gaps", "__r")
+    any_in = lambda place: reduce(Column.__or__, [F.col(f"__{place}{i}") for i in range(len(labels))])
+    person = (F.col("selected_scope") == "person") & (F.col("entity_type") == "person") & (F.col("category") != "metric") & F.col("__excerpt0") & (F.col("selected_type") == "person")
     allowed = F.element_at(F.create_map(*[v for k, s in SCOPES.items() for v in (F.lit(k), F.array(*map(F.lit, s)))]), F.col("selected_scope"))
     plain = lambda c: F.lower(x.visible_text(c))
     label_fits = reduce(Column.__or__, [F.coalesce(plain(n) == plain(F.col("scope_label")), F.lit(False)) for n in (labels[0], labels[2])])
     anchor = (
-        F.when(same_domain(domain(F.col("official_site")), domain(F.col("url"))), "official_domain").when(any_in(F.col("excerpt")), "excerpt").when(any_in(F.col("title")), "title")
-        .when(any_in(F.col("page_text")), "page").when((F.col("method") != "source_content") & any_in(u.url_words(F.col("url"))), "url")
+        F.when(same_domain(domain(F.col("official_site")), domain(F.col("url"))), "official_domain").when(any_in("excerpt"), "excerpt").when(any_in("title"), "title")
+        .when(any_in("page"), "page").when((F.col("method") != "source_content") & any_in("url"), "url")
     )
     d = d.withColumns({"__person": person, "__anchor": anchor})
     named = F.col("__person")
@@ -188,49 +195,3 @@ def attribute(facts: DataFrame, decisions: DataFrame) -> DataFrame:
         .when(F.col("scope_label").isNotNull() & ~label_fits & ~named, "scope_label_mismatch").when(F.col("__anchor").isNull(), "page_identity_anchor_missing")
     )
     return d.withColumn("code", code).withColumn("anchor", F.when(F.col("code").isNull(), F.col("__anchor"))).select(*facts.columns, "code", "anchor")
-
-
-#: Parts of the path or title of a page that lists people, parts that rule a page out, and roles.
-DIRECTORY = [
-    "a propos", "about", "about us", "comite de direction", "direction", "direction generale", "dirigeants", "equipe", "equipe de direction", "equipe dirigeante", "executive team",
-    "governance", "gouvernance", "leadership", "la direction", "management", "management team", "notre equipe", "nos dirigeants", "our team", "people", "team", "qui sommes nous", "who we are",
-]
-DIRECTORY_TITLES = [*DIRECTORY, "a propos de nous", "meet the team", "notre direction", "the team"]
-DIRECTORY_NAMES = ["direction", "dirigeants", "equipe", "governance", "gouvernance", "leadership", "management", "people", "team"]
-EXCLUDED = [
-    "accueil", "actualites", "article", "articles", "blog", "conditions generales", "confidentialite", "contact", "contact us", "contactez nous", "contacts", "home", "homepage", "legal",
-    "legal notice", "login", "menu", "mentions legales", "navigation", "news", "politique de confidentialite", "press", "presse", "privacy", "privacy policy", "recherche", "resources",
-    "ressources", "search", "signin", "terms", "terms and conditions",
-]
-ROLES = (
-    r"^(?:(?:ceo|cfo|chro|cio|cmo|coo|cpo|cro|cso|cto)|chief (?:executive|financial|human resources|information|marketing|operating|people|product|revenue|strategy|technology) officer"
-    r"|(?:co[- ]?)?founder|(?:co[- ]?)?fondateur|(?:co[- ]?)?fondatrice|(?:chairman|chairperson|chairwoman|managing director|partner)"
-    r"|(?:president|président|présidente|vice[- ]president|vice[- ]président|vice[- ]présidente)|(?:directeur|directrice)(?: général| générale)?|(?:gérant|gérante|associé|associée))$"
-)
-
-
-def directory_role(facts: DataFrame) -> DataFrame:
-    """Q2: facts with directory_role: the excerpt is the selected person's name, a separator and a listed role, on a page that lists people.
-
-    facts: category, entity_type, scope_type, scope_label, excerpt, url, title, display_name. Null columns give false.
-    """
-    plain = lambda c: F.regexp_replace(x.plain_key(x.visible_text(c)), "’", "'")
-    part = lambda c: F.trim(F.regexp_replace(x.without_marks(F.lower(c)), r"[^\p{L}\p{N}]+", " "))
-    count = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
-    solid = lambda a: F.filter(a, lambda p: p != "")
-    paths = solid(F.transform(F.split(u.path(F.col("url")), "/"), lambda p: F.coalesce(part(F.try_url_decode(p)), F.lit(""))))
-    titles = solid(F.transform(F.split("title", r"\s*(?:[|•·:–—]|\s+-\s+)\s*"), part))
-    among = lambda a, names: F.arrays_overlap(a, F.array(*map(F.lit, names)))
-    d = facts.withColumns({"__n": plain(F.col("display_name")), "__s": part(F.col("display_name")), "__paths": paths, "__titles": titles, "__t": plain(F.col("title")), "__e": plain(F.col("excerpt"))})
-    page = (
-        (F.size("__paths") <= 6) & ~among(F.col("__paths"), EXCLUDED) & F.length("__t").between(1, 180) & (count(F.col("__t")) <= 18) & ~among(F.col("__titles"), EXCLUDED)
-        & (among(F.col("__paths"), DIRECTORY) | among(F.col("__titles"), DIRECTORY_TITLES))
-    )
-    subject = (
-        (F.col("category") == "role") & (F.col("entity_type") == "person") & (F.col("scope_type") == "person") & (plain(F.col("scope_label")) == F.col("__n")) & F.col("scope_label").isNotNull()
-        & count(F.col("__n")).between(2, 5) & ~F.col("__s").isin(*DIRECTORY_TITLES) & ~among(F.split("__s", " "), DIRECTORY_NAMES)
-    )
-    rest = F.substring(F.col("__e"), F.length("__n") + 1, F.lit(1 << 30))
-    role = F.trim(F.regexp_replace(rest, r"^\s*(?:[/|•·,:–—-]\s*)?", ""))
-    listed = F.col("__e").startswith(F.col("__n")) & rest.rlike(r"^[\s/|•·,:–—-]") & F.length(role).between(1, 64) & (count(role) <= 6) & role.rlike(ROLES)
-    return d.withColumn("directory_role", F.coalesce(page & subject & listed, F.lit(False))).select(*facts.columns, "directory_role")

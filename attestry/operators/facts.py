@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as x
 from attestry.functions import urls as u
+from attestry.functions.numbers import metric_value
+from attestry.operators.directory import directory_role
+from attestry.operators.names import with_named
 
 #: Month names of dates in French and English, without accents.
 MONTHS = {
@@ -64,23 +67,35 @@ def temporal_status(facts: DataFrame, observed_at: Column) -> DataFrame:
 
 
 def claim_quality(facts: DataFrame) -> DataFrame:
-    """facts (category, entity_type, excerpt, subject, normalized_value, period) with code: the first rule that fails, null if accepted."""
-    p = {k: F.col(f"__{k}") for k in x.profile(F.col("excerpt"))}
+    """facts (category, entity_type, excerpt, subject, normalized_value, period) with code: the first rule that fails, null if accepted.
+
+    The subject must be mentioned whole (operators.names), with or without its legal suffix. Where facts has the columns of
+    directory_role, a role that it accepts may be a short line without a relation. A metric needs scope_label, fact_period_label, normalized_value,
+    unit and one number in its excerpt, as far as facts has those columns.
+    """
     d = facts.withColumns({f"__{k}": v for k, v in x.profile(F.col("excerpt")).items()})
-    d = d.withColumns({"__k": x.plain_key(F.col("excerpt")), "__v": x.plain_key(F.col("normalized_value")), "__s": x.plain_key(F.col("subject")), "__a": x.plain_key(F.regexp_replace("subject", LEGAL, ""))})
+    p = {k: F.col(f"__{k}") for k in x.profile(F.col("excerpt"))}
+    d = d.withColumns({"__k": x.plain_key(F.col("excerpt")), "__v": x.plain_key(F.col("normalized_value")), "__s": F.col("subject"), "__a": F.trim(F.regexp_replace("subject", LEGAL, ""))})
+    d = with_named(d, F.col("excerpt"), F.col("__s"), F.col("entity_type"), "__named")
+    d = with_named(d, F.col("excerpt"), F.when((F.length("__a") >= 3) & (F.col("__a") != F.col("__s")), F.col("__a")), F.col("entity_type"), "__alias")
+    directory = F.lit(False)
+    if {"scope_type", "scope_label", "url", "title", "display_name"} <= set(facts.columns):
+        d = directory_role(d)
+        directory = F.col("directory_role")
     k, v = F.col("__k"), F.col("__v")
     digits = lambda c: F.regexp_replace(c, r"[^\d]", "")
-    stands = lambda name: (F.length(name) >= 3) & F.concat(F.lit(" "), F.regexp_replace(k, r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace(name, r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
     shown = F.col("normalized_value").isNull() | ((digits(v) != "") & digits(k).contains(digits(v))) | ((F.length(v) >= 2) & k.contains(v))
     category, dated = F.col("category"), F.col("period.status") == "stated"
+    needed = [c for c in ("scope_label", "fact_period_label", "normalized_value", "unit") if c in facts.columns]
+    stated = reduce(Column.__and__, [F.col(c).isNotNull() for c in needed], dated & metric_value(x.visible_text(F.col("excerpt"))).isNotNull())
     relation = F.col("excerpt").rlike(PERSON_PAIR) & F.col("excerpt").rlike(RELATION)
     code = (
-        F.when(category == "identity", "identity_not_business_fact").when(p["question"], "non_declarative_claim").when(x.weak(p), "weak_fragment").when(x.compound(p), "non_atomic_claim")
-        .when(~stands(F.col("__s")) & ~stands(F.col("__a")), "subject_not_stated").when((category == "metric") & ~dated, "metric_scope_or_period_missing")
-        .when((category != "metric") & ~shown, "structured_value_not_in_excerpt").when((category == "role") & ~relation, "role_relation_missing")
+        F.when(category == "identity", "identity_not_business_fact").when(p["question"], "non_declarative_claim").when(x.weak(p) & ~directory, "weak_fragment").when(x.compound(p), "non_atomic_claim")
+        .when(~F.col("__named") & ~F.col("__alias"), "subject_not_stated").when((category == "metric") & ~stated, "metric_scope_or_period_missing")
+        .when((category != "metric") & ~shown, "structured_value_not_in_excerpt").when((category == "role") & ~directory & ~relation, "role_relation_missing")
         .when(category.isin("event", "recent_signal") & ~dated, "dated_event_date_missing")
     )
-    return d.withColumn("code", code).select(*facts.columns, "code")
+    return d.withColumn("__code", code).select(*facts.columns, F.col("__code").alias("code"))
 
 
 def grounded_quality(facts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as x
 from attestry.functions import urls as u
 from attestry.operators.facts import LEGAL, MARGIN, WEIGHTS
+from attestry.operators.names import with_named
 
 #: How a sentence says what a subject is, the grammar of keys, and the kinds of medium signals.
 RELATION = "(?:est|is|constitue|represente|represents|operates as|se presente comme)"
@@ -48,10 +49,13 @@ def same_domain(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a)), F.lit(False))
 
 
-def identifies(candidate_name: Column, proof: Column) -> Column:
-    """A proof names a candidate: in its excerpt, or, where the page was not read, in its title or URL."""
-    unread = proof["method"] != "source_content"
-    return holds(proof["excerpt"], candidate_name) | (unread & (holds(proof["title"], candidate_name) | holds(u.url_words(proof["url"]), candidate_name)))
+def identifies(proofs: DataFrame, out: str) -> DataFrame:
+    """proofs (method, excerpt, title, url, display_name, entity_type) with out: the proof names its candidate whole in its excerpt,
+    or, where the page was not read, has the words of the name in its title or URL."""
+    d = with_named(proofs, F.col("excerpt"), F.col("display_name"), F.col("entity_type"), out)
+    unread = F.coalesce(F.col("method") != "source_content", F.lit(False))
+    name = F.col("display_name")
+    return d.withColumn(out, F.col(out) | (unread & (holds(F.col("title"), name) | holds(u.url_words(F.col("url")), name))))
 
 
 def derive_scope(candidates: DataFrame, proofs: DataFrame) -> DataFrame:
@@ -72,10 +76,11 @@ def assemble_evidence(candidates: DataFrame, proofs: DataFrame) -> DataFrame:
     """Proofs of each candidate, distinct by URL, digest and excerpt, the direct one first, with primary and basis.
 
     Fact proofs count only if they name the candidate. The direct proof is primary if it names the candidate (basis dedicated),
-    else the first fact proof, else the direct one (basis verified_facts). Candidates without proof give no rows.
+    else the first fact proof, else the direct one (basis verified_facts). Candidates without proof give no rows. Of candidates that
+    share a key the first by ord is read (decide() refuses such a request).
     """
-    p = proofs.join(candidates.select(*KEY, "display_name"), KEY)
-    p = p.withColumn("names", identifies(F.col("display_name"), F.struct(*[F.col(c) for c in ("method", "excerpt", "title", "url")])))
+    own = candidates.groupBy(*KEY).agg(F.min_by(F.struct("display_name", "entity_type"), "ord").alias("__c"))
+    p = identifies(proofs.join(own.select(*KEY, "__c.*"), KEY), "names")
     p = p.where((F.col("kind") == "identity") | F.col("names"))
     direct = F.col("kind") == "identity"
     order = [F.when(direct, 0).otherwise(1), F.col("ord")]
@@ -84,7 +89,7 @@ def assemble_evidence(candidates: DataFrame, proofs: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*KEY)
     p = p.withColumn("basis", F.when(F.max(direct & F.col("names")).over(whole), "dedicated").otherwise("verified_facts"))
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.when(direct & F.col("names"), 0).when(~direct, 1).otherwise(2), *order))
-    return p.withColumn("primary", rank == 1).drop("display_name")
+    return p.withColumn("primary", rank == 1).drop("display_name", "entity_type")
 
 
 def context_signals(requests: DataFrame, verified: DataFrame, proofs: DataFrame) -> DataFrame:

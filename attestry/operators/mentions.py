@@ -29,7 +29,7 @@ def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
     n = names.withColumn("w", name_words(x.visible_text(F.col("name")))).where(F.size("w") > 0)
     n = n.select("name_id", "name", "entity_type", F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("b"))
     t = parsed(texts.select("text_id", "text"), F.col("text")).drop("text")
-    keys = t.select("text_id", F.explode(F.array_distinct("__tok")).alias("b")).join(n, "b").drop("b")
+    keys = t.select("text_id", F.explode(F.array_distinct("__name_tok")).alias("b")).join(n, "b").drop("b")
     found = ranges(keys.join(t, "text_id"), F.col("name"), F.col("entity_type"), "m")
     return found.select("text_id", "name_id", F.explode("m").alias("m")).select("text_id", "name_id", "m.start", "m.end")
 

@@ -31,26 +31,32 @@ from attestry.sources.tables import settled
 
 
 def _hash(*columns: Column) -> Column:
-    return F.substring(F.unhex(F.sha2(F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}), 256)), 1, 16)
+    """16 bytes of a digest over the digests of columns; a null is unlike any text."""
+    each = [F.coalesce(F.sha2(c.cast("string").cast("binary"), 256), F.lit("-")) for c in columns]
+    return F.substring(F.unhex(F.sha2(F.concat(*each) if len(each) > 1 else each[0], 256)), 1, 16)
 
 
-def _normal(name: str) -> Column:
-    return F.replace(x.plain_key(x.visible_text(F.col(name))), F.lit("’"), F.lit("'"))
+def _normal(visible: Column) -> Column:
+    """Lower case on one line, with plain apostrophes: visible text has single spaces already."""
+    return F.coalesce(F.lower(F.translate(visible, "\n’", " '")), F.lit(""))
 
 
 def _narrow(facts: DataFrame) -> DataFrame:
     """(request_id, ord, fact_id, e, cat, t, cls, m, len, p): hashes of the excerpt, its mechanical key (null if empty), what kind of fact it is, its metric key, its proof."""
-    period = F.replace(x.plain_key(x.visible_text(F.coalesce("fact_period_label", "fact_date"))), F.lit("’"), F.lit("'"))
-    scope = [F.coalesce("category", F.lit("")), F.coalesce("scope_type", F.lit("")), _normal("scope_label"), period]
+    named = ("scope_label", "predicate", "normalized_value", "unit", "currency")
+    d = facts.select(
+        "request_id", "ord", "fact_id", "category", "scope_type", "url", _hash(F.col("excerpt")).alias("e"), x.visible_text(F.col("excerpt")).alias("v"),
+        x.visible_text(F.coalesce("fact_period_label", "fact_date")).alias("period"), *[x.visible_text(F.col(c)).alias(c) for c in named],
+    )
+    v, text = F.col("v"), {c: _normal(F.col(c)) for c in (*named, "period")}
+    scope = [F.coalesce("category", F.lit("")), F.coalesce("scope_type", F.lit("")), text["scope_label"], text["period"]]
     metric = F.coalesce(F.col("category") == "metric", F.lit(False))
-    number = F.coalesce(metric_value(x.visible_text(F.col("excerpt"))).cast("string"), F.lit("unparseable"))
-    m = F.when(metric, _hash(*scope, _normal("predicate"), number, _normal("unit"), _normal("currency")))
-    key = x.mechanical_key(F.col("excerpt"))
-    excerpt = F.coalesce("excerpt", F.lit(""))
-    return facts.select(
-        "request_id", "ord", "fact_id", _hash(F.col("excerpt")).alias("e"), F.coalesce("category", F.lit("")).alias("cat"),
-        F.when(F.coalesce(key, F.lit("")) != "", _hash(key)).alias("t"), F.coalesce(m, _hash(*scope, _normal("normalized_value"))).alias("cls"), m.alias("m"),
-        F.length(x.visible_text(excerpt)).alias("len"), _hash(F.col("url"), _normal("excerpt")).alias("p"),
+    number = F.coalesce(metric_value(v).cast("string"), F.lit("unparseable"))
+    m = F.when(metric, _hash(*scope, text["predicate"], number, text["unit"], text["currency"]))
+    key = F.rtrim(F.regexp_replace(x.mechanical_form(v), r"\.$", ""))
+    d = d.select("request_id", "ord", "fact_id", "e", "category", key.alias("key"), m.alias("m"), _hash(*scope, text["normalized_value"]).alias("c"), F.coalesce(F.length("v"), F.lit(0)).alias("len"), _hash(F.col("url"), _normal(v)).alias("p"))
+    return d.select(
+        "request_id", "ord", "fact_id", "e", F.coalesce("category", F.lit("")).alias("cat"), F.when(F.coalesce("key", F.lit("")) != "", _hash(F.col("key"))).alias("t"), F.coalesce("m", "c").alias("cls"), "m", "len", "p",
     )
 
 

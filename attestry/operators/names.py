@@ -135,24 +135,24 @@ def _prefix(tok, gaps, s: Column, lead: Column, person: Column) -> Column:
 
 
 def parsed(df: DataFrame, text: Column) -> DataFrame:
-    """df with __v (visible text), __raw, __tok (its words as they stand, and plain) and __gaps (what stands around them)."""
-    d = df.withColumn("__v", x.visible_text(F.coalesce(text, F.lit(""))))
-    d = d.withColumns({"__raw": F.regexp_extract_all("__v", F.lit(TOKEN), F.lit(0)), "__gaps": F.split("__v", TOKEN, -1)})
-    return d.withColumn("__tok", F.transform("__raw", _plain))
+    """df with __name_v (visible text), __name_raw, __name_tok (its words as they stand, and plain) and __name_gaps (what stands around them)."""
+    d = df.withColumn("__name_v", x.visible_text(F.coalesce(text, F.lit(""))))
+    d = d.withColumns({"__name_raw": F.regexp_extract_all("__name_v", F.lit(TOKEN), F.lit(0)), "__name_gaps": F.split("__name_v", TOKEN, -1)})
+    return d.withColumn("__name_tok", F.transform("__name_raw", _plain))
 
 
 def ranges(df: DataFrame, name: Column, entity_type: Column, out: str) -> DataFrame:
     """df from parsed(), with out: array of (start, end), the places of the visible text where the whole name stands. Null names stand nowhere."""
-    d = df.withColumns({"__n": F.coalesce(x.visible_text(name), F.lit("")), "__person": entity_type.eqNullSafe("person")})
-    n = F.col("__n")
+    d = df.withColumns({"__name_n": F.coalesce(x.visible_text(name), F.lit("")), "__name_person": entity_type.eqNullSafe("person")})
+    n = F.col("__name_n")
     d = d.withColumns({
-        "__w": name_words(n), "__form": x.mechanical_form(n), "__letters": F.regexp_replace(n, r"[^\p{L}]+", ""),
-        "__lead": F.length(F.regexp_extract(n, rf"\A(.*?){TOKEN}", 1)), "__tail": F.length(F.regexp_extract(n, rf"{TOKEN}([^\p{{L}}\p{{M}}\p{{N}}­]*)\z", 1)),
+        "__name_w": name_words(n), "__name_form": x.mechanical_form(n), "__name_letters": F.regexp_replace(n, r"[^\p{L}]+", ""),
+        "__name_lead": F.length(F.regexp_extract(n, rf"\A(.*?){TOKEN}", 1)), "__name_tail": F.length(F.regexp_extract(n, rf"{TOKEN}([^\p{{L}}\p{{M}}\p{{N}}­]*)\z", 1)),
     })
     # cheap first: the places where the words stand; what follows is computed only where there is one
-    d = d.withColumn("__s", x.sequence_starts(F.col("__tok"), F.col("__w")))
-    raw, tok, gaps, w = F.col("__raw"), F.col("__tok"), F.col("__gaps"), F.col("__w")
-    lead, tail, person = F.col("__lead"), F.col("__tail"), F.col("__person")
+    d = d.withColumn("__name_s", x.sequence_starts(F.col("__name_tok"), F.col("__name_w")))
+    raw, tok, gaps, w = F.col("__name_raw"), F.col("__name_tok"), F.col("__name_gaps"), F.col("__name_w")
+    lead, tail, person = F.col("__name_lead"), F.col("__name_tail"), F.col("__name_person")
     legal = _in(F.element_at(w, -1), COMPANY_LEGAL_SUFFIXES)
     total = lambda a: F.aggregate(a, F.lit(0), lambda acc, z: acc + F.length(z))
 
@@ -161,25 +161,25 @@ def ranges(df: DataFrame, name: Column, entity_type: Column, out: str) -> DataFr
         start = total(F.slice(gaps, F.lit(1), s + 1)) + total(F.slice(raw, F.lit(1), s))
         return F.struct(s.alias("s"), (start - lead).alias("start"), (start + total(F.slice(raw, s + 1, m)) + total(F.slice(gaps, s + 2, m - 1)) + tail).alias("end"))
 
-    d = d.withColumn("__p", F.transform("__s", place))
+    d = d.withColumn("__name_p", F.transform("__name_s", place))
 
     def whole(p: Column) -> Column:
-        part = F.substr(F.col("__v"), p["start"] + 1, p["end"] - p["start"])
+        part = F.substr(F.col("__name_v"), p["start"] + 1, p["end"] - p["start"])
         letters = F.regexp_replace(part, r"[^\p{L}]+", "")
-        case = person | legal | (letters == F.col("__letters")) | (letters == F.upper(letters))
+        case = person | legal | (letters == F.col("__name_letters")) | (letters == F.upper(letters))
         e = p["s"] + F.size(w)
-        ok = (p["start"] >= 0) & (x.mechanical_form(part) == F.col("__form")) & (letters != "") & case
+        ok = (p["start"] >= 0) & (x.mechanical_form(part) == F.col("__name_form")) & (letters != "") & case
         return ok & ~_suffix(raw, tok, gaps, e, tail, person, legal) & ~_prefix(tok, gaps, p["s"], lead, person) & ~(person & _person_suffix(raw, tok, gaps, e))
 
-    found = F.transform(F.filter("__p", whole), lambda p: F.struct(p["start"].cast("long").alias("start"), p["end"].cast("long").alias("end")))
-    return d.withColumn(out, F.when(F.size("__s") > 0, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))).drop("__n", "__w", "__form", "__letters", "__lead", "__tail", "__person", "__s", "__p")
+    found = F.transform(F.filter("__name_p", whole), lambda p: F.struct(p["start"].cast("long").alias("start"), p["end"].cast("long").alias("end")))
+    return d.withColumn(out, F.when(F.size("__name_s") > 0, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))).drop("__name_n", "__name_w", "__name_form", "__name_letters", "__name_lead", "__name_tail", "__name_person", "__name_s", "__name_p")
 
 
 def with_mentions(df: DataFrame, text: Column, name: Column, entity_type: Column, out: str) -> DataFrame:
     """df with out: array of (start, end) of each whole mention of name in the visible text, row by row."""
-    return ranges(parsed(df, text), name, entity_type, out).drop("__v", "__raw", "__tok", "__gaps")
+    return ranges(parsed(df, text), name, entity_type, out).drop("__name_v", "__name_raw", "__name_tok", "__name_gaps")
 
 
 def with_named(df: DataFrame, text: Column, name: Column, entity_type: Column, out: str) -> DataFrame:
     """df with out (boolean): text mentions the whole name."""
-    return with_mentions(df, text, name, entity_type, "__ranges").withColumn(out, F.size("__ranges") > 0).drop("__ranges")
+    return with_mentions(df, text, name, entity_type, "__name_ranges").withColumn(out, F.size("__name_ranges") > 0).drop("__name_ranges")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators import assembly as a
+from attestry.operators.directory import directory_role
 from attestry.operators import checks as v
 from attestry.plans.fixtures import plain, sql
 
@@ -203,8 +204,8 @@ ABOUT = """
 SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 17 = 0 THEN 'k1' ELSE 'k0' END AS subject_key, CASE WHEN s_suppkey % 13 = 0 THEN 'person' ELSE 'company' END AS entity_type, CASE s_suppkey % 4 WHEN 0 THEN 'metric' WHEN 1 THEN 'role' ELSE 'activity' END AS category,
   CASE WHEN s_suppkey % 11 = 0 THEN 'brand' ELSE 'company' END AS scope_type, CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN 'Another Firm' WHEN s_suppkey % 5 = 0 THEN upper(bare) ELSE name END AS scope_label,
   concat('https://', CASE WHEN s_suppkey % 10 = 1 THEN 'www.own.example.com' ELSE 'press.example.com' END, '/', CASE WHEN s_suppkey % 8 = 6 THEN replace(lower(name), ' ', '-') ELSE 'x' END) AS url,
-  CASE WHEN s_suppkey % 8 = 3 THEN concat('About ', name) ELSE 'Press' END AS title, CASE WHEN s_suppkey % 8 IN (1, 2) THEN concat(bare, ' sells parts') ELSE 'It sells parts' END AS excerpt,
-  CASE WHEN s_suppkey % 8 IN (4, 5) THEN concat('Here ', lower(name), ' sells parts') ELSE 'It sells parts' END AS page_text, CASE WHEN s_suppkey % 16 = 6 THEN 'search_snippet' ELSE 'source_content' END AS method
+  CASE WHEN s_suppkey % 8 = 3 THEN concat('At ', name) ELSE 'Press' END AS title, CASE WHEN s_suppkey % 8 IN (1, 2) THEN concat(bare, ' sells parts') ELSE 'It sells parts' END AS excerpt,
+  CASE WHEN s_suppkey % 8 IN (4, 5) THEN concat('By ', lower(name), ' sells parts') ELSE 'It sells parts' END AS page_text, CASE WHEN s_suppkey % 16 = 6 THEN 'search_snippet' ELSE 'source_content' END AS method
 FROM (SELECT s_suppkey, concat('Firm ', translate(cast(s_suppkey AS string), '0123456789', 'ABCDEFGHIJ')) AS bare, concat('Firm ', translate(cast(s_suppkey AS string), '0123456789', 'ABCDEFGHIJ'), ' Ltd') AS name FROM {supplier}) s
 """
 CHOSEN = "SELECT s_suppkey AS request_id, 'k0' AS selected_key, concat('Firm ', translate(cast(s_suppkey AS string), '0123456789', 'ABCDEFGHIJ'), ' Ltd') AS display_name, concat('Firm ', translate(cast(s_suppkey AS string), '0123456789', 'ABCDEFGHIJ'), ' Ltd') AS requested_name, 'company' AS selected_type, 'company' AS selected_scope, 'https://own.example.com/about' AS official_site FROM {supplier}"
@@ -231,7 +232,7 @@ FROM (SELECT c_custkey, concat('Marie ', upper(substr(c_mktsegment, 1, 1)), lowe
 
 
 def q2_directory_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.directory_role(sql(spark, sf_dir, PEOPLE)).select("c_custkey", "directory_role")
+    return directory_role(sql(spark, sf_dir, PEOPLE)).select("c_custkey", "directory_role")
 
 
 Q2 = "SELECT c_custkey, c_custkey % 9 <> 0 AND c_custkey % 8 <> 0 AND (c_custkey % 5 IN (0, 4) OR (c_custkey % 5 = 1 AND c_custkey % 10 <> 1) OR (c_custkey % 5 = 3 AND c_custkey % 2 = 0)) AND c_custkey % 4 <> 3 AS directory_role FROM customer"

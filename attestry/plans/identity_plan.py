@@ -47,14 +47,14 @@ def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i2_derive_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scoped(spark, sf_dir).where("not (request_id % 5 = 0)").select("request_id", "candidate_key", "entity_scope")
+    return _scoped(spark, sf_dir).select("request_id", "candidate_key", F.col("ord").cast("long").alias("ord"), "entity_scope")
 
 
-I2 = f"SELECT request_id, candidate_key, {SCOPE} AS entity_scope FROM ({plain(CANDIDATES)}) c WHERE request_id % 5 <> 0"
+I2 = f"SELECT request_id, candidate_key, ord::BIGINT AS ord, {SCOPE} AS entity_scope FROM ({plain(CANDIDATES)}) c"
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return i.assemble_evidence(sql(spark, sf_dir, CANDIDATES).where("not (request_id % 5 = 0 and ord = 2)"), sql(spark, sf_dir, PROOFS))
+    return i.assemble_evidence(sql(spark, sf_dir, CANDIDATES), sql(spark, sf_dir, PROOFS))
 
 
 def i3_assemble_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ EVIDENCE = f"""
 WITH c AS ({plain(CANDIDATES)}), q AS (
   SELECT request_id, candidate_key, p, {NAMES} AS names,
     concat(p % 2, CASE WHEN (request_id + p) % 4 IN (1, 2) THEN 'f' ELSE 'n' END) AS same
-  FROM c JOIN (SELECT unnest([0, 1, 2, 3]) AS p) s ON p <= request_id % 5 WHERE NOT (request_id % 5 = 0 AND ord = 2)),
+  FROM (SELECT *, row_number() OVER (PARTITION BY request_id, candidate_key ORDER BY ord) AS nth FROM c) JOIN (SELECT unnest([0, 1, 2, 3]) AS p) s ON p <= request_id % 5 WHERE nth = 1),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, candidate_key, same ORDER BY p) AS n FROM q WHERE p = 0 OR names) WHERE n = 1),
 e AS (
   SELECT request_id, candidate_key, CASE WHEN p = 0 THEN 'identity' ELSE 'fact' END AS kind, p AS ord, names,
