@@ -6,12 +6,15 @@ fact_date, fact_period_label, normalized_value, unit, currency, contradiction_ke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import numbers as num
 from attestry.functions.text import conflict_text, plain_key
 from attestry.functions.urls import conflict_page_key
+from attestry.sources.tables import settled
 
 #: The grammar of a full metric sentence, without accents.
 REFUSED = [
@@ -146,7 +149,7 @@ def compare_metrics(facts: DataFrame) -> DataFrame:
     norm = lambda c: plain_key(F.col(c))
     d = (facts if "sig" in facts.columns else metric_signature(facts)).where("category = 'metric'").select(
         "request_id", "subject_key", "fact_id", "ord", "sig", F.col("scope_type"), norm("scope_label").alias("scope"), norm("predicate").alias("pred"), norm("contradiction_key").alias("def"))
-    keys = F.array_compact(F.array(F.when(F.col("sig").isNotNull(), F.concat(F.lit("m|"), F.col("sig.metric"))), F.concat(F.lit("p|"), F.col("pred"), F.lit("|"), F.col("def"))))
+    keys = F.array_compact(F.array(F.when(F.col("sig").isNotNull(), F.concat(F.lit("m|"), F.col("sig.metric"))), F.when(F.col("def") != "", F.concat(F.lit("p|"), F.col("pred"), F.lit("|"), F.col("def")))))
     k = d.withColumn("key", F.explode(keys))
     a, b = k.alias("a"), k.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("request_id", "subject_key", "key")] + [F.col("a.ord") < F.col("b.ord")]
@@ -183,6 +186,93 @@ def independent_pairs(pairs: DataFrame, proofs: DataFrame) -> DataFrame:
 RANK = ["confirmation", "explainable_difference", "indetermination", "contradiction"]
 
 
+def _classes(facts: DataFrame) -> DataFrame:
+    """Metric facts with the columns that comparisons look at, as nested classes: metric, currency, statement (scope and period and
+    definition), claim (predicate and declared definition), nature."""
+    norm = lambda c: plain_key(F.col(c))
+    d = (facts if "sig" in facts.columns else metric_signature(facts)).where("category = 'metric'")
+    s = F.col("sig")
+    part = lambda *c: F.sha2(F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in c]), 256)
+    return d.select(
+        "request_id", "subject_key", "fact_id", s.isNotNull().alias("known"), s["metric"].alias("metric"), F.coalesce(s["currency"], F.lit("")).alias("currency"), s["value"].alias("value"), s["nature"].alias("nature"),
+        F.when(s.isNotNull(), part(F.col("scope_type"), norm("scope_label"), s["period_key"], s["definition"], s["scope_kind"])).alias("statement"), norm("predicate").alias("pred"), norm("contradiction_key").alias("def"),
+    )
+
+
+#: Coordinates that must all differ for two proofs to contradict each other independently.
+APART = ("value", "page", "digest")
+
+
+def _witnesses(proofs: DataFrame, key: list[str]) -> DataFrame:
+    """For each key at most 16 of its proofs (value, page, digest), among which every proof that some other one is apart from in all three finds such a one.
+
+    Take any proof. What is not apart from it equals it in one coordinate, so for each coordinate take a proof that differs from the
+    first there; what is not apart from that one either equals it in another coordinate; and so on through all three. Each step
+    is a minimum by key, so a hot key is combined before the shuffle.
+    """
+    d = proofs.withColumn("__t", F.struct(*APART))
+    held = d.groupBy(*key).agg(F.min("__t").alias("w"))
+    paths: list[tuple[int, ...]] = [()]
+    for depth in range(1, len(APART) + 1):
+        nexts = [(*p, i) for p in paths for i in range(len(APART)) if i not in p]
+        j = d.join(held, key)
+        best = []
+        for path in nexts:
+            # apart in each coordinate of the path from the proof taken before it
+            before = [F.col("w") if n == 0 else F.col("w" + "".join(map(str, path[:n]))) for n in range(depth)]
+            ok = reduce(Column.__and__, [F.coalesce(F.col(APART[i]) != b[APART[i]], F.lit(False)) for i, b in zip(path, before)])
+            best.append(F.min(F.when(ok, F.col("__t"))).alias("w" + "".join(map(str, path))))
+        known = [c for c in held.columns if c not in key]
+        held = j.groupBy(*key).agg(*[F.first(c).alias(c) for c in known], *best)
+        paths = nexts
+    taken = [c for c in held.columns if c not in key]
+    return held.select(*key, F.array_distinct(F.array_compact(F.array(*taken))).alias("witnesses"))
+
+
+def reconcile_facts(facts: DataFrame, proofs: DataFrame) -> DataFrame:
+    """N7 without pairs: (fact_id, state), the worst relationship of each fact to the facts that it can be compared with; facts
+    with none give no row. proofs: fact_id, url, digest.
+
+    What decides is counted by class. Facts of a subject compare if they state one metric, or declare one predicate and
+    definition. Then the first of these that holds for some other fact: apart in value and with independent proofs
+    (contradiction); no or another signature or currency, another predicate or definition of one statement, an unknown nature,
+    or a value apart without independent proofs (indetermination); another statement or nature (explainable). Values are equal within
+    1e-12 of the larger one; a chain of equal ones counts as one value.
+    """
+    d = settled(_classes(facts), "metric-classes")
+    key = ["request_id", "subject_key"]
+    claim = [*key, "metric", "currency", "statement", "pred", "def"]
+    count = lambda by, name, where="true": d.where(where).groupBy(*by).agg(F.count("*").alias(name))
+    full = claim + ["nature"]
+    v = d.where("known AND def <> '' AND nature <> 'unknown'").select(*full, "value").distinct()
+    gap = F.col("value") - F.lag("value").over(Window.partitionBy(*full).orderBy("value"))
+    size = F.greatest(F.lit(1.0), F.abs("value"))
+    v = v.withColumn("cut", F.coalesce((gap > size * EPSILON).cast("long"), F.lit(0))).withColumn("cluster", F.sum("cut").over(Window.partitionBy(*full).orderBy("value")))
+    v = settled(v.select(*full, "value", "cluster"), "metric-values")
+    spread = v.groupBy(*full).agg((F.max("cluster") > 0).alias("apart"))
+    disputed = d.join(v.join(spread.where("apart"), full, "left_semi"), [*full, "value"]).select("fact_id", *full, F.col("cluster").alias("value"))
+    docs = proofs.select("fact_id", conflict_page_key(F.col("url")).alias("page"), F.lower("digest").alias("digest")).where("page IS NOT NULL AND digest IS NOT NULL").distinct()
+    own = settled(disputed.join(docs, "fact_id"), "metric-proofs")
+    seen = own.join(_witnesses(own, full), full)
+    against = seen.where(F.exists("witnesses", lambda w: reduce(Column.__and__, [w[c] != F.col(c) for c in APART]))).select("fact_id").distinct().withColumn("against", F.lit(True))
+    j = d
+    for by, name, where in (
+        ([*key, "metric"], "n_metric", "known"), ([*key, "metric", "currency"], "n_currency", "known"), ([*key, "metric", "currency", "statement"], "n_statement", "known"), (claim, "n_claim", "known"), (full, "n_nature", "known"),
+        (claim, "n_unknown", "known AND nature = 'unknown'"), ([*key, "pred", "def"], "n_declared", "def <> ''"), ([*key, "pred", "def", "metric", "currency"], "n_same", "def <> '' AND known"),
+    ):
+        j = j.join(count(by, name, where), by, "left")
+    j = j.join(spread, full, "left").join(against, "fact_id", "left").fillna(0)
+    n = F.col
+    indeterminate = (
+        (n("n_metric") > n("n_currency")) | (n("n_statement") > n("n_claim")) | ((n("def") == "") & (n("n_statement") > 1)) | (n("n_declared") > F.greatest(n("n_same"), (n("def") != "").cast("long")))
+        | ((n("def") != "") & F.when(n("nature") == "unknown", n("n_claim") > 1).otherwise(n("n_unknown") > 0)) | F.coalesce("apart", F.lit(False))
+    )
+    explainable = (n("n_currency") > n("n_statement")) | ((n("def") != "") & (n("n_claim") > n("n_nature")))
+    compared = (n("n_metric") > 1) | (n("n_declared") > 1)
+    state = F.when(F.coalesce("against", F.lit(False)), RANK[3]).when(F.coalesce(indeterminate, F.lit(False)), RANK[2]).when(F.coalesce(explainable, F.lit(False)), RANK[1]).otherwise(RANK[0])
+    return j.where(compared).select("fact_id", state.alias("state"))
+
+
 def reconcile(pairs: DataFrame) -> DataFrame:
     """(fact_id, state): the worst relationship of each fact's pairs."""
     rank = F.array_position(F.array(*map(F.lit, RANK)), F.col("relationship"))
@@ -190,26 +280,37 @@ def reconcile(pairs: DataFrame) -> DataFrame:
     return sides.groupBy("fact_id").agg(F.max("rank").alias("rank")).select("fact_id", F.element_at(F.array(*map(F.lit, RANK)), F.col("rank").cast("int")).alias("state"))
 
 
-def conflict_groups(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+def conflict_groups(facts: DataFrame, states: DataFrame) -> DataFrame:
     """Groups of comparable facts in conflict: two or more values, pages and digests, and an independent contradiction.
 
-    Columns: request_id, subject_key, metric, period_key, scope, definition, currency, n_facts, n_values, n_pages,
-    n_digests, unit (the common scale, else null), conflict_id, versions (ordered by ord; no winner is chosen).
+    states: fact_id, state (see reconcile_facts). Columns: request_id, subject_key, metric, period_key, scope, definition, currency,
+    n_facts, n_values, n_pages, n_digests, unit (the common scale, else null), conflict_id. conflict_versions gives their facts, a row each.
     """
+    d, key = _keyed(facts)
+    against = states.where("state = 'contradiction'").select("fact_id", F.lit(True).alias("against"))
+    g = d.join(against, "fact_id", "left").groupBy("request_id", "subject_key", *[f"g_{k}" for k in key], "conflict_id").agg(
+        F.count("*").alias("n_facts"), F.countDistinct("sig.value").alias("n_values"), F.countDistinct(conflict_page_key(F.col("url"))).alias("n_pages"),
+        F.countDistinct("digest").alias("n_digests"), F.max("against").alias("against"),
+        F.when(F.countDistinct(F.coalesce("sig.scale", F.lit(""))) == 1, F.max("sig.scale")).alias("unit"),
+    ).where("n_values >= 2 and n_pages >= 2 and n_digests >= 2 and against")
+    return g.select("request_id", "subject_key", *[F.col(f"g_{k}").alias(k) for k in key], "n_facts", "n_values", "n_pages", "n_digests", "unit", "conflict_id")
+
+
+def conflict_versions(facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(conflict_id, version, ord, fact_id, value, unit, currency): the facts of each group by ord, a row each; no winner is chosen."""
+    d, _ = _keyed(facts)
+    v = d.join(groups.select("conflict_id"), "conflict_id", "left_semi")
+    n = F.row_number().over(Window.partitionBy("conflict_id").orderBy("ord", "fact_id")) - 1
+    return v.select("conflict_id", n.cast("long").alias("version"), "ord", "fact_id", F.col("sig.value").alias("value"), "unit", F.col("sig.currency").alias("currency"))
+
+
+def _keyed(facts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Facts with a signature, the parts of their group's key as g_ columns, and its id."""
     norm = lambda c: plain_key(F.col(c))
     d = (facts if "sig" in facts.columns else metric_signature(facts)).where("sig is not null")
-    against = pairs.where("relationship = 'contradiction'").select(F.explode(F.array("left_id", "right_id")).alias("fact_id")).distinct().withColumn("against", F.lit(True))
-    d = d.join(against, "fact_id", "left")
     key = {
         "metric": F.col("sig.metric"), "period_key": F.col("sig.period_key"), "scope_type": F.col("scope_type"), "scope": norm("scope_label"), "definition": F.col("sig.definition"),
         "currency": F.col("sig.currency"), "scope_kind": F.col("sig.scope_kind"), "nature": F.col("sig.nature"), "predicate": norm("predicate"), "contradiction_key": norm("contradiction_key"),
     }
-    g = d.groupBy("request_id", "subject_key", *[v.alias(f"g_{k}") for k, v in key.items()]).agg(
-        F.count("*").alias("n_facts"), F.countDistinct("sig.value").alias("n_values"), F.countDistinct(conflict_page_key(F.col("url"))).alias("n_pages"),
-        F.countDistinct("digest").alias("n_digests"), F.max("against").alias("against"),
-        F.when(F.countDistinct(F.coalesce("sig.scale", F.lit(""))) == 1, F.max("sig.scale")).alias("unit"),
-        F.sort_array(F.collect_list(F.struct("ord", "fact_id", F.col("sig.value").alias("value"), "unit", F.col("sig.currency").alias("currency")))).alias("versions"),
-    ).where("n_values >= 2 and n_pages >= 2 and n_digests >= 2 and against")
-    names = [F.col(f"g_{k}").alias(k) for k in key]
-    cid = F.sha2(F.concat_ws("|", "request_id", "subject_key", *[F.col(f"g_{k}") for k in key]), 256)
-    return g.select("request_id", "subject_key", *names, "n_facts", "n_values", "n_pages", "n_digests", "unit", cid.alias("conflict_id"), "versions")
+    d = d.withColumns({f"g_{k}": v for k, v in key.items()})
+    return d.withColumn("conflict_id", F.sha2(F.concat_ws("|", "request_id", "subject_key", *[f"g_{k}" for k in key]), 256)), list(key)

@@ -65,21 +65,26 @@ pairs AS (
     ON a.request_id = b.request_id AND a.subject_key = b.subject_key AND a.ord < b.ord)"""
 
 
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with signatures, parsed once by all cores: a few long expressions a row, so rows are dealt out first."""
+    f = _facts(spark, sf_dir)
+    return settled(m.metric_signature(f.repartition(spark.sparkContext.defaultParallelism)), "metric-facts")
+
+
 def n5_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.compare_metrics(_facts(spark, sf_dir)).select("left_id", "right_id", "relationship")
+    return m.compare_metrics(_signed(spark, sf_dir)).select("left_id", "right_id", "relationship")
 
 
 N5 = PAIRS + " SELECT left_id, right_id, relationship FROM pairs"
 
 
-def _independent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    # the signatures are read by the pairs and by the groups: they are parsed once
-    f = settled(m.metric_signature(_facts(spark, sf_dir)), "metric-facts")
-    return f, m.independent_pairs(m.compare_metrics(f), f.select("fact_id", "url", "digest"))
+def _independent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _signed(spark, sf_dir)
+    return m.independent_pairs(m.compare_metrics(f), f.select("fact_id", "url", "digest"))
 
 
 def n6_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _independent(spark, sf_dir)[1].select("left_id", "right_id", "independent", "relationship")
+    return _independent(spark, sf_dir).select("left_id", "right_id", "independent", "relationship")
 
 
 INDEPENDENT = PAIRS + """,
@@ -90,7 +95,8 @@ N6 = INDEPENDENT + " SELECT left_id, right_id, independent, settled AS relations
 
 
 def n7_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.reconcile(_independent(spark, sf_dir)[1])
+    f = _signed(spark, sf_dir)
+    return m.reconcile_facts(f, f.select("fact_id", "url", "digest"))
 
 
 N7 = INDEPENDENT + """,
@@ -101,9 +107,12 @@ SELECT fact_id, (['confirmation', 'explainable_difference', 'indetermination', '
 """
 
 
+def _groups(f: DataFrame) -> DataFrame:
+    return m.conflict_groups(f, m.reconcile_facts(f, f.select("fact_id", "url", "digest")))
+
+
 def n8_conflict_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, pairs = _independent(spark, sf_dir)
-    return m.conflict_groups(f, pairs).select("subject_key", "period_key", "currency", "n_facts", "n_values", "n_pages", "n_digests", "unit")
+    return _groups(_signed(spark, sf_dir)).select("subject_key", "period_key", "currency", "n_facts", "n_values", "n_pages", "n_digests", "unit")
 
 
 N8 = FACTS + """
@@ -114,9 +123,10 @@ FROM facts WHERE variant NOT IN (3, 5) GROUP BY subject_key, true_year HAVING co
 
 
 def n9_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, pairs = _independent(spark, sf_dir)
-    g = m.conflict_groups(f, pairs).select("subject_key", "period_key", F.posexplode("versions").alias("at", "v"))
-    return g.select("subject_key", "period_key", F.col("at").cast("long").alias("version"), F.col("v.fact_id").alias("fact_id"), F.col("v.value").alias("value"))
+    f = _signed(spark, sf_dir)
+    g = settled(_groups(f), "conflicts")
+    v = m.conflict_versions(f, g).join(g.select("conflict_id", "subject_key", "period_key"), "conflict_id")
+    return v.select("subject_key", "period_key", "version", "fact_id", "value")
 
 
 N9 = FACTS + """,
