@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import ledger as l
 from attestry.plans.fixtures import plain, sql
+from attestry.streaming.guard import guard
 from attestry.streaming import monitor as m
 
 
@@ -228,9 +229,23 @@ FROM (SELECT user_id, unnest(range(date_trunc('minute', ts) - INTERVAL 9 MINUTE,
 """
 
 
+def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of forty clients, a month of them within hours, so that windows of ten minutes fill."""
+    e = _events(spark, sf_dir)
+    return e.select((F.col("user_id") % 40).alias("client"), "event_id", F.timestamp_micros(F.floor(F.unix_micros("ts") / 200)).alias("ts"), "value")
+
+
 def st2_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("client"), "event_id", "ts")
-    return m.admit(e, window_s=7 * 86_400).select("event_id", "admitted")
+    return m.admit(_busy(spark, sf_dir)).select("event_id", "admitted", "retry_after_s")
+
+
+def st2_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and, up to a minute later, ends of runs in five pools: refused by the client's or the pool's limit."""
+    e = _busy(spark, sf_dir).withColumns({"pool": F.col("client") % 5, "run_id": F.col("event_id")})
+    end = F.timestamp_micros(F.unix_micros("ts") + (F.col("event_id") % 13) * 5_000_000)
+    both = e.select("pool", "client", "run_id", (2 * F.col("event_id")).alias("event_id"), F.lit("start").alias("kind"), "ts").unionByName(
+        e.where("event_id % 11 > 0").select("pool", "client", "run_id", (2 * F.col("event_id") + 1).alias("event_id"), F.lit("end").alias("kind"), end.alias("ts")))
+    return guard(both).select("pool", "event_id", "admitted", "code", "retry_after_s")
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +303,7 @@ ST6 = RUNS + " SELECT DISTINCT execution_id FROM r WHERE fin"
 
 QUERIES = {f.__name__: f for f in (
     a1_account_actions, a2_check_admission, a3_cost, a4_stage_durations, a5_classify_failures, a6_query_plan, a7_plan_deviation, a8_global_spans, v2_duplicate_ids, v2_duplicate_references, v4_dangling, v8_step_timing, v9_status_rules,
-    st1_admission_pressure, st2_admit, st3_check_protocol, st4_expire_runs, st4_watch_runs, st5_receipt_rollup, st6_dedupe_terminals)}
+    st1_admission_pressure, st2_admit, st2_guard, st3_check_protocol, st4_expire_runs, st4_watch_runs, st5_receipt_rollup, st6_dedupe_terminals)}
 ORACLES = {
     "a1_account_actions": A1, "a2_check_admission": A2, "a3_cost": A3, "a4_stage_durations": A4, "a5_classify_failures": A5, "a6_query_plan": A6, "a7_plan_deviation": A7, "a8_global_spans": A8,
     "v2_duplicate_ids": V2, "v2_duplicate_references": V2_REFERENCES, "v4_dangling": V4, "v8_step_timing": V8, "v9_status_rules": V9, "st1_admission_pressure": ST1, "st3_check_protocol": ST3, "st4_expire_runs": ST4,
