@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.plans.fixtures import sql
 from attestry.sources import ingest as i
+from attestry.sources.proposals import ingest_documents
 
 
 def s1_load_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,21 +33,43 @@ SELECT k AS request_id, CASE WHEN code IS NULL THEN n END AS name, CASE WHEN cod
 """
 
 
+#: One claim a turn; by turn one of them has an empty predicate, a key or a date that does not hold, or (null text) no excerpt. By conversation the document is
+#: whole, lacks fields that may be null, lists its missing categories, or cannot be read: cut off, an unknown status, a number for a text.
+PROPOSED = """
+SELECT conv_id AS request_id, conv_id % 9 AS variant, concat('{{"identityStatus":"', CASE WHEN conv_id % 9 = 1 THEN 'sure' ELSE 'resolved' END, '","entityType":null,"missingCategories":', CASE conv_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '["role","role","event"]'
+    WHEN 2 THEN '["identity","activity","role","geography","metric","event","recent_signal","other","other"]' ELSE '["identity","activity","role","geography","metric","event","recent_signal"]' END,
+  ',"candidates":[', CASE WHEN conv_id % 9 = 2 THEN '{{"candidateKey":5}}' ELSE '' END, '],"claims":', to_json(claims), '}}') AS json
+FROM (
+  SELECT conv_id, transform(sort_array(collect_list(named_struct('turn', turn, 'text', text))), t -> map_concat(
+    map('subjectKey', CASE WHEN t.turn % 5 = 2 THEN 'Bad key' ELSE 'k0' END, 'category', 'activity', 'entityType', 'company', 'predicate', CASE WHEN t.turn % 5 = 1 THEN '  ' ELSE 'sells' END, 'scopeType', 'company',
+      'sourceUrl', 'https://example.com/a', 'excerpt', concat('  ', coalesce(t.text, ''), ' ')),
+    CASE WHEN conv_id % 3 = 0 THEN map('unit', 'kg') ELSE map('scopeLabel', '', 'factPeriodLabel', NULL, 'factDate', CASE WHEN t.turn % 5 = 3 THEN '99' ELSE '2020' END, 'normalizedValue', NULL, 'unit', NULL, 'currency', NULL, 'contradictionKey', NULL, 'prefix', NULL, 'suffix', NULL) END)) AS claims
+  FROM {conversations} GROUP BY conv_id) c
+"""
+
+
 def s2_ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    fact = F.struct(F.col("role").alias("subject_key"), F.when(F.col("turn") % 3 == 2, F.lit(None).cast("string")).otherwise(F.lit("activity")).alias("category"), F.col("text").alias("excerpt"))
-    g = c.groupBy(F.col("conv_id").alias("request_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("t"), fact.alias("f")))).getField("f").alias("facts"))).alias("json"))
-    g = g.withColumn("json", F.when(F.col("request_id") % 9 == 0, F.substring("json", 1, 20)).otherwise(F.col("json")))
-    _, facts, missing = i.ingest_documents(g)
-    n = facts.groupBy("request_id").agg(F.count("*").alias("n_facts"))
-    m = missing.groupBy("request_id").agg(F.max("category").alias("missing"))
-    return g.select("request_id").join(n, "request_id", "left").join(m, "request_id", "left").select("request_id", F.coalesce("n_facts", F.lit(0)).cast("long").alias("n_facts"), "missing")
-
-
-S2 = """
-SELECT conv_id AS request_id, CASE WHEN conv_id % 9 = 0 THEN 0 ELSE least(6, count(*) FILTER (turn % 3 <> 2 AND text IS NOT NULL)) END::BIGINT AS n_facts,
-  CASE WHEN conv_id % 9 = 0 THEN 'unreadable' WHEN count(*) > least(6, count(*) FILTER (turn % 3 <> 2 AND text IS NOT NULL)) THEN 'other' END AS missing
-FROM conversations GROUP BY conv_id
+    g = sql(spark, sf_dir, PROPOSED)
+    g = g.withColumn("json", F.when(F.col("variant") == 0, F.left("json", F.lit(60))).otherwise(F.col("json")))
+    docs, _, facts, missing = ingest_documents(g)
+    f = facts.groupBy("request_id").agg(F.sum(F.length("excerpt")).alias("n_chars"))
+    m = missing.groupBy("request_id").agg(F.concat_ws(",", F.sort_array(F.collect_list("category"))).alias("missing"))
+    return docs.join(f, "request_id", "left").join(m, "request_id", "left").select("request_id", "rung", "n_facts", "dropped", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"), "missing")
+
+
+S2 = r"""
+WITH r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS e FROM conversations),
+k AS (SELECT *, n <= 6 AND turn % 5 NOT IN (1, 2) AND (turn % 5 <> 3 OR conv_id % 3 = 0) AND e <> '' AS kept FROM r),
+g AS (
+  SELECT conv_id, CASE WHEN conv_id % 9 IN (0, 1, 2) THEN 'rejected' WHEN conv_id % 3 = 0 THEN 'defaults' ELSE 'strict' END AS rung, count(*) FILTER (kept) AS kept, count(*) AS n, coalesce(sum(least(500, length(e))) FILTER (kept), 0) AS chars
+  FROM k GROUP BY conv_id),
+l AS (
+  SELECT *, rung <> 'rejected' AND (kept <> n OR conv_id % 4 = 2) AS dropped,
+    CASE conv_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['event', 'role'] WHEN 2 THEN ['activity', 'event', 'geography', 'identity', 'metric', 'other', 'recent_signal', 'role'] ELSE ['activity', 'event', 'geography', 'identity', 'metric', 'recent_signal', 'role'] END AS base FROM g)
+SELECT conv_id AS request_id, rung, CASE WHEN rung = 'rejected' THEN 0 ELSE kept END::BIGINT AS n_facts, dropped, CASE WHEN rung = 'rejected' THEN 0 ELSE chars END::BIGINT AS n_chars,
+  CASE WHEN rung <> 'rejected' THEN nullif(array_to_string(list_sort(list_distinct(CASE WHEN dropped THEN base || ['other'] ELSE base END)), ','), '') END AS missing
+FROM l
 """
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attestry.functions import urls as u
 from attestry.functions.text import nfkc
@@ -15,7 +14,6 @@ MAX_BYTES = 524_288
 MEDIA = ["text/html", "application/xhtml+xml", "text/plain"]
 CHARSETS = ["utf-8", "us-ascii"]
 MEDIA_CLASSES = {"application/pdf": "pdf", "application/json": "json", "text/xml": "xml", "application/xml": "xml"}
-CANDIDATES, FACTS, MISSING = 3, 6, 8
 STATES = ["accepted", "researching_and_resolving", "source_verifying", "building", "validating", "completed", "failed"]
 
 
@@ -45,28 +43,6 @@ def load_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, d.where("code is not null").select("request_id", "code")
 
 
-FACT = T.StructType([T.StructField(c, T.StringType()) for c in ("subject_key", "category", "predicate", "excerpt", "url", "normalized_value", "unit")])
-DOCUMENT = T.StructType([
-    T.StructField("candidates", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("candidate_key", "display_name", "entity_type", "url", "excerpt")]))),
-    T.StructField("facts", T.ArrayType(FACT)), T.StructField("missing", T.ArrayType(T.StringType())),
-])
-
-
-def ingest_documents(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, facts, missing) of proposed documents (request_id, json): the first candidates and facts of each that are complete; `other` is missing if any was dropped.
-
-    What is no JSON object gives one missing row, `unreadable`.
-    """
-    d = df.select("request_id", F.from_json("json", DOCUMENT).alias("d"), F.expr("try_parse_json(json)").isNull().alias("bad"))
-    c = F.filter(F.coalesce("d.candidates", F.from_json(F.lit("[]"), DOCUMENT["candidates"].dataType)), lambda e: e["candidate_key"].isNotNull() & e["display_name"].isNotNull() & e["excerpt"].isNotNull())
-    f = F.filter(F.coalesce("d.facts", F.from_json(F.lit("[]"), DOCUMENT["facts"].dataType)), lambda e: e["subject_key"].isNotNull() & e["category"].isNotNull() & e["excerpt"].isNotNull())
-    d = d.withColumns({"c": F.slice(c, 1, CANDIDATES), "f": F.slice(f, 1, FACTS)})
-    dropped = (F.size(F.coalesce("d.candidates", F.array())) > F.size("c")) | (F.size(F.coalesce("d.facts", F.array())) > F.size("f"))
-    missing = F.slice(F.array_distinct(F.concat(F.coalesce("d.missing", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit("unreadable"))).when(dropped, F.array(F.lit("other"))).otherwise(F.array().cast("array<string>")))), 1, MISSING)
-    rows = lambda name: d.select("request_id", F.posexplode(name).alias("ord", "x")).select("request_id", F.col("ord").cast("int").alias("ord"), "x.*")
-    return rows("c"), rows("f"), d.select("request_id", F.explode(missing).alias("category"))
-
-
 def gate_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(admitted, rejected) of responses (page_id, status, headers array<struct<name, value>>, body_bytes): code, and the media class of a bad type."""
     values = lambda n: F.array_distinct(F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == n), lambda h: F.lower(F.trim(h["value"]))))
@@ -110,3 +86,22 @@ def receipts(runs: DataFrame) -> DataFrame:
     """Receipts without names, prompts or excerpts: the allowed columns that runs has, and the first 16 hex digits of the request id's digest."""
     kept = [c for c in RECEIPT if c in runs.columns]
     return runs.select(*kept, F.substring(F.sha2(F.col("provider_request_id").cast("binary"), 256), 1, 16).alias("request_digest"))
+
+
+def write_receipts(runs: DataFrame, path: str, batch_id: int) -> bool:
+    """Write the receipts of a batch under its id, once: a batch that is there whole already stays as it is. True if written.
+
+    The mark is the file that Spark's committer leaves last, so a batch that broke off is written anew.
+    """
+    spark = runs.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}/_SUCCESS")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return False
+    receipts(runs).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return True
+
+
+def sink_receipts(runs: DataFrame, path: str, checkpoint: str):
+    """A streaming query that keeps the receipts of a stream of runs under path, each micro-batch exactly once whatever is replayed."""
+    once = lambda df, batch_id: write_receipts(df, path, batch_id)
+    return runs.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).start()
