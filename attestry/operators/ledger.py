@@ -11,11 +11,31 @@ from attestry.functions.text import plain_key
 PRICES = {"input": 0.25, "output": 2.0}
 ACTION_PRICE, MAX_COST = 0.01, 0.10
 MAX_ACTIONS, MAX_PROVIDER_CALLS = 8, 2
-#: Fixed values: (code pattern, category, retryable, stage) in order of priority.
-FAILURES = [
-    ("timeout", "timeout", True, "research"), ("rate_limited", "rate_limit", True, "admission"), ("server_busy", "capacity", True, "admission"),
-    ("source_", "source", False, "verification"), ("provider_", "provider", True, "research"), ("invalid_", "validation", False, "request"),
+#: What a failure is known by, its category, public code (None: the code itself), whether a retry helps (None: as the error says), and stage (None: as given).
+SHAPE_CODES = ["invalid_provider_shape", "invalid_claim_length", "non_atomic_claim"]
+SOURCE_CODES = [
+    "ambiguous_source_relation", "missing_source_title", "source_not_in_provider_metadata", "source_excerpt_missing", "invalid_source_url", "source_url_rejected", "source_dns_rejected",
+    "source_redirect_rejected", "source_body_too_large", "source_content_type_rejected", "source_http_error", "source_charset_rejected", "source_empty", "source_parse_failed", "source_excerpt_ambiguous",
 ]
+METADATA_CODES = ["provider_citation_missing", "provider_citation_unbound", "provider_source_url_missing", "source_metadata_missing", "inspection_url_missing", "inspection_url_invalid", "inspection_url_ambiguous", "inspection_url_mismatch"]
+CONTRACT_CODES = ["m2_contract_invalid", "m2_receipt_usage_missing", "runtime_invariants_invalid", "cost_limit_exceeded"]
+FAILURES = [
+    ("abort", "timeout", "provider_timeout", True, "provider_request"), ("stage:serialization", "serialization", "terminal_serialization_failed", False, "serialization"),
+    ("stage:persistence", "internal_unknown", "receipt_persistence_failed", False, "persistence"),
+    *((f"code:{c}", "provider_request", None, False, "metadata_extraction") for c in ("web_search_action_invalid", "web_search_not_unique")),
+    *((f"code:{c}", "structured_output_invalid", "structured_output_invalid", False, "truth_validation") for c in SHAPE_CODES),
+    *((f"code:{c}", "source_metadata_missing", None, False, "source_verification") for c in SOURCE_CODES), *((f"code:{c}", "source_metadata_missing", None, False, "metadata_extraction") for c in METADATA_CODES),
+    ("code:source_timeout", "timeout", None, True, "source_verification"), ("code:source_transport_error", "network", None, True, "source_verification"),
+    *((f"code:{c}", "truth_contract_rejected", "truth_contract_rejected", False, "truth_validation") for c in CONTRACT_CODES),
+    ("kind:configuration", "configuration", "configuration_unavailable", False, "configuration"), ("status:401", "authentication", "provider_authentication_failed", False, "provider_request"),
+    ("status:403", "permission", "provider_permission_denied", False, "provider_request"), ("status:429", "rate_limit", "provider_rate_limited", None, "provider_request"),
+    ("status:5xx", "provider_unavailable", "provider_unavailable", None, "provider_request"), ("status:408", "timeout", "provider_timeout", None, "provider_request"),
+    ("status:none", "network", "provider_network_failed", None, "provider_request"), ("status:other", "provider_request", "provider_request_failed", None, "provider_request"),
+    ("kind:no_object", "structured_output_invalid", "structured_output_invalid", False, "generation"), ("kind:no_output", "no_output", "provider_no_output", False, "generation"),
+    ("kind:timeout", "timeout", "provider_timeout", True, "provider_request"),
+]
+#: What a reader is told of a category.
+NO_PROOF = ["structured_output_invalid", "source_metadata_missing", "truth_contract_rejected", "no_output"]
 
 
 def account_actions(calls: DataFrame, views: DataFrame) -> DataFrame:
@@ -69,18 +89,40 @@ def stage_durations(events: DataFrame, run: str = "run_id") -> DataFrame:
     return d.groupBy(run).pivot("stage", ["signup", "view", "click", "purchase", "error"]).agg(F.sum("us"))
 
 
+def run_receipts(events: DataFrame, usage: DataFrame, run: str = "run_id") -> DataFrame:
+    """A4: one receipt a run: its time in each stage (us), start, end, total_us, n_events, n_failures, and from usage (run, kind, amount)
+    n_calls, n_searches, n_views, n_sources and tokens; null where a run has no usage of any kind. A run of usage alone has no receipt."""
+    at = F.col("ts").cast("timestamp")
+    spans = events.groupBy(run).agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n_events"), F.sum((F.col("stage") == "error").cast("long")).alias("n_failures"))
+    spans = spans.withColumn("total_us", F.unix_micros("end") - F.unix_micros("start"))
+    names = {"call": "n_calls", "search": "n_searches", "view": "n_views", "source": "n_sources", "token": "n_tokens"}
+    used = usage.groupBy(run).agg(*[F.sum(F.when(F.col("kind") == k, F.col("amount")).otherwise(0)).alias(n) for k, n in names.items()])
+    return stage_durations(events, run).join(spans, run).join(used, run, "left")
+
+
 def classify_failures(errors: DataFrame) -> DataFrame:
-    """errors (error_id, code) with category, retryable and stage: the first rule whose prefix the code has; timeouts come first, anything else is internal.
+    """A5: errors with category, public_code, reason_code, retryable, failed_stage, http_status and message.
 
-    The rules are a fixed list of a few rows, written into the expression.
+    errors: error_id, code (of validation), kind (configuration, api, no_object, no_output, timeout, other), status, can_retry, stage, aborted. A
+    time limit that aborted the call comes first, then failures to serialise or store, then the validation code, then the kind. The rules
+    are a table of some sixty rows joined by key; what it does not know is an internal failure.
     """
-    out = {}
-    for i, (name, other) in enumerate((("category", "internal"), ("retryable", False), ("stage", "build"))):
-        c = F.when(F.lit(False), F.lit(other))
-        for prefix, *values in FAILURES:
-            c = c.when(F.col("code").startswith(prefix) | ((F.lit(prefix) == "timeout") & F.col("code").contains("timeout")), values[i])
-        out[name] = c.otherwise(other)
-    return errors.withColumns(out)
+    rules = errors.sparkSession.createDataFrame(FAILURES, "key string, category string, public_code string, retryable boolean, at_stage string")
+    status = F.col("status")
+    answered = F.when(status.isNull(), "none").when(status.isin(401, 403, 429, 408), status.cast("string")).when(status >= 500, "5xx").otherwise("other")
+    key = (
+        F.when(F.col("aborted"), "abort").when(F.col("stage").isin("serialization", "persistence"), F.concat(F.lit("stage:"), "stage")).when(F.col("code").isNotNull(), F.concat(F.lit("code:"), "code"))
+        .when(F.col("kind") == "api", F.concat(F.lit("status:"), answered)).otherwise(F.concat(F.lit("kind:"), F.coalesce("kind", F.lit("other"))))
+    )
+    d = errors.withColumn("__key", key).join(F.broadcast(rules.withColumnRenamed("key", "__key")), "__key", "left")  # a fixed table
+    unknown = F.col("category").isNull()
+    message = F.when(F.col("category").isin(*NO_PROOF), "no_sufficient_proof").when(F.col("category") == "timeout", "expired").otherwise("unavailable")
+    d = d.withColumns({
+        "category": F.coalesce("category", F.lit("internal_unknown")), "public_code": F.when(unknown, "internal_failure").otherwise(F.coalesce("public_code", "code")),
+        "retryable": F.when(unknown, False).otherwise(F.coalesce("retryable", "can_retry", F.lit(False))), "failed_stage": F.coalesce("at_stage", "stage"),
+        "http_status": F.when(F.col("__key").startswith("status:"), status), "reason_code": F.when(F.col("__key").startswith("code:") & ~unknown, F.col("code")),
+    })
+    return d.withColumn("message", message).drop("__key", "at_stage")
 
 
 def query_plan(requests: DataFrame) -> DataFrame:

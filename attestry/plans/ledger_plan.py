@@ -84,17 +84,65 @@ FROM d GROUP BY 1
 """
 
 
-def a5_classify_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.array(*map(F.lit, ["provider_timeout", "rate_limited", "source_excerpt_missing", "provider_error", "invalid_json", "other"]))
-    e = _events(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.get(codes, (F.col("event_id") % 6).cast("int")).alias("code"))
-    return l.classify_failures(e)
+def a4_run_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    stages = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), "ts", "event_id")
+    kinds = F.array(*map(F.lit, ["call", "search", "view", "source", "token"]))
+    usage = e.where("user_id % 4 > 0").select(F.col("user_id").alias("run_id"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("kind"), (F.col("event_id") % 7).alias("amount"))
+    got = l.run_receipts(stages, usage)
+    return got.select("run_id", "view", "total_us", "n_events", "n_failures", "n_calls", "n_searches", "n_views", "n_sources", "n_tokens")
+
+
+A4_RECEIPTS = """
+WITH d AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS us FROM events),
+amount AS (SELECT *, CASE WHEN user_id % 4 > 0 THEN event_id % 7 END AS a FROM d)
+SELECT user_id AS run_id, sum(us) FILTER (event_type = 'view')::BIGINT AS view, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS total_us, count(*)::BIGINT AS n_events, count(*) FILTER (event_type = 'error')::BIGINT AS n_failures,
+  sum(CASE WHEN event_id % 5 = 0 OR a IS NULL THEN a ELSE 0 END)::BIGINT AS n_calls, sum(CASE WHEN event_id % 5 = 1 OR a IS NULL THEN a ELSE 0 END)::BIGINT AS n_searches, sum(CASE WHEN event_id % 5 = 2 OR a IS NULL THEN a ELSE 0 END)::BIGINT AS n_views,
+  sum(CASE WHEN event_id % 5 = 3 OR a IS NULL THEN a ELSE 0 END)::BIGINT AS n_sources, sum(CASE WHEN event_id % 5 = 4 OR a IS NULL THEN a ELSE 0 END)::BIGINT AS n_tokens
+FROM amount GROUP BY 1
+"""
+
+#: Every code and status, and the kinds, stages and aborts that come before or after them.
+ERROR_CODES = [r[0][5:] for r in l.FAILURES if r[0].startswith("code:")] + ["never_heard_of"]
+ERROR_STATUS = ["401", "403", "404", "408", "429", "500", "503", "NULL"]
+ERROR_KINDS = ["configuration", "api", "no_object", "no_output", "timeout", "other"]
+ERRORS = f"""
+SELECT event_id AS error_id, CASE WHEN event_id % 3 = 0 THEN element_at(array({", ".join(f"'{c}'" for c in ERROR_CODES)}), cast(event_id % {len(ERROR_CODES)} + 1 AS int)) END AS code,
+  element_at(array({", ".join(f"'{k}'" for k in ["api", *ERROR_KINDS])}), cast(event_id % 7 + 1 AS int)) AS kind, element_at(array({", ".join(ERROR_STATUS)}), cast(event_id % 8 + 1 AS int)) AS status, event_id % 2 = 0 AS can_retry,
+  CASE event_id % 11 WHEN 0 THEN 'serialization' WHEN 1 THEN 'persistence' ELSE 'generation' END AS stage, event_id % 13 = 0 AS aborted
+FROM {{events}}
+"""
 
 
-A5 = """
-SELECT event_id AS error_id, (['provider_timeout', 'rate_limited', 'source_excerpt_missing', 'provider_error', 'invalid_json', 'other'])[event_id % 6 + 1] AS code,
-  (['timeout', 'rate_limit', 'source', 'provider', 'validation', 'internal'])[event_id % 6 + 1] AS category, event_id % 6 IN (0, 1, 3) AS retryable,
-  (['research', 'admission', 'verification', 'research', 'request', 'build'])[event_id % 6 + 1] AS stage
-FROM events WHERE event_type = 'error'
+def a5_classify_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l.classify_failures(sql(spark, sf_dir, ERRORS)).select("error_id", "category", "public_code", "reason_code", "retryable", "failed_stage", "http_status", "message")
+
+
+def _listed(codes: list[str]) -> str:
+    return ", ".join(f"'{c}'" for c in codes)
+
+
+A5 = f"""
+WITH e AS ({plain(ERRORS).replace("element_at(array(", "list_extract(list_value(")}),
+k AS (
+  SELECT *, CASE WHEN aborted THEN 'abort' WHEN stage <> 'generation' THEN stage WHEN code IS NOT NULL THEN 'code' WHEN kind = 'api' THEN 'api' ELSE kind END AS by_ FROM e),
+c AS (
+  SELECT *, CASE by_ WHEN 'abort' THEN 'timeout' WHEN 'serialization' THEN 'serialization' WHEN 'persistence' THEN 'internal_unknown' WHEN 'configuration' THEN 'configuration' WHEN 'no_object' THEN 'structured_output_invalid' WHEN 'no_output' THEN 'no_output' WHEN 'timeout' THEN 'timeout'
+    WHEN 'code' THEN CASE WHEN code LIKE 'web_search%' THEN 'provider_request' WHEN code IN ({_listed(l.SHAPE_CODES)}) THEN 'structured_output_invalid' WHEN code IN ({_listed(l.SOURCE_CODES + l.METADATA_CODES)}) THEN 'source_metadata_missing'
+      WHEN code = 'source_timeout' THEN 'timeout' WHEN code = 'source_transport_error' THEN 'network' WHEN code IN ({_listed(l.CONTRACT_CODES)}) THEN 'truth_contract_rejected' ELSE 'internal_unknown' END
+    WHEN 'api' THEN CASE WHEN status IS NULL THEN 'network' WHEN status = 401 THEN 'authentication' WHEN status = 403 THEN 'permission' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'provider_unavailable' WHEN status = 408 THEN 'timeout' ELSE 'provider_request' END
+    ELSE 'internal_unknown' END AS category FROM k)
+SELECT error_id, category,
+  CASE WHEN category = 'timeout' AND by_ <> 'code' THEN 'provider_timeout' WHEN by_ = 'serialization' THEN 'terminal_serialization_failed' WHEN by_ = 'persistence' THEN 'receipt_persistence_failed' WHEN category IN ('structured_output_invalid', 'truth_contract_rejected') THEN category
+    WHEN category = 'internal_unknown' THEN 'internal_failure' WHEN by_ = 'code' THEN code WHEN category = 'configuration' THEN 'configuration_unavailable' WHEN category = 'no_output' THEN 'provider_no_output' WHEN category = 'network' THEN 'provider_network_failed'
+    WHEN category = 'authentication' THEN 'provider_authentication_failed' WHEN category = 'permission' THEN 'provider_permission_denied' WHEN category = 'rate_limit' THEN 'provider_rate_limited' WHEN category = 'provider_unavailable' THEN category ELSE 'provider_request_failed' END AS public_code,
+  CASE WHEN by_ = 'code' AND category <> 'internal_unknown' THEN code END AS reason_code,
+  CASE WHEN by_ IN ('abort', 'timeout') THEN true WHEN by_ = 'code' THEN code IN ('source_timeout', 'source_transport_error') WHEN by_ = 'api' THEN CASE WHEN status IN (401, 403) THEN false ELSE can_retry END ELSE false END AS retryable,
+  CASE WHEN by_ IN ('abort', 'api', 'timeout') THEN 'provider_request' WHEN by_ IN ('serialization', 'persistence', 'configuration') THEN by_ WHEN by_ = 'code' THEN
+      CASE WHEN code LIKE 'web_search%' OR code LIKE 'provider_%' OR code LIKE 'inspection_%' OR code = 'source_metadata_missing' THEN 'metadata_extraction' WHEN category IN ('structured_output_invalid', 'truth_contract_rejected') THEN 'truth_validation'
+        WHEN category = 'internal_unknown' THEN stage ELSE 'source_verification' END ELSE stage END AS failed_stage,
+  CASE WHEN by_ = 'api' THEN status END AS http_status, CASE WHEN category IN ({_listed(l.NO_PROOF)}) THEN 'no_sufficient_proof' WHEN category = 'timeout' THEN 'expired' ELSE 'unavailable' END AS message
+FROM c
 """
 
 
@@ -302,10 +350,10 @@ def st6_dedupe_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
 ST6 = RUNS + " SELECT DISTINCT execution_id FROM r WHERE fin"
 
 QUERIES = {f.__name__: f for f in (
-    a1_account_actions, a2_check_admission, a3_cost, a4_stage_durations, a5_classify_failures, a6_query_plan, a7_plan_deviation, a8_global_spans, v2_duplicate_ids, v2_duplicate_references, v4_dangling, v8_step_timing, v9_status_rules,
+    a1_account_actions, a2_check_admission, a3_cost, a4_stage_durations, a4_run_receipts, a5_classify_failures, a6_query_plan, a7_plan_deviation, a8_global_spans, v2_duplicate_ids, v2_duplicate_references, v4_dangling, v8_step_timing, v9_status_rules,
     st1_admission_pressure, st2_admit, st2_guard, st3_check_protocol, st4_expire_runs, st4_watch_runs, st5_receipt_rollup, st6_dedupe_terminals)}
 ORACLES = {
-    "a1_account_actions": A1, "a2_check_admission": A2, "a3_cost": A3, "a4_stage_durations": A4, "a5_classify_failures": A5, "a6_query_plan": A6, "a7_plan_deviation": A7, "a8_global_spans": A8,
+    "a1_account_actions": A1, "a2_check_admission": A2, "a3_cost": A3, "a4_stage_durations": A4, "a4_run_receipts": A4_RECEIPTS, "a5_classify_failures": A5, "a6_query_plan": A6, "a7_plan_deviation": A7, "a8_global_spans": A8,
     "v2_duplicate_ids": V2, "v2_duplicate_references": V2_REFERENCES, "v4_dangling": V4, "v8_step_timing": V8, "v9_status_rules": V9, "st1_admission_pressure": ST1, "st3_check_protocol": ST3, "st4_expire_runs": ST4,
     "st4_watch_runs": ST4_WATCH, "st5_receipt_rollup": ST5, "st6_dedupe_terminals": ST6,
 }
