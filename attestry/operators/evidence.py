@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from attestry.functions import urls as u
 from attestry.functions.text import QUOTES, ZERO_WIDTH, masked, visible_text
+from attestry.sources.tables import settled
 
 MAX_EXCERPT, CONTEXT = 500, 16
 #: Elements whose text no reader sees, and elements that end a line.
@@ -219,27 +220,28 @@ def search_excerpts(excerpts: DataFrame, docs: DataFrame, key: str = "doc_id", t
         shifted = F.arrays_zip(*[F.slice(w, F.lit(i + 1), F.greatest(F.size(w), F.lit(1))).alias(f"w{i}") for i in range(words)])
         return F.array_compact(F.transform(shifted, lambda z: F.when(z[f"w{words - 1}"].isNotNull(), F.xxhash64(*[z[f"w{i}"] for i in range(words)]))))
 
-    x = excerpts.select(item, visible_text(F.col(text)).alias("e")).where("e <> ''").withColumn("w", split(F.col("e")))
-    d = docs.select(key, visible_text(F.col(text)).alias("t"))
-    wanted = x.select(item, "e", F.explode(F.array_distinct(grams(F.col("w"), True))).alias("g"))
-    seen = d.select(key, F.explode(F.array_distinct(grams(split(F.col("t"))))).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
+    # texts are normalised once and (key, sequence) pairs that excerpts ask for are found once: both are read again below
+    x = settled(excerpts.select(item, visible_text(F.col(text)).alias("e")).where("e <> ''").withColumn("w", split(F.col("e"))), "search-excerpts")
+    d = settled(docs.select(key, visible_text(F.col(text)).alias("t")), "search-texts")
+    wanted = x.select(item, F.explode(F.array_distinct(grams(F.col("w"), True))).alias("g"))
+    seen = settled(d.select(key, F.explode(F.array_distinct(grams(split(F.col("t"))))).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi"), "search-seen")
     counts = seen.groupBy("g").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, "g").groupBy(item, "e").agg(F.min(F.struct("n", "g")).alias("m")).select(item, "e", F.col("m.g").alias("g"))
-    hits = seen.join(rarest, "g").select(key, item, "e")
-    # excerpts too short for an inner sequence are held against every text, one after the other: there is no rarer key
-    short = x.where(F.size("w") < words + 2).select(item, "e")
-    hits = hits.unionByName(seen_by_word(d, short, key, item))
-    return hits.join(d, key).where(F.col("t").contains(F.col("e"))).select(key, item, (F.instr("t", F.col("e")) - 1).cast("long").alias("start"))
-
-
-def seen_by_word(docs: DataFrame, short: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, item, e): documents that hold a short excerpt, by its first three characters, spaces included (all of it if it has fewer)."""
-    s = short.withColumn("h", F.substring("e", F.lit(1), F.lit(3)))
-    sizes = sorted(r.n for r in s.select(F.length("h").alias("n")).distinct().collect())
-    # substrings of the sizes that are asked for
-    at = lambda n: F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    d = docs.select(key, "t", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(at, sizes)))).alias("h"))
-    return d.join(s, "h").where(F.col("t").contains(F.col("e"))).select(key, item, "e")
+    rarest = wanted.join(counts, "g").groupBy(item).agg(F.min(F.struct("n", "g")).alias("m")).select(item, F.col("m.g").alias("g"))
+    hits = seen.join(rarest, "g").select(key, item)
+    # excerpts too short for an inner sequence have no rarer key than their first characters
+    hits = hits.unionByName(seen_by_start(d, x.where(F.size("w") < words + 2), key, item))
+    found = hits.join(x.select(item, "e"), item).join(d, key)
+    return found.where(F.col("t").contains(F.col("e"))).select(key, item, (F.instr("t", F.col("e")) - 1).cast("long").alias("start"))
+
+
+def seen_by_start(docs: DataFrame, short: DataFrame, key: str, item: str, most: int = 3) -> DataFrame:
+    """(key, item): documents that hold the first characters of a short excerpt, spaces included: `most` of them, or all it has.
+
+    Only hashes of the distinct pieces of a text are sent, never the text."""
+    s = short.select(item, F.xxhash64(F.substring("e", 1, most)).alias("h"))
+    at = lambda n: F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.xxhash64(F.substring("t", i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+    pieces = docs.select(key, F.explode(F.array_distinct(F.concat(*[at(n) for n in range(1, most + 1)]))).alias("h"))
+    return pieces.join(s.select("h").distinct(), "h", "left_semi").join(s, "h").select(key, item)
 
 
 def bind_spans(claims: DataFrame, citations: DataFrame) -> DataFrame:

@@ -186,17 +186,22 @@ def independent_pairs(pairs: DataFrame, proofs: DataFrame) -> DataFrame:
 RANK = ["confirmation", "explainable_difference", "indetermination", "contradiction"]
 
 
+#: What comparisons look at, from the widest class to the narrowest.
+CLASS = ["request_id", "subject_key", "metric", "currency", "statement", "pred", "def", "nature"]
+
+
 def _classes(facts: DataFrame) -> DataFrame:
-    """Metric facts with the columns that comparisons look at, as nested classes: metric, currency, statement (scope and period and
-    definition), claim (predicate and declared definition), nature."""
+    """Metric facts with the columns of their class (metric, currency, statement: scope, period and definition; claim: predicate and
+    declared definition; nature), known (has a signature), value, and k, a hash of the class."""
     norm = lambda c: plain_key(F.col(c))
     d = (facts if "sig" in facts.columns else metric_signature(facts)).where("category = 'metric'")
     s = F.col("sig")
     part = lambda *c: F.sha2(F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in c]), 256)
-    return d.select(
+    d = d.select(
         "request_id", "subject_key", "fact_id", s.isNotNull().alias("known"), s["metric"].alias("metric"), F.coalesce(s["currency"], F.lit("")).alias("currency"), s["value"].alias("value"), s["nature"].alias("nature"),
         F.when(s.isNotNull(), part(F.col("scope_type"), norm("scope_label"), s["period_key"], s["definition"], s["scope_kind"])).alias("statement"), norm("predicate").alias("pred"), norm("contradiction_key").alias("def"),
     )
+    return d.where("request_id IS NOT NULL AND subject_key IS NOT NULL").withColumn("k", part(*map(F.col, [*CLASS, "known"])))
 
 
 #: Coordinates that must all differ for two proofs to contradict each other independently.
@@ -240,41 +245,40 @@ def reconcile_facts(facts: DataFrame, proofs: DataFrame) -> DataFrame:
     1e-12 of the larger one; a chain of equal ones counts as one value.
     """
     d = settled(_classes(facts), "metric-classes")
-    key = ["request_id", "subject_key"]
-    claim = [*key, "metric", "currency", "statement", "pred", "def"]
-    count = lambda by, name, where="true": d.where(where).groupBy(*by).agg(F.count("*").alias(name))
-    full = claim + ["nature"]
-    v = d.where("known AND def <> '' AND nature <> 'unknown'").select(*full, "value").distinct()
-    gap = F.col("value") - F.lag("value").over(Window.partitionBy(*full).orderBy("value"))
-    size = F.greatest(F.lit(1.0), F.abs("value"))
-    v = v.withColumn("cut", F.coalesce((gap > size * EPSILON).cast("long"), F.lit(0))).withColumn("cluster", F.sum("cut").over(Window.partitionBy(*full).orderBy("value")))
-    v = settled(v.select(*full, "value", "cluster"), "metric-values")
-    spread = v.groupBy(*full).agg((F.max("cluster") > 0).alias("apart"))
-    disputed = d.join(v.join(spread.where("apart"), full, "left_semi"), [*full, "value"]).select("fact_id", *full, F.col("cluster").alias("value"))
+    # values of a class, the equal ones as one
+    v = d.where("known AND def <> '' AND nature <> 'unknown'").select("k", "value").distinct()
+    by_value = Window.partitionBy("k").orderBy("value")
+    cut = F.coalesce((F.col("value") - F.lag("value").over(by_value) > F.greatest(F.lit(1.0), F.abs("value")) * EPSILON).cast("long"), F.lit(0))
+    v = settled(v.withColumn("cut", cut).withColumn("cluster", F.sum("cut").over(by_value)).select("k", "value", "cluster"), "metric-values")
+    apart = v.groupBy("k").agg((F.max("cluster") > 0).alias("apart"))
+    disputed = d.join(v.join(apart.where("apart"), "k", "left_semi"), ["k", "value"]).select("fact_id", "k", F.col("cluster").alias("value"))
     docs = proofs.select("fact_id", conflict_page_key(F.col("url")).alias("page"), F.lower("digest").alias("digest")).where("page IS NOT NULL AND digest IS NOT NULL").distinct()
     own = settled(disputed.join(docs, "fact_id"), "metric-proofs")
-    seen = own.join(_witnesses(own, full), full)
+    seen = own.join(_witnesses(own, ["k"]), "k")
     against = seen.where(F.exists("witnesses", lambda w: reduce(Column.__and__, [w[c] != F.col(c) for c in APART]))).select("fact_id").distinct().withColumn("against", F.lit(True))
-    j = d
-    for by, name, where in (
-        ([*key, "metric"], "n_metric", "known"), ([*key, "metric", "currency"], "n_currency", "known"), ([*key, "metric", "currency", "statement"], "n_statement", "known"), (claim, "n_claim", "known"), (full, "n_nature", "known"),
-        (claim, "n_unknown", "known AND nature = 'unknown'"), ([*key, "pred", "def"], "n_declared", "def <> ''"), ([*key, "pred", "def", "metric", "currency"], "n_same", "def <> '' AND known"),
-    ):
-        j = j.join(count(by, name, where), by, "left")
-    j = j.join(spread, full, "left").join(against, "fact_id", "left").fillna(0)
-    n = F.col
+    # one row a class; the wider classes are sums of those
+    c = d.groupBy("k", *CLASS, "known").agg(F.count("*").alias("n")).repartition("request_id", "subject_key").join(apart, "k", "left")
+    known, declared = F.col("known"), F.col("def") != ""
+    subject = CLASS[:2]
+    within = lambda columns, n: F.sum(F.when(n, F.col("n")).otherwise(0)).over(Window.partitionBy(*subject, *columns))
+    c = c.withColumns({
+        "n_metric": within(["metric"], known), "n_currency": within(["metric", "currency"], known), "n_statement": within(["metric", "currency", "statement"], known), "n_claim": within(CLASS[2:7], known),
+        "n_unknown": within(CLASS[2:7], known & (F.col("nature") == "unknown")), "n_declared": within(["pred", "def"], declared), "n_same": within(["pred", "def", "metric", "currency"], declared & known),
+    })
+    n, one = F.col, lambda name: F.when(known, F.col(name)).otherwise(0)
     indeterminate = (
-        (n("n_metric") > n("n_currency")) | (n("n_statement") > n("n_claim")) | ((n("def") == "") & (n("n_statement") > 1)) | (n("n_declared") > F.greatest(n("n_same"), (n("def") != "").cast("long")))
-        | ((n("def") != "") & F.when(n("nature") == "unknown", n("n_claim") > 1).otherwise(n("n_unknown") > 0)) | F.coalesce("apart", F.lit(False))
+        (one("n_metric") > one("n_currency")) | (one("n_statement") > one("n_claim")) | (~declared & (one("n_statement") > 1)) | (declared & (n("n_declared") > F.when(known, n("n_same")).otherwise(1)))
+        | (declared & known & F.when(n("nature") == "unknown", n("n_claim") > 1).otherwise(n("n_unknown") > 0)) | F.coalesce("apart", F.lit(False))
     )
-    explainable = (n("n_currency") > n("n_statement")) | ((n("def") != "") & (n("n_claim") > n("n_nature")))
-    compared = (n("n_metric") > 1) | (n("n_declared") > 1)
-    state = F.when(F.coalesce("against", F.lit(False)), RANK[3]).when(F.coalesce(indeterminate, F.lit(False)), RANK[2]).when(F.coalesce(explainable, F.lit(False)), RANK[1]).otherwise(RANK[0])
-    return j.where(compared).select("fact_id", state.alias("state"))
+    explainable = (one("n_currency") > one("n_statement")) | (declared & known & (n("n_claim") > n("n")))
+    compared = (one("n_metric") > 1) | (declared & (n("n_declared") > 1))
+    c = c.where(compared).select("k", F.when(indeterminate, RANK[2]).when(explainable, RANK[1]).otherwise(RANK[0]).alias("state"))
+    j = d.select("fact_id", "k").join(c, "k").join(against, "fact_id", "left")
+    return j.select("fact_id", F.when(F.coalesce("against", F.lit(False)), RANK[3]).otherwise(F.col("state")).alias("state"))
 
 
 def reconcile(pairs: DataFrame) -> DataFrame:
-    """(fact_id, state): the worst relationship of each fact's pairs."""
+    """(fact_id, state): the worst relationship of each fact's pairs, where pairs are few enough to be listed."""
     rank = F.array_position(F.array(*map(F.lit, RANK)), F.col("relationship"))
     sides = pairs.select(F.explode(F.array("left_id", "right_id")).alias("fact_id"), rank.alias("rank"))
     return sides.groupBy("fact_id").agg(F.max("rank").alias("rank")).select("fact_id", F.element_at(F.array(*map(F.lit, RANK)), F.col("rank").cast("int")).alias("state"))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from attestry.functions import text as x
 from attestry.functions import urls as u
 from attestry.operators.facts import claim_quality
-from attestry.operators.identity import KEY, domain, holds, same_domain
+from attestry.operators.identity import KEY, domain, same_domain
+from attestry.operators.names import with_named
+from attestry.sources.tables import settled
 
 # Words of the rules, accents dropped.
 NOT_A_PARTY = "ai ambassadeur ambassadrice ceo cfo chief coo cto directeur directrice executive expert experte fondateur fondatrice founder general generale gerant gerante head ia last mis mise officer partner president presidente responsable specialiste updated".split()
@@ -246,7 +248,8 @@ def traceable_role(proofs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Proofs with traceable: the excerpt names the person and states a role, and one maximal anchor of title and URL is what the role is at. candidates: KEY, display_name, entity_type."""
     c = candidates.select(*KEY, F.col("display_name").alias("__name"), (F.col("entity_type") == "person").alias("__person"))
     d = proofs.join(c, KEY)
-    d = _once(d, __anchors=anchors(F.col("title"), F.col("url"), F.col("__name")), __tail=role_tail(F.col("excerpt"), F.col("__name")), __held=holds(F.col("excerpt"), F.col("__name")))
+    d = with_named(d, F.col("excerpt"), F.col("__name"), F.lit("person"), "__held")
+    d = _once(d, __anchors=anchors(F.col("title"), F.col("url"), F.col("__name")), __tail=role_tail(F.col("excerpt"), F.col("__name")))
     d = _once(d, __max=maximal(F.col("__anchors")))
     ok = F.col("__person") & F.col("__held") & F.col("__tail").isNotNull() & (F.size("__max") == 1) & _fits(F.col("__tail"), F.get("__max", F.lit(0)))
     return d.withColumn("traceable", F.coalesce(ok, F.lit(False))).select(*proofs.columns, "traceable")
@@ -277,11 +280,15 @@ def fact_support(candidates: DataFrame, bound: DataFrame, proofs: DataFrame, fac
 
     candidates: KEY, display_name, entity_type, exact_name, has_context; bound as in corroborate; facts: KEY, fact_id, ord, category and the columns of proofs.
     """
+    # what several branches read is computed once
+    bound = settled(bound, "support-bound")
     first = corroborate(candidates.where("has_context"), bound, proofs).select(*KEY, F.col("fingerprint").alias("__f"))
     b = _once(bound, fingerprint=fingerprint(F.col("term"))).join(first, KEY)
-    cor = b.where("fingerprint = __f").select(*KEY, "proof_id").distinct()
+    b = settled(b, "support-terms")
+    cor = settled(b.where("fingerprint = __f").select(*KEY, "proof_id").distinct(), "support-corroborated")
     second = b.where("fingerprint <> __f").join(cor, [*KEY, "proof_id"], "left_semi").select(*KEY).distinct()
     anchor = role_anchor(facts, proofs.join(cor, [*KEY, "proof_id"], "left_semi"), candidates).join(second, KEY, "left_anti").select(*KEY, "proof_id")
+    second, anchor = settled(second, "support-second"), settled(anchor, "support-anchors")
     keys = second.unionByName(anchor.select(*KEY))
     chosen = cor.join(keys, KEY, "left_semi").unionByName(anchor).distinct()
     backed = chosen.join(facts.select(*KEY, "proof_id"), [*KEY, "proof_id"], "left_semi").select(*KEY).distinct()
