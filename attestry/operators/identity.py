@@ -129,11 +129,12 @@ def eligible(requests: DataFrame, candidates: DataFrame, evidence: DataFrame, ma
     return d.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0).drop("__type", "__named", "__match")
 
 
-def match_flag(requests: DataFrame, candidates: DataFrame, verified: DataFrame, signals: DataFrame) -> DataFrame:
-    """Candidates with matched, strong, medium (kinds) and priority. requests: request_id, name, has_context.
+def match_flag(requests: DataFrame, candidates: DataFrame, verified: DataFrame, signals: DataFrame, evidence: DataFrame | None = None, support: DataFrame | None = None) -> DataFrame:
+    """Candidates with matched, match_basis, strong, medium (kinds) and priority. requests: request_id, name, has_context.
 
     Without a context a person needs the exact name of two words or more, a company a legal identifier or a site whose
-    first label is its name; a brand never matches. With one, a strong signal or two medium kinds are needed.
+    first label is its name; a brand never matches. With one, a strong signal or two medium kinds are needed. A candidate that support
+    (KEY, see support.fact_support) backs matches too, on facts; one whose evidence (assemble_evidence) rests on facts alone matches only so.
     """
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in WEIGHTS.items() for v in kv]), F.col("kind")), F.lit(1))
     g = signals.groupBy(*KEY).agg(F.max(F.col("strength") == "strong").alias("strong"), F.count_distinct(F.when(F.col("strength") == "medium", F.col("kind"))).alias("medium"), F.sum(weight).alias("priority"))
@@ -144,7 +145,17 @@ def match_flag(requests: DataFrame, candidates: DataFrame, verified: DataFrame,
     person = (words(F.col("__name")) == words(F.col("display_name"))) & (F.size(F.split(F.trim(words(F.col("display_name"))), " ")) >= 2)
     company = F.col("__legal").isNotNull() | F.coalesce((F.length(bare) >= 3) & (F.substring_index(domain(F.col("__site")), ".", 1) == bare), F.lit(False))
     alone = (F.col("entity_scope") != "brand") & F.when(F.col("entity_type") == "person", person).otherwise(company)
-    return d.withColumn("matched", F.when(F.col("__has"), F.col("strong") | (F.col("medium") >= 2)).otherwise(alone)).drop("__name", "__has", "__legal", "__site")
+    own = F.when(F.col("__has"), F.col("strong") | (F.col("medium") >= 2)).otherwise(alone)
+    backed, on_facts = F.lit(False), F.lit(False)
+    if support is not None:
+        d = d.join(support.select(*KEY).distinct().withColumn("__backed", F.lit(True)), KEY, "left")
+        backed = F.coalesce("__backed", F.lit(False))
+    if evidence is not None:
+        d = d.join(evidence.groupBy(*KEY).agg((F.max("basis") == "verified_facts").alias("__facts")), KEY, "left")
+        on_facts = F.coalesce("__facts", F.lit(False))
+    own = own & ~on_facts
+    d = d.withColumns({"matched": own | backed, "match_basis": F.when(~own & (backed | on_facts), "facts").otherwise("dedicated")})
+    return d.drop("__name", "__has", "__legal", "__site", "__backed", "__facts")
 
 
 def decide(requests: DataFrame, candidates: DataFrame) -> DataFrame:

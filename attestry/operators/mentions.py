@@ -10,6 +10,7 @@ from attestry.functions import urls as u
 from attestry.operators.evidence import locate
 from attestry.operators.identity import holds
 from attestry.operators.names import name_words, parsed, ranges
+from attestry.operators.support import GENERIC, fingerprint
 
 #: Words that are no anchor.
 NO_ANCHOR = ["avec", "chez", "dans", "des", "elle", "est", "for", "from", "les", "pour", "that", "the", "une", "with"]
@@ -98,18 +99,19 @@ def anchor_continuity(facts: DataFrame, decisions: DataFrame, proofs: DataFrame)
     return d.withColumn("continuous", ~needed | shared).select(*facts.columns, "continuous")
 
 
-def context_terms(requests: DataFrame, known: DataFrame, generic: list[str] = ()) -> DataFrame:
+def context_terms(requests: DataFrame, known: DataFrame, generic: list[str] = GENERIC) -> DataFrame:
     """(request_id, candidate_key, term, source): what of a request's context is asked for: discriminators that it names, and its fragments.
 
     requests: request_id, context; known: request_id, candidate_key, display_name, value (a discriminator, or null). A fragment is what stands
-    between commas, semicolons, bars and line ends: at most 96 characters and 8 words, not made of generic words and words of the name alone.
-    Terms that read alike count once, a discriminator before a fragment.
+    between commas, semicolons, bars and line ends: at most 96 characters and 8 words, no URL, not made of generic words and words of the name alone; so is a discriminator.
+    Terms that read alike (all names of artificial intelligence do) count once, a discriminator before a fragment.
     """
     j = known.join(requests.select("request_id", F.col("context").alias("__c")), "request_id")
     named = j.where(holds(F.col("__c"), F.coalesce("value", F.lit("")))).select("request_id", "candidate_key", F.col("value").alias("term"), F.lit("discriminator").alias("source"))
     w = lambda c: F.regexp_extract_all(_norm(x.visible_text(c)), F.lit(TOKEN), F.lit(0))
     f = j.select("request_id", "candidate_key", "display_name", F.explode(F.split("__c", r"[,;|\n]+")).alias("term")).withColumn("term", F.trim("term"))
+    both = named.unionByName(f.select("request_id", "candidate_key", "term", F.lit("fragment").alias("source")))
+    both = both.join(known.groupBy("request_id", "candidate_key").agg(F.first("display_name").alias("display_name")), ["request_id", "candidate_key"])
     rest = F.array_except(F.array_except(w(F.col("term")), w(F.col("display_name"))), F.array(*map(F.lit, generic)).cast("array<string>"))
-    f = f.where(F.length("term").between(1, 96) & F.size(w(F.col("term"))).between(1, 8) & (F.size(rest) > 0)).select("request_id", "candidate_key", "term", F.lit("fragment").alias("source"))
-    both = named.unionByName(f).withColumn("__k", F.array_join(w(F.col("term")), " "))
+    both = both.where(F.length("term").between(1, 96) & F.size(w(F.col("term"))).between(1, 8) & (F.size(rest) > 0) & ~F.col("term").contains("://")).withColumn("__k", fingerprint(F.col("term"))).drop("display_name")
     return both.withColumn("__r", F.row_number().over(Window.partitionBy("request_id", "candidate_key", "__k").orderBy("source", "term"))).where("__r = 1").drop("__k", "__r")

@@ -19,21 +19,45 @@ from attestry.operators.names import with_named
 from attestry.sources.tables import settled
 
 # Words of the rules, accents dropped.
-NOT_A_PARTY = "ai ambassadeur ambassadrice ceo cfo chief coo cto directeur directrice executive expert experte fondateur fondatrice founder general generale gerant gerante head ia last mis mise officer partner president presidente responsable specialiste updated".split()
-ROLE_WORDS = "associe associee ceo cfo chief co cofondateur cofondatrice coo cto design directeur directrice et executive fondateur fondatrice founder general generale head membre numerique officer partner president presidente responsable".split()
-EMPLOYER_CONNECTORS = "and at chez d de du et for l of pour".split()
-INDUSTRY_MARKERS = "activite ambassadeur ambassadrice concoit consultant consultante developpe dirige directeur directrice expert experte formation industrie industry programme program recherche secteur specialise specialisee specialist specialiste".split()
-INDUSTRY_CONNECTORS = "and d dans de du en et in l of pour sur".split()
-LOCATION_CONNECTORS = "a at dans de en in".split()
-BLOCKERS = "accompagne accompanies avec cite cites collabore collaborates cote cotes interview interviewe interviews alongside meets mentionne mentions photograph photographie photographs presente presents recoit recoivent received receives rencontre tandis while with".split()
-ACTIONS = "anime concoit conduit developpe develops dirige est exerce is leads mene runs was".split()
-ARTICLES = "a an des l la le les the un une".split()
-DESCRIPTORS = "applique appliquee applied digital digitale industriel industrielle numerique professionnel professionnelle public publique recognized reconnu reconnue responsable transformation".split()
-PLACE_ACTIONS = "base based enseigne establi etablie headquartered implante implantee intervient lives located operates publie reside travaille vit works".split()
-PLACE_DESCRIPTORS = "activite ai artificial atelier aux comme conference dans entreprise entreprises etabli etablie filiale francais francaise groupe ia intelligence numeriques organisation organisations ordre programme services travaux".split()
-LEGAL_MARKERS = "identifiant immatricule immatriculee numero registered registration".split()
-YEAR_MARKERS = "a depuis en founded fonde fondee in since".split()
-MONTHS = "aout april august avril december decembre february fevrier january janvier juillet june juin march mars may mai november novembre october octobre september septembre".split()
+NOT_A_PARTY = [
+    "ai", "ambassadeur", "ambassadrice", "ceo", "cfo", "chief", "coo", "cto", "directeur", "directrice", "executive", "expert", "experte", "fondateur", "fondatrice", "founder",
+    "general", "generale", "gerant", "gerante", "head", "ia", "last", "mis", "mise", "officer", "partner", "president", "presidente", "responsable", "specialiste", "updated",
+]
+ROLE_WORDS = [
+    "associe", "associee", "ceo", "cfo", "chief", "co", "cofondateur", "cofondatrice", "coo", "cto", "design", "directeur", "directrice", "et", "executive", "fondateur",
+    "fondatrice", "founder", "general", "generale", "head", "membre", "numerique", "officer", "partner", "president", "presidente", "responsable",
+]
+EMPLOYER_CONNECTORS = ["and", "at", "chez", "d", "de", "du", "et", "for", "l", "of", "pour"]
+INDUSTRY_MARKERS = [
+    "activite", "ambassadeur", "ambassadrice", "concoit", "consultant", "consultante", "developpe", "dirige", "directeur", "directrice", "expert", "experte", "formation",
+    "industrie", "industry", "programme", "program", "recherche", "secteur", "specialise", "specialisee", "specialist", "specialiste",
+]
+INDUSTRY_CONNECTORS = ["and", "d", "dans", "de", "du", "en", "et", "in", "l", "of", "pour", "sur"]
+LOCATION_CONNECTORS = ["a", "at", "dans", "de", "en", "in"]
+BLOCKERS = [
+    "accompagne", "accompanies", "avec", "cite", "cites", "collabore", "collaborates", "cote", "cotes", "interview", "interviewe", "interviews", "alongside", "meets", "mentionne",
+    "mentions", "photograph", "photographie", "photographs", "presente", "presents", "recoit", "recoivent", "received", "receives", "rencontre", "tandis", "while", "with",
+]
+ACTIONS = ["anime", "concoit", "conduit", "developpe", "develops", "dirige", "est", "exerce", "is", "leads", "mene", "runs", "was"]
+ARTICLES = ["a", "an", "des", "l", "la", "le", "les", "the", "un", "une"]
+DESCRIPTORS = [
+    "applique", "appliquee", "applied", "digital", "digitale", "industriel", "industrielle", "numerique", "professionnel", "professionnelle", "public", "publique", "recognized",
+    "reconnu", "reconnue", "responsable", "transformation",
+]
+PLACE_ACTIONS = [
+    "base", "based", "enseigne", "establi", "etablie", "headquartered", "implante", "implantee", "intervient", "lives", "located", "operates", "publie", "reside", "travaille",
+    "vit", "works",
+]
+PLACE_DESCRIPTORS = [
+    "activite", "ai", "artificial", "atelier", "aux", "comme", "conference", "dans", "entreprise", "entreprises", "etabli", "etablie", "filiale", "francais", "francaise", "groupe",
+    "ia", "intelligence", "numeriques", "organisation", "organisations", "ordre", "programme", "services", "travaux",
+]
+LEGAL_MARKERS = ["identifiant", "immatricule", "immatriculee", "numero", "registered", "registration"]
+YEAR_MARKERS = ["a", "depuis", "en", "founded", "fonde", "fondee", "in", "since"]
+MONTHS = [
+    "aout", "april", "august", "avril", "december", "decembre", "february", "fevrier", "january", "janvier", "juillet", "june", "juin", "march", "mars", "may", "mai", "november",
+    "novembre", "october", "octobre", "september", "septembre",
+]
 EMPLOYED = "travaille chez|works at|works for|employe par|employee at|rejoint|joined|dirige|leads"
 UPDATED, UPDATED_ARTICLES = "mise? a jour|updated on|last updated", "le|on|the"
 AI_FORMS = ["ai", "ia", "artificial intelligence", "intelligence artificielle"]
@@ -42,12 +66,19 @@ ROLE_PREFIX = (
     r"|fondateur|fondatrice|founder|gerant|gerante|head|partner|president|presidente|responsable)\b|^(?:dirige|leads|travaille chez|works at|works for)\b"
 )
 ROLE_CONNECTORS, ROLE_ARTICLES = "at|chez|d|de|des|du|for|of|pour", "a|an|l|la|le|les|the|un|une"
-GENERIC = (
-    "a activity activite afin ainsi an and as at au aux avec by ce ces chez comme company contexte context dans de des du elle en entreprise entre est et for from he her his il in information into is it la le les leur "
-    "mais ne ni of official officiel on or ou par pas person personne pour public publique que qui role sans se ses she site son source services sous sur than that the their technologie technology to un une vers was with"
-).split()
-ANCHOR_STOPWORDS = GENERIC + "ai artificial about accueil actualite actualites annuaire article blog contact direction directory equipe example france home ia intelligence lab labs news num page press presse profile profil propos group groupe organisation organization societe studio team".split()
-URL_PREFIXES, URL_SUFFIXES = "get go hello join my the use weare".split(), "app co company fr france group groupe hq lab labs official studio".split()
+GENERIC = [
+    "a", "activity", "activite", "afin", "ainsi", "an", "and", "as", "at", "au", "aux", "avec", "by", "ce", "ces", "chez", "comme", "company", "contexte", "context", "dans", "de",
+    "des", "du", "elle", "en", "entreprise", "entre", "est", "et", "for", "from", "he", "her", "his", "il", "in", "information", "into", "is", "it", "la", "le", "les", "leur",
+    "mais", "ne", "ni", "of", "official", "officiel", "on", "or", "ou", "par", "pas", "person", "personne", "pour", "public", "publique", "que", "qui", "role", "sans", "se", "ses",
+    "she", "site", "son", "source", "services", "sous", "sur", "than", "that", "the", "their", "technologie", "technology", "to", "un", "une", "vers", "was", "with",
+]
+ANCHOR_STOPWORDS = GENERIC + [
+    "ai", "artificial", "about", "accueil", "actualite", "actualites", "annuaire", "article", "blog", "contact", "direction", "directory", "equipe", "example", "france", "home",
+    "ia", "intelligence", "lab", "labs", "news", "num", "page", "press", "presse", "profile", "profil", "propos", "group", "groupe", "organisation", "organization", "societe",
+    "studio", "team",
+]
+URL_PREFIXES = ["get", "go", "hello", "join", "my", "the", "use", "weare"]
+URL_SUFFIXES = ["app", "co", "company", "fr", "france", "group", "groupe", "hq", "lab", "labs", "official", "studio"]
 DISCRIMINATORS = ["city", "country", "industry", "employer", "legal_identifier", "year"]
 MOST_BRIDGE = 14
 

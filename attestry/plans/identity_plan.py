@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import facts as f
 from attestry.operators import identity as i
+from attestry.plans import support_plan as s
 from attestry.plans.fixtures import plain, sql
 
 #: Candidates: one to three a customer; the third of every fifth repeats the first one's key.
@@ -162,5 +163,26 @@ SELECT request_id, CASE WHEN step IN (1, 7) THEN 'insufficient_context' WHEN ste
 FROM dd
 """
 
-QUERIES = {q.__name__: q for q in (i2_derive_scope, i3_assemble_evidence, i5_context_signals, i12_eligible, i13_match_flag, i15_decide)}
-ORACLES = {"i2_derive_scope": I2, "i3_assemble_evidence": I3, "i5_context_signals": I5, "i12_eligible": I12, "i13_match_flag": I13, "i15_decide": I15}
+def i15_fact_backed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People known from facts alone: those that facts back resolve, through the support of their facts."""
+    who, read = sql(spark, sf_dir, s.WHO), sql(spark, sf_dir, s.READ)
+    support = s.s.fact_support(who, s.s.bind_terms(who, read, sql(spark, sf_dir, s.ASKED)), read, sql(spark, sf_dir, s.BACKING))
+    requests = who.select("request_id", F.col("display_name").alias("name"), "has_context")
+    c = who.select("request_id", "candidate_key", F.lit(0).alias("ord"), "display_name", "entity_type", F.col("entity_type").alias("entity_scope"), F.lit(True).alias("eligible"))
+    evidence = read.select("request_id", "candidate_key", F.lit("verified_facts").alias("basis"))
+    verified = who.select("request_id", "candidate_key", F.lit(None).cast("string").alias("legal_identifier"), F.lit(None).cast("string").alias("official_site"))
+    signals = who.where("false").select("request_id", "candidate_key", F.lit("city").alias("kind"), F.lit("medium").alias("strength"))
+    flagged = i.match_flag(requests, c, verified, signals, evidence, support)
+    urls = flagged.withColumns({"method": F.lit("source_content"), "url": F.lit("https://p1.fr/")})
+    return i.decide(requests, urls).join(flagged.select("request_id", "match_basis"), "request_id").select("request_id", "status", "reason", "match_basis")
+
+
+I15_FACTS = f"""
+WITH b AS (SELECT DISTINCT request_id FROM ({s.I11}) x)
+SELECT c_custkey AS request_id, CASE WHEN b.request_id IS NULL AND c_custkey % 6 = 1 THEN 'insufficient_context' ELSE 'resolved' END AS status,
+  CASE WHEN b.request_id IS NOT NULL THEN 'unique_verified_candidate' WHEN c_custkey % 6 = 1 THEN 'context_not_demonstrated' ELSE 'unique_contextual_source_candidate' END AS reason, 'facts' AS match_basis
+FROM customer LEFT JOIN b ON b.request_id = c_custkey
+"""
+
+QUERIES = {q.__name__: q for q in (i2_derive_scope, i3_assemble_evidence, i5_context_signals, i12_eligible, i13_match_flag, i15_decide, i15_fact_backed)}
+ORACLES = {"i2_derive_scope": I2, "i3_assemble_evidence": I3, "i5_context_signals": I5, "i12_eligible": I12, "i13_match_flag": I13, "i15_decide": I15, "i15_fact_backed": I15_FACTS}

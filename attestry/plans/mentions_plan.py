@@ -119,16 +119,16 @@ def f2_anchor_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
 F2 = "SELECT o_custkey AS request_id, o_orderkey AS fact_id, o_custkey % 2 = 1 OR o_orderkey % 7 = 0 OR o_orderkey % 4 = 0 OR o_orderkey % 3 = 0 AS continuous FROM orders JOIN customer ON c_custkey = o_custkey"
 
 KNOWN = "SELECT c_custkey AS request_id, 'k0' AS candidate_key, 'Firm Nord' AS display_name, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS value FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey"
-ASKED = "SELECT c_custkey AS request_id, concat(lower(n_name), ', Nord; the firm | ', c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN ', one two three four five six seven eight nine' ELSE '' END) AS context FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey"
+ASKED = "SELECT c_custkey AS request_id, concat(lower(n_name), ', Nord; the public services | IA, artificial intelligence | https://x.com/a | ', c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN ', one two three four five six seven eight nine' ELSE '' END) AS context FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey"
 
 
 def i7_context_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.context_terms(sql(spark, sf_dir, ASKED), sql(spark, sf_dir, KNOWN), generic=["the"])
+    return m.context_terms(sql(spark, sf_dir, ASKED), sql(spark, sf_dir, KNOWN))
 
 
 I7 = """
 SELECT c_custkey AS request_id, 'k0' AS candidate_key, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE lower(n_name) END AS term, CASE WHEN c_custkey % 2 = 0 THEN 'discriminator' ELSE 'fragment' END AS source FROM customer JOIN nation ON n_nationkey = c_nationkey
-UNION ALL SELECT c_custkey, 'k0', c_mktsegment, 'fragment' FROM customer
+UNION ALL SELECT c_custkey, 'k0', c_mktsegment, 'fragment' FROM customer UNION ALL SELECT c_custkey, 'k0', 'IA', 'fragment' FROM customer
 """
 
 CONTRADICTIONS = "SELECT c_custkey AS request_id, concat('c', cast(c_custkey AS string)) AS contradiction_id, c_custkey % 11 <> 0 AS visible, CASE WHEN c_custkey % 5 = 0 THEN 'difference' ELSE 'contradiction' END AS classification, c_custkey % 6 <> 0 AS nature_checked, 'metric.revenue' AS predicate, 'k0' AS subject_key FROM {customer}"
