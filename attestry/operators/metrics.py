@@ -120,25 +120,38 @@ def observe_metrics(facts: DataFrame, excerpt: str = "excerpt", subject: str = "
     return d.withColumn("obs", F.when(F.coalesce(ok, F.lit(False)), obs)).select(*facts.columns, "obs")
 
 
+def declared_metric(predicate: Column) -> Column:
+    """revenue or workforce, as a predicate says; null for any other."""
+    p = F.regexp_replace(conflict_text(predicate), "[^a-z0-9]+", " ")
+    return F.when(p.rlike(r"\b(?:chiffre d affaires|chiffre affaires|revenue|turnover|sales)\b"), "revenue").when(p.rlike(r"\b(?:effectif|employees?|headcount|workforce|staff|etp|fte)\b"), "workforce")
+
+
+def unit_fits(unit: Column, o: Column) -> Column:
+    """A declared unit names what the observation o counts in."""
+    u = conflict_text(unit)
+    scaled = (
+        F.when(o["scale"] == "thousand", u.rlike("^(k|thousands?|milliers?)$")).when(o["scale"] == "million", u.rlike("^millions?$"))
+        .when(o["scale"] == "billion", u.rlike("^(milliards?|billions?|bn)$")).otherwise(u.rlike("^(currency|monetary|money)$"))
+    )
+    money = (u == "") | u.rlike("^(currency|monetary|money|revenue|turnover|sales|chiffre d affaires)$") | scaled
+    people = u.rlike("^(employees?|employes?|salaries?|effectifs?|headcount|workforce|staff|etp|fte)$")
+    return F.when(o["metric"] == "workforce", people).otherwise(money)
+
+
+def scope_fits(scope_type: Column, o: Column) -> Column:
+    """A declared scope type is that of the observation o."""
+    scope = conflict_text(scope_type)
+    return F.when(o["scope_kind"] == "group", scope == "group").when(o["scope_kind"] == "subsidiary", scope == "subsidiary").otherwise(scope == "company")
+
+
 def metric_signature(facts: DataFrame) -> DataFrame:
     """facts with sig: obs if what the fact declares (predicate, date, period, scope, unit, currency) agrees with it."""
     d = facts if "obs" in facts.columns else observe_metrics(facts)
-    p = F.regexp_replace(conflict_text(F.col("predicate")), "[^a-z0-9]+", " ")
-    declared = F.when(p.rlike(r"\b(?:chiffre d affaires|chiffre affaires|revenue|turnover|sales)\b"), "revenue").when(
-        p.rlike(r"\b(?:effectif|employees?|headcount|workforce|staff|etp|fte)\b"), "workforce")
-    unit, o = conflict_text(F.col("unit")), F.col("obs")
-    scaled = (
-        F.when(o["scale"] == "thousand", unit.rlike("^(k|thousands?|milliers?)$")).when(o["scale"] == "million", unit.rlike("^millions?$"))
-        .when(o["scale"] == "billion", unit.rlike("^(milliards?|billions?|bn)$")).otherwise(unit.rlike("^(currency|monetary|money)$"))
-    )
-    money = (unit == "") | unit.rlike("^(currency|monetary|money|revenue|turnover|sales|chiffre d affaires)$") | scaled
-    people = unit.rlike("^(employees?|employes?|salaries?|effectifs?|headcount|workforce|staff|etp|fte)$")
-    scope = conflict_text(F.col("scope_type"))
+    o = F.col("obs")
     ok = (
-        (F.col("category") == "metric") & F.col("scope_label").isNotNull() & (declared == o["metric"])
+        (F.col("category") == "metric") & F.col("scope_label").isNotNull() & (declared_metric(F.col("predicate")) == o["metric"])
         & (conflict_text(F.col("fact_date")) == F.substring_index(o["period_key"], "|", 1)) & (num.period_key(F.coalesce(F.col("fact_period_label"), F.lit(""))) == o["period_key"])
-        & F.when(o["scope_kind"] == "group", scope == "group").when(o["scope_kind"] == "subsidiary", scope == "subsidiary").otherwise(scope == "company")
-        & F.when(o["metric"] == "workforce", people).otherwise(money) & (conflict_text(F.col("currency")) == conflict_text(o["currency"]))
+        & scope_fits(F.col("scope_type"), o) & unit_fits(F.col("unit"), o) & (conflict_text(F.col("currency")) == conflict_text(o["currency"]))
     )
     return d.withColumn("sig", F.when(F.coalesce(ok, F.lit(False)), o))
 
@@ -208,7 +221,7 @@ def _classes(facts: DataFrame) -> DataFrame:
 APART = ("value", "page", "digest")
 
 
-def _witnesses(proofs: DataFrame, key: list[str]) -> DataFrame:
+def witnesses(proofs: DataFrame, key: list[str]) -> DataFrame:
     """For each key at most 16 of its proofs (value, page, digest), among which every proof that some other one is apart from in all three finds such a one.
 
     Take any proof. What is not apart from it equals it in one coordinate, so for each coordinate take a proof that differs from the
@@ -254,7 +267,7 @@ def reconcile_facts(facts: DataFrame, proofs: DataFrame) -> DataFrame:
     disputed = d.join(v.join(apart.where("apart"), "k", "left_semi"), ["k", "value"]).select("fact_id", "k", F.col("cluster").alias("value"))
     docs = proofs.select("fact_id", conflict_page_key(F.col("url")).alias("page"), F.lower("digest").alias("digest")).where("page IS NOT NULL AND digest IS NOT NULL").distinct()
     own = settled(disputed.join(docs, "fact_id"), "metric-proofs")
-    seen = own.join(_witnesses(own, ["k"]), "k")
+    seen = own.join(witnesses(own, ["k"]), "k")
     against = seen.where(F.exists("witnesses", lambda w: reduce(Column.__and__, [w[c] != F.col(c) for c in APART]))).select("fact_id").distinct().withColumn("against", F.lit(True))
     # one row a class; the wider classes are sums of those
     c = d.groupBy("k", *CLASS, "known").agg(F.count("*").alias("n")).repartition("request_id", "subject_key").join(apart, "k", "left")
