@@ -58,7 +58,8 @@ def _is(c: Column, pattern: str) -> Column:
 
 
 def _in(c: Column, words: list[str]) -> Column:
-    return F.coalesce(c.isin(*words), F.lit(False))
+    # one pattern, not a list of literals: these lists stand many times in a plan
+    return _is(c, rf"\A(?:{'|'.join(words)})\z")
 
 
 def _plain(c: Column) -> Column:
