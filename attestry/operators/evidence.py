@@ -244,17 +244,34 @@ def seen_by_start(docs: DataFrame, short: DataFrame, key: str, item: str, most:
     return pieces.join(s.select("h").distinct(), "h", "left_semi").join(s, "h").select(key, item)
 
 
-def bind_spans(claims: DataFrame, citations: DataFrame) -> DataFrame:
+def bind_spans(claims: DataFrame, citations: DataFrame, sources: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """claims (doc, claim_id, start, end) with the one citation (doc, citation_id, span_start, span_end, url) that covers them, or a code.
 
-    Range join inside one document; none or several covering citations are an error of their own.
+    Range join inside one document; none or several covering citations are an error of their own. With texts (doc, n_chars) one citation out of
+    bounds (before 0, empty, past the end) refuses all claims of its document. The citation must have a url and, where citations have the
+    columns, a title and, if a source_id, a source (doc, source_id, url) of that id and url.
     """
+    has = set(citations.columns)
+    extra = [c for c in ("title", "source_id") if c in has]
     on = (claims["doc"] == citations["doc"]) & (citations["span_start"] <= claims["start"]) & (citations["span_end"] >= claims["end"])
-    j = claims.join(citations, on, "left").select(claims["doc"], "claim_id", "start", "end", "citation_id", "url")
-    g = j.groupBy("doc", "claim_id", "start", "end").agg(F.count("citation_id").alias("n"), F.min("citation_id").alias("c"), F.min("url").alias("u"))
-    code = F.when(F.col("start") >= F.col("end"), "span_invalid").when(F.col("n") == 0, "citation_missing").when(F.col("n") > 1, "citation_ambiguous")
+    j = claims.join(citations, on, "left").select(claims["doc"], "claim_id", "start", "end", F.when(F.col("citation_id").isNotNull(), F.struct("citation_id", "url", *extra)).alias("c"))
+    g = j.groupBy("doc", "claim_id", "start", "end").agg(F.count("c").alias("n"), F.min("c").alias("c"))
+    bad, unknown = F.lit(False), F.lit(False)
+    if texts is not None:
+        odd = citations.join(texts, "doc").where((F.col("span_start") < 0) | (F.col("span_end") <= F.col("span_start")) | (F.col("span_end") > F.col("n_chars"))).select("doc").distinct()
+        g = g.join(odd.withColumn("__odd", F.lit(True)), "doc", "left")
+        bad = F.col("__odd").isNotNull()
+    if sources is not None and "source_id" in has:
+        known = sources.select("doc", F.col("source_id").alias("__s"), F.col("url").alias("__u")).distinct().withColumn("__known", F.lit(True))
+        g = g.join(known, (g["doc"] == known["doc"]) & (F.col("c.source_id") == F.col("__s")) & (F.col("c.url") == F.col("__u")), "left").drop(known["doc"])
+        unknown = F.col("c.source_id").isNotNull() & F.col("__known").isNull()
+    untitled = F.col("c.title").isNull() if "title" in has else F.lit(False)
+    code = (
+        F.when((F.col("start") >= F.col("end")) | F.col("start").isNull() | F.col("end").isNull(), "span_invalid").when(bad, "citation_out_of_bounds").when(F.col("n") == 0, "citation_missing").when(F.col("n") > 1, "citation_ambiguous")
+        .when(F.trim(F.coalesce("c.url", F.lit(""))) == "", "source_url_missing").when(unknown, "source_unknown").when(untitled, "title_missing")
+    )
     g = g.withColumn("code", code)
-    return g.select("doc", "claim_id", F.when(F.col("code").isNull(), F.col("c")).alias("citation_id"), F.when(F.col("code").isNull(), F.col("u")).alias("url"), "code")
+    return g.select("doc", "claim_id", F.when(F.col("code").isNull(), F.col("c.citation_id")).alias("citation_id"), F.when(F.col("code").isNull(), F.col("c.url")).alias("url"), "code")
 
 
 #: Order of binding kinds: what a claim's URL is bound to first.

@@ -142,11 +142,23 @@ def plan_deviation(executed: DataFrame, plan: DataFrame) -> DataFrame:
     return key(executed).join(key(plan).select("request_id", "__q").distinct(), ["request_id", "__q"], "left_anti").drop("__q")
 
 
-def global_spans(parts: DataFrame) -> DataFrame:
-    """parts (doc, part, text, local_start, local_end) with start and end in the whole text: the lengths of the parts before are added."""
+def global_spans(parts: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """parts (doc, part, text, local_start, local_end) with start and end in the whole text: the lengths of the parts before are added.
+
+    With whole (doc, text) the parts must make up that text, each at its place and to its end; where they do not, or there is none, start and
+    end of the whole document are null. Parts are compared one by one: none are put together.
+    """
     w = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     d = parts.withColumn("offset", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long"))
-    return d.withColumns({"start": F.col("offset") + F.col("local_start"), "end": F.col("offset") + F.col("local_end")})
+    d = d.withColumns({"start": F.col("offset") + F.col("local_start"), "end": F.col("offset") + F.col("local_end")})
+    if whole is None:
+        return d
+    j = d.select("doc", "offset", "text").join(whole.select("doc", F.col("text").alias("__w")), "doc", "left")
+    here = F.coalesce(F.substring("__w", F.col("offset").cast("int") + 1, F.length("text")) == F.col("text"), F.lit(False))
+    g = j.groupBy("doc").agg((F.min(here) & (F.max(F.col("offset") + F.length("text")) == F.max(F.length("__w")))).alias("__fits"))
+    d = d.join(g, "doc", "left")
+    ok = F.coalesce("__fits", F.lit(False))
+    return d.withColumns({c: F.when(ok, F.col(c)) for c in ("start", "end")}).drop("__fits")
 
 
 def duplicate_ids(ids: DataFrame) -> DataFrame:

@@ -177,14 +177,25 @@ def a7_plan_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
 A7 = A6_PLAN + " SELECT request_id, query || ' extra' AS query FROM plan WHERE (request_id + position) % 4 = 0"
 
 
+#: The whole text of a conversation, or nearly: with a letter more, a part changed, or none.
+WHOLE = """
+SELECT conv_id AS doc, CASE conv_id % 7 WHEN 1 THEN concat(t, 'x') WHEN 2 THEN replace(t, 'e', 'E') WHEN 3 THEN NULL ELSE t END AS text FROM (
+  SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, coalesce(text, '') AS text))), x -> x.text), '') AS t FROM {conversations} GROUP BY conv_id) w
+WHERE conv_id % 7 <> 4
+"""
+
+
 def a8_global_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc"), F.col("turn").alias("part"), "text", F.lit(1).alias("local_start"), F.lit(5).alias("local_end"))
-    return l.global_spans(c).select("doc", "part", "start", "end")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc"), F.col("turn").alias("part"), F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("local_start"), F.lit(5).alias("local_end"))
+    plain_ = l.global_spans(c).select("doc", "part", F.col("start").alias("start_"), F.col("end").alias("end_"))
+    return l.global_spans(c, sql(spark, sf_dir, WHOLE)).select("doc", "part", "start", "end").join(plain_, ["doc", "part"])
 
 
 A8 = """
-SELECT conv_id AS doc, turn AS part, (o + 1)::BIGINT AS start, (o + 5)::BIGINT AS "end"
-FROM (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM conversations)
+WITH o AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM conversations),
+w AS (SELECT conv_id, conv_id % 7 IN (0, 5, 6) OR (conv_id % 7 = 2 AND NOT contains(string_agg(text, ''), 'e')) AS fits FROM conversations GROUP BY 1)
+SELECT conv_id AS doc, turn AS part, CASE WHEN fits THEN o + 1 END::BIGINT AS start, CASE WHEN fits THEN o + 5 END::BIGINT AS "end", (o + 1)::BIGINT AS start_, (o + 5)::BIGINT AS end_
+FROM o JOIN w USING (conv_id)
 """
 
 

@@ -194,6 +194,25 @@ FROM c
 """
 
 
+CITATIONS = "SELECT doc, c AS citation_id, c * 15 AS span_start, c * 15 + 20 AS span_end, CASE WHEN claim_id % 11 = 0 THEN ' ' ELSE concat('https://example.com/', doc, '/', cast(c AS string)) END AS url, CASE WHEN n % 5 = 1 THEN NULL ELSE 'T' END AS title, CASE WHEN n % 3 = 0 THEN concat('s', cast(c AS string)) END AS source_id FROM (" + SPANS + ") s CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k"
+CITED = "SELECT doc, source_id, CASE WHEN citation_id = 1 THEN 'https://example.com/other' ELSE url END AS url FROM (" + CITATIONS + ") c WHERE source_id IS NOT NULL"
+
+
+def j5_bind_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations with titles and sources, over texts that some of them leave."""
+    claims = sql(spark, sf_dir, SPANS).select("doc", "claim_id", "start", F.col("end_").alias("end"))
+    texts = sql(spark, sf_dir, SPANS).select("doc", F.col("n").alias("n_chars"))
+    return ev.bind_spans(claims, sql(spark, sf_dir, CITATIONS), sql(spark, sf_dir, CITED), texts).select("doc", "citation_id", "url", "code")
+
+
+J5_CHECKED = "WITH s AS (" + plain(SPANS) + """),
+c AS (SELECT *, list_filter([0, 1, 2], lambda i: i * 15 <= start AND i * 15 + 20 >= end_) AS hits FROM s),
+k AS (SELECT *, CASE WHEN start >= end_ THEN 'span_invalid' WHEN n < 50 THEN 'citation_out_of_bounds' WHEN len(hits) = 0 THEN 'citation_missing' WHEN len(hits) > 1 THEN 'citation_ambiguous' WHEN claim_id % 11 = 0 THEN 'source_url_missing'
+  WHEN n % 3 = 0 AND hits[1] = 1 THEN 'source_unknown' WHEN n % 5 = 1 THEN 'title_missing' END AS code FROM c WHERE start IS NOT NULL)
+SELECT doc, CASE WHEN code IS NULL THEN hits[1] END AS citation_id, CASE WHEN code IS NULL THEN 'https://example.com/' || doc || '/' || hits[1] END AS url, code FROM k
+"""
+
+
 def j6_bind_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("https://s.example.com/p/"), F.col("page_id").cast("string")).alias("base"))
     claims = p.select(F.lit("r").alias("request_id"), F.col("page_id").alias("claim_id"), F.concat("base", F.lit("/?utm_source=x#a")).alias("url"))
@@ -227,8 +246,8 @@ UNION ALL SELECT page_id, NULL, NULL, 'not_https' FROM p WHERE url NOT LIKE 'htt
 
 QUERIES = {f.__name__: f for f in (
     x1_visible_text, x2_mechanical_key, x3_conflict_text, x4_context_tokens, x5_blocks, x6_sequence_starts, x6_sequence_starts_all, x7_mirrors, x8_profile, x9_masked, j1_locate, j1_locate_documents, j2_search_excerpts,
-    j5_bind_spans, j6_bind_urls, s4_extract_pages)}
+    j5_bind_spans, j5_bind_checked, j6_bind_urls, s4_extract_pages)}
 ORACLES = {
     "x1_visible_text": X1, "x2_mechanical_key": X2, "x3_conflict_text": X3, "x4_context_tokens": X4, "x5_blocks": X5, "x6_sequence_starts": X6, "x6_sequence_starts_all": X6_ALL, "x7_mirrors": X7, "x8_profile": X8,
-    "x9_masked": X9, "j1_locate": J1, "j2_search_excerpts": J2, "j5_bind_spans": J5, "j6_bind_urls": J6, "s4_extract_pages": S4,
+    "x9_masked": X9, "j1_locate": J1, "j2_search_excerpts": J2, "j5_bind_spans": J5, "j5_bind_checked": J5_CHECKED, "j6_bind_urls": J6, "s4_extract_pages": S4,
 }
