@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.functions import text as x
 from attestry.functions import urls as u
 from attestry.functions.text import plain_key
 
@@ -43,15 +44,35 @@ def build_unknowns(counts: DataFrame) -> DataFrame:
     return counts.select("request_id", F.explode(each).alias("e")).select("request_id", "e.cause", "e.n").where("n > 0")
 
 
+#: Fixed value: hosts of public bodies.
+INSTITUTIONAL = r"(?:\.gouv\.fr|\.gov|\.gov\.[a-z]{2})$"
+
+
 def confidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """claims (claim_id, state) with level: contested is a lead; read directly from an official page or by two publishers is confirmed; read or annotated is supported; else a lead.
+    """claims (claim_id, state; reconciliation, subject if there) with level: contested or contradicted is a lead; read directly from an official page or from two publishers,
+    unless all its pages are of the network that is never read, is confirmed; read or annotated is supported; so is a snippet whose title or URL has the
+    subject's name or whose host is a public body's; else a lead.
 
-    evidence: claim_id, method (source_content, provider_annotation, search_snippet), official, url.
+    evidence: claim_id, method (source_content, provider_annotation, search_snippet), official, url, and title and accessible (else all are) if there.
     """
-    e = evidence.withColumn("p", F.when(~u.host(F.col("url")).rlike(r"(^|\.)linkedin\.com$"), u.publisher_domain(F.col("url"))))
-    direct = F.col("method") == "source_content"
-    g = e.groupBy("claim_id").agg(F.max(direct).alias("d"), F.max(direct & F.col("official")).alias("o"), F.count_distinct(F.when(direct, F.col("p"))).alias("n"), F.max(F.col("method") == "provider_annotation").alias("a"))
-    level = F.when(F.col("state") == "contested", "lead").when(F.col("d") & (F.col("o") | (F.col("n") >= 2)), "confirmed").when(F.col("d") | F.col("a"), "supported").otherwise("lead")
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(x.nfkc(F.coalesce(c, F.lit(""))), x.SPACE + "+", " ")))
+    e = evidence if "accessible" in evidence.columns else evidence.withColumn("accessible", F.lit(True))
+    e = e if "title" in e.columns else e.withColumn("title", F.lit(None).cast("string"))
+    c = claims if "subject" in claims.columns else claims.withColumn("subject", F.lit(None).cast("string"))
+    e = e.join(c.select("claim_id", plain(F.col("subject")).alias("__s")), "claim_id")
+    host = F.lower(u.host(F.col("url")))
+    direct = (F.col("method") == "source_content") & F.col("accessible")
+    has = lambda text: (F.col("__s") != "") & plain(text).contains(F.col("__s"))
+    named = (F.col("method") == "search_snippet") & (has(F.col("title")) | has(u.url_text(F.col("url"))) | F.coalesce(host.rlike(INSTITUTIONAL), F.lit(False)))
+    g = e.groupBy("claim_id").agg(
+        F.max(direct).alias("d"), F.max(direct & F.col("official")).alias("o"), F.count_distinct(F.when(direct, F.coalesce(u.publisher_domain(F.col("url")), F.lit("")))).alias("n"),
+        F.max(F.col("method") == "provider_annotation").alias("a"), F.min(F.coalesce(host.rlike(r"(^|\.)linkedin\.com$"), F.lit(False))).alias("l"), F.max(named).alias("s"))
+    against = F.col("state") == "contested"
+    if "reconciliation" in claims.columns:
+        against = against | (F.col("reconciliation") == "contradiction")
+    level = (
+        F.when(against, "lead").when(~F.col("l") & F.col("d") & (F.col("o") | (F.col("n") >= 2)), "confirmed").when(F.col("d") | F.col("a"), "supported").when(F.col("s"), "supported").otherwise("lead")
+    )
     return claims.join(g, "claim_id", "left").select(*claims.columns, level.alias("level"))
 
 

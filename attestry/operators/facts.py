@@ -134,7 +134,7 @@ def build_sources(proofs: DataFrame) -> DataFrame:
 
 
 def completeness(requests: DataFrame, claims: DataFrame) -> DataFrame:
-    """requests (request_id, resolved, n_contradictions, n_unknowns) with the counts of their claims (category, url), status and reasons."""
+    """requests (request_id, resolved, n_contradictions, n_unknowns; n_scope_violations if there) with the counts of their claims (category, url), status and reasons."""
     least_categories, least, most = CATEGORIES
     c = claims.where("category <> 'identity'").withColumns({"page": u.canonical_page(F.col("url")), "domain": u.publisher_domain(F.col("url"))})
     g = c.groupBy("request_id").agg(F.countDistinct("claim_id").alias("n_claims"), F.countDistinct("category").alias("n_categories"), F.countDistinct("page").alias("n_pages"), F.countDistinct("domain").alias("n_publishers"))
@@ -142,7 +142,8 @@ def completeness(requests: DataFrame, claims: DataFrame) -> DataFrame:
     reasons = F.array_compact(F.array(
         F.when(~F.col("resolved"), "identity_unresolved"), F.when(~F.col("n_claims").between(least, most), "business_claim_count_out_of_range"),
         F.when(F.col("n_categories") < least_categories, "business_category_diversity_missing"), F.when(F.col("n_pages") < 2, "canonical_page_diversity_missing"),
-        F.when(F.col("n_publishers") < 2, "publisher_domain_diversity_missing"), F.when(F.col("n_contradictions") > 0, "visible_contradiction"), F.when(F.col("n_unknowns") > 0, "critical_unknown"),
+        F.when(F.col("n_publishers") < 2, "publisher_domain_diversity_missing"), F.when(F.col("n_contradictions") > 0, "visible_contradiction"),
+        F.when(F.col("n_scope_violations") > 0 if "n_scope_violations" in requests.columns else F.lit(False), "subject_scope_violation"), F.when(F.col("n_unknowns") > 0, "critical_unknown"),
     ))
     return j.withColumn("reasons", F.array_join(reasons, ",")).withColumn("status", F.when(F.col("reasons") == "", "complete_within_scope").otherwise("partial"))
 

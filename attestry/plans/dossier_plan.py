@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators import dossier as d
+from attestry.plans.fixtures import plain, sql
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,30 @@ c AS (
 G8 = LEVELS + " SELECT o_orderkey AS claim_id, level FROM c"
 
 
+#: Pages of five kinds behind the evidence of orders; a subject whose name titles or URLs may hold.
+RECORDS = """
+SELECT l_orderkey AS claim_id, CASE WHEN l_orderkey % 5 < 3 THEN 'search_snippet' WHEN l_linenumber % 2 = 0 THEN 'provider_annotation' ELSE 'source_content' END AS method, l_linenumber = 1 AS official, l_suppkey % 8 > 0 AS accessible,
+  CASE WHEN l_partkey % 9 = 0 THEN 'About  NORDIX Ltd' ELSE 'News' END AS title,
+  concat('https://', CASE WHEN l_orderkey % 7 = 0 THEN 'www.linkedin.com/in/' WHEN l_partkey % 11 = 0 THEN 'www.data.gouv.fr/' WHEN l_partkey % 13 = 0 THEN 'news.com/nordix-ltd/' ELSE concat('p', cast(l_suppkey % 3 AS string), '.com/') END, cast(l_linenumber AS string)) AS url
+FROM {lineitem}
+"""
+JUDGED = "SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 17 = 0 THEN 'contested' ELSE 'supported' END AS state, CASE WHEN o_orderkey % 19 = 0 THEN 'contradiction' ELSE 'confirmation' END AS reconciliation, CASE WHEN o_orderkey % 4 > 0 THEN 'Nordix Ltd' END AS subject FROM {orders}"
+
+
+def g8_named_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.confidence(sql(spark, sf_dir, JUDGED), sql(spark, sf_dir, RECORDS)).select("claim_id", "level")
+
+
+G8_NAMED = f"""
+WITH r AS ({plain(RECORDS)}), c AS ({plain(JUDGED)}), w AS (SELECT *, method = 'source_content' AND accessible AS direct FROM r),
+g AS (
+  SELECT c.claim_id, bool_or(direct) AS d, bool_or(direct AND official) AS o, count(DISTINCT CASE WHEN direct THEN regexp_extract(url, '([a-z0-9]+[.](com|fr|gouv[.]fr))/', 1) END) AS n, bool_or(method = 'provider_annotation') AS a, bool_and(contains(url, 'linkedin')) AS l,
+    bool_or(method = 'search_snippet' AND (contains(url, 'gouv.fr') OR (subject IS NOT NULL AND (title LIKE 'About%' OR contains(url, 'nordix'))))) AS s
+  FROM c JOIN w USING (claim_id) GROUP BY 1)
+SELECT claim_id, CASE WHEN state = 'contested' OR reconciliation = 'contradiction' THEN 'lead' WHEN NOT l AND d AND (o OR n >= 2) THEN 'confirmed' WHEN d OR a OR s THEN 'supported' ELSE 'lead' END AS level FROM c LEFT JOIN g USING (claim_id)
+"""
+
+
 def g9_list_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.list_facts(_levels(spark, sf_dir))
 
@@ -102,5 +127,5 @@ SELECT k AS request_id, 'resolved_identity_requires_exactly_one_candidate' AS co
 UNION ALL SELECT k, 'resolved_identity_missing_selected_candidate' FROM j WHERE r AND m = 0 UNION ALL SELECT k, 'unresolved_identity_has_selected_candidate' FROM j WHERE NOT r AND n > 0
 """
 
-QUERIES = {f.__name__: f for f in (j8_ground_failures, j10_selected_source, g5_build_unknowns, g8_confidence, g9_list_facts, v3_identity_rules)}
-ORACLES = {"j8_ground_failures": J8, "j10_selected_source": J10, "g5_build_unknowns": G5, "g8_confidence": G8, "g9_list_facts": G9, "v3_identity_rules": V3}
+QUERIES = {f.__name__: f for f in (j8_ground_failures, j10_selected_source, g5_build_unknowns, g8_confidence, g8_named_sources, g9_list_facts, v3_identity_rules)}
+ORACLES = {"j8_ground_failures": J8, "j10_selected_source": J10, "g5_build_unknowns": G5, "g8_confidence": G8, "g8_named_sources": G8_NAMED, "g9_list_facts": G9, "v3_identity_rules": V3}

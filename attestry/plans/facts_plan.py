@@ -190,7 +190,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g3_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _claims(spark, sf_dir)
     r = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("request_id")).distinct()
-    r = r.withColumns({"resolved": F.col("request_id") % 5 != 0, "n_contradictions": (F.col("request_id") % 4 == 0).cast("long"), "n_unknowns": F.lit(0).cast("long")})
+    r = r.withColumns({"resolved": F.col("request_id") % 5 != 0, "n_contradictions": (F.col("request_id") % 4 == 0).cast("long"), "n_scope_violations": (F.col("request_id") % 6 == 0).cast("long"), "n_unknowns": (F.col("request_id") % 7 == 0).cast("long")})
     return f.completeness(r, c).select("request_id", "n_claims", "n_categories", "n_pages", "n_publishers", "status", "reasons")
 
 
@@ -203,7 +203,7 @@ j AS (SELECT r.user_id, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(p, 0)
 z AS (
   SELECT *, array_to_string(list_filter([CASE WHEN user_id % 5 = 0 THEN 'identity_unresolved' END, CASE WHEN n NOT BETWEEN 3 AND 6 THEN 'business_claim_count_out_of_range' END,
     CASE WHEN k < 2 THEN 'business_category_diversity_missing' END, CASE WHEN p < 2 THEN 'canonical_page_diversity_missing' END, 'publisher_domain_diversity_missing',
-    CASE WHEN user_id % 4 = 0 THEN 'visible_contradiction' END], lambda v: v IS NOT NULL), ',') AS reasons FROM j)
+    CASE WHEN user_id % 4 = 0 THEN 'visible_contradiction' END, CASE WHEN user_id % 6 = 0 THEN 'subject_scope_violation' END, CASE WHEN user_id % 7 = 0 THEN 'critical_unknown' END], lambda v: v IS NOT NULL), ',') AS reasons FROM j)
 SELECT user_id AS request_id, n::BIGINT AS n_claims, k::BIGINT AS n_categories, p::BIGINT AS n_pages, d::BIGINT AS n_publishers, 'partial' AS status, reasons FROM z
 """
 

@@ -194,7 +194,7 @@ FROM c
 """
 
 
-CITATIONS = "SELECT doc, c AS citation_id, c * 15 AS span_start, c * 15 + 20 AS span_end, CASE WHEN claim_id % 11 = 0 THEN ' ' ELSE concat('https://example.com/', doc, '/', cast(c AS string)) END AS url, CASE WHEN n % 5 = 1 THEN NULL ELSE 'T' END AS title, CASE WHEN n % 3 = 0 THEN concat('s', cast(c AS string)) END AS source_id FROM (" + SPANS + ") s CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k"
+CITATIONS = "SELECT doc, c AS citation_id, c * 15 AS span_start, CASE WHEN n % 7 = 0 AND c = 2 THEN n + 1 ELSE c * 15 + 20 END AS span_end, CASE WHEN claim_id % 11 = 0 THEN ' ' ELSE concat('https://example.com/', doc, '/', cast(c AS string)) END AS url, CASE WHEN n % 5 = 1 THEN NULL ELSE 'T' END AS title, CASE WHEN n % 3 = 0 THEN concat('s', cast(c AS string)) END AS source_id FROM (" + SPANS + ") s CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k"
 CITED = "SELECT doc, source_id, CASE WHEN citation_id = 1 THEN 'https://example.com/other' ELSE url END AS url FROM (" + CITATIONS + ") c WHERE source_id IS NOT NULL"
 
 
@@ -207,7 +207,7 @@ def j5_bind_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 J5_CHECKED = "WITH s AS (" + plain(SPANS) + """),
 c AS (SELECT *, list_filter([0, 1, 2], lambda i: i * 15 <= start AND i * 15 + 20 >= end_) AS hits FROM s),
-k AS (SELECT *, CASE WHEN start >= end_ THEN 'span_invalid' WHEN n < 50 THEN 'citation_out_of_bounds' WHEN len(hits) = 0 THEN 'citation_missing' WHEN len(hits) > 1 THEN 'citation_ambiguous' WHEN claim_id % 11 = 0 THEN 'source_url_missing'
+k AS (SELECT *, CASE WHEN start >= end_ THEN 'span_invalid' WHEN n < 50 OR n % 7 = 0 THEN 'citation_out_of_bounds' WHEN len(hits) = 0 THEN 'citation_missing' WHEN len(hits) > 1 THEN 'citation_ambiguous' WHEN claim_id % 11 = 0 THEN 'source_url_missing'
   WHEN n % 3 = 0 AND hits[1] = 1 THEN 'source_unknown' WHEN n % 5 = 1 THEN 'title_missing' END AS code FROM c WHERE start IS NOT NULL)
 SELECT doc, CASE WHEN code IS NULL THEN hits[1] END AS citation_id, CASE WHEN code IS NULL THEN 'https://example.com/' || doc || '/' || hits[1] END AS url, code FROM k
 """
