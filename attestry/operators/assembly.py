@@ -172,14 +172,16 @@ def attribute(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     d = facts.join(decisions, "request_id")
     bare = F.trim(F.regexp_replace("display_name", LEGAL, ""))
     labels = [F.col("display_name"), F.col("requested_name"), F.when(F.length(bare) >= 3, bare)]
-    places = {"excerpt": F.col("excerpt"), "title": F.col("title"), "page": F.col("page_text"), "url": u.url_text(F.col("url"))}
-    for place, text in places.items():
-        d = parsed(d, text)
-        for i, label in enumerate(labels):
-            d = ranges(d, label, F.col("selected_type"), "__r").withColumn(f"__{place}{i}", F.size("__r") > 0)
-        d = d.drop("__name_v", "__name_raw", "__name_tok", "__name_gaps", "__r")
-    any_in = lambda place: reduce(Column.__or__, [F.col(f"__{place}{i}") for i in range(len(labels))])
-    person = (F.col("selected_scope") == "person") & (F.col("entity_type") == "person") & (F.col("category") != "metric") & F.col("__excerpt0") & (F.col("selected_type") == "person")
+    # every text of a fact against every name, one a row, so that the rule of names stands in the plan once; the answers come back narrow
+    d = d.withColumn("__id", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in d.columns])), 256))
+    texts = {"excerpt": F.col("excerpt"), "title": F.col("title"), "page": F.col("page_text"), "url": u.url_text(F.col("url"))}
+    side = d.select("__id", "selected_type", F.array(*labels).alias("names"), F.explode(F.array(*[F.struct(F.lit(k).alias("place"), t.alias("text")) for k, t in texts.items()])).alias("t"))
+    side = parsed(side.select("__id", "selected_type", "names", "t.*"), F.col("text")).drop("text").select("*", F.posexplode("names").alias("nth", "name")).where("name IS NOT NULL")
+    side = ranges(side, F.col("name"), F.col("selected_type"), "found").where(F.size("found") > 0).select("__id", "place", "nth")
+    flags = side.groupBy("__id").agg(*[F.max(F.col("place") == k).alias(f"__{k}") for k in texts], F.max((F.col("place") == "excerpt") & (F.col("nth") == 0)).alias("__named"))
+    d = d.join(flags, "__id", "left")
+    any_in = lambda place: F.coalesce(f"__{place}", F.lit(False))
+    person = (F.col("selected_scope") == "person") & (F.col("entity_type") == "person") & (F.col("category") != "metric") & F.coalesce("__named", F.lit(False)) & (F.col("selected_type") == "person")
     allowed = F.element_at(F.create_map(*[v for k, s in SCOPES.items() for v in (F.lit(k), F.array(*map(F.lit, s)))]), F.col("selected_scope"))
     plain = lambda c: F.lower(x.visible_text(c))
     label_fits = reduce(Column.__or__, [F.coalesce(plain(n) == plain(F.col("scope_label")), F.lit(False)) for n in (labels[0], labels[2])])
