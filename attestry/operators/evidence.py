@@ -286,3 +286,43 @@ def bind_urls(claims: DataFrame, bindings: DataFrame) -> DataFrame:
     j = c.join(b, ["request_id", "key"], "left")
     ok = F.col("key").isNotNull()
     return j.select("request_id", "claim_id", F.when(ok, F.coalesce("b.binding_type", F.lit("structured_output"))).alias("binding_type"), F.col("b.binding_id").alias("binding_id"), F.when(~ok, "source_url_rejected").alias("code"))
+
+
+def bind_actions(claims: DataFrame, calls: DataFrame, call_sources: DataFrame, actions: DataFrame, inspections: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claims with offsets but no citation (request_id, claim_id, url) bound through the search of their request, or a code.
+
+    The one search call's sources must hold the claim's URL once; a call without sources leaves the one inspection of the one search, whose URL
+    must be the claim's. calls: request_id, call_id; call_sources: request_id, url; actions: request_id, call_id, action_type (search,
+    open_page, find_in_page); inspections: request_id, call_id, action_type, url, url_status (present, missing, invalid or another); sources: request_id,
+    url (those of the answer as a whole). Gives claim_id, request_id, binding_type, bound_url, call_id, code.
+    """
+    count = lambda d, name, where="true": d.where(where).groupBy("request_id").agg(F.count("*").alias(name))
+    looks = "action_type IN ('open_page', 'find_in_page')"
+    per = [
+        calls.groupBy("request_id").agg(F.count("*").alias("n_calls"), F.min("call_id").alias("call")), count(call_sources, "n_call_sources"), count(actions, "n_searches", "action_type = 'search'"),
+        actions.where(looks).groupBy("request_id").agg(F.count("*").alias("n_looks"), F.min(F.struct("call_id", "action_type")).alias("look")),
+        inspections.groupBy("request_id").agg(F.count("*").alias("n_inspections"), F.min(F.struct("call_id", "action_type", "url", "url_status")).alias("i")), count(sources, "n_sources"),
+    ]
+    d = claims.withColumns({"key": u.attributable_key(F.col("url")), "refused": u.refusal(F.col("url")).isNotNull(), "href": u.safe_href(F.col("url"))})
+    for p in per:
+        d = d.join(p, "request_id", "left")
+    d = d.fillna(0, ["n_calls", "n_call_sources", "n_searches", "n_looks", "n_inspections", "n_sources"])
+    keyed = call_sources.select("request_id", u.attributable_key(F.col("url")).alias("key"), F.col("url").alias("su")).groupBy("request_id", "key").agg(F.count("*").alias("n_matches"), F.min("su").alias("match"))
+    d = d.join(keyed, ["request_id", "key"], "left").fillna(0, ["n_matches"])
+    n = F.col
+    searched = (n("n_calls") == 1) & (n("n_call_sources") > 0)
+    by_source = F.when(n("refused"), "source_url_rejected").when(n("n_matches") != 1, "source_metadata_missing")
+    status = n("i.url_status")
+    by_look = (
+        F.when((n("n_searches") != 1) | (n("n_looks") == 0), "inspection_url_missing").when(n("n_looks") != 1, "inspection_url_ambiguous").when(n("n_inspections") == 0, "inspection_url_missing")
+        .when((n("n_inspections") != 1) | (n("n_sources") > 0) | (n("look.call_id") != n("i.call_id")) | (n("look.action_type") != n("i.action_type")), "inspection_url_ambiguous")
+        .when(status == "missing", "inspection_url_missing").when(status == "invalid", "inspection_url_invalid").when(~status.eqNullSafe("present"), "inspection_url_ambiguous")
+        .when(u.refusal(n("i.url")).isNotNull(), "inspection_url_invalid").when(n("refused") | (n("href") != u.safe_href(n("i.url"))), "inspection_url_mismatch")
+    )
+    code = F.when(n("n_calls") > 1, "web_search_not_unique").when(searched, by_source).otherwise(by_look)
+    d = d.withColumn("code", code)
+    ok = n("code").isNull()
+    return d.select(
+        "request_id", "claim_id", F.when(ok, F.when(searched, "web_search_source").otherwise("inspection_action_url")).alias("binding_type"), F.when(ok, F.when(searched, n("match")).otherwise(n("i.url"))).alias("bound_url"),
+        F.when(ok, F.when(searched, n("call")).otherwise(n("i.call_id"))).alias("call_id"), "code",
+    )

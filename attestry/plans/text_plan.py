@@ -244,10 +244,43 @@ FROM p JOIN f USING (h, page_id)
 UNION ALL SELECT page_id, NULL, NULL, 'not_https' FROM p WHERE url NOT LIKE 'https://%'
 """
 
+#: One request an event, of thirty kinds: a search with sources, or none and an inspection; each rule is broken by a residue.
+ACTION_CLAIMS = "SELECT event_id AS request_id, event_id AS claim_id, CASE WHEN event_id % 30 = 7 THEN 'http://a.example.com/p' WHEN event_id % 30 = 8 THEN 'https://a.example.com/other' ELSE 'https://a.example.com/p?utm_source=x' END AS url FROM {events}"
+ACTION_CALLS = "SELECT event_id AS request_id, concat('c', cast(n AS string)) AS call_id FROM {events} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) k WHERE n = 0 OR event_id % 30 = 1"
+ACTION_SOURCES = "SELECT event_id AS request_id, CASE n WHEN 0 THEN 'https://a.example.com/p' ELSE 'https://a.example.com/p/#x' END AS url FROM {events} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) k WHERE event_id % 30 < 10 AND (n = 0 OR event_id % 30 = 2)"
+ACTIONS = "SELECT event_id AS request_id, CASE n WHEN 0 THEN 'c0' ELSE concat('o', cast(n AS string)) END AS call_id, CASE n WHEN 0 THEN 'search' WHEN 1 THEN 'open_page' ELSE 'find_in_page' END AS action_type FROM {events} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE (n = 0 AND event_id % 30 <> 10) OR (n = 1 AND event_id % 30 <> 11) OR (n = 2 AND event_id % 30 = 12)"
+INSPECTIONS = """
+SELECT event_id AS request_id, CASE WHEN event_id % 30 = 15 THEN 'o9' ELSE 'o1' END AS call_id, 'open_page' AS action_type, CASE event_id % 30 WHEN 19 THEN 'https://10.0.0.1/' WHEN 20 THEN 'https://a.example.com/q' ELSE 'https://a.example.com/p' END AS url,
+  CASE event_id % 30 WHEN 16 THEN 'missing' WHEN 17 THEN 'invalid' WHEN 18 THEN 'several' ELSE 'present' END AS url_status
+FROM {events} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) k WHERE event_id % 30 <> 13 AND (n = 0 OR event_id % 30 = 14)
+"""
+ANSWER_SOURCES = "SELECT event_id AS request_id, 'https://z.example.com/' AS url FROM {events} WHERE event_id % 30 = 21"
+
+
+def j6_bind_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.bind_actions(*(sql(spark, sf_dir, q) for q in (ACTION_CLAIMS, ACTION_CALLS, ACTION_SOURCES, ACTIONS, INSPECTIONS, ANSWER_SOURCES))).drop("request_id")
+
+
+J6_ACTIONS = f"""
+WITH c AS ({plain(ACTION_CLAIMS)}), k AS ({plain(ACTION_CALLS)}), s AS ({plain(ACTION_SOURCES)}), a AS ({plain(ACTIONS)}), i AS ({plain(INSPECTIONS)}), z AS ({plain(ANSWER_SOURCES)}),
+g AS (
+  SELECT c.*, (SELECT count(*) FROM k WHERE k.request_id = c.request_id) AS calls, (SELECT count(*) FROM s WHERE s.request_id = c.request_id) AS found, (SELECT count(*) FROM s WHERE s.request_id = c.request_id AND split_part(c.url, '?', 1) = rtrim(split_part(s.url, '#', 1), '/')) AS same,
+    (SELECT count(*) FROM a WHERE a.request_id = c.request_id AND action_type = 'search') AS searches, (SELECT count(*) FROM a WHERE a.request_id = c.request_id AND action_type <> 'search') AS looks,
+    (SELECT count(*) FROM i WHERE i.request_id = c.request_id) AS seen, (SELECT count(*) FROM z WHERE z.request_id = c.request_id) AS answers, (SELECT min(url) FROM i WHERE i.request_id = c.request_id) AS iu, (SELECT min(url_status) FROM i WHERE i.request_id = c.request_id) AS st,
+    (SELECT bool_and(i.call_id = a.call_id) FROM i JOIN a USING (request_id) WHERE request_id = c.request_id AND a.action_type = 'open_page') AS own
+  FROM c),
+r AS (
+  SELECT *, CASE WHEN calls > 1 THEN 'web_search_not_unique' WHEN found > 0 THEN CASE WHEN url LIKE 'http:%' THEN 'source_url_rejected' WHEN same <> 1 THEN 'source_metadata_missing' END
+    WHEN searches <> 1 OR looks = 0 THEN 'inspection_url_missing' WHEN looks <> 1 THEN 'inspection_url_ambiguous' WHEN seen = 0 THEN 'inspection_url_missing' WHEN seen <> 1 OR answers > 0 OR NOT own THEN 'inspection_url_ambiguous'
+    WHEN st = 'missing' THEN 'inspection_url_missing' WHEN st = 'invalid' THEN 'inspection_url_invalid' WHEN st <> 'present' THEN 'inspection_url_ambiguous' WHEN iu LIKE '%10.0.0.1%' THEN 'inspection_url_invalid' WHEN split_part(url, '?', 1) <> iu THEN 'inspection_url_mismatch' END AS code FROM g)
+SELECT claim_id, CASE WHEN code IS NULL THEN CASE WHEN found > 0 THEN 'web_search_source' ELSE 'inspection_action_url' END END AS binding_type, CASE WHEN code IS NULL THEN 'https://a.example.com/p' END AS bound_url,
+  CASE WHEN code IS NULL THEN CASE WHEN found > 0 THEN 'c0' ELSE 'o1' END END AS call_id, code FROM r
+"""
+
 QUERIES = {f.__name__: f for f in (
     x1_visible_text, x2_mechanical_key, x3_conflict_text, x4_context_tokens, x5_blocks, x6_sequence_starts, x6_sequence_starts_all, x7_mirrors, x8_profile, x9_masked, j1_locate, j1_locate_documents, j2_search_excerpts,
-    j5_bind_spans, j5_bind_checked, j6_bind_urls, s4_extract_pages)}
+    j5_bind_spans, j5_bind_checked, j6_bind_urls, j6_bind_actions, s4_extract_pages)}
 ORACLES = {
     "x1_visible_text": X1, "x2_mechanical_key": X2, "x3_conflict_text": X3, "x4_context_tokens": X4, "x5_blocks": X5, "x6_sequence_starts": X6, "x6_sequence_starts_all": X6_ALL, "x7_mirrors": X7, "x8_profile": X8,
-    "x9_masked": X9, "j1_locate": J1, "j2_search_excerpts": J2, "j5_bind_spans": J5, "j5_bind_checked": J5_CHECKED, "j6_bind_urls": J6, "s4_extract_pages": S4,
+    "x9_masked": X9, "j1_locate": J1, "j2_search_excerpts": J2, "j5_bind_spans": J5, "j5_bind_checked": J5_CHECKED, "j6_bind_urls": J6, "j6_bind_actions": J6_ACTIONS, "s4_extract_pages": S4,
 }
