@@ -291,7 +291,8 @@ FROM (SELECT user_id, unnest(range(date_trunc('minute', ts) - INTERVAL 9 MINUTE,
 def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests of forty clients, a month of them within hours, so that windows of ten minutes fill."""
     e = _events(spark, sf_dir)
-    return e.select((F.col("user_id") % 40).alias("client"), "event_id", F.timestamp_micros(F.floor(F.unix_micros("ts") / 200)).alias("ts"), "value")
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select((F.col("user_id") % 40).alias("client"), "event_id", F.timestamp_micros(F.floor(ts / 200)).alias("ts"), "value")
 
 
 def st2_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
