@@ -83,7 +83,8 @@ def _only(text: Column, patterns: dict[str, str], otherwise: str | None) -> Colu
 
 def observe_metrics(facts: DataFrame, excerpt: str = "excerpt", subject: str = "scope_label") -> DataFrame:
     """facts with obs: metric, definition, currency, scale, scope_kind, value, period_key, nature; null if the
-    sentence is not a full, exact statement of one metric by the subject."""
+    sentence is not a full, exact statement of one metric by the subject. Currencies count in what is stated: a subject's
+    name that reads like one (CAD) is none, unlike in the reference, which looks at the whole clause."""
     relation = rf"^({WITH_SUBSIDIARIES})?[\s,]+{VERB}\b\s*(.*)$"
     # one column a step: what is used twice is computed once
     d = facts.withColumn("__t", F.regexp_replace(conflict_text(F.col(excerpt)), "[’']", " ")).withColumn("__s", F.regexp_replace(conflict_text(F.col(subject)), "[’']", " "))
@@ -102,7 +103,7 @@ def observe_metrics(facts: DataFrame, excerpt: str = "excerpt", subject: str = "
     raw, word, factor = F.col("__raw"), F.col("__word"), F.col("__factor")
     three = raw.rlike(r"^[-+]?\d+[.,]\d{3}$")
     d = d.withColumn("__value", F.when((raw != "") & ~(three & (revenue | (word != ""))), num.literal_value(raw) * factor))
-    d = d.withColumn("__kind", _only(body, SCOPE_KINDS, "entity")).withColumn("__money", num.currency(clause)).withColumn("__period", num.period_key(clause, True)).withColumn("__nature", num.value_nature(clause, True))
+    d = d.withColumn("__kind", _only(body, SCOPE_KINDS, "entity")).withColumn("__money", num.currency(body)).withColumn("__period", num.period_key(clause, True)).withColumn("__nature", num.value_nature(clause, True))
     counted = F.concat(F.when(clause.rlike(FTE), "fte_").otherwise("headcount_"), _only(clause, COUNTED, None))
     d = d.withColumn("__definition", F.when(revenue, _only(body, DEFINITIONS, "standard")).otherwise(counted))
     kind, money = F.col("__kind"), F.col("__money")
