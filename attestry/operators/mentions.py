@@ -11,6 +11,7 @@ from attestry.operators.evidence import locate
 from attestry.operators.identity import holds
 from attestry.operators.names import name_words, parsed, ranges
 from attestry.operators.support import GENERIC, fingerprint
+from attestry.sources.tables import settled
 
 #: Words that are no anchor.
 NO_ANCHOR = ["avec", "chez", "dans", "des", "elle", "est", "for", "from", "les", "pour", "that", "the", "une", "with"]
@@ -29,10 +30,12 @@ def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
     """
     n = names.withColumn("w", name_words(x.visible_text(F.col("name")))).where(F.size("w") > 0)
     n = n.select("name_id", "name", "entity_type", F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("b"))
-    t = parsed(texts.select("text_id", "text"), F.col("text")).drop("text")
+    # parsed once, on rows dealt out first: a folder of texts may be one split
+    t = settled(parsed(texts.select("text_id", "text").repartition("text_id"), F.col("text")).drop("text"), "mention-texts")
     keys = t.select("text_id", F.explode(F.array_distinct("__name_tok")).alias("b")).join(n, "b").drop("b")
     found = ranges(keys.join(t, "text_id"), F.col("name"), F.col("entity_type"), "m")
-    return found.select("text_id", "name_id", F.explode("m").alias("m")).select("text_id", "name_id", "m.start", "m.end")
+    # outer, since the filter that an inner explode infers would run the rule once more
+    return found.select("text_id", "name_id", F.explode_outer("m").alias("m")).where("m IS NOT NULL").select("text_id", "name_id", "m.start", "m.end")
 
 
 def require_mention(proofs: DataFrame, allowed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -48,3 +48,26 @@ def test_ranges_are_places_of_the_visible_text(spark):
     d = spark.createDataFrame(rows, "text string, name string, kind string")
     got = [[(m.start, m.end) for m in r.m] for r in with_mentions(d, F.col("text"), F.col("name"), F.col("kind"), "m").collect()]
     assert got == [[(3, 10), (15, 22), (36, 43)], [(3, 18), (27, 42)]]
+
+
+def test_a_long_text_is_not_copied_for_each_start(spark):
+    """slice() in a lambda copies the whole list for each start: words are compared one by one."""
+    from pyspark.sql import functions as F
+
+    from attestry.functions.text import sequence_starts
+
+    words = ["a", "b"] * 30_000 + ["a", "b", "c"]
+    rows = [(0, words, ["a", "b", "c"]), (1, words[:5], ["a", "b"]), (2, ["a", "a", "a"], ["a", "a"]), (3, ["a"], ["a", "b"]), (4, ["a"], []), (5, None, ["a"]), (6, ["a", None, "b"], [None, "b"]), (7, ["a"], None)]
+    d = spark.createDataFrame(rows, "i int, h array<string>, w array<string>").select("i", sequence_starts(F.col("h"), F.col("w")).alias("at"))
+    assert "slice" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.i: r.at for r in d.collect()} == {0: [60_000], 1: [0, 2], 2: [0, 1], 3: [], 4: [], 5: [], 6: [1], 7: []}
+
+
+def test_the_rule_of_names_stands_once_in_the_plan_of_mentions(spark):
+    from attestry.operators.mentions import mentions
+
+    names = spark.createDataFrame([(1, "Quorra Vell", "person")], "name_id int, name string, entity_type string")
+    texts = spark.createDataFrame([(7, "Mr Quorra Vell said. Anna Quorra Vell. " + "word " * 500 + ". Quorra Vell"), (8, "Nobody"), (9, None)], "text_id int, text string")
+    found = mentions(names, texts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("biographie") == 1
+    assert sorted(map(tuple, found.collect())) == [(7, 1, 3, 14), (7, 1, 2541, 2552)]
