@@ -16,7 +16,7 @@ from attestry.functions import urls as u
 from attestry.operators.facts import claim_quality
 from attestry.operators.identity import KEY, domain, same_domain
 from attestry.operators.names import with_named
-from attestry.sources.tables import settled
+from attestry.sources.tables import dealt, settled
 
 # Words of the rules, accents dropped.
 NOT_A_PARTY = [
@@ -337,7 +337,7 @@ def derive_role_facts(people: DataFrame, most_chars: int = 500) -> DataFrame:
     A person without page or name has the proof alone.
     """
     low = lambda c: F.lower(c)
-    p = _once(people, __t=x.visible_text(F.col("text")), __n=low(x.visible_text(F.col("display_name")))).drop("text")
+    p = _once(dealt(people, *KEY), __t=x.visible_text(F.col("text")), __n=low(x.visible_text(F.col("display_name")))).drop("text")
     p = _once(p, __l=F.split("__t", "\n"))
     named = F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: low(F.get("__l", i)).contains(F.col("__n")))
     pair = lambda i: F.when(F.get("__l", i + 1).isNotNull(), F.concat_ws("\n", F.get("__l", i), F.get("__l", i + 1)))
@@ -345,7 +345,8 @@ def derive_role_facts(people: DataFrame, most_chars: int = 500) -> DataFrame:
     once = lambda e: F.length("__t") - F.length(F.replace("__t", e, F.lit(""))) == F.length(e)
     lines = F.filter(F.array_distinct(lines), lambda e: e.isNotNull() & F.length(e).between(1, most_chars) & (e != F.col("excerpt")) & once(e))
     d = p.withColumn("__e", F.concat(F.array("excerpt"), F.coalesce(lines, F.array().cast("array<string>")))).select(*KEY, "display_name", "url", "title", F.posexplode("__e").alias("ord", "excerpt"))
-    d = d.withColumn("len", F.length("excerpt"))
+    # pages are read once; the role and the activity are chosen among a few lines a person
+    d = settled(d.withColumn("len", F.length("excerpt")), "role-lines")
     who = people.select(*KEY, "display_name").distinct().withColumn("entity_type", F.lit("person"))
     first = lambda d: d.groupBy(*KEY).agg(F.min(F.struct("len", "ord", "excerpt")).alias("m"))
     role = first(traceable_role(d.drop("display_name"), who).where("traceable")).select(*KEY, F.lit("role").alias("category"), "m.excerpt")
