@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from attestry.functions import urls as u
 from attestry.functions.text import QUOTES, ZERO_WIDTH, masked, visible_text
-from attestry.sources.tables import settled
+from attestry.sources.tables import dealt, settled
 
 MAX_EXCERPT, CONTEXT = 500, 16
 #: Elements whose text no reader sees, and elements that end a line.
@@ -187,14 +187,15 @@ def locate(claims: DataFrame, page_text: DataFrame, on: str = "page_id") -> Data
     near = F.filter("__ok", lambda s: (F.substring(t, F.greatest(s - F.length(p), F.lit(0)) + 1, F.least(F.length(p), s)) == p) & (F.substring(t, s + F.length(e) + 1, F.length(x)) == x))
     chosen = F.when(F.col("__n") == 1, F.get("__ok", 0)).when((F.trim(p) != "") & (F.trim(x) != "") & (F.size(near) == 1), F.get(near, 0))
     bad = F.when((e == "") | (F.length(e) > MAX_EXCERPT) | t.isNull(), "source_excerpt_missing").when((F.length(p) > CONTEXT) | (F.length(x) > CONTEXT), "source_excerpt_ambiguous")
-    j = j.withColumn("__bad", bad).withColumn("__s", chosen)
-    exact = j.where("__bad is not null or __n > 0").select(
-        *claims.columns, "__t", F.coalesce("__bad", F.when(F.col("__s").isNull(), "source_excerpt_ambiguous")).alias("code"), F.lit("exact").alias("match_mode"),
-        F.col("__s").alias("start"), (F.col("__s") + F.length("__e")).alias("end"), (F.array_position("__ok", F.col("__s")) - 1).alias("occurrence"))
-    rest = j.where("__bad is null and __n = 0").withColumn("__m", _mechanical_match("__t", "__e"))
+    j = j.withColumn("__bad", bad).withColumn("__s", chosen).withColumn("__rest", F.col("__bad").isNull() & (F.col("__n") == 0))
+    # one pass: only texts without an exact match are sent to Python, the others as null
+    rest = F.col("__rest")
+    j = j.withColumn("__m", _mechanical_match(F.when(rest, t), F.when(rest, e)))
     code = F.when(F.col("__m.n") == 0, "source_excerpt_missing").when(F.col("__m.n") > 1, "source_excerpt_ambiguous").when(F.col("__m.end") - F.col("__m.start") > MAX_EXCERPT, "source_excerpt_missing")
-    other = rest.select(*claims.columns, "__t", code.alias("code"), F.lit("mechanical_equivalence").alias("match_mode"), F.col("__m.start").alias("start"), F.col("__m.end").alias("end"), F.lit(0).cast("long").alias("occurrence"))
-    d = exact.unionByName(other)
+    d = j.select(
+        *claims.columns, "__t", F.when(rest, code).otherwise(F.coalesce("__bad", F.when(F.col("__s").isNull(), "source_excerpt_ambiguous"))).alias("code"), F.when(rest, "mechanical_equivalence").otherwise("exact").alias("match_mode"),
+        F.when(rest, F.col("__m.start")).otherwise(F.col("__s")).alias("start"), F.when(rest, F.col("__m.end")).otherwise(F.col("__s") + F.length("__e")).alias("end"),
+        F.when(rest, F.lit(0).cast("long")).otherwise(F.array_position("__ok", F.col("__s")) - 1).alias("occurrence"))
     ok, t, s, z = F.col("code").isNull(), F.col("__t"), F.col("start"), F.col("end")
     line = lambda c, first: F.substring_index(c, "\n", 1 if first else -1)
     return d.select(
@@ -222,7 +223,7 @@ def search_excerpts(excerpts: DataFrame, docs: DataFrame, key: str = "doc_id", t
 
     # texts are normalised once and (key, sequence) pairs that excerpts ask for are found once: both are read again below
     x = settled(excerpts.select(item, visible_text(F.col(text)).alias("e")).where("e <> ''").withColumn("w", split(F.col("e"))), "search-excerpts")
-    d = settled(docs.select(key, visible_text(F.col(text)).alias("t")), "search-texts")
+    d = settled(dealt(docs.select(key, text)).select(key, visible_text(F.col(text)).alias("t")), "search-texts")
     wanted = x.select(item, F.explode(F.array_distinct(grams(F.col("w"), True))).alias("g"))
     seen = settled(d.select(key, F.explode(F.array_distinct(grams(split(F.col("t"))))).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi"), "search-seen")
     counts = seen.groupBy("g").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions import text as x
 from attestry.operators import evidence as ev
 from attestry.plans.fixtures import plain, sql
+from attestry.sources.tables import dealt, settled
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +154,7 @@ def j1_locate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locate_in_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    page = docs.select(F.col("doc_id").alias("page_id"), x.visible_text(F.col("text")).alias("text"))
+    page = settled(dealt(docs.select("doc_id", "text")).select(F.col("doc_id").alias("page_id"), x.visible_text(F.col("text")).alias("text")), "pages")
     heads = page.select(F.lit("head").alias("kind"), F.lit(None).cast("long").alias("claim_id"), "page_id", F.regexp_extract("text", r"^[^\n]*?(?:[.!?](?= )|(?=\n)|$)", 0).alias("excerpt"))
     found = ev.search_excerpts(items, docs).select("doc_id", "item_id").join(items.select("item_id", "text"), "item_id")
     held = found.select(F.lit("item").alias("kind"), F.col("item_id").cast("long").alias("claim_id"), F.col("doc_id").alias("page_id"), F.col("text").alias("excerpt"))
