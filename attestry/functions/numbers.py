@@ -62,18 +62,17 @@ def scale_factor(word: Column) -> Column:
 
 def metric_value(text: Column) -> Column:
     """The one distinct number of a sentence, years of 1900 to 2100 left out; null if there is none or more."""
-    pattern = r"(?i)(?<![\p{L}\d])(" + NUMBER + r")(?:\s*(" + SCALE + "))?"
-    raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    scales = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    # the first test is cheap, and fails at nearly every character of a long text
+    pattern = r"(?i)(?=[-+\d])(?<![\p{L}\d])(" + NUMBER + r")(?:\s*(" + SCALE + "))?"
 
-    def one(z: Column) -> Column:
-        raw, word = z["r"], z["s"]
+    def one(found: Column) -> Column:
+        raw, word = F.regexp_extract(found, pattern, 1), F.regexp_extract(found, pattern, 2)
         value = literal_value(raw) * scale_factor(word)
         year = (word == "") & raw.rlike(r"^\d{4}$") & (literal_value(raw) >= 1900) & (literal_value(raw) <= 2100)
         unclear = (word != "") & raw.rlike(r"^[-+]?\d+[.,]\d{3}$")
         return F.when(~year & ~unclear, value)
 
-    values = F.array_distinct(F.array_compact(F.transform(F.arrays_zip(raws.alias("r"), scales.alias("s")), one)))
+    values = F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)))
     return F.when(F.size(values) == 1, F.element_at(values, 1))
 
 

@@ -38,7 +38,7 @@ def _hash(*columns: Column) -> Column:
 
 def _normal(visible: Column) -> Column:
     """Lower case on one line, with plain apostrophes: visible text has single spaces already."""
-    return F.coalesce(F.lower(F.translate(visible, "\n’", " '")), F.lit(""))
+    return F.coalesce(F.lower(F.replace(F.replace(visible, F.lit("\n"), F.lit(" ")), F.lit("’"), F.lit("'"))), F.lit(""))
 
 
 def _narrow(facts: DataFrame) -> DataFrame:
