@@ -9,9 +9,8 @@ from attestry.functions import text as x
 from attestry.functions import urls as u
 from attestry.operators.evidence import locate
 from attestry.operators.identity import holds
-from attestry.operators.names import name_words, parsed, ranges
+from attestry.operators.names import name_words, parsed, ranges, word_key, word_keys
 from attestry.operators.support import GENERIC, fingerprint
-from attestry.sources.tables import settled
 
 #: Words that are no anchor.
 NO_ANCHOR = ["avec", "chez", "dans", "des", "elle", "est", "for", "from", "les", "pour", "that", "the", "une", "with"]
@@ -27,13 +26,19 @@ def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
 
     names: name_id, name, entity_type; texts: text_id, text. The rule is that of operators.names. Blocked by the longest word
     of the name: an equi-join on the distinct words of the texts, so texts are not carried by it and meet only names that may be theirs.
+    Texts are shuffled once, as they came: what is parsed of them is several times as large and stays within a task.
     """
     n = names.withColumn("w", name_words(x.visible_text(F.col("name")))).where(F.size("w") > 0)
-    n = n.select("name_id", "name", "entity_type", F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("b"))
-    # parsed once, on rows dealt out first: a folder of texts may be one split
-    t = settled(parsed(texts.select("text_id", "text").repartition("text_id"), F.col("text")).drop("text"), "mention-texts")
-    keys = t.select("text_id", F.explode(F.array_distinct("__name_tok")).alias("b")).join(n, "b").drop("b")
-    found = ranges(keys.join(t, "text_id"), F.col("name"), F.col("entity_type"), "m")
+    longest = F.array_max(F.transform("w", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    # from a generator: of few names the optimizer would else write every form out again, as a filter on each word of the texts
+    n = n.select(F.explode(F.array(word_key(longest))).alias("b"), F.struct("name_id", "name", "entity_type").alias("n"))
+    # both readers of it ask for the same rows, so the second takes the first one's shuffle files: outer, as an inner explode's filter would go below them
+    t = texts.select("text_id", "text").where("text_id IS NOT NULL").repartition("text_id")
+    keys = t.select("text_id", F.explode_outer(word_keys(x.visible_text(F.coalesce("text", F.lit(""))))).alias("b"))
+    theirs = keys.join(n, "b").groupBy("text_id").agg(F.collect_set("n").alias("n"))
+    # one row a text here, so that it is parsed once for all its names
+    p = parsed(t.join(theirs, "text_id"), F.col("text")).drop("text").withColumn("n", F.explode_outer("n"))
+    found = ranges(p, F.col("n.name"), F.col("n.entity_type"), "m").select("text_id", "n.name_id", "m")
     # outer, since the filter that an inner explode infers would run the rule once more
     return found.select("text_id", "name_id", F.explode_outer("m").alias("m")).where("m IS NOT NULL").select("text_id", "name_id", "m.start", "m.end")
 
