@@ -48,9 +48,9 @@ def require_mention(proofs: DataFrame, allowed: DataFrame, found: DataFrame) ->
 
     allowed: claim_id, name_id; found: what mentions() gives.
     """
-    m = allowed.join(found.select(F.col("text_id"), "name_id", F.col("start").alias("ms"), F.col("end").alias("me")), "name_id")
-    inside = ["claim_id", "text_id"]
-    hits = proofs.join(m, inside).where((F.col("ms") >= F.col("start")) & (F.col("me") <= F.col("end"))).select("claim_id").distinct()
+    named = proofs.join(allowed, "claim_id")
+    m = found.select("text_id", "name_id", F.col("start").alias("ms"), F.col("end").alias("me"))
+    hits = named.join(m, ["text_id", "name_id"]).where((F.col("ms") >= F.col("start")) & (F.col("me") <= F.col("end"))).select("claim_id").distinct()
     return proofs.join(hits, "claim_id", "left_semi"), proofs.join(hits, "claim_id", "left_anti")
 
 
